@@ -1,0 +1,19 @@
+"""Size check for rule tables that are laid out as arrays next to the facts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+RULE_LIMIT = 10_000
+
+
+def rules_fit(rules: DataFrame, limit: int = RULE_LIMIT) -> bool:
+    """True when the table has at most ``limit`` rows; reads no more than it needs to know."""
+    return rules.limit(limit + 1).count() <= limit
+
+
+def rule_lists(rules: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str) -> DataFrame:
+    """One row per key with its rules as a sorted array. Only for tables that :func:`rules_fit`."""
+    items = F.array_sort(F.collect_list(F.struct(*order, *columns)))
+    return rules.groupBy(*keys).agg(items.alias(name))
