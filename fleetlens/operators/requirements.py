@@ -63,7 +63,8 @@ def check_roles(required: DataFrame, roles: DataFrame, checks: dict[str, tuple[C
     """Requirements left-joined to roles (account_id, role_name, trust_document, policy_arns).
 
     Adds exists, follows_name, has_permissions, errors, warnings and is_valid. An unknown
-    rule gives a warning; a type other than a role is an error.
+    rule gives a warning; a type other than a role is an error, and so is a requirement
+    whose context has no name (its own ``errors`` say why).
     """
     checks = default_checks() if checks is None else checks
     inventory = roles.select(
@@ -89,6 +90,7 @@ def check_roles(required: DataFrame, roles: DataFrame, checks: dict[str, tuple[C
         return text
 
     kind = F.col("resource_type")
+    unresolved = F.col("errors") if "errors" in required.columns else F.array(F.lit("no expected name"))
     none = F.expr("cast(array() as array<string>)")
     errors = (
         F.when(kind == "IamPolicy", F.array(F.lit("IAM policy validation not implemented yet")))
@@ -96,6 +98,7 @@ def check_roles(required: DataFrame, roles: DataFrame, checks: dict[str, tuple[C
             kind != "IamRole",
             F.array(F.concat(F.lit("Validation for resource type "), kind, F.lit(" not implemented"))),
         )
+        .when(F.col("expected_name").isNull(), F.transform(unresolved, lambda e: F.concat(F.lit("Error validating resource: "), e)))
         .when(
             ~F.col("_found"),
             F.array(F.concat(F.lit("IAM role '"), F.col("expected_name"), F.lit("' does not exist"))),
@@ -108,7 +111,7 @@ def check_roles(required: DataFrame, roles: DataFrame, checks: dict[str, tuple[C
         .withColumns(
             {
                 "exists": F.col("_found"),
-                "follows_name": kind == "IamRole",
+                "follows_name": (kind == "IamRole") & F.col("expected_name").isNotNull(),
                 "has_permissions": F.col("_found") & (F.size("errors") == 0),
             }
         )

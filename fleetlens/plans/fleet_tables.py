@@ -57,7 +57,7 @@ _DOC_ID = "concat_ws('-', CAST(l_orderkey AS VARCHAR(20)), CAST(l_linenumber AS
 _quoted = lambda e: f"coalesce(concat('\"', {e}, '\"'), 'null')"
 _port_json = lambda n: f"'{{\"containerPort\":{n},\"protocol\":', {_quoted(_PROTOCOL)}, '}}'"
 
-_CONTAINER_JSON = f"""concat('{{"Name":', {_quoted(_NAME)}, ',"image":', {_quoted(_IMAGE)},
+_CONTAINER_JSON = f"""concat(CASE WHEN l_linenumber = 3 THEN '{{"Name":' ELSE '{{"name":' END, {_quoted(_NAME)}, ',"image":', {_quoted(_IMAGE)},
   ',"portMappings":', CASE {_PORTS} WHEN 0 THEN 'null' WHEN 1 THEN '[]'
      WHEN 2 THEN concat('[', {_port_json(8080)}, ']')
      WHEN 3 THEN concat('[', {_port_json(80)}, ',', {_port_json(8080)}, ']')
@@ -84,7 +84,8 @@ SELECT {_DOC_ID} AS doc_id, {_env('l_orderkey')} AS env_name,
   CASE {_DOC_CASE} WHEN 0 THEN '{{"vpcNamePattern":"dev"}}'
     WHEN 1 THEN '{{"ecsConfiguration":{{"taskDefinition":[]}}}}'
     WHEN 2 THEN '{{"ecsConfiguration":{{"taskDefinition":[{{"taskDefinitionName":" ","containerDefinitions":[]}}]}}}}'
-    ELSE concat('{{"EcsConfiguration":{{ /* one, "task", ] */ "serviceName":"a,]","taskDefinition":[{{"TASKDEFINITIONNAME":"main","containerDefinitions":[',
+    ELSE concat(CASE WHEN l_linenumber = 3 THEN '{{"EcsConfiguration":{{ /* one, "task", ] */ "serviceName":"a,]","taskDefinition":[{{"TASKDEFINITIONNAME":"main","containerDefinitions":['
+      ELSE '{{"ecsConfiguration":{{"serviceName":"a,]","taskDefinition":[{{"taskDefinitionName":"main","containerDefinitions":[' END,
       {_CONTAINER_JSON}, ',{{"name":"web","image":"repo/side:1","portMappings":[{{"containerPort":8443,"protocol":"tcp"}}],}},]}}]}}}}') END AS text
 FROM lineitem""",
     "access_requests": """

@@ -1 +1,585 @@
-ORACLES = {}
+"""Checking SQL, written apart from the operators.
+
+Each statement computes what the query of the same key returns, from the same tables, with
+plain SQL. Operators whose result a single statement cannot express have none.
+"""
+
+from __future__ import annotations
+
+from fleetlens import rules
+from fleetlens.plans.catalog import AS_OF, SAMPLE_ROUTES, SAMPLE_STATEMENTS, SAMPLE_TRUST
+from fleetlens.plans.fleet_tables import SAMPLE_KINDS, SETTINGS, TABLES
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (int, float)):
+        return str(value)
+    return "'" + value.replace("'", "''") + "'"
+
+
+def values(name: str, columns: str, rows: list[tuple]) -> str:
+    body = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    return f"{name}({columns}) AS (VALUES {body})"
+
+
+def with_tables(*parts: str) -> str:
+    """``WITH`` over fleet tables (by name) and ready-made clauses."""
+    return "WITH " + ",\n".join(f"{p} AS ({TABLES[p]})" if p in TABLES else p for p in parts) + "\n"
+
+
+ENV = values("dim_env", "env_name, env_prefix, env_account_type", rules.ENVIRONMENTS)
+APP = values("dim_app", "app_name, app_code", list(SETTINGS.applications))
+REG = values("dim_region", "region, region_code", rules.REGIONS)
+KINDS = values("kinds", "kind_id, kind, specific, service", SAMPLE_KINDS)
+DIMS = (ENV, APP, REG)
+
+APP_NAME = (
+    "CASE WHEN env_prefix IS NOT NULL AND app_code IS NOT NULL AND region_code IS NOT NULL "
+    "THEN lower(concat_ws('-', env_prefix, app_code, {type}, region_code, {specific})) END"
+)
+SHARED_NAME = (
+    "CASE WHEN env_prefix IS NOT NULL AND region_code IS NOT NULL "
+    "THEN lower(concat_ws('-', env_prefix, 'shared', {type}, region_code, {specific})) END"
+)
+SG_NAME = (
+    "CASE WHEN env_prefix IS NOT NULL AND app_code IS NOT NULL AND region_code IS NOT NULL "
+    "THEN lower(concat_ws('-', env_prefix, app_code, 'sg', {type}, {specific}, region_code)) END"
+)
+BUCKET_NAME = (
+    "CASE WHEN env_prefix IS NOT NULL AND app_code IS NOT NULL AND region_code IS NOT NULL "
+    f"THEN lower(concat_ws('-', '{SETTINGS.domain}', env_prefix, app_code, {{specific}}, region_code)) END"
+)
+LOG_NAME = (
+    "CASE WHEN env_prefix IS NOT NULL AND app_code IS NOT NULL "
+    "THEN '/aws/' || lower({type}) || '/' || env_prefix || '-' || app_code || '-' || lower({specific}) END"
+)
+SHARED_LOG = (
+    "CASE WHEN env_prefix IS NOT NULL "
+    "THEN '/aws/' || lower({type}) || '/' || env_prefix || '-shared-' || lower({specific}) END"
+)
+
+_EXPECTED = f"""CASE kind_id WHEN 0 THEN {APP_NAME.format(type="'ecs'", specific="'main'")}
+  WHEN 1 THEN {APP_NAME.format(type="'svc'", specific="'web'")}
+  WHEN 2 THEN {APP_NAME.format(type="'rds'", specific="'primary'")}
+  WHEN 3 THEN {APP_NAME.format(type="'role'", specific="'ecs-task'")}
+  WHEN 4 THEN {SHARED_NAME.format(type="'vpc'", specific="'main'")}
+  WHEN 5 THEN {SG_NAME.format(type="'alb'", specific="'web'")}
+  WHEN 6 THEN {BUCKET_NAME.format(specific="'docs'")}
+  WHEN 7 THEN {LOG_NAME.format(type="'ecs'", specific="'api'")} END"""
+
+RESOLVED = """resolved AS (SELECT f.*, env_prefix, env_account_type AS account_type, app_code, region_code,
+    kind, specific, service, split_part(kind, '_', 1) AS type_code
+  FROM fleet_resources f LEFT JOIN dim_env USING (env_name) LEFT JOIN dim_app USING (app_name)
+  LEFT JOIN dim_region USING (region) JOIN kinds USING (kind_id))"""
+EXPECTED = f"expected AS (SELECT *, {_EXPECTED} AS expected_name FROM resolved)"
+INVENTORY = r"""inventory AS (SELECT *, CASE noise WHEN 0 THEN upper(expected_name) WHEN 7 THEN expected_name || '-x'
+    WHEN 3 THEN CASE kind_id WHEN 6 THEN regexp_replace(expected_name, '-(dev|int|stg|prod)-', '-dev-')
+                WHEN 7 THEN regexp_replace(expected_name, '/(dev|int|stg|prod)-', '/dev-')
+                ELSE regexp_replace(expected_name, '^(dev|int|stg|prod)-', 'dev-') END
+    ELSE expected_name END AS observed_name FROM expected)"""
+
+NAMES = with_tables("fleet_resources", *DIMS, KINDS, RESOLVED, EXPECTED, INVENTORY)
+RES = "l_orderkey, l_linenumber"
+
+
+def _named(expression: str) -> str:
+    return f"{NAMES} SELECT {RES}, {expression} AS resource_name FROM resolved"
+
+
+ORACLES: dict[str, str] = {}
+
+ORACLES["fleet_name_summary"] = f"""{NAMES}
+SELECT env_name, kind, count(*) AS total, count(*) FILTER (WHERE lower(observed_name) = lower(expected_name)) AS valid,
+  count(*) FILTER (WHERE lower(observed_name) <> lower(expected_name)) AS invalid,
+  count(*) FILTER (WHERE expected_name IS NULL) AS no_context
+FROM inventory GROUP BY env_name, kind"""
+
+# --- sources -----------------------------------------------------------------------------
+
+ORACLES["s1_environment_registry"] = f"""WITH base AS (SELECT o_orderkey, o_custkey, o_orderpriority,
+  CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'Development' WHEN 1 THEN 'Integration' WHEN 2 THEN 'Staging'
+    WHEN 3 THEN 'Production' ELSE 'Sandbox' END AS env_name FROM orders), {ENV}
+SELECT o_orderkey AS registry_id, env_name,
+  CASE WHEN o_orderkey % 7 <> 0 THEN '10000000000' || CAST(o_custkey % 4 AS VARCHAR) END AS account_id,
+  CASE WHEN o_custkey % 3 = 1 THEN 'Production' ELSE env_account_type END AS account_type,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'us-east-1' ELSE 'us-west-2' END AS region,
+  'Owner=' || o_orderpriority AS tags,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'AccountId is required' END AS error
+FROM base LEFT JOIN dim_env USING (env_name)"""
+
+ORACLES["s2_layered_merge"] = f"""{with_tables("layers")}
+SELECT scope, key, value FROM (SELECT *, row_number() OVER (PARTITION BY scope, key ORDER BY priority DESC) AS rn FROM layers)
+WHERE rn = 1"""
+
+_DOC_CASE = "CAST((l_partkey + l_linenumber) % 10 AS INT)"
+_DOC_ID = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
+_ENV_OF = (
+    "CASE CAST({k} % 5 AS INT) WHEN 0 THEN 'Development' WHEN 1 THEN 'Integration' WHEN 2 THEN 'Staging' "
+    "WHEN 3 THEN 'Production' ELSE 'Sandbox' END"
+)
+DOCS = f"""docs AS (SELECT c.*, {_DOC_ID} AS text_id, {_DOC_CASE} AS doc_case, row_number() OVER () AS rid
+  FROM container_rows c)"""
+DOC_CONTAINERS = """doc_containers AS (
+  SELECT rid, text_id, 0 AS task_no, 'main' AS task, 0 AS pos, name, image, essential, ports_case, protocol, secret_var AS secret FROM docs WHERE doc_case >= 3
+  UNION ALL SELECT rid, text_id, 0, 'main', 1, 'web', 'repo/side:1', NULL, 9, 'tcp', NULL FROM docs WHERE doc_case >= 3
+  UNION ALL SELECT rid, text_id, 0, ' ', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM docs WHERE doc_case = 2
+  UNION ALL SELECT rid, text_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM docs WHERE doc_case < 2)"""
+PORT_ROWS = values("port_rows", "ports_case, port_no, container_port", [(2, 0, 8080), (3, 0, 80), (3, 1, 8080), (4, 0, 70000), (9, 0, 8443)])
+DOC_BASE = with_tables("container_rows", DOCS, DOC_CONTAINERS, PORT_ROWS)
+
+ORACLES["s3_service_configs"] = f"""{DOC_BASE}
+SELECT text_id AS doc_id, env_name, CASE WHEN doc_case = 0 THEN 'Invalid ECS configuration format' END AS error,
+  CASE WHEN doc_case = 0 THEN 'dev' END AS vpc_name_pattern, CASE WHEN doc_case >= 3 THEN 'a,]' END AS service_name,
+  CAST(CASE WHEN doc_case = 0 THEN NULL WHEN doc_case = 1 THEN 0 ELSE 1 END AS INTEGER) AS n_tasks,
+  CAST(CASE WHEN doc_case < 2 THEN NULL WHEN doc_case = 2 THEN 0 ELSE 2 END AS INTEGER) AS n_containers
+FROM docs"""
+
+_POLICY_STATEMENTS = [
+    (0, 0, "A", "Allow", "s3:*", "*", None, None),
+    (1, 0, "B", "Allow", "secretsmanager:GetSecretValue,kms:Decrypt", "/dev/*", None, None),
+    (2, 0, "C", "Deny", "secretsmanager:GetSecretValue", "*", None, None),
+    (2, 1, "D", "Allow", "kms:Decrypt", "/dev/a,/stg/b", None, None),
+    (3, 0, "E", "Allow", "sts:AssumeRole", "*", '{"Service":"ecs"}', "StringLike|k|a*/b"),
+    (4, None, None, None, None, None, None, None),
+]
+POLICY_ROWS = values("p", "case_no, statement_no, sid, effect, actions, resources, principal, conditions", _POLICY_STATEMENTS)
+ORACLES["s4_policy_documents"] = f"""WITH {POLICY_ROWS}
+SELECT o_orderkey AS policy_id, CAST(statement_no AS INTEGER) AS statement_no, sid, effect, actions, resources, principal, conditions
+FROM orders JOIN p ON o_orderkey % 5 = case_no"""
+
+ORACLES["s5_stack_manifest"] = """
+SELECT p_partkey AS manifest_id, 'node' AS part, 'S' || p_partkey AS stack, 'alb:' || p_size AS value FROM part
+UNION ALL SELECT p_partkey, 'node', 'T', 'ecs' FROM part
+UNION ALL SELECT p_partkey, 'deps', 'S' || p_partkey, 'S' || (p_partkey // 2) FROM part WHERE p_partkey % 3 <> 0
+UNION ALL SELECT p_partkey, 'exports', 'S' || p_partkey, p_brand FROM part
+UNION ALL SELECT p_partkey, 'exports', 'S' || p_partkey, 'alb-arn' FROM part
+UNION ALL SELECT p_partkey, 'imports', 'T', 'alb-arn' FROM part"""
+
+ORACLES["s6_findings_sink"] = f"""{NAMES}
+SELECT {RES}, env_name, kind, observed_name, expected_name FROM inventory WHERE lower(observed_name) <> lower(expected_name)"""
+
+# --- names -------------------------------------------------------------------------------
+
+ORACLES["n1_resolve_context"] = f"""{NAMES}
+SELECT {RES}, env_name, app_name, region, env_prefix, account_type, app_code, region_code,
+  CASE WHEN env_prefix IS NULL THEN 'Unknown environment: ' || env_name ELSE '' END AS errors
+FROM resolved"""
+ORACLES["n2_application_name"] = _named(APP_NAME.format(type="type_code", specific="specific"))
+ORACLES["n3_shared_name"] = _named(SHARED_NAME.format(type="type_code", specific="specific"))
+ORACLES["n4_security_group_name"] = _named(SG_NAME.format(type="type_code", specific="specific"))
+ORACLES["n5_bucket_name"] = _named(BUCKET_NAME.format(specific="specific"))
+ORACLES["n6_log_group_name"] = _named(LOG_NAME.format(type="type_code", specific="specific"))
+ORACLES["n6_shared_log_group_name"] = _named(SHARED_LOG.format(type="type_code", specific="specific"))
+ORACLES["n7_image_repository_name"] = _named(f"'{SETTINGS.organisation}/' || lower(app_name) || '/Repo-' || specific")
+
+_ARN_KIND = "CASE kind_id % 3 WHEN 0 THEN 'role' WHEN 1 THEN 'policy' ELSE 'user' END"
+ORACLES["n8_arn"] = f"""{NAMES}, a AS (SELECT *, '10000000000' || (l_orderkey % 4) AS account_id, {_ARN_KIND} AS arn_kind,
+  CASE kind_id WHEN 3 THEN 's3' WHEN 4 THEN 'sqs' WHEN 5 THEN 'sns' WHEN 7 THEN 's3' ELSE 'iam' END AS arn_service FROM resolved),
+b AS (SELECT *, {APP_NAME.format(type="arn_kind", specific="'main'")} AS own_name, {BUCKET_NAME.format(specific="'docs'")} AS bucket FROM a)
+SELECT {RES}, arn_service AS service, CASE arn_service WHEN 'iam' THEN 'arn:aws:iam::' || account_id || ':' || arn_kind || '/' || own_name
+  WHEN 's3' THEN 'arn:aws:s3:::' || bucket ELSE 'arn:aws:' || arn_service || ':' || region || ':' || account_id || ':' || own_name END AS arn
+FROM b"""
+
+ORACLES["n9_stack_name"] = f"""{NAMES}, a AS (SELECT *, CASE kind_id WHEN 0 THEN 'app' WHEN 1 THEN 'base' WHEN 2 THEN 'ALB' WHEN 3 THEN 'ecs'
+  WHEN 4 THEN 'Data' WHEN 5 THEN 'COGNITO' WHEN 6 THEN 'other' ELSE 'app' END AS stack FROM resolved)
+SELECT {RES}, stack, env_prefix || '-' || CASE stack WHEN 'app' THEN app_code || '-stack' WHEN 'base' THEN 'shared-stack'
+  WHEN 'other' THEN NULL ELSE app_code || '-' || lower(stack) END || '-' || region_code AS stack_name FROM a"""
+
+ORACLES["n10_full_name_identifiers"] = f"""{NAMES}
+SELECT {RES}, env_name || '-' || app_name || '-alb-arn' AS app_export, env_name || '-vpc-id' AS env_export,
+  '/' || lower(env_name) || '/' || lower(app_name) || '/' || kind AS secret_path,
+  env_name || '-' || lower(app_name) || '-task-role' AS task_role, lower(env_name) || '-' || lower(app_name) || '-auth' AS auth_domain
+FROM resolved"""
+
+ORACLES["n11_name_audit"] = f"""{NAMES}
+SELECT {RES}, kind, observed_name, expected_name, lower(observed_name) = lower(expected_name) AS is_valid FROM inventory"""
+
+ORACLES["n12_name_limits"] = f"""{NAMES}, padded AS (SELECT {RES}, kind, observed_name || repeat('-long', l_linenumber) AS name FROM inventory),
+checked AS (SELECT *, CASE WHEN kind IN ('bucket', 'rds_instance') AND length(name) > 63 THEN 'too long: ' || length(name) || ' chars, max 63'
+    WHEN kind = 'ecs_cluster' AND length(name) > 255 THEN 'too long: ' || length(name) || ' chars, max 255' END AS long,
+  CASE WHEN kind = 'bucket' AND NOT regexp_full_match(name, '[a-z0-9.-]+') THEN 'characters not allowed' END AS bad
+  FROM padded WHERE name IS NOT NULL)
+SELECT {RES}, kind, name, concat_ws(',', long, bad) AS problems FROM checked WHERE long IS NOT NULL OR bad IS NOT NULL"""
+
+ORACLES["n13_name_collisions"] = f"""{NAMES}
+SELECT account_type, lower(observed_name) AS lower_name, string_agg(DISTINCT env_name, ',' ORDER BY env_name) AS environments
+FROM inventory WHERE observed_name IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT env_name) > 1"""
+
+ORACLES["n14_siblings"] = f"""{with_tables("contexts")},
+t AS (SELECT account_type, string_agg(DISTINCT env_name, ',' ORDER BY env_name) AS siblings_by_type FROM contexts GROUP BY 1),
+a AS (SELECT account_id, string_agg(DISTINCT env_name, ',' ORDER BY env_name) AS siblings_by_id FROM contexts GROUP BY 1)
+SELECT context_id, env_name, siblings_by_type, siblings_by_id FROM contexts JOIN t USING (account_type) JOIN a USING (account_id)"""
+
+ORACLES["n15_environments_by_account"] = f"""{with_tables("contexts")}
+SELECT CASE WHEN context_id % 11 = 0 THEN 'Unknown' ELSE account_id END AS account_id,
+  CASE WHEN version = 'vO' THEN 'NonProduction' ELSE account_type END AS account_type,
+  string_agg(DISTINCT env_name, ',' ORDER BY env_name) AS environments, count(*) AS n_rows
+FROM contexts WHERE version <> 'vP' GROUP BY 1, 2"""
+
+ORACLES["n16_register_codes"] = f"""WITH dim(app_name, app_code) AS (VALUES ('AppOne', 'tfv2'), ('Cdk', 'cdk'), ('Taken', 'n7'), ('Other', 'n11')),
+new_rows AS (SELECT s_name AS app_name, 'n' || s_nationkey AS app_code, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier)
+SELECT app_name, app_code, 'registered' AS outcome FROM dim
+UNION ALL SELECT app_name, app_code, CASE WHEN rn = 1 AND app_code NOT IN (SELECT app_code FROM dim) THEN 'registered' ELSE 'code already in use' END FROM new_rows"""
+
+# --- configuration -----------------------------------------------------------------------
+
+ORACLES["k1_containers"] = f"""{DOC_BASE}
+SELECT text_id AS doc_id, CAST(task_no AS INTEGER) AS task_no, task, CAST(pos AS INTEGER) AS pos, name, image, essential,
+  CAST(CASE ports_case WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 3 THEN 2 WHEN 2 THEN 1 WHEN 4 THEN 1 WHEN 9 THEN 1 END AS INTEGER) AS n_ports,
+  secret AS secrets FROM doc_containers"""
+ORACLES["k1_ports"] = f"""{DOC_BASE}
+SELECT text_id AS doc_id, CAST(pos AS INTEGER) AS pos, CAST(port_no AS INTEGER) AS port_no, CAST(container_port AS INTEGER) AS container_port,
+  CASE WHEN port_no IS NOT NULL THEN protocol END AS protocol
+FROM doc_containers LEFT JOIN port_rows USING (ports_case)"""
+ORACLES["k1_secrets"] = f"""{DOC_BASE}
+SELECT text_id AS doc_id, CAST(pos AS INTEGER) AS pos, CAST(CASE WHEN secret IS NOT NULL THEN 0 END AS INTEGER) AS secret_no, secret FROM doc_containers"""
+
+ENV_ROWS = values(
+    "env_rows", "env_case, var_no, var, value",
+    [
+        (0, None, None, None), (1, 0, "NIGHTLY_CRON", "0 * * * *"), (2, 0, "health_check_path", "status"), (2, 1, "PORT", "9090"),
+        (3, 0, "A", ""), (3, 1, "ENVIRONMENT", "Mine"), (3, 2, "ENVIRONMENT", "Last"), (3, 3, None, "x"),
+    ],
+)
+ORACLES["k1_environment"] = f"""{with_tables("container_rows", ENV_ROWS)}
+SELECT {RES}, name, CAST(var_no AS INTEGER) AS var_no, var, value FROM container_rows JOIN env_rows USING (env_case)"""
+
+_HEAD = "'Container ''' || name || ''' "
+ORACLES["k2_container_violations"] = f"""{DOC_BASE}, found AS (
+  SELECT rid, text_id, NULL AS task_no, NULL AS pos, 0 AS ord, 'task_required' AS rule, 'At least one TaskDefinition configuration is required' AS message FROM docs WHERE doc_case < 2
+  UNION ALL SELECT rid, text_id, 0, NULL, 0, 'task_name_required', 'TaskDefinitionName is required in the configuration' FROM docs WHERE doc_case = 2
+  UNION ALL SELECT rid, text_id, 0, pos, 1, 'name_required', 'Container name is required' FROM doc_containers WHERE name = ''
+  UNION ALL SELECT rid, text_id, 0, pos, 2, 'image_required', {_HEAD}requires an image' FROM doc_containers WHERE pos IS NOT NULL AND (image IS NULL OR image = '')
+  UNION ALL SELECT rid, text_id, 0, pos, 10 + port_no * 10, 'port_range', {_HEAD}has invalid port mapping: ContainerPort must be <= 65535'
+    FROM doc_containers JOIN port_rows USING (ports_case) WHERE container_port > 65535
+  UNION ALL SELECT rid, text_id, 0, pos, 11 + port_no * 10, 'protocol_required', {_HEAD}has invalid port mapping: Protocol is required'
+    FROM doc_containers JOIN port_rows USING (ports_case) WHERE protocol IS NULL
+  UNION ALL SELECT rid, text_id, 0, pos, 12 + port_no * 10, 'protocol_known', {_HEAD}has invalid port mapping: Protocol must be ''tcp'' or ''udp'', got ''' || protocol || ''''
+    FROM doc_containers JOIN port_rows USING (ports_case) WHERE protocol = 'Tcp')
+SELECT text_id AS doc_id, CAST(task_no AS INTEGER) AS task_no, CAST(pos AS INTEGER) AS pos, rule, message,
+  row_number() OVER (PARTITION BY rid ORDER BY pos, ord) = 1 AS first FROM found"""
+
+ORACLES["k3_duplicate_names"] = f"""{with_tables("container_rows")}
+SELECT doc_id, name, count(*) AS n FROM container_rows WHERE name <> '' GROUP BY doc_id, name HAVING count(*) > 1"""
+
+CONTEXTS = with_tables(
+    "contexts", *DIMS,
+    "c AS (SELECT contexts.*, env_prefix, app_code, region_code FROM contexts LEFT JOIN dim_env USING (env_name) LEFT JOIN dim_app USING (app_name) LEFT JOIN dim_region USING (region))",
+)
+ORACLES["k4_substitution"] = f"""{CONTEXTS}
+SELECT context_id, CASE WHEN context_id % 3 = 0 THEN 'plain $ENVIRONMENT {{x}}' ELSE env_name || '/' || account_type || '/' || version || '/' || region || '/'
+  || coalesce({APP_NAME.format(type="'svc'", specific="'web'")}, '') || '/' || coalesce({APP_NAME.format(type="'task'", specific="'web'")}, '') || '/'
+  || coalesce({LOG_NAME.format(type=f"'{SETTINGS.log_service}'", specific="'web'")}, '') || '/' || env_name
+  || '/${{TASK_ROLE_ARN}}/${{CERTIFICATE_ARN}}/${{TASK_ROLE_ARN}}' END AS text,
+  CASE WHEN context_id % 3 = 0 THEN '' ELSE 'TASK_ROLE_ARN,CERTIFICATE_ARN' END AS unresolved
+FROM c"""
+
+ORACLES["k5_tag_merge"] = f"""{with_tables("contexts")}, layers AS (
+  SELECT context_id, 0 AS layer, 'Environment' AS tag, 'OverrideValue' AS value FROM contexts WHERE context_id % 4 <> 0
+  UNION ALL SELECT context_id, 0, 'Owner', priority FROM contexts WHERE context_id % 4 <> 0
+  UNION ALL SELECT context_id, 0, 'StackType', 'mine' FROM contexts WHERE context_id % 4 <> 0
+  UNION ALL SELECT context_id, 1, 'Environment', env_name FROM contexts
+  UNION ALL SELECT context_id, 1, 'Application', app_name FROM contexts
+  UNION ALL SELECT context_id, 1, 'Version', CASE WHEN context_id % 3 = 0 THEN 'local' ELSE left('abcdef' || context_id || 'xyz', 8) END FROM contexts
+  UNION ALL SELECT context_id, 1, 'DeploymentId', 'd' || context_id FROM contexts
+  UNION ALL SELECT context_id, 1, 'DeployedAt', strftime(deployed_at, '%Y-%m-%d') FROM contexts
+  UNION ALL SELECT context_id, 2, 'StackType', 'EnvironmentBase' FROM contexts WHERE context_id % 2 = 0
+  UNION ALL SELECT context_id, 2, 'Shared', 'true' FROM contexts WHERE context_id % 2 = 0
+  UNION ALL SELECT context_id, 2, 'Purpose', 'SharedInfrastructure' FROM contexts WHERE context_id % 2 = 0
+  UNION ALL SELECT context_id, 2, 'AccountType', account_type FROM contexts WHERE context_id % 2 <> 0)
+SELECT context_id, tag, arg_max(value, layer) AS value FROM layers GROUP BY context_id, tag"""
+
+SETTING_ROWS = values("setting_rows", "env, key, value", rules.BASE_SETTINGS + rules.ENVIRONMENT_SETTINGS)
+ORACLES["k6_settings_merge"] = f"""{with_tables("contexts", SETTING_ROWS)}
+SELECT context_id, key, value FROM contexts JOIN setting_rows ON env = lower(env_name)"""
+ORACLES["k8_settings_to_env"] = f"""{with_tables("contexts", SETTING_ROWS)}
+SELECT context_id, 'APP_' || upper(key) AS variable, value FROM contexts JOIN setting_rows ON env = lower(env_name)"""
+
+_PLACEHOLDER = "(image IS NULL OR image = '' OR image = 'placeholder')"
+ORACLES["k7_container_environment"] = f"""WITH rows AS (SELECT l_orderkey, l_linenumber, name, image, env_case FROM ({TABLES['container_rows']})),
+contexts AS ({TABLES['contexts']})
+SELECT {RES}, name, image, 'ACCOUNT_TYPE=' || account_type || CASE WHEN {_PLACEHOLDER} THEN ';APP_NAME=' || app_name ELSE '' END
+  || ';APP_VERSION=1.0.0;AWS_ACCOUNT_ID=' || account_id || ';AWS_REGION=' || region
+  || CASE WHEN {_PLACEHOLDER} THEN ';DEPLOYMENT_TYPE=placeholder;ENVIRONMENT=' || env_name || ';HEALTH_CHECK_PATH=/health;MANAGED_BY=CDK;PORT=8080'
+     WHEN env_case = 1 THEN ';ENVIRONMENT=' || env_name || ';HEALTH_CHECK_PATH=/health;NIGHTLY_CRON=0 * * * *;PORT=8080'
+     WHEN env_case = 2 THEN ';ENVIRONMENT=' || env_name || ';HEALTH_CHECK_PATH=/health;PORT=9090;health_check_path=status'
+     WHEN env_case = 3 THEN ';ENVIRONMENT=Last;HEALTH_CHECK_PATH=/health;PORT=8080'
+     ELSE ';ENVIRONMENT=' || env_name || ';HEALTH_CHECK_PATH=/health;PORT=8080' END AS env_vars
+FROM rows JOIN contexts ON l_orderkey = context_id"""
+
+ORACLES["k9_override"] = f"""{with_tables("contexts")}
+SELECT context_id, env_name, env_name IN ('Staging', 'Production') AS enhanced_monitoring,
+  CAST(CASE env_name WHEN 'Development' THEN 1 WHEN 'Production' THEN 30 ELSE 7 END AS INTEGER) AS backup_days FROM contexts"""
+
+
+def _sizing(rows: list[tuple], join: str) -> str:
+    names = [n for n, _ in rules.SIZING_COLUMNS]
+    table = values("sizes", "size_env, " + ", ".join(names), rows)
+    cast = {"int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    columns = ", ".join(f"CAST({n} AS {cast[t]}) AS {n}" for n, t in rules.SIZING_COLUMNS)
+    return f"""{with_tables("contexts", table)}
+SELECT context_id, env_name, {columns}, CAST(task_cpu * 1024 AS INTEGER) AS cpu_units,
+  CAST(CASE WHEN high_availability THEN 3 WHEN NOT high_availability THEN 2 END AS INTEGER) AS zones, high_availability AS deletion_protection
+FROM contexts LEFT JOIN sizes ON size_env = {join}"""
+
+
+ORACLES["k10_sizing_policy"] = _sizing(rules.SIZING_POLICY, "CASE WHEN env_name = 'Sandbox' THEN 'Development' ELSE env_name END")
+ORACLES["k10_sizing_effective"] = _sizing(rules.SIZING_EFFECTIVE, "lower(env_name)")
+
+ORACLES["k11_security_defaults"] = f"""{with_tables("contexts")}
+SELECT context_id, account_type, account_type = 'Production' AS enable_waf,
+  CASE WHEN account_type = 'Production' THEN '' ELSE '10.0.0.0/8' END AS allowed_cidrs FROM contexts"""
+
+_RETENTION = """retained AS (
+  SELECT context_id, env_name, 'app_logs' AS subject, 'code' AS rule, CASE account_type WHEN 'Production' THEN 30 WHEN 'NonProduction' THEN 7 ELSE 3 END AS days FROM contexts
+  UNION ALL SELECT context_id, env_name, 'shared_logs', 'code', CASE WHEN account_type = 'Production' THEN 30 ELSE 7 END FROM contexts
+  UNION ALL SELECT context_id, env_name, 'backups', 'sizing', CASE env_name WHEN 'Production' THEN 30 WHEN 'Staging' THEN 7 ELSE 1 END FROM contexts
+  UNION ALL SELECT context_id, env_name, 'backups', 'override', CASE env_name WHEN 'Production' THEN 30 WHEN 'Development' THEN 1 ELSE 7 END FROM contexts
+  UNION ALL SELECT context_id, env_name, 'shared_database', 'code', 7 FROM contexts)"""
+ORACLES["k12_retention"] = f"""{with_tables("contexts", _RETENTION)}
+SELECT context_id, env_name, subject, rule, CAST(days AS INTEGER) AS days FROM retained"""
+ORACLES["k12_retention_conflicts"] = f"""{with_tables("contexts", _RETENTION, values("guide", "env_name, days", rules.DOCUMENTED_LOG_DAYS))}
+, everything AS (SELECT env_name, subject, days FROM retained
+  UNION ALL SELECT env_name, 'app_logs', guide.days FROM contexts JOIN guide USING (env_name))
+SELECT env_name, subject, string_agg(CAST(days AS VARCHAR), ',' ORDER BY days) AS days
+FROM (SELECT DISTINCT env_name, subject, days FROM everything) GROUP BY 1, 2 HAVING count(*) > 1"""
+
+CONTAINERS = with_tables("container_rows", PORT_ROWS)
+_PORT = "CASE ports_case WHEN 2 THEN 8080 WHEN 3 THEN 8080 WHEN 4 THEN 70000 END"
+ORACLES["k13_container_port"] = f"""{CONTAINERS} SELECT {RES}, name, CAST({_PORT} AS INTEGER) AS port FROM container_rows"""
+
+_LIST_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
+ORACLES["k14_primary_container"] = f"""{CONTAINERS},
+r AS (SELECT doc_id, name, {_PORT} AS port, row_number() OVER (PARTITION BY doc_id ORDER BY {_LIST_ORDER}) AS pos FROM container_rows),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN port IS NULL THEN 1 ELSE 0 END, pos) AS rn FROM r)
+SELECT doc_id, name AS primary_name, CAST(coalesce(port, 0) AS INTEGER) AS primary_port FROM best WHERE rn = 1"""
+
+ORACLES["k15_port_mappings"] = f"""{CONTAINERS}
+SELECT {RES}, name, name || '-' || container_port || '-' || lower(protocol) AS mapping_name, CAST(container_port AS INTEGER) AS container_port,
+  CAST(CASE WHEN ports_case = 4 THEN 0 WHEN container_port = 80 THEN NULL ELSE 8080 END AS INTEGER) AS host_port, lower(protocol) AS protocol,
+  CASE WHEN container_port = 80 THEN 'grpc' ELSE 'http' END AS app_protocol
+FROM container_rows JOIN port_rows USING (ports_case) WHERE protocol IS NOT NULL"""
+
+_BATCH = "(name IN ('Cron-Report', 'sync-worker') OR ports_case = 1 OR env_case = 1 OR coalesce(NOT essential, FALSE))"
+ORACLES["k16_batch_jobs"] = f"""{CONTAINERS} SELECT {RES}, name, {_BATCH} AS is_batch_job FROM container_rows"""
+
+_OFF = f"(health_off OR {_BATCH})"
+ORACLES["k17_health_checks"] = f"""{CONTAINERS}
+SELECT {RES}, name, CASE WHEN {_OFF} THEN 'none' WHEN health_case IN (1, 4) THEN 'custom' ELSE 'standard' END AS kind,
+  CASE WHEN {_OFF} THEN NULL WHEN health_case = 1 THEN 'CMD-SHELL curl http://localhost:8080/ready || exit 1' WHEN health_case = 4 THEN 'CMD true'
+    ELSE 'CMD-SHELL wget --no-verbose --tries=1 --spider http://localhost:8080'
+      || CASE WHEN health_case = 2 THEN '/off' WHEN health_case = 3 THEN '/health' WHEN env_case = 2 THEN '/status' ELSE '/health' END || ' || exit 1' END AS command,
+  CAST(CASE WHEN {_OFF} THEN NULL WHEN health_case = 1 THEN 10 ELSE 30 END AS INTEGER) AS interval,
+  CAST(CASE WHEN {_OFF} THEN NULL WHEN health_case = 4 THEN 7 ELSE 5 END AS INTEGER) AS timeout,
+  CAST(CASE WHEN {_OFF} THEN NULL WHEN health_case = 4 THEN 9 ELSE 3 END AS INTEGER) AS retries,
+  CAST(CASE WHEN {_OFF} THEN NULL WHEN health_case = 1 THEN 5 ELSE 60 END AS INTEGER) AS start_period
+FROM container_rows"""
+
+_SECRETS = with_tables(
+    "secret_requests",
+    "named AS (SELECT l_orderkey, variable, replace(lower(variable), '__', '-') AS secret_name, '/' || lower(env_name) || '/appone/' || replace(lower(variable), '__', '-') AS path FROM secret_requests)",
+)
+ORACLES["k18_secret_names"] = f"{_SECRETS} SELECT l_orderkey, variable, secret_name, path FROM named"
+ORACLES["k19_distinct_secrets"] = f"""{with_tables("container_rows")}
+SELECT DISTINCT doc_id, secret_var AS secret FROM container_rows UNION SELECT DISTINCT doc_id, 'test-secret' FROM container_rows"""
+ORACLES["k20_secret_plan"] = f"""{_SECRETS}, existing AS ({TABLES['existing_secrets']})
+SELECT path, CASE WHEN path IN (SELECT path FROM existing WHERE lookup_ok) THEN 'import' ELSE 'create' END AS action, min(variable) AS served_variable,
+  string_agg(DISTINCT variable, ',' ORDER BY variable) AS variables, count(*) AS n_requests, count(DISTINCT variable) > 1 AS is_collision
+FROM named GROUP BY path"""
+ORACLES["k21_identity_secrets"] = f"""{with_tables("container_rows")}
+SELECT {RES}, CASE secret_var WHEN 'Cognito__Domain' THEN 'cognito-domain' ELSE 'openaioptions-apikey' END AS secret_name,
+  secret_var = 'Cognito__Domain' AS is_identity FROM container_rows"""
+
+_URLS = []
+for _env, _prefix in [("production", ""), ("staging", "stg-"), ("development", "dev-"), ("integration", "int-"), (None, None)]:
+    _hosts = [] if _prefix is None else [f"https://{_prefix}{SETTINGS.web_host}"]
+    if _env not in ("production", "staging"):
+        _hosts += ["https://localhost:7015", "https://localhost:7243"]
+    _URLS += [(_env, "callback", i, h + "/signin-oidc") for i, h in enumerate(_hosts)]
+    _URLS += [(_env, "logout", i, u) for i, u in enumerate(u for h in _hosts for u in (h, h + "/logout"))]
+ORACLES["k22_redirect_urls"] = f"""{with_tables("contexts", values("urls", "env, purpose, pos, url", _URLS))}
+SELECT context_id, purpose, CAST(pos AS INTEGER) AS pos, url, TRUE AS is_https
+FROM contexts JOIN urls ON coalesce(env, 'sandbox') = lower(env_name)"""
+
+# --- requirements ------------------------------------------------------------------------
+
+_ROLE_RULES = [
+    ("EcsTask", "ecs-task", "CanAssumeEcsTasks,HasS3Access", None),
+    ("EcsExecution", "ecs-exec", "CanAssumeEcsTasks,HasEcsExecutionPolicy", None),
+    ("S3Access", "s3-access", "HasS3Access", "Production"),
+]
+REQUIRED = [
+    "contexts", *DIMS, values("role_rules", "purpose, text, rules, only_type", _ROLE_RULES),
+    f"""needed AS (SELECT c.*, r.*, {APP_NAME.format(type="'role'", specific="r.text")} AS expected_name
+  FROM contexts c LEFT JOIN dim_env USING (env_name) LEFT JOIN dim_app USING (app_name) LEFT JOIN dim_region USING (region)
+  JOIN role_rules r ON r.only_type IS NULL OR r.only_type = c.account_type)""",
+]
+_ARN = "'arn:aws:iam::' || account_id || ':role/' || expected_name"
+_TAGS = "CASE WHEN purpose = 'S3Access' THEN '' ELSE 'Application=' || app_name || ';Environment=' || env_name || ';Purpose=' || purpose END"
+ORACLES["q1_requirements"] = f"""{with_tables(*REQUIRED)}
+SELECT context_id, 'IamRole' AS resource_type, purpose, expected_name, {_ARN} AS expected_arn, rules, {_TAGS} AS tags FROM needed"""
+
+ROLES = """roles AS (SELECT account_id AS role_account, expected_name AS role_name, max(CASE WHEN app_name = 'AppOne' THEN 1 ELSE 0 END) AS trusted,
+    max(CASE WHEN region <> 'us-west-1' THEN 1 ELSE 0 END) AS has_policy
+  FROM needed WHERE version <> 'vP' AND expected_name IS NOT NULL AND NOT (region = 'us-west-2' AND purpose = 'S3Access')
+    AND NOT (region = 'us-east-1' AND account_id = '100000000000' AND purpose = 'EcsTask')
+  GROUP BY 1, 2)"""
+CHECKED = """checked AS (SELECT n.*, role_name IS NOT NULL AS present,
+    CASE WHEN expected_name IS NULL THEN 'Error validating resource: Unknown environment: ' || env_name
+      WHEN role_name IS NULL THEN 'IAM role ''' || expected_name || ''' does not exist'
+      ELSE concat_ws(',', CASE WHEN purpose <> 'S3Access' AND trusted = 0 THEN 'Role cannot assume ECS tasks' END,
+                          CASE WHEN purpose = 'EcsExecution' AND has_policy = 0 THEN 'Role missing ECS execution policy' END) END AS errors,
+    CASE WHEN role_name IS NOT NULL AND purpose <> 'EcsExecution' THEN 'S3 access validation not fully implemented' ELSE '' END AS warnings
+  FROM needed n LEFT JOIN roles ON role_account = account_id AND role_name = expected_name)"""
+CHECK = with_tables(*REQUIRED, ROLES, CHECKED)
+ORACLES["q2_role_checks"] = f"""{CHECK}
+SELECT context_id, purpose, expected_name, present AS exists, expected_name IS NOT NULL AS follows_name, present AND errors = '' AS has_permissions,
+  errors, warnings, present AND errors = '' AS is_valid FROM checked"""
+ORACLES["q3_summary"] = f"""{CHECK}
+SELECT env_name, account_id, count(*) AS total, count(*) FILTER (WHERE present AND errors = '') AS valid,
+  count(*) FILTER (WHERE NOT (present AND errors = '')) AS invalid, count(*) FILTER (WHERE NOT present) AS missing,
+  count(*) FILTER (WHERE expected_name IS NULL) AS bad_names, bool_and(present AND errors = '') AS all_valid
+FROM checked GROUP BY env_name, account_id"""
+_MESSAGES = """messages AS (
+  SELECT env_name, account_id, context_id, purpose, 'error' AS severity, unnest(string_split(errors, ',')) AS text FROM checked WHERE errors <> ''
+  UNION ALL SELECT env_name, account_id, context_id, purpose, 'warning', warnings FROM checked WHERE warnings <> '')"""
+ORACLES["q3_messages"] = f"""{CHECK}, {_MESSAGES}
+SELECT env_name, account_id, severity, 'IamRole:' || purpose || ': ' || text AS message, count(*) AS n FROM messages GROUP BY 1, 2, 3, 4"""
+ORACLES["q4_all_valid"] = f"{CHECK} SELECT coalesce(bool_and(present AND errors = ''), TRUE) AS all_valid FROM checked"
+ORACLES["q4_errors"] = f"""{CHECK}, {_MESSAGES} SELECT context_id, purpose, text AS error FROM messages WHERE severity = 'error'"""
+ORACLES["q5_requirement_report"] = f"""{with_tables(*REQUIRED)},
+lines AS (SELECT 'IamRole' AS resource_type, expected_name, {_ARN} AS expected_arn, rules, {_TAGS} AS tags, count(*) AS n_contexts
+  FROM needed WHERE expected_name IS NOT NULL GROUP BY ALL)
+SELECT *, count(*) OVER (PARTITION BY resource_type) AS section_lines, CAST(sum(n_contexts) OVER (PARTITION BY resource_type) AS BIGINT) AS section_total FROM lines"""
+ORACLES["q6_last_results"] = f"""{with_tables("layers")}
+SELECT scope, 'IamRole:' || key AS resource, arg_max(value > 20, priority) AS is_valid, max(priority) AS sequence FROM layers GROUP BY 1, 2"""
+ORACLES["q7_tag_violations"] = f"""{with_tables("tag_rows")}
+SELECT resource_id, 'Environment' AS tag, 'Development' AS expected, environment AS actual, CASE WHEN environment IS NULL THEN 'missing' ELSE 'wrong' END AS problem
+FROM tag_rows WHERE environment IS DISTINCT FROM 'Development'
+UNION ALL SELECT resource_id, 'Application', 'BUILDING', application, 'wrong' FROM tag_rows WHERE scope = 'secret' AND application <> 'BUILDING'
+UNION ALL SELECT resource_id, 'ManagedBy', 'CDK', NULL, 'missing' FROM tag_rows WHERE scope = 'role'"""
+ORACLES["q8_endpoints"] = f"""{with_tables("endpoints", "services")}
+SELECT service, service_name, count(pos) AS n_endpoints, coalesce(arg_min(state, pos), 'none') AS status
+FROM services LEFT JOIN endpoints USING (service) GROUP BY service, service_name"""
+ORACLES["q9_existence"] = f"""{with_tables("tag_rows", "order_keys")}
+SELECT t.resource_id, count(o.resource_id) > 0 AS present, CASE WHEN count(o.resource_id) > 0 THEN coalesce(max(kms_key_id), 'default') END AS kms_key_id
+FROM tag_rows t LEFT JOIN order_keys o ON o.resource_id = t.resource_id GROUP BY t.resource_id"""
+ORACLES["q10_drift"] = f"""{with_tables("expected_state", "actual_state")}, both_sides AS (
+  SELECT coalesce(e.id, a.id) AS id, e.id AS eid, a.id AS aid, e.status AS es, a.status AS ast, e.tier AS et, a.tier AS att,
+    CAST(e.price AS VARCHAR) AS ep, CAST(a.price AS VARCHAR) AS ap FROM expected_state e FULL JOIN actual_state a ON e.id = a.id)
+SELECT id, 'removed' AS change, NULL AS field, NULL AS old_value, NULL AS new_value FROM both_sides WHERE aid IS NULL
+UNION ALL SELECT id, 'added', NULL, NULL, NULL FROM both_sides WHERE eid IS NULL
+UNION ALL SELECT id, 'changed', 'status', es, ast FROM both_sides WHERE eid = aid AND es IS DISTINCT FROM ast
+UNION ALL SELECT id, 'changed', 'tier', et, att FROM both_sides WHERE eid = aid AND et IS DISTINCT FROM att
+UNION ALL SELECT id, 'changed', 'price', ep, ap FROM both_sides WHERE eid = aid AND ep IS DISTINCT FROM ap"""
+ORACLES["q11_rule_differences"] = f"""{with_tables("expected_state", "actual_state")},
+gone AS (SELECT status, tier FROM expected_state EXCEPT ALL SELECT status, tier FROM actual_state),
+extra AS (SELECT status, tier FROM actual_state EXCEPT ALL SELECT status, tier FROM expected_state)
+SELECT status, tier, 'missing' AS side, count(*) AS n FROM gone GROUP BY 1, 2
+UNION ALL SELECT status, tier, 'unexpected', count(*) FROM extra GROUP BY 1, 2"""
+
+# --- topology ----------------------------------------------------------------------------
+
+ORACLES["t1_unresolved_imports"] = f"""{with_tables("imports", "exports")}
+SELECT name, stack_id FROM imports WHERE name NOT IN (SELECT name FROM exports)"""
+_FULL = "CASE scope WHEN 'app' THEN env_name || '-' || app_name || '-' || suffix ELSE env_name || '-' || suffix END"
+ORACLES["t1_expected_imports"] = f"""{with_tables("contexts", values("ex", "stack, scope, suffix", rules.STACK_EXPORTS), values("im", "stack, scope, suffix", rules.STACK_IMPORTS))},
+pairs AS (SELECT DISTINCT env_name, app_name FROM contexts)
+SELECT env_name, app_name, stack, {_FULL} AS import_name FROM pairs, im
+WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.scope = im.scope AND ex.suffix = im.suffix)"""
+ORACLES["t2_duplicate_exports"] = f"""{with_tables("exports")} SELECT account_no, name, count(*) AS n FROM exports GROUP BY 1, 2 HAVING count(*) > 1"""
+ORACLES["t3_deploy_levels"] = f"""WITH RECURSIVE stack_deps AS ({TABLES['stack_deps']}), nodes AS ({TABLES['stack_nodes']}),
+walk AS (SELECT node, 0 AS level FROM nodes WHERE node NOT IN (SELECT node FROM stack_deps)
+  UNION ALL SELECT d.node, w.level + 1 FROM walk w JOIN stack_deps d ON d.depends_on = w.node),
+deepest AS (SELECT node, max(level) AS level FROM walk GROUP BY node)
+SELECT n.node, CAST(level AS INTEGER) AS level, CAST(n.declared_order AS INTEGER) AS declared_order, level IS NULL AS in_cycle,
+  coalesce(n.declared_order <= p.declared_order, FALSE) AS order_violation
+FROM nodes n LEFT JOIN deepest USING (node) LEFT JOIN stack_deps d ON d.node = n.node LEFT JOIN nodes p ON p.node = d.depends_on"""
+ORACLES["t4_undeclared_dependencies"] = f"""{with_tables("imports", "exports", "declared_deps")},
+owners AS (SELECT name, min(stack_id) AS depends_on FROM exports GROUP BY name)
+SELECT i.stack_id, depends_on FROM imports i JOIN owners USING (name) WHERE i.stack_id <> depends_on
+EXCEPT SELECT stack_id, depends_on FROM declared_deps"""
+_ITEMS = values("items", "case_no, pos, item, n", [(0, 0, None, 3), (0, 1, "sub-x", 3), (0, 2, "sub-y", 3), (1, 0, None, 2), (1, 1, "sub-x", 2), (2, 0, "sub-only", 1)])
+ORACLES["t5_list_imports"] = f"""WITH {_ITEMS}
+SELECT s_suppkey AS export_id, CAST(n AS INTEGER) AS n_items, n = 3 AS size_ok, CAST(pos AS INTEGER) AS pos, coalesce(item, 'sub-' || s_suppkey) AS item
+FROM supplier JOIN items ON s_suppkey % 3 = case_no"""
+ORACLES["t5_list_exports"] = f"{with_tables('list_exports')} SELECT export_id, joined FROM list_exports"
+
+# --- policy ------------------------------------------------------------------------------
+
+_FLAT = [
+    (c, no, sid, effect, a, r)
+    for c, no, sid, effect, actions, resources, _, _ in _POLICY_STATEMENTS if sid
+    for a in actions.split(",") for r in resources.split(",")
+]
+ORACLES["p1_statements"] = f"""WITH {values("p", "case_no, statement_no, sid, effect, action, resource", _FLAT)}
+SELECT o_orderkey AS policy_id, CAST(statement_no AS INTEGER) AS statement_no, sid, effect, action, resource FROM orders JOIN p ON o_orderkey % 5 = case_no"""
+ORACLES["p2_policy_checks"] = """SELECT o_orderkey AS policy_id, o_orderkey % 5 IN (1, 2) AS has_action_0, o_orderkey % 5 IN (1, 2) AS has_action_1,
+  o_orderkey % 5 IN (1, 2) AS has_path, o_orderkey % 5 = 2 AS has_deny FROM orders"""
+ORACLES["p2_policy_checks_strict"] = """SELECT o_orderkey AS policy_id, o_orderkey % 5 IN (1, 2) AS has_action_0, o_orderkey % 5 = 1 AS has_action_1,
+  o_orderkey % 5 IN (1, 2) AS has_path, o_orderkey % 5 = 2 AS has_deny FROM orders"""
+
+
+def _glob_like(pattern: str) -> str:
+    return pattern.replace("_", "\\_").replace("*", "%").replace("?", "_")
+
+
+_ST_FLAT = [
+    (p, sid, effect, _glob_like(a.lower()), _glob_like(r), c[1] if c else None, i)
+    for i, (p, sid, effect, actions, resources, c) in enumerate(SAMPLE_STATEMENTS) for a in actions for r in resources
+]
+_ST = values("st", "principal, sid, effect, action_like, resource_like, cond_key, no", _ST_FLAT)
+_CONDS = values(
+    "conds", "no, cond_op, value_like",
+    [(i, c[0], _glob_like(v)) for i, (_, _, _, _, _, c) in enumerate(SAMPLE_STATEMENTS) if c for v in c[2]],
+)
+_DECIDE = """decided AS (SELECT request_id, count(*) FILTER (WHERE effect = 'Deny') AS denies, count(*) FILTER (WHERE effect = 'Allow') AS allows,
+  min(sid) FILTER (WHERE effect = 'Deny') AS deny_sid, min(sid) FILTER (WHERE effect = 'Allow') AS allow_sid FROM hits GROUP BY request_id)"""
+_DECISION = """CASE WHEN denies > 0 THEN 'explicit_deny' WHEN allows > 0 THEN 'allow' ELSE 'implicit_deny' END AS decision,
+  CASE WHEN denies > 0 THEN deny_sid ELSE allow_sid END AS matched_sid"""
+_HIT = "r.principal = st.principal AND lower(r.action) LIKE action_like ESCAPE '\\' AND r.resource LIKE resource_like ESCAPE '\\'"
+ORACLES["p3_evaluate"] = f"""{with_tables("access_requests", _ST)}, hits AS (SELECT request_id, effect, sid FROM access_requests r JOIN st ON {_HIT}), {_DECIDE}
+SELECT r.request_id, principal, action, resource, {_DECISION} FROM access_requests r LEFT JOIN decided USING (request_id)"""
+ORACLES["p4_conditions"] = f"""{with_tables("access_requests", _ST, _CONDS)}, hits AS (SELECT request_id, effect, sid FROM access_requests r JOIN st ON {_HIT}
+  WHERE cond_key IS NULL OR EXISTS (SELECT 1 FROM conds WHERE conds.no = st.no
+    AND CASE cond_key WHEN 'kms:ViaService' THEN via_service ELSE resource END LIKE value_like ESCAPE '\\')), {_DECIDE}
+SELECT r.request_id, {_DECISION} FROM access_requests r LEFT JOIN decided USING (request_id)"""
+
+_READ = "secretsmanager:GetSecretValue,secretsmanager:DescribeSecret"
+_OTHERS = "concat_ws(';', " + ", ".join(f"CASE WHEN lower(env_name) <> '{e[0].lower()}' THEN '/{e[0].lower()}/*' END" for e in rules.ENVIRONMENTS) + ")"
+ORACLES["p5_isolation_rules"] = f"""{with_tables("contexts")}, b AS (SELECT *, 'arn:aws:secretsmanager:' || region || ':' || account_id || ':secret:/' || lower(env_name) AS base FROM contexts)
+SELECT context_id, 'AllowSecretsManagerAccess' AS sid, 'Allow' AS effect, '{_READ}' AS actions, base || '/' || lower(app_name) || '/*,' || base || '/shared/*' AS resources, '' AS conditions FROM b
+UNION ALL SELECT context_id, 'AllowKMSDecrypt', 'Allow', 'kms:Decrypt,kms:DescribeKey,kms:GenerateDataKey', '*', 'StringEquals|kms:ViaService|secretsmanager.' || region || '.amazonaws.com' FROM b
+UNION ALL SELECT context_id, 'DenyCrossEnvironmentSecrets', 'Deny', '{_READ}', '*', 'ForAnyValue:StringLike|secretsmanager:SecretId|' || {_OTHERS} FROM b"""
+
+ORACLES["p6_trust_subjects"] = f"""{with_tables("ci_subjects", values("trust", "role, aud, pattern, subject_like", [(r, a, p, _glob_like(p)) for r, a, p in SAMPLE_TRUST]))}
+SELECT event_id, audience, subject, role, pattern FROM ci_subjects JOIN trust ON audience = aud AND subject LIKE subject_like ESCAPE '\\'"""
+
+# --- traffic -----------------------------------------------------------------------------
+
+ORACLES["r1_routes"] = f"""{with_tables("http_requests", values("rt", "rule_port, priority, path_like, target", [(p, n, _glob_like(g), t) for p, n, g, t in SAMPLE_ROUTES]))},
+hits AS (SELECT page_id, arg_min(target, priority) AS target FROM http_requests JOIN rt ON port = rule_port AND path LIKE path_like ESCAPE '\\' GROUP BY page_id)
+SELECT page_id, path, CAST(port AS INTEGER) AS port, coalesce(target, 'app') AS target FROM http_requests LEFT JOIN hits USING (page_id)"""
+ORACLES["r2_health_states"] = f"""{with_tables("probes")},
+flips AS (SELECT *, CASE WHEN min(CAST(ok AS INTEGER)) OVER two = 1 AND count(*) OVER two = 2 THEN 'healthy'
+    WHEN max(CAST(ok AS INTEGER)) OVER three = 0 AND count(*) OVER three = 3 THEN 'unhealthy' END AS flip
+  FROM probes WINDOW two AS (PARTITION BY target ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW),
+    three AS (PARTITION BY target ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+SELECT target, event_id, ok, coalesce(last_value(flip IGNORE NULLS) OVER (PARTITION BY target ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'unknown') AS state
+FROM flips"""
+ORACLES["r3_lifecycle"] = f"""{with_tables("objects")}
+SELECT {RES}, created, class, CASE WHEN class = 'logs' AND DATE '{AS_OF}' - created >= 30 THEN 'expired'
+  WHEN class = 'documents' AND DATE '{AS_OF}' - created >= 90 THEN 'archive' WHEN class = 'documents' AND DATE '{AS_OF}' - created >= 30 THEN 'infrequent_access'
+  ELSE 'standard' END AS stage FROM objects WHERE created <= DATE '{AS_OF}'"""
+ORACLES["r4_dead_letters"] = f"""{with_tables("messages", values("limits", "queue, most", [("view", 1), ("click", 2), ("error", 1)]))}
+SELECT queue, message_id, count(*) AS receives, CAST(max(ts) AS DATE) + 14 AS expires_on, CAST(max(ts) AS DATE) + 14 <= DATE '2024-02-01' AS expired
+FROM messages JOIN limits USING (queue) GROUP BY queue, message_id, most HAVING count(*) > most"""
+ORACLES["r5_rotation_due"] = f"""{with_tables("objects")}
+SELECT l_orderkey, CAST(DATE '{AS_OF}' - max(created) AS INTEGER) AS age_days FROM objects WHERE created <= DATE '{AS_OF}'
+GROUP BY l_orderkey HAVING DATE '{AS_OF}' - max(created) > 30"""
+ORACLES["st1_drift_windows"] = f"""{with_tables("drift_events")}, w AS (SELECT env_id, time_bucket(INTERVAL 4 HOURS, ts, TIMESTAMP '1970-01-01') AS s FROM drift_events WHERE is_drift)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 4 HOURS, '%Y-%m-%d %H:%M:%S') AS window_end, env_id, count(*) AS n FROM w GROUP BY s, env_id"""

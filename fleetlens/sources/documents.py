@@ -136,9 +136,10 @@ def missing_service_configs(environments: DataFrame, configs: DataFrame) -> Data
 
 def _strings(source: str, field: str) -> Column:
     """A string or an array of strings as an array; null when the field is absent."""
+    one = f"try_variant_get({source}, '$.{field}', 'string')"
     return F.expr(
         f"coalesce(try_variant_get({source}, '$.{field}', 'array<string>'), "
-        f"filter(array(try_variant_get({source}, '$.{field}', 'string')), x -> x IS NOT NULL))"
+        f"CASE WHEN {one} IS NOT NULL THEN array({one}) END)"
     )
 
 
