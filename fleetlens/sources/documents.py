@@ -41,26 +41,36 @@ MANIFEST_SCHEMA = (
     "exports:array<string>,imports:array<string>>>>>"
 )
 
-_STRING = r'("(?:[^"\\]|\\.)*+")'
+_STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")'
 
 
-def relaxed_json(text: Column) -> Column:
-    """Drop comments and trailing commas; strings are matched first, so they stay as they are."""
-    no_comments = F.regexp_replace(text, _STRING + r"|//[^\r\n]*|/\*(?s:.*?)\*/", "$1")
-    return F.regexp_replace(no_comments, _STRING + r"|,(?=\s*[\]}])", "$1")
+def relaxed_json(df: DataFrame, text: str, keys: list[str] | None = None) -> DataFrame:
+    """Make hand-written JSON in ``text`` readable.
 
-
-def spelled_keys(text: Column, keys: list[str]) -> Column:
-    """Give known keys their exact spelling; binding is case-sensitive otherwise.
-
-    One pass finds the texts that spell any key differently; only those are rewritten.
+    Comments and trailing commas are dropped; strings are matched first, so they stay as
+    they are. Keys in ``keys`` get their exact spelling, as binding is case-sensitive.
+    Texts that need none of it are told apart by one search per step. Each step is a
+    projection of its own, so that no rewritten text is computed twice.
     """
+    c = F.col(text)
+    df = df.withColumn(
+        text,
+        F.when(
+            F.contains(c, F.lit("//")) | F.contains(c, F.lit("/*")),
+            F.regexp_replace(c, _STRING + r"|//[^\r\n]*|/\*(?s:.*?)\*/", "$1"),
+        ).otherwise(c),
+    ).withColumn(
+        text,
+        F.when(c.rlike(r",\s*[\]}]"), F.regexp_replace(c, _STRING + r"|,(?=\s*[\]}])", "$1")).otherwise(c),
+    )
+    if not keys:
+        return df
     either = "|".join(keys)
-    odd = text.rlike(rf'(?<!\\)"(?!(?:{either})")(?i:{either})"(?=\s*:)')
-    spelled = text
+    odd = c.rlike(rf'"(?<!\\")(?=[A-Za-z]++"\s*:)(?!(?:{either})")(?i:{either})"')
+    spelled = c
     for key in keys:
-        spelled = F.regexp_replace(spelled, rf'(?<!\\)"(?i:{key})"(?=\s*:)', f'"{key}"')
-    return F.when(odd, spelled).otherwise(text)
+        spelled = F.regexp_replace(spelled, rf'"(?<!\\")(?i:{key})"(?=\s*:)', f'"{key}"')
+    return df.withColumn(text, F.when(odd, spelled).otherwise(c))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -80,8 +90,9 @@ def parse_environments(df: DataFrame, text: str = "text") -> DataFrame:
     parse falls back to the one the environment's name implies.
     """
     kept = [c for c in df.columns if c != text]
-    parsed = df.select(
-        *kept, F.from_json(spelled_keys(relaxed_json(F.col(text)), ["Environments", "AccountId", "AccountType", "Region", "Tags"]), REGISTRY_SCHEMA).alias("_d")
+    keys = ["Environments", "AccountId", "AccountType", "Region", "Tags"]
+    parsed = relaxed_json(df, text, keys).select(
+        *kept, F.from_json(text, REGISTRY_SCHEMA).alias("_d")
     ).select(*kept, F.explode_outer("_d.Environments").alias("env_name", "_e"))
     implied = rules.environments(df.sparkSession).select("env_name", F.col("account_type").alias("_implied"))
     given = F.col("_e.AccountType")
@@ -108,9 +119,7 @@ def read_environments(spark: SparkSession, path: str) -> DataFrame:
 def parse_service_configs(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``doc`` and ``error``; the text column is dropped."""
     kept = [c for c in df.columns if c != text]
-    parsed = df.select(
-        *kept, F.from_json(spelled_keys(relaxed_json(F.col(text)), SERVICE_KEYS), SERVICE_SCHEMA).alias("doc")
-    )
+    parsed = relaxed_json(df, text, SERVICE_KEYS).select(*kept, F.from_json(text, SERVICE_SCHEMA).alias("doc"))
     return parsed.withColumn(
         "error", F.when(F.col("doc.ecsConfiguration").isNull(), "Invalid ECS configuration format")
     )
@@ -193,8 +202,8 @@ def read_policies(spark: SparkSession, path: str) -> DataFrame:
 def parse_manifest(df: DataFrame, text: str = "text") -> dict[str, DataFrame]:
     """``nodes``, ``deps``, ``exports`` and ``imports`` of each manifest."""
     kept = [c for c in df.columns if c != text]
-    stacks = df.select(
-        *kept, F.explode_outer(F.from_json(relaxed_json(F.col(text)), MANIFEST_SCHEMA)["stackConfiguration"]["stacks"]).alias("_s")
+    stacks = relaxed_json(df, text).select(
+        *kept, F.explode_outer(F.from_json(text, MANIFEST_SCHEMA)["stackConfiguration"]["stacks"]).alias("_s")
     )
 
     def edges(field: str, name: str) -> DataFrame:
