@@ -20,7 +20,7 @@ def merge_layers(layers: DataFrame) -> DataFrame:
     Keys are compared without case. The value of the strongest layer is kept even if null.
     """
     return layers.groupBy("scope", F.lower("key").alias("key")).agg(
-        F.max_by(F.struct("value"), "priority")["value"].alias("value")
+        F.max_by("value", "priority").alias("value")
     )
 
 

@@ -142,31 +142,33 @@ def register_codes(dim: DataFrame, new_rows: DataFrame, key: str, code: str, ord
     """
     columns = dim.columns
 
-    def reasons(rows: DataFrame, taken: DataFrame) -> DataFrame:
-        keys = taken.groupBy(key).agg(F.first(code).alias("_by_key"))
-        codes = taken.groupBy(code).agg(F.first(key).alias("_by_code"))
-        return rows.join(keys, key, "left").join(codes, code, "left").withColumn(
-            "reason",
-            F.when(F.col("_by_key").isNotNull(), F.lit("key already registered")).when(
-                F.col("_by_code").isNotNull(), F.lit("code already in use")
-            ),
-        ).drop("_by_key", "_by_code")
+    def still_free(rows: DataFrame, taken: DataFrame) -> DataFrame:
+        return rows.join(taken.select(key).distinct(), key, "left_anti").join(
+            taken.select(code).distinct(), code, "left_anti"
+        )
 
-    state = checkpointed(reasons(new_rows, dim))
-    rejected = state.filter("reason IS NOT NULL")
-    registered = dim
-    left = state.filter("reason IS NULL").drop("reason")
+    accepted = None
+    left = checkpointed(still_free(new_rows, dim))
     while not left.isEmpty():
         first_key = left.groupBy(key).agg(F.min(order).alias("_k"))
         first_code = left.groupBy(code).agg(F.min(order).alias("_c"))
-        marked = checkpointed(
+        firsts = checkpointed(
             left.join(first_key, key).join(first_code, code)
-            .withColumn("_accept", (F.col(order) == F.col("_k")) & (F.col(order) == F.col("_c")))
+            .filter((F.col(order) == F.col("_k")) & (F.col(order) == F.col("_c")))
             .drop("_k", "_c")
         )
-        accepted = marked.filter("_accept").drop("_accept")
-        registered = registered.unionByName(accepted.select(*columns))
-        rest = checkpointed(reasons(marked.filter("NOT _accept").drop("_accept"), accepted))
-        rejected = rejected.unionByName(rest.filter("reason IS NOT NULL"))
-        left = rest.filter("reason IS NULL").drop("reason")
+        accepted = firsts if accepted is None else accepted.unionByName(firsts)
+        left = checkpointed(still_free(left, firsts))
+    old = dim.select(key, F.lit(None).cast(new_rows.schema[order].dataType).alias("_since"))
+    if accepted is None:
+        registered, keys, rest = dim, old, new_rows
+    else:
+        registered = dim.unionByName(accepted.select(*columns))
+        keys = old.unionByName(accepted.select(key, F.col(order).alias("_since")))
+        rest = new_rows.join(accepted.select(order), order, "left_anti")
+    by_key = F.col("_known") & F.coalesce(F.col("_since") < F.col(order), F.lit(True))
+    rejected = rest.join(keys.withColumn("_known", F.lit(True)), key, "left").select(
+        *new_rows.columns,
+        F.when(by_key, "key already registered").otherwise("code already in use").alias("reason"),
+    )
     return registered, rejected

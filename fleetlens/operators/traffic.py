@@ -49,63 +49,60 @@ def health_states(
     """Add ``state`` to probes (target, ts, event_id, ok): it flips after enough equal results.
 
     The state is ``unknown`` until the first flip. One target may hold any share of the
-    probes, so a target is cut into time slices that are worked on apart: within a slice
-    runs are counted, one summary row per slice carries the last run and the last state
-    over, and each row then combines its own run with what was carried in. Only summaries
-    are ever ordered over a whole target.
+    probes, so a target is cut into time slices that are worked on apart. A slice is summed
+    up in one row: its first run, its last run and the last flip it reaches by itself. Only
+    these rows are ordered over a whole target, to carry the open run and the state into
+    the next slice. Each probe then adds what was carried in to its own run.
     """
     keys = ["target", "_slice"]
     by_time = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    sliced = probes.withColumn("_slice", F.window("ts", slice_width)["start"])
+    so_far = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    changed = F.coalesce(F.col("ok") != F.col("_before"), F.lit(False))
+
+    def flip(ok: Column, length: Column) -> Column:
+        return F.when(ok & (length >= healthy_n), "healthy").when(~ok & (length >= unhealthy_n), "unhealthy")
+
     runs = (
-        sliced.withColumn("_change", (F.col("ok") != F.lag("ok").over(by_time)).cast("int"))
-        .withColumn("_run", F.sum(F.coalesce("_change", F.lit(0))).over(by_time))
-        .withColumn("_length", F.row_number().over(Window.partitionBy(*keys, "_run").orderBy("ts", "event_id")))
+        probes.withColumn("_slice", F.window("ts", slice_width)["start"])
+        .withColumns({"_before": F.lag("ok").over(by_time), "_row": F.row_number().over(by_time)})
+        .withColumn("_start", F.max(F.when(changed, F.col("_row"))).over(so_far))
+        .withColumn("_length", F.col("_row") - F.coalesce("_start", F.lit(1)) + 1)
+        .drop("_before")
     )
-    at = F.struct("ts", "event_id")
-    ends = runs.groupBy(*keys).agg(
-        F.min_by("ok", at).alias("_first_ok"),
-        F.max_by(F.struct("ok", "_run", F.col("_length").cast("bigint").alias("length")), at).alias("_last"),
+    leading = F.col("_start").isNull()
+    own_flip = flip(F.col("ok"), F.col("_length"))
+    summary = runs.groupBy(*keys).agg(
+        F.max_by("ok", F.when(leading, F.col("_row"))).alias("first_ok"),
+        F.max(F.when(leading, F.col("_length"))).alias("first_length"),
+        F.max_by("ok", "_row").alias("last_ok"),
+        F.max_by("_length", "_row").cast("bigint").alias("last_length"),
+        F.max_by(own_flip == "healthy", F.when(own_flip.isNotNull(), F.col("_row"))).alias("own_healthy"),
+        F.bool_and(leading).alias("uniform"),
     )
     slices = Window.partitionBy("target").orderBy("_slice")
-    joined_runs = (
-        ends.withColumn(
-            "_breaks",
-            F.coalesce((F.col("_last._run") > 0) | (F.col("_first_ok") != F.lag("_last.ok").over(slices)), F.lit(True)).cast("int"),
-        )
-        .withColumn("_island", F.sum("_breaks").over(slices))
-        .withColumn("_total", F.sum("_last.length").over(Window.partitionBy("target", "_island").orderBy("_slice")))
-        .select(
-            *keys,
-            F.lag("_last.ok").over(slices).alias("_in_ok"),
-            F.lag("_total").over(slices).alias("_in_length"),
-        )
+    open_runs = (
+        summary.withColumn("_new", ~F.col("uniform") | F.coalesce(F.col("first_ok") != F.lag("last_ok").over(slices), F.lit(True)))
+        .withColumn("_island", F.count_if("_new").over(slices))
+        .withColumn("_open", F.sum("last_length").over(Window.partitionBy("target", "_island").orderBy("_slice")))
+        .withColumns({"_in_ok": F.lag("last_ok").over(slices), "_in_length": F.lag("_open").over(slices)})
     )
-    streak = F.col("_length") + F.when(
-        (F.col("_run") == 0) & (F.col("ok") == F.col("_in_ok")), F.col("_in_length")
-    ).otherwise(0)
-    flips = (
-        runs.join(joined_runs, keys)
-        .withColumn("_streak", streak)
-        .withColumn(
-            "_flip",
-            F.when(F.col("ok") & (F.col("_streak") >= healthy_n), "healthy").when(
-                ~F.col("ok") & (F.col("_streak") >= unhealthy_n), "unhealthy"
-            ),
-        )
-    )
-    carried = (
-        flips.groupBy(*keys)
-        .agg(F.max_by("_flip", F.when(F.col("_flip").isNotNull(), at)).alias("_out"))
-        .withColumn(
-            "_in_state",
-            F.last("_out", True).over(slices.rowsBetween(Window.unboundedPreceding, -1)),
-        )
-        .select(*keys, "_in_state")
+
+    def carried(ok: Column) -> Column:
+        return F.when(ok == F.col("_in_ok"), F.col("_in_length")).otherwise(0)
+
+    own = F.when(F.col("own_healthy"), "healthy").when(~F.col("own_healthy"), "unhealthy")
+    first = flip(F.col("first_ok"), F.col("first_length") + carried(F.col("first_ok")))
+    carry_in = open_runs.withColumn("_out", F.coalesce(own, first)).select(
+        *keys,
+        "_in_ok",
+        "_in_length",
+        F.last("_out", True).over(slices.rowsBetween(Window.unboundedPreceding, -1)).alias("_in_state"),
     )
-    own = F.last("_flip", True).over(by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return flips.join(carried, keys).select(
-        *probes.columns, F.coalesce(own, F.col("_in_state"), F.lit("unknown")).alias("state")
+    length = F.col("_length") + F.when(leading, carried(F.col("ok"))).otherwise(0)
+    return (
+        runs.join(carry_in, keys)
+        .withColumn("_state", F.last(flip(F.col("ok"), length), True).over(so_far))
+        .select(*probes.columns, F.coalesce("_state", "_in_state", F.lit("unknown")).alias("state"))
     )
 
 
