@@ -15,7 +15,8 @@ def drift_windows(events: DataFrame, width: str = "4 hours", watermark: str = "1
     watermark has no effect. State is one counter per open window and environment.
     """
     if events.isStreaming:
-        events = events.withWatermark("ts", watermark)
+        # watermarks need a timestamp with time zone
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     return (
         events.filter("is_drift")
         .groupBy(F.window("ts", width).alias("_w"), "env_id")
