@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EMPTY = "cast(map() as map<string,string>)"
@@ -22,20 +20,42 @@ def text_map(pairs: dict[str, Column | str]) -> Column:
     return F.create_map(*items)
 
 
-def overlay(*layers: Column) -> Column:
-    """Layers from weakest to strongest; a null layer counts as empty."""
-
-    def over(base: Column, top: Column) -> Column:
-        kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(top, k))
-        return F.map_concat(kept, top)
-
-    return reduce(over, [F.coalesce(layer, empty_map()) for layer in layers])
-
-
-def last_entries(entries: Column, key: str) -> Column:
-    """Entries of an array of structs whose ``key`` does not occur again further on."""
-    later = lambda i: F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1)))
-    return F.filter(entries, lambda e, i: ~F.exists(later(i), lambda o: o[key] == e[key]))
+def _without_keys(base: str, top: str) -> Column:
+    return F.map_filter(base, lambda k, _: ~F.map_contains_key(top, k))
+
+
+def overlay(df: DataFrame, name: str, *layers: Column) -> DataFrame:
+    """Add ``name``: the layers from weakest to strongest; a null layer counts as empty.
+
+    Every layer is a column of its own before it is used, so that the test for a stronger
+    key looks at a value and does not build the stronger map again for each key.
+    """
+    own = [f"_layer{i}" for i in range(len(layers))]
+    staged = df.withColumns({c: F.coalesce(layer, empty_map()) for c, layer in zip(own, layers)})
+    for weak, strong in zip(own, own[1:]):
+        merged = F.map_concat(_without_keys(weak, strong), strong)
+        staged = staged.withColumn(
+            strong, F.when(F.size(strong) == 0, F.col(weak)).when(F.size(weak) == 0, F.col(strong)).otherwise(merged)
+        )
+    return staged.withColumn(name, F.col(own[-1])).drop(*own)
+
+
+def map_of_last(df: DataFrame, name: str, entries: Column, key: str = "key") -> DataFrame:
+    """Add ``name``: a map of (key, value) structs in which the last of equal keys counts.
+
+    Keys are normally distinct; the search for later ones only runs where they are not.
+    """
+    staged = df.withColumn("_entries", entries).withColumn("_keys", F.transform("_entries", lambda e: e[key]))
+    last = F.filter(
+        "_entries",
+        lambda e, i: F.array_position(F.reverse("_keys"), e[key]) == F.size("_keys") - i,
+    )
+    distinct = F.size(F.array_distinct("_keys")) == F.size("_keys")
+    return (
+        staged.withColumn("_entries", F.when(distinct, F.col("_entries")).otherwise(last))
+        .withColumn(name, F.map_from_entries("_entries"))
+        .drop("_entries", "_keys")
+    )
 
 
 def map_text(c: Column) -> Column:

@@ -94,15 +94,51 @@ def auth_domain_prefix(env="env_name", app="app_name") -> Column:
     return F.concat(F.lower(_c(env)), F.lit("-"), F.lower(_c(app)), F.lit("-auth"))
 
 
-def name_by_template(settings: Settings, template, type_code, specific, service) -> Column:
-    """One expression for all templates of ``rules.NAME_KINDS``."""
-    template = _c(template)
+def name_layout(settings: Settings, template="template", type_code="type_code") -> dict[str, Column]:
+    """What a template puts where, as columns of the rule table.
+
+    Worked out once per rule row, so that a resource's name is one short expression.
+    """
+    template, code = _c(template), _c(type_code)
+    log = template.isin("app_log", "shared_log")
+    return {
+        "_head": F.when(template == "bucket", F.lit(settings.domain)),
+        "_owner": F.when(template.isin("shared", "shared_log"), F.lit("shared")),
+        "_first": F.when(template == "security_group", F.lit("sg")),
+        "_code": F.when(template.isin("app", "shared", "security_group"), code),
+        "_typed": template.isin("app", "shared", "security_group"),
+        "_region_inside": template.isin("app", "shared"),
+        "_log": log,
+        "_image": template == "image",
+    }
+
+
+def name_from_layout(settings: Settings, specific: Column, service: Column, type_code: Column | None = None) -> Column:
+    """The name of a resolved row joined with :func:`name_layout`.
+
+    ``type_code`` stands in where the rule has none (custom kinds).
+    """
+    c = F.col
+    code = c("_code") if type_code is None else F.coalesce("_code", F.when(c("_typed"), type_code))
+    owner = F.coalesce("_owner", "app_code")
+    dashed = F.lower(
+        F.concat_ws(
+            "-",
+            c("_head"),
+            c("env_prefix"),
+            owner,
+            c("_first"),
+            F.nullif(code, F.lit("")),
+            F.when(c("_region_inside"), c("region_code")),
+            F.nullif(specific, F.lit("")),
+            F.when(~c("_region_inside"), c("region_code")),
+        )
+    )
+    log = F.concat(F.lit("/aws/"), F.lower(service), F.lit("/"), c("env_prefix"), F.lit("-"), owner, F.lit("-"), F.lower(specific))
+    known = c("env_prefix").isNotNull() & owner.isNotNull() & c("region_code").isNotNull()
     return (
-        F.when(template == "app", application_name(type_code, specific))
-        .when(template == "shared", shared_name(type_code, specific))
-        .when(template == "security_group", security_group_name(type_code, specific))
-        .when(template == "bucket", bucket_name(settings, specific))
-        .when(template == "app_log", log_group_name(service, specific))
-        .when(template == "shared_log", shared_log_group_name(service, specific))
-        .when(template == "image", image_repository_name(settings, specific))
+        F.when(c("_log"), log)
+        .when(c("_image"), image_repository_name(settings, specific))
+        .when(known & c("_log").isNotNull(), dashed)
     )
+

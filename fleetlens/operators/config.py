@@ -61,7 +61,7 @@ def merge_tags(contexts: DataFrame, stack_tags: Column | None = None) -> DataFra
         }
     )
     layers = [F.col("tags"), system] + ([] if stack_tags is None else [stack_tags])
-    return contexts.withColumn("merged_tags", maps.overlay(*layers))
+    return maps.overlay(contexts, "merged_tags", *layers)
 
 
 def shared_stack_tags() -> Column:
@@ -75,32 +75,17 @@ def application_stack_tags() -> Column:
     return maps.text_map({"AccountType": F.col("account_type")})
 
 
-def _settings_of(rows: list[tuple], env: Column) -> Column:
-    by_env: dict[str, dict[str, str]] = {}
-    for name, key, value in rows:
-        by_env.setdefault(name, {})[key] = value
-    picked = F.lit(None)
-    for name, pairs in by_env.items():
-        picked = F.when(env == name, maps.text_map(pairs)).otherwise(picked)
-    return picked
-
-
 def effective_settings(environments: DataFrame) -> DataFrame:
     """Add ``settings``: the base flag overlaid with the environment's own rows.
 
-    Environment names are compared without case; an unknown one has no settings (null).
+    Environment names are compared without case; an unknown one has no settings (null). The
+    overlay is made once per environment on the rule rows, not once per row.
     """
-    env = F.lower("env_name")
-    known = env.isin([r[0] for r in rules.BASE_SETTINGS])
-    return environments.withColumn(
-        "settings",
-        F.when(
-            known,
-            maps.overlay(
-                _settings_of(rules.BASE_SETTINGS, env), _settings_of(rules.ENVIRONMENT_SETTINGS, env)
-            ),
-        ),
-    )
+    settings = {}
+    for env, key, value in rules.BASE_SETTINGS + rules.ENVIRONMENT_SETTINGS:
+        settings.setdefault(env, {})[key] = value
+    table = rules.rule_table(environments.sparkSession, "_env string, settings map", list(settings.items()))
+    return environments.withColumn("_env", F.lower("env_name")).join(table, "_env", "left").drop("_env")
 
 
 def settings_to_env(df: DataFrame, column: str = "settings") -> DataFrame:
@@ -112,7 +97,7 @@ def settings_to_env(df: DataFrame, column: str = "settings") -> DataFrame:
             F.coalesce(e["value"], F.lit("")).alias("value"),
         ),
     )
-    return df.withColumn("env_vars", F.map_from_entries(maps.last_entries(renamed, "key")))
+    return maps.map_of_last(df, "env_vars", renamed)
 
 
 def effective_override(environments: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -205,8 +190,10 @@ def retention(contexts: DataFrame, documented: bool = False) -> DataFrame:
 def retention_conflicts(rows: DataFrame) -> DataFrame:
     """Environments and subjects whose rules disagree, with every number of days in use."""
     return (
-        rows.groupBy("env_name", "subject")
-        .agg(F.array_sort(F.collect_set("days")).alias("days"))
+        rows.select("env_name", "subject", "days")
+        .distinct()
+        .groupBy("env_name", "subject")
+        .agg(F.array_sort(F.collect_list("days")).alias("days"))
         .filter(F.size("days") > 1)
     )
 

@@ -288,11 +288,10 @@ def effective_env(containers: DataFrame) -> DataFrame:
     )
     known = F.lower(env).isin([e[0].lower() for e in rules.ENVIRONMENTS])
     by_name = F.when(
-        F.lower("name") == rules.NAMED_ENV_CONTAINER,
+        ~uses_placeholder(F.col("image")) & (F.lower("name") == rules.NAMED_ENV_CONTAINER),
         maps.text_map({"ASPNETCORE_ENVIRONMENT": F.when(known, F.initcap(env)).otherwise("Development")}),
     )
     pairs = F.filter("environment", lambda e: ~is_empty(e["name"]) & ~is_empty(e["value"]))
-    configured = F.map_from_entries(maps.last_entries(pairs, "name"))
     placeholder = maps.text_map(
         {
             "DEPLOYMENT_TYPE": "placeholder",
@@ -301,9 +300,7 @@ def effective_env(containers: DataFrame) -> DataFrame:
             "APP_VERSION": rules.IMAGE_VERSION,
         }
     )
-    return containers.withColumn(
-        "env_vars",
-        F.when(uses_placeholder(F.col("image")), maps.overlay(defaults, placeholder)).otherwise(
-            maps.overlay(defaults, by_name, configured)
-        ),
-    )
+    standby = uses_placeholder(F.col("image"))
+    df = maps.map_of_last(containers, "_configured", F.when(~standby, pairs), "name")
+    df = maps.overlay(df, "env_vars", defaults, by_name, F.when(standby, placeholder).otherwise(F.col("_configured")))
+    return df.drop("_configured")

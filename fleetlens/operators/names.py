@@ -61,13 +61,12 @@ def expected_names(inventory: DataFrame, settings: Settings, name_kinds: DataFra
     the default purpose of its kind.
     """
     kinds = rules.name_kinds(inventory.sparkSession) if name_kinds is None else name_kinds
-    kinds = kinds.select("kind", "template", F.col("type_code").alias("_code"), "default_purpose")
-    code = F.coalesce("_code", "type_code") if "type_code" in inventory.columns else F.col("_code")
-    specific = F.coalesce("specific", "default_purpose")
-    return inventory.join(kinds, "kind", "left").select(
-        *inventory.columns,
-        naming.name_by_template(settings, "template", code, specific, "service").alias("expected_name"),
-    )
+    layout = naming.name_layout(settings)
+    kinds = kinds.select("kind", "default_purpose", *[c.alias(n) for n, c in layout.items()])
+    custom = F.col("type_code") if "type_code" in inventory.columns else None
+    joined = inventory.join(kinds, "kind", "left").withColumn("_specific", F.coalesce("specific", "default_purpose"))
+    name = naming.name_from_layout(settings, F.col("_specific"), F.col("service"), custom)
+    return joined.select(*inventory.columns, name.alias("expected_name"))
 
 
 def audit_names(inventory: DataFrame, settings: Settings, name_kinds: DataFrame | None = None) -> DataFrame:
@@ -98,14 +97,19 @@ def name_limit_violations(names: DataFrame, limits: DataFrame) -> DataFrame:
 def name_collisions(names: DataFrame) -> DataFrame:
     """Names that several environments of one account type share, ignoring case.
 
-    The set per name holds environment names only, so it stays as small as the registry
-    even if one name holds most of the rows.
+    Rows are reduced to distinct (account type, name, environment) before any name is
+    gathered, so the list per name stays as small as the registry even if one name holds
+    most of the rows. Nameless rows are left out at the end: a test on the name before the
+    aggregation would build every name twice.
     """
     return (
-        names.filter("account_type IS NOT NULL AND name IS NOT NULL")
-        .groupBy("account_type", F.lower("name").alias("lower_name"))
-        .agg(F.array_sort(F.collect_set("env_name")).alias("environments"))
-        .filter(F.size("environments") > 1)
+        names.filter("account_type IS NOT NULL")
+        .select("account_type", F.lower("name").alias("lower_name"), "env_name")
+        .distinct()
+        .groupBy("account_type", "lower_name")
+        .agg(F.array_sort(F.collect_list("env_name")).alias("environments"), F.count("lower_name").alias("_named"))
+        .filter((F.size("environments") > 1) & (F.col("_named") > 0))
+        .drop("_named")
     )
 
 
@@ -114,7 +118,8 @@ def siblings(environments: DataFrame, by: str) -> DataFrame:
 
     One array per account is joined back; rows are never paired with each other.
     """
-    shared = environments.groupBy(by).agg(F.array_sort(F.collect_set("env_name")).alias("siblings"))
+    distinct = environments.select(by, "env_name").distinct()
+    shared = distinct.groupBy(by).agg(F.array_sort(F.collect_list("env_name")).alias("siblings"))
     return environments.join(shared, by, "left")
 
 
@@ -128,8 +133,10 @@ def environments_by_account(environments: DataFrame) -> DataFrame:
             "env_name",
         )
         .filter(F.col("account_type").isin(rules.ACCOUNT_TYPES))
+        .groupBy("account_id", "account_type", "env_name")
+        .agg(F.count("*").alias("_n"))
         .groupBy("account_id", "account_type")
-        .agg(F.array_sort(F.collect_set("env_name")).alias("environments"), F.count("*").alias("n_rows"))
+        .agg(F.array_sort(F.collect_list("env_name")).alias("environments"), F.sum("_n").alias("n_rows"))
     )
 
 

@@ -44,9 +44,11 @@ def secret_plan(requested: DataFrame, existing: DataFrame) -> DataFrame:
     if "lookup_ok" in existing.columns:
         found = existing.filter(F.coalesce("lookup_ok", F.lit(False)))
     found = found.select("path").distinct().withColumn("_found", F.lit(True))
-    per_path = requested.groupBy("path").agg(
-        F.array_sort(F.collect_set("variable")).alias("variables"),
-        F.count("*").alias("n_requests"),
+    per_path = (
+        requested.groupBy("path", "variable")
+        .agg(F.count("*").alias("_n"))
+        .groupBy("path")
+        .agg(F.array_sort(F.collect_list("variable")).alias("variables"), F.sum("_n").alias("n_requests"))
     )
     return per_path.join(found, "path", "left").select(
         "path",

@@ -21,6 +21,18 @@ def name_summary(inventory: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+def name_findings(inventory: DataFrame, settings: Settings, keep: list[str]) -> DataFrame:
+    """Resources whose observed name is not the expected one.
+
+    The finding is generated from the row instead of filtered: a filter would be pushed
+    below the projection and build the expected name a second time.
+    """
+    audited = names.expected_names(inventory, settings)
+    differs = F.lower("observed_name") != F.lower("expected_name")
+    found = F.when(differs, F.array(F.struct("observed_name", "expected_name")))
+    return audited.select(*keep, F.inline(found))
+
+
 def service_findings(docs: DataFrame) -> DataFrame:
     """Violations and duplicate names of service documents (doc_id, doc) in one findings table."""
     violations = containers.container_violations(docs).select("doc_id", "rule", "message")

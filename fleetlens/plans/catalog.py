@@ -16,7 +16,7 @@ from fleetlens.functions import maps, naming
 from fleetlens.operators import config, containers, inventory, names, policy, requirements, secrets, topology, traffic
 from fleetlens.plans import audits
 from fleetlens.plans import fleet_tables as fleet
-from fleetlens.session import shared_folder
+from fleetlens.session import shared_folder, spread
 from fleetlens.sources import documents, findings
 from fleetlens.streaming import drift
 
@@ -44,7 +44,7 @@ def s2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def service_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.parse_service_configs(fleet.fleet_table(spark, sf, "service_texts"))
+    return documents.parse_service_configs(spread(fleet.fleet_table(spark, sf, "service_texts")))
 
 
 def s3(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,8 +86,8 @@ def s5(spark: SparkSession, sf: str) -> DataFrame:
 
 def s6(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
-    audited = names.audit_names(fleet.inventory(spark, sf), SETTINGS).filter("NOT is_valid")
-    findings.write_findings(audited.select(*RESOURCE, "env_name", "kind", "observed_name", "expected_name"), path, ["kind"])
+    found = audits.name_findings(fleet.inventory(spark, sf), SETTINGS, [*RESOURCE, "env_name", "kind"])
+    findings.write_findings(found, path, ["kind"])
     return findings.read_findings(spark, path)
 
 
@@ -269,7 +269,7 @@ def k7(spark: SparkSession, sf: str) -> DataFrame:
     context = fleet.contexts(spark, sf).select(
         F.col("context_id").alias("doc_id"), "env_name", "app_name", "account_type", "region", "account_id"
     )
-    rows = fleet.containers(spark, sf).drop("env_name", "app_name").join(context, "doc_id")
+    rows = spread(fleet.containers(spark, sf).drop("env_name", "app_name")).join(context, "doc_id")
     return containers.effective_env(rows).select(*CONTAINER, "image", maps.map_text(F.col("env_vars")).alias("env_vars"))
 
 

@@ -109,9 +109,5 @@ def test_redirect_urls_are_all_https(spark):
 
 
 def test_overlay_needs_no_session_setting(spark):
-    df = spark.range(1).select(
-        maps.overlay(maps.text_map({"a": "1", "b": "1"}), F.lit(None).cast("map<string,string>"), maps.text_map({"b": "2"})).alias("m")
-    )
-    assert df.first()["m"] == {"a": "1", "b": "2"}
-
-
+    layers = maps.text_map({"a": "1", "b": "1"}), F.lit(None).cast("map<string,string>"), maps.text_map({"b": "2"})
+    assert maps.overlay(spark.range(1), "m", *layers).first()["m"] == {"a": "1", "b": "2"}

@@ -196,6 +196,10 @@ def test_secret_plan_reports_collisions_and_failed_lookups(spark):
     assert got == {"/a": ("import", ["A__B", "a-b"], True, 3), "/c": ("create", ["C"], False, 1), "/d": ("create", ["D"], False, 1)}
 
 
-def test_last_entries(spark):
-    df = spark.sql("SELECT array(named_struct('k','a','v',1), named_struct('k','b','v',2), named_struct('k','a','v',3)) AS e")
-    assert [tuple(x) for x in df.select(maps.last_entries(F.col("e"), "k")).first()[0]] == [("b", 2), ("a", 3)]
+def test_map_of_last(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (1, array(named_struct('k','a','v','1'), named_struct('k','b','v','2'), named_struct('k','a','v','3'))), "
+        "(2, array(named_struct('k','a','v','1'))), (3, cast(array() AS array<struct<k:string,v:string>>)), (4, NULL) AS t(id, e)"
+    )
+    got = {r["id"]: r["m"] for r in maps.map_of_last(df, "m", F.col("e"), "k").collect()}
+    assert got == {1: {"a": "3", "b": "2"}, 2: {"a": "1"}, 3: {}, 4: None}

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from fleetlens.plans import catalog
+from fleetlens.session import spread
 
 # these run jobs of their own while they are built
 EAGER = {"n16_register_codes", "t3_deploy_levels", "s6_findings_sink"}
@@ -23,7 +24,7 @@ def test_no_pairwise_join_and_no_python_worker(spark, small, key):
 @pytest.mark.parametrize(
     "key, exchanges",
     [
-        ("n2_application_name", 0), ("n11_name_audit", 0), ("fleet_name_summary", 1), ("k1_containers", 0), ("k2_container_violations", 0),
+        ("n2_application_name", 0), ("n11_name_audit", 0), ("fleet_name_summary", 1), ("k1_environment", 0), ("k16_batch_jobs", 0),
         ("k14_primary_container", 1), ("k17_health_checks", 0), ("k19_distinct_secrets", 1), ("p1_statements", 0), ("p5_isolation_rules", 0),
         ("q11_rule_differences", 1), ("st1_drift_windows", 1), ("s2_layered_merge", 1),
     ],
@@ -57,3 +58,10 @@ def test_only_needed_columns_are_read(spark, small):
 def test_filters_reach_the_scan(spark, small):
     text = plan(catalog.QUERIES["st1_drift_windows"](spark, small))
     assert "EqualTo(event_type,error)" in text
+
+
+def test_only_narrow_scans_are_spread(spark, small):
+    wide = spark.range(0, 100, 1, 64)
+    assert spread(wide) is wide
+    assert spread(wide.coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert "Exchange RoundRobin" in plan(catalog.QUERIES["k1_containers"](spark, small))
