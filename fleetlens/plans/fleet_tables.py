@@ -180,7 +180,7 @@ SELECT o_orderkey AS registry_id, concat('{"Environments":{"', CASE CAST(o_order
     WHEN 1 THEN 'Integration' WHEN 2 THEN 'Staging' WHEN 3 THEN 'Production' ELSE 'Sandbox' END, '":{',
   CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat('"accountId":"10000000000', CAST(o_custkey % 4 AS VARCHAR(4)), '",') END,
   CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN '' WHEN 1 THEN '"AccountType":"Production",' ELSE '"AccountType":"bogus",' END,
-  CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '"Region":"us-west-2",' END, '"Tags":{"Owner":"', o_orderpriority, '",}}}}') AS text
+  CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 11 = 3 THEN '"Region":"eu-west-1",' ELSE '"Region":"us-west-2",' END, '"Tags":{"Owner":"', o_orderpriority, '",}}}}') AS text
 FROM orders""",
     "existing_secrets": f"""
 SELECT concat('/', lower({_env('s_suppkey')}), '/appone/openaioptions-apikey_', CAST(s_suppkey AS VARCHAR(20))) AS path,

@@ -106,9 +106,10 @@ ORACLES["s1_environment_registry"] = f"""WITH base AS (SELECT o_orderkey, o_cust
 SELECT o_orderkey AS registry_id, env_name,
   CASE WHEN o_orderkey % 7 <> 0 THEN '10000000000' || CAST(o_custkey % 4 AS VARCHAR) END AS account_id,
   CASE WHEN o_custkey % 3 = 1 THEN 'Production' ELSE env_account_type END AS account_type,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'us-east-1' ELSE 'us-west-2' END AS region,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'us-east-1' WHEN o_orderkey % 11 = 3 THEN 'eu-west-1' ELSE 'us-west-2' END AS region,
   'Owner=' || o_orderpriority AS tags,
-  CASE WHEN o_orderkey % 7 = 0 THEN 'AccountId is required' END AS error
+  CASE WHEN o_orderkey % 7 = 0 THEN 'AccountId is required' WHEN env_name = 'Sandbox' AND o_custkey % 3 <> 1 THEN 'Unknown environment: Sandbox'
+    WHEN o_orderkey % 4 <> 0 AND o_orderkey % 11 = 3 THEN 'Unsupported region ''eu-west-1'' in environment ''' || env_name || '''' END AS error
 FROM base LEFT JOIN dim_env USING (env_name)"""
 
 ORACLES["s2_layered_merge"] = f"""{with_tables("layers")}

@@ -1,17 +1,21 @@
 """Rule tables.
 
 All values below are fixed values of the naming convention, the sizing policy and the
-stacks; results depend on them letter for letter. Every table is a local relation, so
-Catalyst knows its exact size and plans the broadcast itself.
+stacks; results depend on them letter for letter. Every table is a local relation whose row
+count is known here, so it is broadcast whatever the session's threshold; tables a caller
+brings are left to Catalyst and adaptive execution.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetlens.settings import Settings
 
+LITERAL_LIMIT = 1_000
+
 _ARROW = {
     "string": pa.string(),
     "int": pa.int32(),
@@ -29,7 +33,8 @@ def rule_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFram
     arrays = [
         pa.array([row[i] for row in rows], type=_ARROW[kind]) for i, kind in enumerate(types)
     ]
-    return spark.createDataFrame(pa.table(dict(zip(names, arrays))))
+    table = spark.createDataFrame(pa.table(dict(zip(names, arrays))))
+    return F.broadcast(table) if len(rows) <= LITERAL_LIMIT else table
 
 
 # --- fixed values: naming convention -----------------------------------------------------

@@ -86,8 +86,9 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def parse_environments(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per environment of each registry document.
 
-    The region defaults; a missing account id is an error; an account type that does not
-    parse falls back to the one the environment's name implies.
+    The region defaults; an account type that does not parse falls back to the one the
+    environment's name implies. A missing account id, a type that nothing implies and a
+    region without a code are errors, of which the first is given.
     """
     kept = [c for c in df.columns if c != text]
     keys = ["Environments", "AccountId", "AccountType", "Region", "Tags"]
@@ -96,15 +97,22 @@ def parse_environments(df: DataFrame, text: str = "text") -> DataFrame:
     ).select(*kept, F.explode_outer("_d.Environments").alias("env_name", "_e"))
     implied = rules.environments(df.sparkSession).select("env_name", F.col("account_type").alias("_implied"))
     given = F.col("_e.AccountType")
+    account_type = F.when(given.isin(rules.ACCOUNT_TYPES), given).otherwise(F.col("_implied"))
+    region = F.coalesce("_e.Region", F.when(F.col("env_name").isNotNull(), F.lit(rules.DEFAULT_REGION)))
     return parsed.join(implied, "env_name", "left").select(
         *kept,
         "env_name",
         F.col("_e.AccountId").alias("account_id"),
-        F.when(given.isin(rules.ACCOUNT_TYPES), given).otherwise(F.col("_implied")).alias("account_type"),
-        F.coalesce("_e.Region", F.when(F.col("env_name").isNotNull(), F.lit(rules.DEFAULT_REGION))).alias("region"),
+        account_type.alias("account_type"),
+        region.alias("region"),
         F.coalesce("_e.Tags", F.expr("cast(map() as map<string,string>)")).alias("tags"),
         F.when(F.col("env_name").isNull(), "no environment found")
         .when(F.col("_e.AccountId").isNull(), "AccountId is required")
+        .when(account_type.isNull(), F.concat(F.lit("Unknown environment: "), "env_name"))
+        .when(
+            ~region.isin([r for r, _ in rules.REGIONS]),
+            F.concat(F.lit("Unsupported region '"), region, F.lit("' in environment '"), "env_name", F.lit("'")),
+        )
         .alias("error"),
     )
 

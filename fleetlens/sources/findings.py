@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def write_findings(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
+def write_findings(
+    df: DataFrame,
+    path: str,
+    partition_by: list[str] | None = None,
+    mode: str = "append",
+    files_per_value: int | None = None,
+) -> None:
     """Write findings as Parquet, one folder per value of ``partition_by``.
 
-    Rows are not shuffled to their folder: a hot partition value is written by all tasks
-    that hold it. Compact afterwards where small files matter.
+    By default rows are not shuffled: every task writes to the folders it has rows for. With
+    ``files_per_value`` rows move to at most that many tasks per value, by a hash of the
+    row, so that a hot value is still written in parallel and a rare one in few files.
     """
+    if partition_by and files_per_value:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_value))
+        df = df.repartition(*[F.col(c) for c in partition_by], salt)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
