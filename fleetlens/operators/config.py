@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from fleetlens import rules
 from fleetlens.functions import maps, naming
-from fleetlens.functions.text import join_parts
 from fleetlens.settings import Settings
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import rules
 from fleetlens.functions import maps
-from fleetlens.functions.text import is_blank, is_empty, messages
+from fleetlens.functions.text import is_blank, is_empty
 
 CONTAINER_FIELDS = [
     "name", "image", "cpu", "essential", "portMappings", "environment", "secrets",

@@ -137,20 +137,21 @@ def evaluate(
         shared = rule_lists(
             prepared.filter(F.col("service") == ANY_SERVICE).drop("service"), keys, ["effect", "sid"], fields, "_shared"
         )
-        empty = F.lit(None)
+        none = F.array().cast(own.schema["_own"].dataType)
         joined = (
             requests.withColumn("service", _service(F.col("action")))
             .join(F.broadcast(own), [*keys, "service"], "left")
             .join(F.broadcast(shared), keys, "left")
         )
-        both = F.concat(
-            F.coalesce("_own", F.filter("_shared", lambda s: F.lit(False)), F.array().cast(own.schema["_own"].dataType)),
-            F.coalesce("_shared", F.array().cast(own.schema["_own"].dataType)),
+        hits = F.filter(F.concat(F.coalesce("_own", none), F.coalesce("_shared", none)), applies)
+        decided = joined.withColumn(
+            "_hits", F.transform(hits, lambda s: F.struct(s["effect"].alias("effect"), s["sid"].alias("sid")))
         )
-        hit = F.filter(both, applies)
-        deny = F.array_sort(F.transform(F.filter("_hit", lambda s: s["effect"] == "Deny"), lambda s: s["sid"]))
-        allow = F.array_sort(F.transform(F.filter("_hit", lambda s: s["effect"] == "Allow"), lambda s: s["sid"]))
-        decided = joined.withColumn("_hit", F.transform(hit, lambda s: F.struct(s["effect"].alias("effect"), s["sid"].alias("sid"))))
+
+        def sids(effect: str) -> Column:
+            return F.array_sort(F.transform(F.filter("_hits", lambda s: s["effect"] == effect), lambda s: s["sid"]))
+
+        deny, allow = sids("Deny"), sids("Allow")
         return decided.select(
             *requests.columns,
             *_decision(F.size(deny) > 0, F.size(allow) > 0, F.try_element_at(deny, F.lit(1)), F.try_element_at(allow, F.lit(1))),

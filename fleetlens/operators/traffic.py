@@ -106,21 +106,28 @@ def health_states(
     )
 
 
-def lifecycle(objects: DataFrame, stage_rules: DataFrame, as_of: str, rule_limit: int = RULE_LIMIT) -> DataFrame:
+def lifecycle(objects: DataFrame, stage_rules: DataFrame, as_of: str) -> DataFrame:
     """Add ``stage`` to objects (class, created) that exist on ``as_of``: the highest threshold reached.
 
-    The thresholds of a class are one sorted array next to the object; no range join. The
-    table holds one row per class and stage and has to fit ``rule_limit``.
+    The thresholds of a class become intervals that do not overlap, so an object meets one
+    rule at most: an equi-join on the class that never multiplies or regroups objects.
     """
-    if not rules_fit(stage_rules, rule_limit):
-        raise ValueError("more stage rules than a bucket configuration can hold")
-    lists = rule_lists(stage_rules, ["class"], ["days"], ["stage"], "_rules")
     day = F.lit(as_of).cast("date")
-    reached = F.filter("_rules", lambda r: r["days"] <= F.datediff(day, F.col("created")))
+    by_class = Window.partitionBy("class").orderBy("days")
+    intervals = (
+        stage_rules.groupBy("class", "days")
+        .agg(F.max("stage").alias("_stage"))
+        .withColumn("_until", F.lead("days").over(by_class))
+        .select(F.col("class").alias("_class"), F.col("days").alias("_from"), "_until", "_stage")
+    )
+    age = F.datediff(day, F.col("created"))
+    reached = (
+        (F.col("class") == F.col("_class")) & (age >= F.col("_from")) & (F.col("_until").isNull() | (age < F.col("_until")))
+    )
     return (
         objects.filter(F.col("created") <= day)
-        .join(F.broadcast(lists), "class", "left")
-        .select(*objects.columns, F.coalesce(F.try_element_at(reached, F.lit(-1))["stage"], F.lit("standard")).alias("stage"))
+        .join(intervals, reached, "left")
+        .select(*objects.columns, F.coalesce("_stage", F.lit("standard")).alias("stage"))
     )
 
 

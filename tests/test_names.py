@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens import Settings, rules
 from fleetlens.functions import naming
 from fleetlens.operators import names
+from fleetlens.plans import audits
 
 SETTINGS = Settings()
 
@@ -75,6 +76,25 @@ def test_every_name_kind_yields_a_name(spark):
     assert got["sg_rds"] == "stg-tfv2-sg-rds-main-ue1"
 
 
+@pytest.mark.parametrize(
+    "kind, specific, observed, valid",
+    [
+        ("application_load_balancer", "web", "prod-tfv2-alb-ue2-web", True),
+        ("application_load_balancer", "web", "PROD-tfv2-ALB-ue2-web", True),
+        ("application_load_balancer", "web", "prd-tfv2-alb-ue2-web", False),
+        ("bucket", "app", "example.io-prod-tfv2-app-ue2", True),
+        ("bucket", "app", "prod-tfv2-alb-logs-ue2-web", False),
+        ("unheard-of", "app", "prod-tfv2-app-ue2", None),
+    ],
+)
+def test_audit(spark, kind, specific, observed, valid):
+    df = context(spark, "Production", "us-east-2").withColumns(
+        {"kind": F.lit(kind), "specific": F.lit(specific), "service": F.lit(None).cast("string"), "observed_name": F.lit(observed)}
+    )
+    assert names.audit_names(df, SETTINGS).first()["is_valid"] is valid
+    assert audits.name_findings(df, SETTINGS, ["kind"]).count() == (1 if valid is False else 0)
+
+
 def test_default_purpose(spark):
     df = context(spark, "Staging").withColumns(
         {"kind": F.lit("sg_bastion"), "specific": F.lit(None).cast("string"), "service": F.lit(None).cast("string")}

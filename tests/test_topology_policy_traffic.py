@@ -229,6 +229,18 @@ def test_lifecycle_and_rotation(spark):
     assert [tuple(r) for r in traffic.rotation_due(rotated, ["name"], "2024-04-01").collect()] == [("b", 31)]
 
 
+def test_lifecycle_with_many_thresholds(spark):
+    table = spark.range(0, 2000).select(
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("class"), F.col("id").cast("int").alias("days"), F.concat(F.lit("s"), "id").alias("stage")
+    )
+    objects = spark.range(1, 400).select(
+        "id", F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("class"), F.expr("date_sub(date'2024-04-01', cast(id AS int) * 7)").alias("created")
+    )
+    got = {r["id"]: r["stage"] for r in traffic.lifecycle(objects, table, "2024-04-01").collect()}
+    top = lambda i: max(d for d in range(2000) if d % 2 == (i % 3 == 0) and d <= i * 7)
+    assert got == {i: f"s{top(i)}" for i in range(1, 400)}
+
+
 def test_dead_letters(spark):
     rows = [("processing", "m", i) for i in range(4)] + [("processing", "n", i) for i in range(3)] + [("urgent", "m", i) for i in range(5)]
     df = spark.createDataFrame(rows, "queue string, message_id string, sec int").withColumn("ts", F.timestamp_seconds("sec"))
