@@ -85,32 +85,29 @@ def deploy_levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     is not above those of all its dependencies.
 
     Each round settles all nodes whose dependencies are settled, so the number of rounds is
-    the depth of the graph. Every round ends in the shared folder and only reads what is
-    still open. A dependency outside ``nodes`` counts as settled.
+    the depth of the graph. A round drops the edges that lead to the last settled nodes and
+    ends in the shared folder; edges are never regrouped, only the distinct nodes that still
+    wait are. A dependency outside ``nodes`` counts as settled.
     """
     known = nodes.select("node").distinct()
-    edges = (
+    edges = checkpointed(
         deps.select("node", "depends_on").distinct()
         .join(known, "node", "left_semi")
         .join(known.withColumnRenamed("node", "depends_on"), "depends_on", "left_semi")
+        .select("node", "depends_on")
     )
-    open_edges = known.select("node", F.lit(None).cast(deps.schema["depends_on"].dataType).alias("depends_on")).unionByName(edges)
-    levels = None
+    waiting = edges.select("node").distinct()
+    settled = checkpointed(known.join(waiting, "node", "left_anti"))
     level = 0
-    while True:
-        pending = open_edges.groupBy("node").agg(F.count("depends_on").alias("pending"))
-        marked = checkpointed(open_edges.join(pending, "node"))
-        settled = marked.filter("pending = 0").select("node", F.lit(level).alias("level"))
-        if settled.isEmpty():
-            break
-        levels = settled if levels is None else levels.unionByName(settled)
-        open_edges = (
-            marked.filter("pending > 0").select("node", "depends_on")
-            .join(settled.select(F.col("node").alias("depends_on")), "depends_on", "left_anti")
-        )
+    levels = settled.withColumn("level", F.lit(level))
+    while not settled.isEmpty():
+        edges = checkpointed(edges.join(settled.withColumnRenamed("node", "depends_on"), "depends_on", "left_anti"))
+        still_waiting = edges.select("node").distinct()
+        settled = checkpointed(waiting.join(still_waiting, "node", "left_anti"))
+        waiting = still_waiting
         level += 1
-    stuck = marked.select("node", F.lit(None).cast("int").alias("level")).distinct()
-    levels = stuck if levels is None else levels.unionByName(stuck)
+        levels = levels.unionByName(settled.withColumn("level", F.lit(level)))
+    levels = levels.unionByName(waiting.withColumn("level", F.lit(None).cast("int")))
     order = nodes.groupBy("node").agg(F.max("declared_order").alias("declared_order"))
     highest = (
         deps.join(order.select(F.col("node").alias("depends_on"), F.col("declared_order").alias("_o")), "depends_on")
