@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import exact, mixing, packing
+from fleetlens.llm import decision_list, exact, mixing, packing
 from fleetlens.llm.frames import WORD
 
 
@@ -26,6 +26,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = decision_list.learn(docs, table(spark, sf_dir, "labels"))
+    judged, col = decision_list.judge(docs, rules)
+    return judged.select("doc_id", *[col[n].alias(n) for n in [*decision_list.BASE, "base_failed", "kept", "rule"]])
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact.exact_groups(table(spark, sf_dir, "documents"))
     return groups.withColumnRenamed("digest", "text_sha256")
@@ -34,6 +41,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_packing": op3_packing,
+    "op4_quality_rules": op4_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
