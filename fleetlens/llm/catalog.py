@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decision_list, exact, mixing, packing
+from fleetlens.llm import boosted, decision_list, exact, mixing, packing, toxicity
 from fleetlens.llm.frames import WORD
+from fleetlens.llm.labels import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,16 +34,34 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[col[n].alias(n) for n in [*decision_list.BASE, "base_failed", "kept", "rule"]])
 
 
+def _predicted(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _predicted(boosted.score(docs, boosted.train(docs, table(spark, sf_dir, "labels"))), 0.7)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact.exact_groups(table(spark, sf_dir, "documents"))
     return groups.withColumnRenamed("digest", "text_sha256")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _predicted(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {

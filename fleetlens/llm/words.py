@@ -95,13 +95,18 @@ def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE) -> Iterator[tu
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
+def table_of(inside) -> np.ndarray:
+    """A byte table for ``words``: which bytes words are made of."""
+    return np.array([bool(inside(b)) for b in range(256)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, table: np.ndarray = _IS_WORD) -> Words:
     """Words with the hash of their bytes, A-Z lower-cased first if ``lower``."""
     n = len(offsets) - 1
     if not len(data):
         none = np.empty(0, np.int64)
         return Words(none, none, none, np.empty(0, np.uint64), n)
-    inside = _IS_WORD[data]
+    inside = table[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edge = offsets[:-1][offsets[:-1] < len(data)]
@@ -117,6 +122,14 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     return Words(start, end, np.searchsorted(offsets[1:], start, side="right"), h, n)
 
 
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes, A-Z lower-cased."""
+    up, down = _Powers.first(max(1, len(data)))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[_LOWER[data]] * up[: len(data)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of every shingle in order; a text with fewer words has one of all its words."""
     n = len(w.text)
