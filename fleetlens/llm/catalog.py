@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import boosted, chat, decision_list, exact, mixing, packing, toxicity, wrappers
+from fleetlens.llm import boosted, chat, decision_list, exact, mixing, packing, passages, toxicity, trie_join, wrappers
 from fleetlens.llm.frames import WORD
 from fleetlens.llm.labels import held_out
 from fleetlens.session import checkpointed
@@ -63,12 +63,20 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(boosted.score(docs, boosted.train(docs, table(spark, sf_dir, "labels"))), 0.7)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = wrappers.extract(pages, checkpointed(wrappers.infer(pages)))
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact.exact_groups(table(spark, sf_dir, "documents"))
     return groups.withColumnRenamed("digest", "text_sha256")
@@ -85,7 +93,9 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_html_extraction": op7_html_extraction,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
@@ -151,6 +161,33 @@ ORACLES = {
             sha256(loss) AS loss_sha256, formatted_chars
         FROM told
     """,
+    "op8_jaccard_join": rf"""
+        WITH RECURSIVE lists AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(w) = 0 THEN []
+                WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle
+            FROM lists
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+                JOIN sizes sa ON sa.doc_id = a.doc_id JOIN sizes sb ON sb.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, sa.n, sb.n
+            HAVING 100 * count(*) >= 75 * (sa.n + sb.n - count(*))
+        ), reached AS (
+            SELECT doc_id AS node, doc_id AS seen FROM sizes
+            UNION SELECT node, b FROM reached JOIN links ON a = seen
+        )
+        SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, coalesce(min(seen), doc_id) AS component_id
+        FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN reached ON node = doc_id
+        GROUP BY doc_id
+    """,
     "op9_exact_dedup": """
         WITH digests AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))

@@ -18,8 +18,10 @@ class Summary:
         self.keys = np.empty(0, np.int64)
         self.counts = np.empty(0, np.int64)
 
-    def add(self, keys: np.ndarray) -> None:
-        keys, counts = np.unique(keys, return_counts=True)
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        """Count keys, or different keys with their counts."""
+        if counts is None:
+            keys, counts = np.unique(keys, return_counts=True)
         keys, inverse = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([self.counts, counts]), len(keys)).astype(np.int64)
         if len(keys) > self.size:

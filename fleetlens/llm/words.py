@@ -17,6 +17,8 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SHINGLE = 5
 #: Bytes of text worked on at once; a longer text is worked on by itself.
 SLICE = 1 << 21
+#: Texts worked on at once, so that their numbers fit 16 bits.
+SLICE_TEXTS = 1 << 15
 
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[list(SPACES)] = False
@@ -86,11 +88,12 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, last text + 1, bytes, offsets) for runs of texts of about ``size`` bytes."""
+    """(first text, last text + 1, bytes, offsets) for runs of texts of about ``size`` bytes, ``SLICE_TEXTS`` at most."""
     data, offsets = utf8(column)
     first, n = 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
+        last = min(last, first + SLICE_TEXTS)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
