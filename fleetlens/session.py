@@ -40,6 +40,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of tables that are no longer read, wherever it is stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder, so a lost executor does not restart the rounds."""
     shared_folder(df.sparkSession)
