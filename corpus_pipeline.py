@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.llm import decision_list, exact, mixing, packing, trie_join
-from fleetlens.session import remove_folder, shared_folder
+from fleetlens.session import checkpointed, remove_folder, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +60,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; tables between them go to the shared folder and leave it again."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    *inner, (last, final) = STAGES
+    *inner, (_, final) = STAGES
     for name, stage in inner:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    final(spark, docs, sf_dir).write.parquet(f"{folder}/{last}")
-    packed = spark.read.parquet(f"{folder}/{last}").checkpoint()
+    packed = checkpointed(final(spark, docs, sf_dir))
     remove_folder(spark, folder)
     return packed
