@@ -10,7 +10,8 @@ of one document, which come first and meet nothing, are not stored at all.
 2. Shingles meet by hash ranges, each slice of documents sending one packed row to a range,
    and those of two documents or more go back to their slice with their frequency. No range
    holds a hot shingle, as hot ones are known before.
-3. The sets of a prefix shingle first meet its leader, the least set, only. What links is
+3. The sets of a prefix shingle first meet its leader only, the set with the fewest shingles
+   of its own, which is the one that edited copies have most in common with. What links is
    one component; pairs of different components that the length bounds allow follow, found
    between classes of equal size and place, never row by row.
 4. Candidates are verified in a trie: sorted by size and ordered shingles under the set they
@@ -311,10 +312,10 @@ def link_sets(sets: DataFrame) -> DataFrame:
     prefix = F.slice("keys", F.lit(1), (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - F.col("unique")).cast("int"))
     entries = checkpointed(
         sets.select("id", "n", "unique", F.posexplode(prefix).alias("at", "key")).select(
-            "key", "id", "n", (F.col("n") - F.col("unique") - F.col("at")).alias("rest")
+            "key", "id", "n", "unique", (F.col("n") - F.col("unique") - F.col("at")).alias("rest")
         )
     )
-    leaders = entries.groupBy("key").agg(F.min(F.struct("id", "n", "rest")).alias("lead"), F.count("*").alias("sets"))
+    leaders = entries.groupBy("key").agg(F.min(F.struct("unique", "id", "n", "rest")).alias("lead"), F.count("*").alias("sets"))
     met = entries.join(leaders.filter("sets > 1").drop("sets"), "key").filter(
         (F.col("id") != F.col("lead.id"))
         & _may_link(F.col("rest"), F.col("lead.rest"), F.col("n"), F.col("lead.n"))
