@@ -35,31 +35,39 @@ def messages(*pairs: tuple[Column, Column | str]) -> Column:
 def wildcard(pattern: Column, ignore_case: bool = False) -> Column:
     """A pattern with ``*`` and ``?`` prepared for :func:`matches`.
 
-    ``literal`` is the text before the first wildcard; it decides most rows without a
-    regular expression. ``regex`` is null when the literal alone is enough.
+    The pattern is cut at its stars. ``first`` and ``last`` are what a value must begin and
+    end with, ``middle`` what must occur between them in order; without a star ``first`` is
+    the whole. Only a pattern with ``?`` has a ``regex``.
     """
     text = F.lower(pattern) if ignore_case else pattern
-    literal = F.regexp_extract(text, r"^[^*?]*", 0)
+    pieces = F.split(text, r"\*")
     quoted = F.regexp_replace(text, r"([\\.\[\]{}()+^$|])", r"\\$1")
     regex = F.concat(
         F.lit("(?s)^"),
         F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")),
         F.lit("$"),
     )
-    exact = ~text.rlike(r"[*?]")
-    prefix_only = text.rlike(r"^[^*?]*\*$")
+    between = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0)))
     return F.struct(
-        literal.alias("literal"),
-        exact.alias("exact"),
-        F.when(~exact & ~prefix_only, regex).alias("regex"),
+        F.get(pieces, F.lit(0)).alias("first"),
+        F.element_at(pieces, -1).alias("last"),
+        F.filter(between, lambda piece: piece != "").alias("middle"),
+        (F.size(pieces) > 1).alias("star"),
+        F.when(F.contains(text, F.lit("?")), regex).alias("regex"),
     )
 
 
 def matches(value: Column, prepared: Column, ignore_case: bool = False) -> Column:
     """Does ``value`` match a pattern prepared by :func:`wildcard`? Null never matches."""
     text = F.lower(value) if ignore_case else value
-    literal, regex = prepared["literal"], prepared["regex"]
-    hit = F.startswith(text, literal) & F.when(
-        prepared["exact"], F.length(text) == F.length(literal)
-    ).otherwise(regex.isNull() | F.rlike(text, regex))
-    return F.coalesce(hit, F.lit(False))
+    first, last = prepared["first"], prepared["last"]
+
+    def after(place: Column, piece: Column) -> Column:
+        found = F.call_function("locate", piece, text, place)
+        return F.when((place > 0) & (found > 0), found + F.length(piece)).otherwise(0)
+
+    place = F.aggregate(prepared["middle"], F.length(first) + 1, after)
+    around = F.startswith(text, first) & F.endswith(text, last)
+    with_star = around & (place > 0) & (place <= F.length(text) - F.length(last) + 1)
+    plain = F.when(prepared["star"], with_star).otherwise(text == first)
+    return F.coalesce(F.when(prepared["regex"].isNull(), plain).otherwise(F.rlike(text, prepared["regex"])), F.lit(False))

@@ -50,14 +50,27 @@ def existence(required: DataFrame, inventory: DataFrame, keys: list[str]) -> Dat
 
 
 def drift(expected: DataFrame, actual: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Rows of (keys, change, column, from, to). Added and removed rows appear once.
+    """Rows of (keys, change, column, from, to). Added and removed rows appear once each.
 
-    Values are compared null-safely and reported as text. One full join on the keys.
+    Values are compared null-safely and reported as text; null keys are keys like others.
+    Rows that both sides hold equally often cancel out first, in one aggregation with
+    map-side combine, so that only differences are looked at by key and a table never
+    differs from itself. A key left with several rows on one side and some on the other is
+    ``ambiguous``: how many rows each side has too many.
     """
-    side = lambda df, name: df.select(
-        *keys, F.struct(*[F.col(c).cast("string").alias(c) for c in columns]).alias(name)
+    side = lambda df, sign: df.select(
+        *keys, *[F.col(c).cast("string").alias(c) for c in columns], F.lit(sign).alias("_s")
+    )
+    rows = side(expected, 1).unionByName(side(actual, -1))
+    left = rows.groupBy(*keys, *columns).agg(F.sum("_s").cast("int").alias("_d")).filter("_d <> 0")
+    more, fewer = F.col("_d") > 0, F.col("_d") < 0
+    values = F.struct(*columns)
+    by_key = left.groupBy(*keys).agg(
+        F.sum(F.greatest("_d", F.lit(0))).cast("int").alias("_gone"),
+        F.sum(F.greatest(-F.col("_d"), F.lit(0))).cast("int").alias("_new"),
+        F.max(F.when(more, values)).alias("_e"),
+        F.max(F.when(fewer, values)).alias("_a"),
     )
-    both = side(expected, "_e").join(side(actual, "_a"), keys, "full_outer")
     text = F.lit(None).cast("string")
     item = lambda change, column, old, new: F.struct(
         F.lit(change).alias("change"), column.alias("column"), old.alias("from"), new.alias("to")
@@ -74,11 +87,12 @@ def drift(expected: DataFrame, actual: DataFrame, keys: list[str], columns: list
         )
     )
     found = (
-        F.when(F.col("_a").isNull(), F.array(item("removed", text, text, text)))
-        .when(F.col("_e").isNull(), F.array(item("added", text, text, text)))
-        .otherwise(changed)
+        F.when(F.col("_new") == 0, F.array_repeat(item("removed", text, text, text), F.col("_gone")))
+        .when(F.col("_gone") == 0, F.array_repeat(item("added", text, text, text), F.col("_new")))
+        .when((F.col("_gone") == 1) & (F.col("_new") == 1), changed)
+        .otherwise(F.array(item("ambiguous", text, F.col("_gone").cast("string"), F.col("_new").cast("string"))))
     )
-    return both.select(*keys, F.explode(found).alias("_d")).select(*keys, "_d.*")
+    return by_key.select(*keys, F.explode_outer(found).alias("_d")).select(*keys, "_d.*")
 
 
 def rule_differences(expected: DataFrame, actual: DataFrame, columns: list[str]) -> DataFrame:

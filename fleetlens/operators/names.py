@@ -114,13 +114,30 @@ def name_collisions(names: DataFrame) -> DataFrame:
 
 
 def siblings(environments: DataFrame, by: str) -> DataFrame:
-    """Add ``siblings``: the distinct environment names that share ``by``, itself included.
+    """(by, siblings): the distinct environment names of each account, or account type.
 
-    One array per account is joined back; rows are never paired with each other.
+    One row per account; a context finds its own by the key it carries. Rows are never
+    paired with each other, and no list is repeated on every context.
     """
     distinct = environments.select(by, "env_name").distinct()
-    shared = distinct.groupBy(by).agg(F.array_sort(F.collect_list("env_name")).alias("siblings"))
-    return environments.join(shared, by, "left")
+    return distinct.groupBy(by).agg(F.array_sort(F.collect_list("env_name")).alias("siblings"))
+
+
+def purpose_violations(inventory: DataFrame) -> DataFrame:
+    """Rows of (kind, specific) whose purpose is not one of the family that the kind takes.
+
+    Kinds with free text take any, and a kind with a default purpose takes none at all.
+    """
+    kinds = rules.name_kinds(inventory.sparkSession).filter("family IS NOT NULL").select(
+        F.col("kind").alias("_kind"), F.col("family").alias("expected_family"), "default_purpose"
+    )
+    known = rules.purposes(inventory.sparkSession).select(F.col("family").alias("_family"), F.col("text").alias("_text"))
+    return (
+        inventory.join(kinds, F.col("kind") == F.col("_kind"))
+        .filter(F.col("specific").isNotNull() | F.col("default_purpose").isNull())
+        .join(known, (F.col("expected_family") == F.col("_family")) & (F.lower("specific") == F.col("_text")), "left_anti")
+        .select(*inventory.columns, "expected_family")
+    )
 
 
 def environments_by_account(environments: DataFrame) -> DataFrame:
@@ -143,39 +160,59 @@ def environments_by_account(environments: DataFrame) -> DataFrame:
 def register_codes(dim: DataFrame, new_rows: DataFrame, key: str, code: str, order: str):
     """Register rows in ``order``; return (dimension, rejects with ``reason``).
 
-    A row is rejected when its key or its code is taken by the dimension or by an earlier
-    accepted row. Each round accepts every row that is first for both its key and its code
-    among those still open, so rounds follow the longest chain of conflicts, not the rows.
+    A row is rejected when its key or its code is missing, or taken by the dimension or by an
+    earlier accepted row. A row without an order comes last; equal orders go by key, code and
+    the other columns, and of rows that are alike in everything the first is taken.
+
+    Each round accepts every row that is first for both its key and its code among those
+    still open, the first of all among them, so rounds end; they follow the longest chain of
+    conflicts, not the rows. A round is one checkpoint of what it accepts and leaves open.
     """
     columns = dim.columns
+    given = new_rows.columns
+    missing = F.when(F.col(key).isNull(), "key is missing").when(F.col(code).isNull(), "code is missing")
+    usable = new_rows.filter(missing.isNull()).groupBy(*given).agg(F.count("*").cast("int").alias("_n"))
+    others = [c for c in given if c not in (order, key, code)]
+    place = F.struct(F.col(order).isNull().alias("_last"), order, key, code, *others)
+    asked = checkpointed(usable.withColumns({"_place": place, "_id": F.monotonically_increasing_id()}))
 
     def still_free(rows: DataFrame, taken: DataFrame) -> DataFrame:
         return rows.join(taken.select(key).distinct(), key, "left_anti").join(
             taken.select(code).distinct(), code, "left_anti"
         )
 
-    accepted = None
-    left = checkpointed(still_free(new_rows, dim))
-    while not left.isEmpty():
-        first_key = left.groupBy(key).agg(F.min(order).alias("_k"))
-        first_code = left.groupBy(code).agg(F.min(order).alias("_c"))
-        firsts = checkpointed(
+    accepted = asked.limit(0)
+    left = still_free(asked, dim)
+    while True:
+        first_key = left.groupBy(key).agg(F.min("_place").alias("_k"))
+        first_code = left.groupBy(code).agg(F.min("_place").alias("_c"))
+        firsts = (
             left.join(first_key, key).join(first_code, code)
-            .filter((F.col(order) == F.col("_k")) & (F.col(order) == F.col("_c")))
-            .drop("_k", "_c")
+            .filter((F.col("_place") == F.col("_k")) & (F.col("_place") == F.col("_c")))
+            .select(asked.columns)
+        )
+        rest = still_free(left, firsts).select(asked.columns)
+        state = checkpointed(
+            firsts.withColumn("_accepted", F.lit(True)).unionByName(rest.withColumn("_accepted", F.lit(False)))
         )
-        accepted = firsts if accepted is None else accepted.unionByName(firsts)
-        left = checkpointed(still_free(left, firsts))
-    old = dim.select(key, F.lit(None).cast(new_rows.schema[order].dataType).alias("_since"))
-    if accepted is None:
-        registered, keys, rest = dim, old, new_rows
-    else:
-        registered = dim.unionByName(accepted.select(*columns))
-        keys = old.unionByName(accepted.select(key, F.col(order).alias("_since")))
-        rest = new_rows.join(accepted.select(order), order, "left_anti")
-    by_key = F.col("_known") & F.coalesce(F.col("_since") < F.col(order), F.lit(True))
-    rejected = rest.join(keys.withColumn("_known", F.lit(True)), key, "left").select(
-        *new_rows.columns,
-        F.when(by_key, "key already registered").otherwise("code already in use").alias("reason"),
+        if state.isEmpty():
+            break
+        taken, left = state.filter("_accepted").drop("_accepted"), state.filter("NOT _accepted").drop("_accepted")
+        if taken.isEmpty():
+            raise RuntimeError("a round accepted nothing")
+        accepted = accepted.unionByName(taken)
+    registered = dim.unionByName(accepted.select(*columns))
+    keys = dim.select(F.col(key).alias("_key"), F.lit(None).cast(asked.schema["_place"].dataType).alias("_since")).unionByName(
+        accepted.select(F.col(key).alias("_key"), F.col("_place").alias("_since"))
+    ).groupBy("_key").agg(F.min("_since").alias("_since"), F.bool_or(F.col("_since").isNull()).alias("_old"))
+    earlier = F.coalesce(F.col("_old") | (F.col("_since") < F.col("_place")), F.lit(False))
+    mine = F.col("_since") == F.col("_place")
+    reason = F.when(earlier | F.coalesce(mine, F.lit(False)), "key already registered").otherwise("code already in use")
+    repeats = F.when(F.coalesce(mine & ~F.col("_old"), F.lit(False)), F.col("_n") - 1).otherwise(F.col("_n"))
+    rejected = (
+        asked.join(keys, F.col(key) == F.col("_key"), "left")
+        .select(*given, F.explode_outer(F.array_repeat(reason, repeats)).alias("reason"))
+        .filter(F.col("reason").isNotNull())
     )
-    return registered, rejected
+    unusable = new_rows.withColumn("reason", missing).filter(F.col("reason").isNotNull())
+    return registered, rejected.unionByName(unusable)

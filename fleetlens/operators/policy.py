@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 
 from fleetlens import rules
 from fleetlens.functions.text import matches, wildcard
-from fleetlens.operators.matching import RULE_LIMIT, rule_lists, rules_fit
 
 ANY_SERVICE = "*"
+LIKES = "array<struct<first:string,last:string,middle:array<string>,star:boolean,regex:string>>"
+CONDITIONS = f"array<struct<op:string,key:string,patterns:array<struct<text:string,like:{LIKES[6:-1]}>>>>"
 CONDITION_OPERATORS = ["StringEquals", "StringLike", "ForAnyValue:StringLike"]
 
 
 def flatten_statements(statements: DataFrame) -> DataFrame:
-    """One row per statement, action and resource."""
-    kept = [c for c in statements.columns if c not in ("actions", "resources")]
+    """One row per statement, action and resource; a statement without either keeps a row with null.
+
+    ``not_actions`` and ``not_resources`` stay lists, as all their entries must be spared at
+    once: such a statement is about action or resource ``*`` except those.
+    """
+    given = {c: F.col(c) for c in ("actions", "resources")}
+    for c in given:
+        if f"not_{c}" in statements.columns:
+            given[c] = F.coalesce(given[c], F.when(F.col(f"not_{c}").isNotNull(), F.array(F.lit("*"))))
+    kept = [c for c in statements.columns if c not in given]
     return (
-        statements.select(*kept, "resources", F.explode("actions").alias("action"))
-        .select(*kept, "action", F.explode("resources").alias("resource"))
+        statements.select(*kept, given["resources"].alias("resources"), F.explode_outer(given["actions"]).alias("action"))
+        .select(*kept, "action", F.explode_outer("resources").alias("resource"))
     )
 
 
@@ -52,11 +61,17 @@ def _service(action: Column) -> Column:
 
 
 def prepare_statements(flat: DataFrame) -> DataFrame:
-    """Compile the patterns of flattened statements once, and find their service.
+    """Cut the patterns of flattened statements at their wildcards, and find their service.
 
     A service part with a wildcard goes to the bucket every request looks at.
     """
     service = _service(F.col("action"))
+
+    def likes(column: str, ignore_case: bool = False) -> Column:
+        if column not in flat.columns:
+            return F.expr(f"cast(array() AS {LIKES})")
+        return F.coalesce(F.transform(column, lambda p: wildcard(p, ignore_case)), F.expr(f"cast(array() AS {LIKES})"))
+
     conditions = F.coalesce(
         F.transform(
             "conditions",
@@ -67,120 +82,94 @@ def prepare_statements(flat: DataFrame) -> DataFrame:
             ),
         ),
         F.array(),
-    ) if "conditions" in flat.columns else F.array()
+    ) if "conditions" in flat.columns else F.expr(f"cast(array() AS {CONDITIONS})")
     return flat.withColumns(
         {
             "service": F.when(service.rlike(r"[*?]"), F.lit(ANY_SERVICE)).otherwise(service),
             "action_like": wildcard(F.col("action"), ignore_case=True),
             "resource_like": wildcard(F.col("resource")),
+            "spared_actions": likes("not_actions", ignore_case=True),
+            "spared_resources": likes("not_resources"),
             "conditions": conditions,
         }
     )
 
 
+def _known(c: Column) -> Column:
+    return F.coalesce(c["op"].isin(CONDITION_OPERATORS), F.lit(False))
+
+
 def _conditions_hold(conditions: Column, context: Column | None) -> Column:
-    """All conditions must hold; one value and one pattern are enough for each.
+    """All conditions that can be judged must hold; one value and one pattern are enough for each.
 
-    A key that the request does not carry never holds, nor does an operator other than the
-    three the policies use (``unsupported_conditions`` lists those).
+    A key that the request does not carry never holds.
     """
+    judged = F.filter(conditions, _known)
     if context is None:
-        return F.size(conditions) == 0
+        return F.size(judged) == 0
 
     def holds(c: Column) -> Column:
         values = F.coalesce(F.element_at(context, c["key"]), F.array().cast("array<string>"))
-        one = lambda v, p: F.when(c["op"] == "StringEquals", v == p["text"]).when(
-            c["op"].isin(CONDITION_OPERATORS[1:]), matches(v, p["like"])
-        ).otherwise(F.lit(False))
+        one = lambda v, p: F.when(c["op"] == "StringEquals", v == p["text"]).otherwise(matches(v, p["like"]))
         return F.exists(values, lambda v: F.exists(c["patterns"], lambda p: F.coalesce(one(v, p), F.lit(False))))
 
-    return F.forall(conditions, holds)
+    return F.forall(judged, holds)
 
 
 def unsupported_conditions(statements: DataFrame) -> DataFrame:
     """Conditions whose operator is none of the three."""
     kept = [c for c in statements.columns if c != "conditions"]
-    return statements.select(*kept, F.explode("conditions").alias("_c")).select(
+    return statements.select(*kept, F.explode_outer("conditions").alias("_c")).select(
         *kept, F.col("_c.op").alias("op"), F.col("_c.key").alias("key")
     ).filter(~F.col("op").isin(CONDITION_OPERATORS))
 
 
-def evaluate(
-    requests: DataFrame,
-    statements: DataFrame,
-    keys: list[str],
-    request_id: str = "request_id",
-    rule_limit: int = RULE_LIMIT,
-) -> DataFrame:
+def evaluate(requests: DataFrame, statements: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``decision`` and ``matched_sid`` to requests (keys, action, resource[, context]).
 
     ``keys`` tie a request to its policies, e.g. the principal. ``statements`` come from
-    ``flatten_statements``. An explicit deny beats an allow, which beats the implicit deny.
-
-    Statements that fit ``rule_limit`` lie next to each request as an array per service, so
-    requests are neither shuffled nor multiplied. Larger ones are joined on service and
-    keys, and only matches are aggregated.
+    ``flatten_statements``. An explicit deny beats a deny that cannot be judged, as its
+    condition operator is not supported (``undetermined``); that beats an allow, which beats
+    the implicit deny. An allow that cannot be judged does not allow.
+
+    Requests are first reduced to what they ask, as few things are asked often. These meet
+    the statements of their keys and service, only matches are aggregated, and the decision
+    goes back to every request that asked, whatever ids it has or lacks. One plan for rule
+    tables of any size.
     """
-    prepared = prepare_statements(statements)
+    asked = [c for c in [*keys, "action", "resource", "context"] if c in requests.columns]
+    told = requests.withColumn("_asked", F.to_json(F.struct(*asked), {"ignoreNullFields": "false"}))
+    fields = ["action_like", "resource_like", "spared_actions", "spared_resources", "conditions"]
+    rules_of = prepare_statements(statements).select(*keys, "service", "effect", "sid", *fields)
     context = F.col("context") if "context" in requests.columns else None
-
-    def applies(s) -> Column:
-        return (
-            matches(F.col("action"), s["action_like"], ignore_case=True)
-            & matches(F.col("resource"), s["resource_like"])
-            & _conditions_hold(s["conditions"], context)
-        )
-
-    fields = ["action_like", "resource_like", "conditions"]
-    if rules_fit(statements, rule_limit):
-        own = rule_lists(prepared, [*keys, "service"], ["effect", "sid"], fields, "_own")
-        shared = rule_lists(
-            prepared.filter(F.col("service") == ANY_SERVICE).drop("service"), keys, ["effect", "sid"], fields, "_shared"
-        )
-        none = F.array().cast(own.schema["_own"].dataType)
-        joined = (
-            requests.withColumn("service", _service(F.col("action")))
-            .join(F.broadcast(own), [*keys, "service"], "left")
-            .join(F.broadcast(shared), keys, "left")
-        )
-        hits = F.filter(F.concat(F.coalesce("_own", none), F.coalesce("_shared", none)), applies)
-        decided = joined.withColumn(
-            "_hits", F.transform(hits, lambda s: F.struct(s["effect"].alias("effect"), s["sid"].alias("sid")))
-        )
-
-        def sids(effect: str) -> Column:
-            return F.array_sort(F.transform(F.filter("_hits", lambda s: s["effect"] == effect), lambda s: s["sid"]))
-
-        deny, allow = sids("Deny"), sids("Allow")
-        return decided.select(
-            *requests.columns,
-            *_decision(F.size(deny) > 0, F.size(allow) > 0, F.try_element_at(deny, F.lit(1)), F.try_element_at(allow, F.lit(1))),
-        )
-
-    asked = requests.withColumn("service", F.explode(F.array(_service(F.col("action")), F.lit(ANY_SERVICE))))
-    renamed = prepared.select(*keys, "service", "effect", "sid", *fields).alias("s")
+    services = F.explode(F.array(_service(F.col("action")), F.lit(ANY_SERVICE)))
+    scope = (
+        matches(F.col("action"), F.col("action_like"), ignore_case=True)
+        & matches(F.col("resource"), F.col("resource_like"))
+        & ~F.exists("spared_actions", lambda p: matches(F.col("action"), p, ignore_case=True))
+        & ~F.exists("spared_resources", lambda p: matches(F.col("resource"), p))
+        & _conditions_hold(F.col("conditions"), context)
+    )
+    judged = F.forall("conditions", _known)
+    deny, allow = F.col("effect") == "Deny", F.col("effect") == "Allow"
+    cases = {"deny": deny & F.col("_judged"), "open": deny & ~F.col("_judged"), "allow": allow & F.col("_judged")}
     matched = (
-        asked.join(renamed, [*keys, "service"])
-        .filter(applies({f: F.col(f) for f in fields}))
-        .groupBy(request_id)
+        told.dropDuplicates(["_asked"])
+        .select("_asked", *asked, services.alias("service"))
+        .join(rules_of, [*keys, "service"])
+        .filter(scope)
+        .withColumn("_judged", judged)
+        .groupBy(F.col("_asked").alias("_key"))
         .agg(
-            F.bool_or(F.col("effect") == "Deny").alias("_deny"),
-            F.bool_or(F.col("effect") == "Allow").alias("_allow"),
-            F.min(F.when(F.col("effect") == "Deny", F.col("sid"))).alias("_deny_sid"),
-            F.min(F.when(F.col("effect") == "Allow", F.col("sid"))).alias("_allow_sid"),
+            *[F.bool_or(test).alias(f"_{name}") for name, test in cases.items()],
+            *[F.min(F.when(test, F.col("sid"))).alias(f"_{name}_sid") for name, test in cases.items()],
         )
     )
-    false = F.lit(False)
-    return requests.join(matched, request_id, "left").select(
-        *requests.columns,
-        *_decision(F.coalesce("_deny", false), F.coalesce("_allow", false), F.col("_deny_sid"), F.col("_allow_sid")),
-    )
-
-
-def _decision(deny: Column, allow: Column, deny_sid: Column, allow_sid: Column) -> tuple[Column, Column]:
-    return (
-        F.when(deny, "explicit_deny").when(allow, "allow").otherwise("implicit_deny").alias("decision"),
-        F.when(deny, deny_sid).when(allow, allow_sid).alias("matched_sid"),
+    has = {name: F.coalesce(F.col(f"_{name}"), F.lit(False)) for name in cases}
+    decision = F.when(has["deny"], "explicit_deny").when(has["open"], "undetermined").when(has["allow"], "allow")
+    sid = F.when(has["deny"], F.col("_deny_sid")).when(has["open"], F.col("_open_sid")).when(has["allow"], F.col("_allow_sid"))
+    return told.join(matched, F.col("_asked") == F.col("_key"), "left").select(
+        *requests.columns, decision.otherwise("implicit_deny").alias("decision"), sid.alias("matched_sid")
     )
 
 
@@ -229,15 +218,48 @@ def isolation_rules(contexts: DataFrame) -> DataFrame:
     return contexts.select(*contexts.columns, F.inline(statements))
 
 
+def trust_rules(statements: DataFrame, role: str) -> DataFrame:
+    """(role, audience, pattern, exact) of statements that let a web identity assume a role.
+
+    ``statements`` come from the policy documents. The audience and the subject are the
+    conditions on keys that end in ``:aud`` and ``:sub``; a missing one allows any (null, ``*``).
+    """
+    assumes = F.exists("actions", lambda a: F.lower(a).isin("sts:assumerolewithwebidentity", "sts:*", "*"))
+    given = F.coalesce("conditions", F.expr("cast(array() AS array<struct<op:string,key:string,patterns:array<string>>>)"))
+    on = lambda suffix: F.filter(given, lambda c: F.endswith(c["key"], F.lit(suffix)) & _known(c))
+    audiences = F.flatten(F.transform(on(":aud"), lambda c: c["patterns"]))
+    subjects = F.flatten(
+        F.transform(
+            on(":sub"),
+            lambda c: F.transform(c["patterns"], lambda p: F.struct(p.alias("pattern"), (c["op"] == "StringEquals").alias("exact"))),
+        )
+    )
+    kind = "array<struct<pattern:string,exact:boolean>>"
+    any_subject = F.array(F.struct(F.lit("*").alias("pattern"), F.lit(False).alias("exact")))
+    who = F.when(F.size(audiences) > 0, audiences).otherwise(F.array(F.lit(None).cast("string")))
+    whom = F.when(F.size(subjects) > 0, subjects.cast(kind)).otherwise(any_subject.cast(kind))
+    pairs = F.flatten(
+        F.transform(who, lambda a: F.transform(whom, lambda s: F.struct(a.alias("audience"), s["pattern"].alias("pattern"), s["exact"].alias("exact"))))
+    )
+    allowed = (F.col("effect") == "Allow") & F.col("principal").isNotNull() & assumes
+    return statements.select(F.col(role).alias("role"), F.explode_outer(F.when(allowed, pairs)).alias("_p")).filter(
+        F.col("_p").isNotNull()
+    ).select("role", "_p.*")
+
+
 def trust_matches(subjects: DataFrame, trust: DataFrame) -> DataFrame:
     """Which role each (audience, subject) may assume, and by which pattern.
 
     Audiences must be equal, which makes it an equi-join; the subject pattern is tested on
-    the joined row, so only matches leave the join.
+    the joined row, so only matches leave the join. A null audience in ``trust`` allows any;
+    ``exact`` in ``trust`` takes the pattern by the letter.
     """
-    prepared = trust.withColumn("_like", wildcard(F.col("pattern")))
+    prepared = trust.withColumns({"_like": wildcard(F.col("pattern")), "_audience": F.coalesce("audience", F.lit(ANY_SERVICE))})
+    letter = F.col("exact") if "exact" in trust.columns else F.lit(False)
+    hit = F.when(letter, F.col("subject") == F.col("pattern")).otherwise(matches(F.col("subject"), F.col("_like")))
+    asked = subjects.withColumn("_audience", F.explode(F.array("audience", F.lit(ANY_SERVICE))))
     return (
-        subjects.join(prepared, "audience")
-        .filter(matches(F.col("subject"), F.col("_like")))
+        asked.join(prepared.drop("audience"), "_audience")
+        .filter(hit)
         .select(*subjects.columns, "role", "pattern")
     )

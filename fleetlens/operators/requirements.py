@@ -9,16 +9,32 @@ from fleetlens import rules
 from fleetlens.functions import maps, naming
 
 
+_ITEM = "array<struct<resource_type:string,purpose:string,purpose_text:string,rules:array<string>,tagged:boolean>>"
+
+
 def requirements(contexts: DataFrame, requirement_rules: DataFrame | None = None) -> DataFrame:
     """The roles each resolved context needs, with expected name, ARN, rules and tags.
 
-    The rule rows are laid out per account type first, which makes this an equi-join.
+    Rules without account types hold for every context, also for one whose account type is
+    unknown; the others are listed per account type first. Rules are a handful, so a
+    context carries its list and is never paired with rules it does not need.
     """
     table = rules.role_requirements(contexts.sparkSession) if requirement_rules is None else requirement_rules
-    by_type = table.withColumn("account_type", F.explode("account_types")).drop("account_types")
+    listed = F.array_sort(F.collect_list(F.struct("resource_type", "purpose", "purpose_text", "rules", "tagged")))
+    general = table.filter("account_types IS NULL").agg(listed).scalar()
+    by_type = (
+        table.filter("account_types IS NOT NULL")
+        .withColumn("_type", F.explode("account_types"))
+        .groupBy("_type")
+        .agg(listed.alias("_typed"))
+    )
+    needed = F.concat(general, F.coalesce("_typed", F.expr(f"cast(array() AS {_ITEM})")))
     name = naming.application_name(F.lit("role"), "purpose_text")
     return (
-        contexts.join(by_type, "account_type")
+        contexts.join(by_type, F.col("account_type") == F.col("_type"), "left")
+        .select(*contexts.columns, F.explode_outer(needed).alias("_r"))
+        .filter(F.col("_r").isNotNull())
+        .select(*contexts.columns, "_r.*")
         .withColumn("expected_name", name)
         .withColumns(
             {
@@ -62,14 +78,14 @@ WARN_ONLY = {"hass3access": "S3 access validation not fully implemented"}
 def check_roles(required: DataFrame, roles: DataFrame, checks: dict[str, tuple[Column, str]] | None = None) -> DataFrame:
     """Requirements left-joined to roles (account_id, role_name, trust_document, policy_arns).
 
+    A role that is listed more than once counts once, with its greatest documents.
     Adds exists, follows_name, has_permissions, errors, warnings and is_valid. An unknown
     rule gives a warning; a type other than a role is an error, and so is a requirement
     whose context has no name (its own ``errors`` say why).
     """
     checks = default_checks() if checks is None else checks
-    inventory = roles.select(
-        "account_id", F.col("role_name").alias("expected_name"), "trust_document", "policy_arns",
-        F.lit(True).alias("_found"),
+    inventory = roles.groupBy("account_id", F.col("role_name").alias("expected_name")).agg(
+        F.max("trust_document").alias("trust_document"), F.max("policy_arns").alias("policy_arns"), F.lit(True).alias("_found")
     )
     joined = required.join(inventory, ["account_id", "expected_name"], "left").withColumn(
         "_found", F.coalesce("_found", F.lit(False)) & (F.col("resource_type") == "IamRole")
@@ -167,7 +183,7 @@ def all_valid(results: DataFrame) -> DataFrame:
 
 def all_errors(results: DataFrame, keys: list[str]) -> DataFrame:
     """Every error of every result as a row."""
-    return results.select(*keys, F.explode("errors").alias("error"))
+    return results.select(*keys, F.explode_outer("errors").alias("error")).filter(F.col("error").isNotNull())
 
 
 def requirement_report(required: DataFrame) -> DataFrame:

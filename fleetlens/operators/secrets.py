@@ -32,28 +32,32 @@ def distinct_secrets(containers: DataFrame, doc_keys: list[str], first_task: Col
     )
 
 
-def secret_plan(requested: DataFrame, existing: DataFrame) -> DataFrame:
+def secret_plan(requested: DataFrame, existing: DataFrame, order: str | None = None) -> DataFrame:
     """(path, variable) requests to one row per path: import what exists, create the rest.
 
     ``existing`` has ``path`` and an optional ``lookup_ok``; a failed lookup counts as
-    missing. Several variables that collapse to one path are a collision; the first in name
-    order is the one that is served. A path's variables are spellings of one name, so the
+    missing. Several variables that collapse to one path are a collision; the one that was
+    asked for first by ``order`` is served, or the first by name without one. A path's variables are spellings of one name, so the
     set stays small however often the path is requested.
     """
     found = existing
     if "lookup_ok" in existing.columns:
         found = existing.filter(F.coalesce("lookup_ok", F.lit(False)))
     found = found.select("path").distinct().withColumn("_found", F.lit(True))
+    place = F.lit(0) if order is None else F.col(order)
     per_path = (
         requested.groupBy("path", "variable")
-        .agg(F.count("*").alias("_n"))
+        .agg(F.count("*").alias("_n"), F.min(place).alias("_place"))
         .groupBy("path")
-        .agg(F.array_sort(F.collect_list("variable")).alias("variables"), F.sum("_n").alias("n_requests"))
+        .agg(
+            F.array_sort(F.collect_list("variable")).alias("variables"), F.sum("_n").alias("n_requests"),
+            F.min(F.struct(F.col("_place").isNull().alias("_late"), "_place", "variable")).alias("_first"),
+        )
     )
     return per_path.join(found, "path", "left").select(
         "path",
         F.when(F.col("_found"), "import").otherwise("create").alias("action"),
-        F.try_element_at("variables", F.lit(1)).alias("served_variable"),
+        F.col("_first.variable").alias("served_variable"),
         "variables",
         "n_requests",
         (F.size("variables") > 1).alias("is_collision"),

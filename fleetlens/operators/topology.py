@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from fleetlens import rules
 from fleetlens.functions import naming
 from fleetlens.session import checkpointed
 
+LOG = logging.getLogger(__name__)
+
 
 def _edge_names(contexts: DataFrame, table: DataFrame) -> DataFrame:
     """Every rule row of a context, from one small array per row instead of a join of all pairs."""
@@ -32,8 +36,18 @@ def expected_imports(contexts: DataFrame) -> DataFrame:
     return _edge_names(contexts, rules.stack_imports(contexts.sparkSession))
 
 
+def secret_exports(requested: DataFrame) -> DataFrame:
+    """The outputs for secrets: one per secret that a context (env_name, app_name) asks for, imported or created."""
+    return requested.select("env_name", "app_name", "secret_name").distinct().withColumn(
+        "name", naming.export_name(F.concat("secret_name", F.lit(rules.SECRET_EXPORT_SUFFIX)))
+    )
+
+
 def unresolved_imports(imports: DataFrame, exports: DataFrame, keys: list[str]) -> DataFrame:
-    """Imports whose name no stack exports; the exports are reduced to their distinct names."""
+    """Imports that no stack exports; the exports are reduced to their distinct keys.
+
+    ``keys`` are the name and whatever bounds an export: account and region.
+    """
     return imports.join(exports.select(*keys).distinct(), keys, "left_anti")
 
 
@@ -60,21 +74,49 @@ def undeclared_dependencies(
 
 
 def list_import_items(exports: DataFrame, joined: str = "joined") -> DataFrame:
-    """Comma-joined values back to rows, with the list's size and whether it is as expected."""
+    """Comma-joined values back to rows, with the list's size and whether it is as expected.
+
+    A missing list is one row without item, size and verdict.
+    """
     items = F.split(joined, ",")
+    size = F.when(F.col(joined).isNotNull(), F.size(items))
     kept = [c for c in exports.columns if c != joined]
     return exports.select(
         *kept,
-        F.size(items).alias("n_items"),
-        (F.size(items) == rules.LIST_EXPORT_ITEMS).alias("size_ok"),
-        F.posexplode(items).alias("pos", "item"),
+        size.alias("n_items"),
+        (size == rules.LIST_EXPORT_ITEMS).alias("size_ok"),
+        F.posexplode_outer(items).alias("pos", "item"),
     )
 
 
 def join_list_export(items: DataFrame, keys: list[str]) -> DataFrame:
     """The export side of :func:`list_import_items`: items in order, joined by commas."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "item")))
-    return items.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda s: s["item"]), ",").alias("joined"))
+    text = F.array_join(F.transform(ordered, lambda s: s["item"]), ",")
+    return items.groupBy(*keys).agg(F.when(F.count("pos") > 0, text).alias("joined"))
+
+
+def _collapsed_chains(single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with one dependency as (node, to, dist): the end of their chain and how far it is.
+
+    Every round doubles the reach, so rounds follow the logarithm of the longest chain. What
+    still moves after reaching further than there are nodes runs in a circle; these nodes
+    are the second result.
+    """
+    jumps = checkpointed(single.withColumn("moved", F.lit(True)))
+    rounds = jumps.count().bit_length() + 1
+    for i in range(rounds):
+        hop = jumps.select(F.col("node").alias("_via"), F.col("to").alias("_to"), F.col("dist").alias("_dist"))
+        jumps = checkpointed(
+            jumps.join(hop, F.col("to") == F.col("_via"), "left").select(
+                "node", F.coalesce("_to", "to").alias("to"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
+                F.col("_via").isNotNull().alias("moved"),
+            )
+        )
+        if jumps.filter("moved").isEmpty():
+            LOG.info("chains collapsed in %d rounds", i + 1)
+            break
+    return jumps.filter("NOT moved").drop("moved"), jumps.filter("moved").select("node")
 
 
 def deploy_levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:
@@ -82,32 +124,55 @@ def deploy_levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:
 
     ``nodes`` has node and declared_order, ``deps`` node and depends_on. Nodes in or behind
     a cycle have no level and ``in_cycle``. ``order_violation`` marks a declared order that
-    is not above those of all its dependencies.
+    is not above those of all its dependencies. A null dependency is none, and one outside
+    ``nodes`` counts as settled.
 
-    Each round settles all nodes whose dependencies are settled, so the number of rounds is
-    the depth of the graph. A round drops the edges that lead to the last settled nodes and
-    ends in the shared folder; edges are never regrouped, only the distinct nodes that still
-    wait are. A dependency outside ``nodes`` counts as settled.
+    Chains of nodes with one dependency are collapsed first. Then each round settles all
+    nodes with several dependencies whose chains end at settled nodes; it is one checkpoint
+    of the nodes it settles and the edges left open. So rounds follow the logarithm of the
+    longest chain plus the depth of the graph that joins make.
     """
-    known = nodes.select("node").distinct()
+    known = nodes.select("node").filter("node IS NOT NULL").distinct()
     edges = checkpointed(
         deps.select("node", "depends_on").distinct()
         .join(known, "node", "left_semi")
         .join(known.withColumnRenamed("node", "depends_on"), "depends_on", "left_semi")
         .select("node", "depends_on")
     )
-    waiting = edges.select("node").distinct()
-    settled = checkpointed(known.join(waiting, "node", "left_anti"))
-    level = 0
-    levels = settled.withColumn("level", F.lit(level))
-    while not settled.isEmpty():
-        edges = checkpointed(edges.join(settled.withColumnRenamed("node", "depends_on"), "depends_on", "left_anti"))
-        still_waiting = edges.select("node").distinct()
-        settled = checkpointed(waiting.join(still_waiting, "node", "left_anti"))
-        waiting = still_waiting
-        level += 1
-        levels = levels.unionByName(settled.withColumn("level", F.lit(level)))
-    levels = levels.unionByName(waiting.withColumn("level", F.lit(None).cast("int")))
+    degree = edges.groupBy("node").agg(F.count("*").alias("_n"), F.min("depends_on").alias("to"))
+    chains, _ = _collapsed_chains(degree.filter("_n = 1").select("node", "to", F.lit(1).alias("dist")))
+    roots = checkpointed(known.join(edges, "node", "left_anti"))
+    ends = chains.select(F.col("node").alias("_node"), F.col("to").alias("_to"), F.col("dist").alias("_dist"))
+    at_once = roots.select(F.col("node").alias("_root"), F.lit(0).alias("_level"))
+    left = (
+        edges.join(degree.filter("_n > 1"), "node", "left_semi")
+        .join(ends, F.col("depends_on") == F.col("_node"), "left")
+        .select("node", F.coalesce("_to", "depends_on").alias("target"), (F.coalesce("_dist", F.lit(0)) + 1).alias("weight"))
+        .join(at_once, F.col("target") == F.col("_root"), "left")
+        .select("node", "target", "weight", F.col("_level").alias("level"))
+    )
+    settled = roots.withColumn("level", F.lit(0))
+    rounds = 0
+    while True:
+        ready = left.groupBy("node").agg(F.count_if(F.col("level").isNull()).alias("_open"), F.max(F.col("level") + F.col("weight")).alias("level"))
+        ready = ready.filter("_open = 0").select("node", "level")
+        newly = ready.select(F.col("node").alias("_node"), F.col("level").alias("_level"))
+        rest = (
+            left.join(ready.select("node"), "node", "left_anti")
+            .join(newly, F.col("target") == F.col("_node"), "left")
+            .select("node", "target", "weight", F.coalesce("level", "_level").alias("level"), F.lit(False).alias("settled"))
+        )
+        done = ready.select("node", F.lit(None).cast(nodes.schema["node"].dataType).alias("target"), F.lit(0).alias("weight"), "level", F.lit(True).alias("settled"))
+        state = checkpointed(done.unionByName(rest))
+        now = state.filter("settled")
+        if now.isEmpty():
+            break
+        rounds += 1
+        settled = settled.unionByName(now.select("node", "level"))
+        left = state.filter("NOT settled").drop("settled")
+    LOG.info("joins settled in %d rounds", rounds)
+    behind = chains.join(settled.withColumnRenamed("node", "to"), "to").select("node", (F.col("level") + F.col("dist")).alias("level"))
+    levels = known.join(settled.unionByName(behind), "node", "left")
     order = nodes.groupBy("node").agg(F.max("declared_order").alias("declared_order"))
     highest = (
         deps.join(order.select(F.col("node").alias("depends_on"), F.col("declared_order").alias("_o")), "depends_on")

@@ -7,36 +7,38 @@ from pyspark.sql import functions as F
 
 from fleetlens import rules
 from fleetlens.functions.text import matches, wildcard
-from fleetlens.operators.matching import RULE_LIMIT, rule_lists, rules_fit
+from fleetlens.session import checkpointed
 
 
-def route(
-    requests: DataFrame,
-    route_rules: DataFrame,
-    request_id: str,
-    default: str = rules.DEFAULT_TARGET,
-    rule_limit: int = RULE_LIMIT,
-) -> DataFrame:
+def route(requests: DataFrame, route_rules: DataFrame, default: str = rules.DEFAULT_TARGET) -> DataFrame:
     """Add ``target``: of the listener's rules whose path pattern matches, the lowest priority.
 
-    Rules that fit lie next to the request as one sorted array per port; larger tables are
-    joined on the port and only matches are aggregated.
+    A rule without a priority comes last, and of equal priorities the first target by name.
+    Requests are reduced to distinct (port, path). A rule lies in the folder that its pattern
+    names before its first wildcard, a path looks into its folder and those above, so ports
+    and folders are an equi-join that meets few rules however many there are.
     """
-    prepared = route_rules.withColumn("_like", wildcard(F.col("pattern")))
-    if rules_fit(route_rules, rule_limit):
-        lists = rule_lists(prepared, ["port"], ["priority"], ["target", "_like"], "_rules")
-        hit = F.filter("_rules", lambda r: matches(F.col("path"), r["_like"]))
-        return requests.join(F.broadcast(lists), "port", "left").select(
-            *requests.columns, F.coalesce(F.try_element_at(hit, F.lit(1))["target"], F.lit(default)).alias("target")
-        )
+    literal = F.regexp_extract("pattern", r"^[^*?]*", 0)
+    prepared = route_rules.select(
+        "port", "priority", "target", wildcard(F.col("pattern")).alias("_like"),
+        F.regexp_extract(literal, r"^(?s:.*)/", 0).alias("_folder"),
+    )
+    parts = F.split("path", "/")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))
+    )
+    folders = F.concat(F.array(F.lit("")), F.when(F.size(parts) > 1, above).otherwise(F.expr("cast(array() AS array<string>)")))
+    first = F.min(F.struct(F.col("priority").isNull().alias("none"), "priority", "target"))
     hits = (
-        requests.join(prepared, "port")
+        requests.filter("port IS NOT NULL AND path IS NOT NULL").select("port", "path").distinct()
+        .select("port", "path", F.explode(folders).alias("_folder"))
+        .join(prepared, ["port", "_folder"])
         .filter(matches(F.col("path"), F.col("_like")))
-        .groupBy(request_id)
-        .agg(F.min_by("target", "priority").alias("_target"))
+        .groupBy(F.col("port").alias("_port"), F.col("path").alias("_path"))
+        .agg(first.alias("_hit"))
     )
-    return requests.join(hits, request_id, "left").select(
-        *requests.columns, F.coalesce("_target", F.lit(default)).alias("target")
+    return requests.join(hits, (F.col("port") == F.col("_port")) & (F.col("path") == F.col("_path")), "left").select(
+        *requests.columns, F.coalesce("_hit.target", F.lit(default)).alias("target")
     )
 
 
@@ -44,16 +46,24 @@ def health_states(
     probes: DataFrame,
     healthy_n: int = rules.HEALTHY_COUNT,
     unhealthy_n: int = rules.UNHEALTHY_COUNT,
-    slice_width: str = "1 hour",
+    slices: int | None = None,
 ) -> DataFrame:
     """Add ``state`` to probes (target, ts, event_id, ok): it flips after enough equal results.
 
-    The state is ``unknown`` until the first flip. One target may hold any share of the
-    probes, so a target is cut into time slices that are worked on apart. A slice is summed
-    up in one row: its first run, its last run and the last flip it reaches by itself. Only
-    these rows are ordered over a whole target, to carry the open run and the state into
-    the next slice. Each probe then adds what was carried in to its own run.
+    The state is ``unknown`` until the first flip, and null for a probe without a target or a
+    time, which has no place in an order. One target, or one busy hour of it, may hold any
+    share of the probes, so probes are cut into ranges of (target, ts, event_id) of about
+    equal size (``slices`` of them, or as many as the session's shuffle partitions), kept in
+    the shared folder. A slice of a target is summed up in one row: its first run, its last
+    run and the last flip it reaches by itself. Only these rows are ordered over a whole
+    target, to carry the open run and the state into the next slice. Each probe then adds
+    what was carried in to its own run.
     """
+    order = ["target", "ts", "event_id"]
+    placeable = F.col("target").isNotNull() & F.col("ts").isNotNull()
+    placed = probes.filter(placeable)
+    ranged = placed.repartitionByRange(slices, *order) if slices else placed.repartitionByRange(*order)
+    ranged = checkpointed(ranged.withColumn("_slice", F.spark_partition_id()))
     keys = ["target", "_slice"]
     by_time = Window.partitionBy(*keys).orderBy("ts", "event_id")
     so_far = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -63,8 +73,7 @@ def health_states(
         return F.when(ok & (length >= healthy_n), "healthy").when(~ok & (length >= unhealthy_n), "unhealthy")
 
     runs = (
-        probes.withColumn("_slice", F.window("ts", slice_width)["start"])
-        .withColumns({"_before": F.lag("ok").over(by_time), "_row": F.row_number().over(by_time)})
+        ranged.withColumns({"_before": F.lag("ok").over(by_time), "_row": F.row_number().over(by_time)})
         .withColumn("_start", F.max(F.when(changed, F.col("_row"))).over(so_far))
         .withColumn("_length", F.col("_row") - F.coalesce("_start", F.lit(1)) + 1)
         .drop("_before")
@@ -99,16 +108,18 @@ def health_states(
         F.last("_out", True).over(slices.rowsBetween(Window.unboundedPreceding, -1)).alias("_in_state"),
     )
     length = F.col("_length") + F.when(leading, carried(F.col("ok"))).otherwise(0)
-    return (
+    states = (
         runs.join(carry_in, keys)
         .withColumn("_state", F.last(flip(F.col("ok"), length), True).over(so_far))
         .select(*probes.columns, F.coalesce("_state", "_in_state", F.lit("unknown")).alias("state"))
     )
+    return states.unionByName(probes.filter(~placeable).withColumn("state", F.lit(None).cast("string")))
 
 
 def lifecycle(objects: DataFrame, stage_rules: DataFrame, as_of: str) -> DataFrame:
-    """Add ``stage`` to objects (class, created) that exist on ``as_of``: the highest threshold reached.
+    """Add ``stage`` to objects (class, created): the highest threshold reached on ``as_of``.
 
+    An object created later is ``not_yet`` there, and one without a date has no stage.
     The thresholds of a class become intervals that do not overlap, so an object meets one
     rule at most: an equi-join on the class that never multiplies or regroups objects.
     """
@@ -124,11 +135,8 @@ def lifecycle(objects: DataFrame, stage_rules: DataFrame, as_of: str) -> DataFra
     reached = (
         (F.col("class") == F.col("_class")) & (age >= F.col("_from")) & (F.col("_until").isNull() | (age < F.col("_until")))
     )
-    return (
-        objects.filter(F.col("created") <= day)
-        .join(intervals, reached, "left")
-        .select(*objects.columns, F.coalesce("_stage", F.lit("standard")).alias("stage"))
-    )
+    stage = F.when(F.col("created") > day, "not_yet").when(F.col("created") <= day, F.coalesce("_stage", F.lit("standard")))
+    return objects.join(intervals, reached, "left").select(*objects.columns, stage.alias("stage"))
 
 
 def dead_letters(receives: DataFrame, limits: DataFrame, as_of: str) -> DataFrame:
@@ -148,6 +156,16 @@ def dead_letters(receives: DataFrame, limits: DataFrame, as_of: str) -> DataFram
 
 
 def rotation_due(rotations: DataFrame, keys: list[str], as_of: str, days: int = rules.ROTATION_DAYS) -> DataFrame:
-    """Credentials whose latest rotation is more than ``days`` back."""
-    age = F.datediff(F.lit(as_of).cast("date"), F.max("rotated_at"))
-    return rotations.groupBy(*keys).agg(age.alias("age_days")).filter(F.col("age_days") > days)
+    """Per credential the days since its latest rotation up to ``as_of``, and its state.
+
+    ``due`` after more than ``days``, else ``current``; ``not_yet`` if all rotations are later,
+    ``unknown`` if none has a date. Callers filter on the state.
+    """
+    day = F.lit(as_of).cast("date")
+    last = F.max(F.when(F.col("rotated_at") <= day, F.col("rotated_at")))
+    found = rotations.groupBy(*keys).agg(F.datediff(day, last).alias("age_days"), F.count("rotated_at").alias("_dated"))
+    state = (
+        F.when(F.col("age_days") > days, "due").when(F.col("age_days").isNotNull(), "current")
+        .when(F.col("_dated") > 0, "not_yet").otherwise("unknown")
+    )
+    return found.withColumn("state", state).drop("_dated")

@@ -16,7 +16,7 @@ from fleetlens.functions import maps, naming
 from fleetlens.operators import config, containers, inventory, names, policy, requirements, secrets, topology, traffic
 from fleetlens.plans import audits
 from fleetlens.plans import fleet_tables as fleet
-from fleetlens.session import shared_folder, spread
+from fleetlens.session import checkpointed, remove_folder, shared_folder
 from fleetlens.sources import documents, findings
 from fleetlens.streaming import drift
 
@@ -44,7 +44,7 @@ def s2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def service_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.parse_service_configs(spread(fleet.fleet_table(spark, sf, "service_texts")))
+    return documents.parse_service_configs(fleet.dealt(spark, sf, "service_texts", "lineitem", ["l_orderkey"]))
 
 
 def s3(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,6 +58,13 @@ def s3(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def s3_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Contexts whose environment has no readable service document."""
+    environments = fleet.contexts(spark, sf).select("context_id", "env_name")
+    readable = service_docs(spark, sf).groupBy("context_id", "env_name").agg(F.bool_or(F.col("error").isNull()).alias("readable"))
+    return documents.missing_service_configs(environments, readable.filter("readable"), ["context_id"])
+
+
 def policies(spark: SparkSession, sf: str) -> DataFrame:
     return documents.parse_policies(fleet.fleet_table(spark, sf, "policy_docs"))
 
@@ -68,7 +75,8 @@ def s4(spark: SparkSession, sf: str) -> DataFrame:
     )
     return policies(spark, sf).select(
         "policy_id", "statement_no", "sid", "effect", _text("actions").alias("actions"),
-        _text("resources").alias("resources"), "principal", _text(conditions).alias("conditions"),
+        _text("resources").alias("resources"), _text("not_actions").alias("not_actions"),
+        _text("not_resources").alias("not_resources"), "principal", _text(conditions).alias("conditions"), "error",
     )
 
 
@@ -88,7 +96,9 @@ def s6(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
     found = audits.name_findings(fleet.inventory(spark, sf), SETTINGS, [*RESOURCE, "env_name", "kind"])
     findings.write_findings(found, path, ["kind"])
-    return findings.read_findings(spark, path)
+    written = checkpointed(findings.read_findings(spark, path))
+    remove_folder(spark, path)
+    return written
 
 
 # --- names -------------------------------------------------------------------------------
@@ -151,6 +161,12 @@ def n11(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def n11_purposes(spark: SparkSession, sf: str) -> DataFrame:
+    """Resources named for a purpose of another family; every tenth claims a storage purpose."""
+    rows = fleet.inventory(spark, sf).withColumn("specific", F.when(F.col("noise") == 5, "uploads").otherwise(F.col("specific")))
+    return names.purpose_violations(rows).select(*RESOURCE, "kind", "specific", "expected_family")
+
+
 def n12(spark: SparkSession, sf: str) -> DataFrame:
     observed = fleet.inventory(spark, sf).select(*RESOURCE, "kind", F.col("observed_name").alias("name"))
     padded = observed.withColumn("name", F.concat("name", F.repeat(F.lit("-long"), F.col("l_linenumber"))))
@@ -167,10 +183,8 @@ def n13(spark: SparkSession, sf: str) -> DataFrame:
 
 def n14(spark: SparkSession, sf: str) -> DataFrame:
     envs = fleet.contexts(spark, sf).select("context_id", "env_name", "account_type", "account_id")
-    by_type = names.siblings(envs, "account_type").withColumnRenamed("siblings", "by_type")
-    return names.siblings(by_type, "account_id").select(
-        "context_id", "env_name", _text("by_type").alias("siblings_by_type"), _text("siblings").alias("siblings_by_id")
-    )
+    group = lambda by: names.siblings(envs, by).select(F.lit(by).alias("grouped_by"), F.col(by).alias("account"), _text("siblings").alias("siblings"))
+    return group("account_type").unionByName(group("account_id"))
 
 
 def n15(spark: SparkSession, sf: str) -> DataFrame:
@@ -221,7 +235,7 @@ def k1_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def k2(spark: SparkSession, sf: str) -> DataFrame:
-    return containers.container_violations(service_docs(spark, sf).drop("error", "env_name"))
+    return containers.container_violations(service_docs(spark, sf).select("doc_id", "doc"))
 
 
 def k3(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,6 +255,11 @@ def k4(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def map_rows(df: DataFrame, column: str, key: str) -> DataFrame:
+    """Entries of a map as rows. The outer form keeps Catalyst from building the map twice, once to filter on its size."""
+    return df.select("context_id", F.explode_outer(column).alias(key, "value")).filter(F.col(key).isNotNull())
+
+
 def tagged_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return fleet.contexts(spark, sf).withColumns(
         {
@@ -257,25 +276,31 @@ def tagged_contexts(spark: SparkSession, sf: str) -> DataFrame:
 def k5(spark: SparkSession, sf: str) -> DataFrame:
     stack = F.when(F.col("context_id") % 2 == 0, config.shared_stack_tags()).otherwise(config.application_stack_tags())
     merged = config.merge_tags(tagged_contexts(spark, sf), stack)
-    return merged.select("context_id", F.explode("merged_tags").alias("tag", "value"))
+    return map_rows(merged, "merged_tags", "tag")
 
 
 def k6(spark: SparkSession, sf: str) -> DataFrame:
     df = config.effective_settings(fleet.contexts(spark, sf))
-    return df.select("context_id", F.explode("settings").alias("key", "value"))
+    return map_rows(df, "settings", "key")
 
 
 def k7(spark: SparkSession, sf: str) -> DataFrame:
+    """Contexts of partly shipped orders count as not registered: their containers have an error instead."""
     context = fleet.contexts(spark, sf).select(
-        F.col("context_id").alias("doc_id"), "env_name", "app_name", "account_type", "region", "account_id"
+        F.col("context_id").alias("doc_id"), "env_name", "app_name", "account_type", "region", "account_id",
+        (F.col("version") != "vP").alias("known"),
+    )
+    rows = fleet.containers(spark, sf).drop("env_name", "app_name").join(context.filter("known"), "doc_id", "left")
+    found = F.col("known").isNotNull()
+    return containers.effective_env(rows).select(
+        *CONTAINER, "image", F.when(found, maps.map_text(F.col("env_vars"))).alias("env_vars"),
+        F.when(~found, "no context for the document").alias("error"),
     )
-    rows = spread(fleet.containers(spark, sf).drop("env_name", "app_name")).join(context, "doc_id")
-    return containers.effective_env(rows).select(*CONTAINER, "image", maps.map_text(F.col("env_vars")).alias("env_vars"))
 
 
 def k8(spark: SparkSession, sf: str) -> DataFrame:
     df = config.settings_to_env(config.effective_settings(fleet.contexts(spark, sf)))
-    return df.select("context_id", F.explode("env_vars").alias("variable", "value"))
+    return map_rows(df, "env_vars", "variable")
 
 
 def k9(spark: SparkSession, sf: str) -> DataFrame:
@@ -321,11 +346,18 @@ def k14(spark: SparkSession, sf: str) -> DataFrame:
     return containers.primary_container(fleet.containers(spark, sf), ["doc_id"], fleet.LIST_ORDER)
 
 
+def k14_first_task(spark: SparkSession, sf: str) -> DataFrame:
+    """The primary container of the first task only, which is the one that is deployed."""
+    rows = containers.explode_containers(service_docs(spark, sf)).filter("task_no = 0")
+    rows = rows.withColumn("port", containers.container_port(F.col("portMappings")))
+    return containers.primary_container(rows, ["doc_id"], ["pos", "port"])
+
+
 def k15(spark: SparkSession, sf: str) -> DataFrame:
     ports = containers.normalised_ports(F.col("name"), F.col("portMappings"))
     return fleet.containers(spark, sf).select(
-        *CONTAINER, F.inline(ports).alias("mapping_name", "container_port", "host_port", "protocol", "app_protocol")
-    )
+        *CONTAINER, F.inline_outer(ports).alias("mapping_name", "container_port", "host_port", "protocol", "app_protocol")
+    ).filter(F.col("container_port").isNotNull())
 
 
 def k16(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,13 +375,19 @@ def k18(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("l_orderkey", "variable", name.alias("secret_name"), naming.secret_path(name).alias("path"))
 
 
+def t1_secret_exports(spark: SparkSession, sf: str) -> DataFrame:
+    df = fleet.fleet_table(spark, sf, "secret_requests")
+    return topology.secret_exports(df.withColumn("secret_name", secrets.secret_name(F.col("variable"))))
+
+
 def k19(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.distinct_secrets(fleet.containers(spark, sf), ["doc_id"])
 
 
 def k20(spark: SparkSession, sf: str) -> DataFrame:
-    requested = k18(spark, sf).select("path", "variable")
-    plan = secrets.secret_plan(requested, fleet.fleet_table(spark, sf, "existing_secrets"))
+    df = fleet.fleet_table(spark, sf, "secret_requests")
+    requested = df.select(naming.secret_path(secrets.secret_name(F.col("variable"))).alias("path"), "variable", "request_no")
+    plan = secrets.secret_plan(requested, fleet.fleet_table(spark, sf, "existing_secrets"), "request_no")
     return plan.withColumn("variables", _text("variables"))
 
 
@@ -371,7 +409,9 @@ def k22(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def required_roles(spark: SparkSession, sf: str) -> DataFrame:
-    return requirements.requirements(fleet.resolved_contexts(spark, sf))
+    """Requirements of all contexts; the account type of every 23rd is unknown."""
+    known = F.when(F.col("context_id") % 23 != 0, F.col("account_type"))
+    return requirements.requirements(fleet.resolved_contexts(spark, sf).withColumn("account_type", known))
 
 
 def q1(spark: SparkSession, sf: str) -> DataFrame:
@@ -382,17 +422,18 @@ def q1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def role_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    """Roles that some context of an open order created, without those in us-west-2 for storage."""
+    """Roles that some context of an open order created, without those in us-west-2 for storage; half are listed twice."""
     created = required_roles(spark, sf).filter("version <> 'vP' AND expected_name IS NOT NULL").filter(
         ~((F.col("region") == "us-west-2") & (F.col("purpose") == "S3Access"))
         & ~((F.col("region") == "us-east-1") & (F.col("account_id") == "100000000000") & (F.col("purpose") == "EcsTask"))
     )
-    return created.groupBy("account_id", F.col("expected_name").alias("role_name")).agg(
+    once = created.groupBy("account_id", F.col("expected_name").alias("role_name")).agg(
         F.max(F.when(F.col("app_name") == "AppOne", f"Principal {rules.TASK_SERVICE}").otherwise("Principal lambda")).alias("trust_document"),
         F.max(
             F.when(F.col("region") != "us-west-1", F.array(F.lit(f"arn:aws:iam::aws:policy/service-role/{rules.EXECUTION_POLICY}")))
         ).alias("policy_arns"),
     )
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.length("role_name") % 2))).drop("_copy")
 
 
 def checked_roles(spark: SparkSession, sf: str) -> DataFrame:
@@ -424,7 +465,7 @@ def q4_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q5(spark: SparkSession, sf: str) -> DataFrame:
-    return requirements.requirement_report(required_roles(spark, sf).filter("expected_name IS NOT NULL"))
+    return requirements.requirement_report(required_roles(spark, sf))
 
 
 def q6(spark: SparkSession, sf: str) -> DataFrame:
@@ -478,10 +519,16 @@ def q11(spark: SparkSession, sf: str) -> DataFrame:
 # --- topology ----------------------------------------------------------------------------
 
 
+EXPORT = ["account_no", "region", "name"]
+
+
+def published(spark: SparkSession, sf: str) -> DataFrame:
+    """Exports of the stacks that are deployed; the others are declared only."""
+    return fleet.fleet_table(spark, sf, "exports").filter("published").drop("published")
+
+
 def t1(spark: SparkSession, sf: str) -> DataFrame:
-    return topology.unresolved_imports(
-        fleet.fleet_table(spark, sf, "imports"), fleet.fleet_table(spark, sf, "exports"), ["name"]
-    )
+    return topology.unresolved_imports(fleet.fleet_table(spark, sf, "imports"), published(spark, sf), EXPORT)
 
 
 def t1_expected(spark: SparkSession, sf: str) -> DataFrame:
@@ -494,7 +541,7 @@ def t1_expected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def t2(spark: SparkSession, sf: str) -> DataFrame:
-    return topology.duplicate_exports(fleet.fleet_table(spark, sf, "exports"), ["account_no", "name"])
+    return topology.duplicate_exports(published(spark, sf), EXPORT)
 
 
 def t3(spark: SparkSession, sf: str) -> DataFrame:
@@ -503,8 +550,8 @@ def t3(spark: SparkSession, sf: str) -> DataFrame:
 
 def t4(spark: SparkSession, sf: str) -> DataFrame:
     return topology.undeclared_dependencies(
-        fleet.fleet_table(spark, sf, "imports"), fleet.fleet_table(spark, sf, "exports"),
-        fleet.fleet_table(spark, sf, "declared_deps"), ["name"], stack="stack_id",
+        fleet.fleet_table(spark, sf, "imports"), published(spark, sf),
+        fleet.fleet_table(spark, sf, "declared_deps").filter("declared"), EXPORT, stack="stack_id",
     )
 
 
@@ -522,7 +569,10 @@ def t5_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1(spark: SparkSession, sf: str) -> DataFrame:
     flat = policy.flatten_statements(policies(spark, sf))
-    return flat.select("policy_id", "statement_no", "sid", "effect", "action", "resource")
+    return flat.select(
+        "policy_id", "statement_no", "sid", "effect", "action", "resource", _text("not_actions").alias("not_actions"),
+        _text("not_resources").alias("not_resources"), "error",
+    )
 
 
 def p2(spark: SparkSession, sf: str) -> DataFrame:
@@ -548,6 +598,9 @@ SAMPLE_STATEMENTS = [
     ("role-2", "Odd", "Allow", ["s*:Get*"], ["/staging/app?one/*", "/st(a)ging"], None),
     ("role-2", "Exact", "Allow", ["KMS:decrypt"], ["/production/app.one/key"], None),
     ("role-2", "Upper", "Deny", ["ecs:*"], ["/STAGING/*"], None),
+    ("role-3", "Most", "Allow", ["*"], ["*"], None),
+    ("role-3", "Unless", "Deny", ["ecs:*", "kms:*"], ["/staging/*", "/development/*"], ("StringNotEquals", "kms:ViaService", ["x"])),
+    ("role-3", "Never", "Deny", ["kms:Dec*"], ["/development/*"], ("StringLike", "kms:ViaService", ["*.us-*"])),
 ]
 
 
@@ -563,9 +616,9 @@ def sample_statements(spark: SparkSession, with_conditions: bool) -> DataFrame:
 
 
 def p3(spark: SparkSession, sf: str) -> DataFrame:
-    return policy.evaluate(
-        fleet.fleet_table(spark, sf, "access_requests").drop("via_service"), sample_statements(spark, False), ["principal"]
-    )
+    """Requests repeat and lack ids, and some lack an action: ids play no part."""
+    requests = fleet.fleet_table(spark, sf, "access_requests").drop("via_service")
+    return policy.evaluate(requests, sample_statements(spark, False), ["principal"])
 
 
 def p4(spark: SparkSession, sf: str) -> DataFrame:
@@ -581,6 +634,10 @@ def p4(spark: SparkSession, sf: str) -> DataFrame:
     ).select("request_id", "decision", "matched_sid")
 
 
+def p4_unsupported(spark: SparkSession, sf: str) -> DataFrame:
+    return policy.unsupported_conditions(policies(spark, sf)).select("policy_id", "statement_no", "sid", "op", "key")
+
+
 def p5(spark: SparkSession, sf: str) -> DataFrame:
     conditions = F.transform("conditions", lambda c: F.concat_ws("|", c["op"], c["key"], F.array_join(c["patterns"], ";")))
     return policy.isolation_rules(fleet.contexts(spark, sf)).select(
@@ -605,6 +662,12 @@ def p6(spark: SparkSession, sf: str) -> DataFrame:
     return policy.trust_matches(fleet.fleet_table(spark, sf, "ci_subjects"), trust)
 
 
+def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Which of the policy documents' roles each distinct subject may assume."""
+    subjects = fleet.fleet_table(spark, sf, "ci_subjects").select("audience", "subject").distinct()
+    return policy.trust_matches(subjects, policy.trust_rules(policies(spark, sf), "policy_id"))
+
+
 # --- traffic -----------------------------------------------------------------------------
 
 # port, priority, pattern, target
@@ -621,7 +684,13 @@ AS_OF = "1998-06-01"
 
 def r1(spark: SparkSession, sf: str) -> DataFrame:
     routes = rules.rule_table(spark, "port int, priority int, pattern string, target string", SAMPLE_ROUTES)
-    return traffic.route(fleet.fleet_table(spark, sf, "http_requests"), routes, "page_id")
+    """Request ids repeat and are missing; paths are whole."""
+    return traffic.route(fleet.fleet_table(spark, sf, "http_requests"), routes)
+
+
+def r1_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over six rules for every part, with equal and missing priorities."""
+    return traffic.route(fleet.fleet_table(spark, sf, "http_requests"), fleet.fleet_table(spark, sf, "many_routes"))
 
 
 def r2(spark: SparkSession, sf: str) -> DataFrame:
@@ -639,7 +708,7 @@ def r4(spark: SparkSession, sf: str) -> DataFrame:
 
 def r5(spark: SparkSession, sf: str) -> DataFrame:
     objects = fleet.fleet_table(spark, sf, "objects").withColumnRenamed("created", "rotated_at")
-    return traffic.rotation_due(objects.filter(F.col("rotated_at") <= F.lit(AS_OF).cast("date")), ["l_orderkey"], AS_OF)
+    return traffic.rotation_due(objects, ["l_orderkey"], AS_OF)
 
 
 def st1(spark: SparkSession, sf: str) -> DataFrame:
@@ -661,6 +730,7 @@ QUERIES = {
     "s1_environment_registry": s1,
     "s2_layered_merge": s2,
     "s3_service_configs": s3,
+    "s3_missing_documents": s3_missing,
     "s4_policy_documents": s4,
     "s5_stack_manifest": s5,
     "s6_findings_sink": s6,
@@ -676,6 +746,7 @@ QUERIES = {
     "n9_stack_name": n9,
     "n10_full_name_identifiers": n10,
     "n11_name_audit": n11,
+    "n11_purposes": n11_purposes,
     "n12_name_limits": n12,
     "n13_name_collisions": n13,
     "n14_siblings": n14,
@@ -700,6 +771,7 @@ QUERIES = {
     "k12_retention_conflicts": k12_conflicts,
     "k13_container_port": k13,
     "k14_primary_container": k14,
+    "k14_first_task": k14_first_task,
     "k15_port_mappings": k15,
     "k16_batch_jobs": k16,
     "k17_health_checks": k17,
@@ -723,6 +795,7 @@ QUERIES = {
     "q11_rule_differences": q11,
     "t1_unresolved_imports": t1,
     "t1_expected_imports": t1_expected,
+    "t1_secret_exports": t1_secret_exports,
     "t2_duplicate_exports": t2,
     "t3_deploy_levels": t3,
     "t4_undeclared_dependencies": t4,
@@ -733,9 +806,12 @@ QUERIES = {
     "p2_policy_checks_strict": p2_strict,
     "p3_evaluate": p3,
     "p4_conditions": p4,
+    "p4_unsupported_conditions": p4_unsupported,
     "p5_isolation_rules": p5,
     "p6_trust_subjects": p6,
+    "p6_trust_documents": p6_documents,
     "r1_routes": r1,
+    "r1_many_routes": r1_many,
     "r2_health_states": r2,
     "r3_lifecycle": r3,
     "r4_dead_letters": r4,

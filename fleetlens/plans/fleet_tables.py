@@ -7,6 +7,7 @@ nested columns is added with DataFrame functions below.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ SELECT l_orderkey AS doc_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_q
   l_suppkey % 5 = 0 AS health_off, {_env('l_orderkey')} AS env_name, {_app('l_partkey')} AS app_name
 FROM lineitem""",
     "service_texts": f"""
-SELECT {_DOC_ID} AS doc_id, {_env('l_orderkey')} AS env_name,
+SELECT {_DOC_ID} AS doc_id, l_orderkey AS context_id, {_env('l_orderkey')} AS env_name,
   CASE {_DOC_CASE} WHEN 0 THEN '{{"vpcNamePattern":"dev"}}'
     WHEN 1 THEN '{{"ecsConfiguration":{{"taskDefinition":[]}}}}'
     WHEN 2 THEN '{{"ecsConfiguration":{{"taskDefinition":[{{"taskDefinitionName":" ","containerDefinitions":[]}}]}}}}'
@@ -96,21 +97,28 @@ SELECT event_id AS request_id, concat('role-', CAST(user_id % 4 AS VARCHAR(4)))
        WHEN 2 THEN 'staging' ELSE 'production' END,
        CASE WHEN event_id % 3 = 0 THEN '/shared/key' ELSE '/app.one/key' END) AS resource,
   CASE WHEN event_id % 7 = 0 THEN CAST(NULL AS VARCHAR(40)) ELSE 'secretsmanager.us-east-2.amazonaws.com' END AS via_service
+FROM events
+UNION ALL SELECT CASE WHEN event_id % 3 = 0 THEN event_id END, concat('role-', CAST(user_id % 4 AS VARCHAR(4))),
+  CASE WHEN event_id % 5 <> 0 THEN 'kms:Decrypt' END, '/development/app.one/key', 'secretsmanager.us-east-2.amazonaws.com'
 FROM events""",
     "exports": """
 SELECT concat('Development-sg-', CAST(s_suppkey % 40 AS VARCHAR(8)), '-id') AS name,
-  CAST(s_nationkey % 3 AS INT) AS account_no, s_suppkey AS stack_id
-FROM supplier WHERE s_suppkey % 3 <> 0""",
+  CAST(s_nationkey % 3 AS INT) AS account_no, CASE WHEN s_suppkey % 2 = 0 THEN 'us-east-1' ELSE 'us-west-2' END AS region,
+  s_suppkey AS stack_id, s_suppkey % 3 <> 0 AS published
+FROM supplier""",
     "imports": """
 SELECT DISTINCT concat('Development-sg-', CAST(l_suppkey % 50 AS VARCHAR(8)), '-id') AS name,
+  CAST(l_orderkey % 3 AS INT) AS account_no, CASE WHEN l_suppkey % 2 = 0 THEN 'us-east-1' ELSE 'us-west-2' END AS region,
   CAST(l_partkey % 10 AS BIGINT) AS stack_id
 FROM lineitem""",
     "declared_deps": """
-SELECT CAST(s_suppkey % 10 AS BIGINT) AS stack_id, s_suppkey AS depends_on FROM supplier WHERE s_nationkey < 12""",
+SELECT CAST(s_suppkey % 10 AS BIGINT) AS stack_id, s_suppkey AS depends_on, s_nationkey < 12 AS declared FROM supplier""",
     "stack_nodes": "SELECT p_partkey AS node, p_size AS declared_order FROM part",
     "stack_deps": """
-SELECT p_partkey AS node, CAST(floor(p_partkey / 2.0) AS BIGINT) AS depends_on, p_size AS declared_order
-FROM part WHERE p_partkey > 0""",
+SELECT p_partkey AS node, CASE WHEN p_partkey = 3 THEN CAST(7 AS BIGINT) WHEN p_partkey % 4 = 0 AND p_partkey > 4 THEN p_partkey - 4
+    WHEN p_partkey > 1 THEN CAST(floor(p_partkey / 2.0) AS BIGINT) END AS depends_on, p_size AS declared_order
+FROM part
+UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 10 = 9 AND p_partkey > 9 THEN p_partkey - 9 END, p_size FROM part""",
     "manifest_texts": """
 SELECT p_partkey AS manifest_id, concat('{"stackConfiguration":{"applicationName":"AppOne","stacks":[{"name":"S',
   CAST(p_partkey AS VARCHAR(20)), '","id":"alb","dependsOn":', CASE WHEN p_partkey % 3 = 0 THEN '[]' ELSE concat('["S',
@@ -118,25 +126,37 @@ SELECT p_partkey AS manifest_id, concat('{"stackConfiguration":{"applicationName
   ',"exports":["', p_brand, '","alb-arn"]}, /* second */ {"name":"T","id":"ecs","imports":["alb-arn"]},]}}') AS text
 FROM part""",
     "probes": """
-SELECT CAST(user_id % 20 AS INT) AS target, ts, event_id, event_type NOT IN ('error', 'click') AS ok FROM events""",
+SELECT CASE WHEN event_id % 89 = 0 THEN NULL WHEN event_id % 10 <> 0 THEN 0 ELSE CAST(user_id % 20 AS INT) END AS target,
+  CASE WHEN event_id % 97 <> 0 THEN ts END AS ts, event_id, event_type NOT IN ('error', 'click') AS ok FROM events""",
     "objects": """
-SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS created,
+SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 31 <> 0 THEN CAST(l_shipdate AS DATE) END AS created,
   CASE WHEN l_returnflag = 'R' THEN 'logs' ELSE 'documents' END AS class
 FROM lineitem""",
     "http_requests": """
-SELECT page_id, concat('/', split_part(url, '/', 4), '/', split_part(split_part(url, '/', 5), '?', 1)) AS path,
-  CASE WHEN substr(url, 1, 5) = 'https' THEN 443 ELSE 80 END AS port
+SELECT CASE WHEN page_id % 5 <> 0 THEN page_id % 100 END AS page_id, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path,
+  CASE WHEN page_id % 41 = 0 THEN NULL WHEN substr(url, 1, 5) = 'https' THEN 443 ELSE 80 END AS port
 FROM pages""",
+    "many_routes": """
+SELECT CASE WHEN p_partkey % 2 = 0 THEN 443 ELSE 80 END AS port, CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_size % 7 AS INT) END AS priority,
+  concat('/', language, CASE WHEN p_partkey % 3 = 0 THEN '/*' ELSE '/' END, CAST(p_partkey AS VARCHAR(20)),
+    CASE CAST(p_partkey % 5 AS INT) WHEN 0 THEN '' WHEN 1 THEN '*' WHEN 2 THEN '.h*l' WHEN 3 THEN '/*' ELSE '?html' END) AS pattern,
+  concat('service-', CAST(p_partkey AS VARCHAR(20))) AS target
+FROM part CROSS JOIN (SELECT 'en' AS language UNION ALL SELECT 'de' UNION ALL SELECT 'fr' UNION ALL SELECT 'es'
+  UNION ALL SELECT 'it' UNION ALL SELECT 'nl') languages""",
     "messages": """
 SELECT event_type AS queue, concat(CAST(user_id AS VARCHAR(20)), ':', props) AS message_id, event_id, ts FROM events""",
     "expected_state": """
-SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS tier, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders""",
+SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS tier, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders
+UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END, 'again', o_orderpriority, CAST(1 AS DECIMAL(18,2)) FROM orders WHERE o_orderkey % 97 < 2
+UNION ALL SELECT o_orderkey, 'first', o_orderpriority, CAST(2 AS DECIMAL(18,2)) FROM orders WHERE o_orderkey % 51 < 2""",
     "actual_state": """
 SELECT o_orderkey AS id, o_orderstatus AS status,
   CASE WHEN o_orderkey % 13 = 0 THEN 'manual' ELSE o_orderpriority END AS tier, CAST(o_totalprice AS DECIMAL(18,2)) AS price
 FROM orders WHERE o_orderkey % 17 <> 0
 UNION ALL
-SELECT -o_orderkey - 1, o_orderstatus, o_orderpriority, CAST(o_totalprice AS DECIMAL(18,2)) FROM orders WHERE o_orderkey % 101 = 0""",
+SELECT -o_orderkey - 1, o_orderstatus, o_orderpriority, CAST(o_totalprice AS DECIMAL(18,2)) FROM orders WHERE o_orderkey % 101 = 0
+UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END, 'again', o_orderpriority, CAST(1 AS DECIMAL(18,2)) FROM orders WHERE o_orderkey % 97 < 2
+UNION ALL SELECT o_orderkey, 'second', o_orderpriority, CAST(2 AS DECIMAL(18,2)) FROM orders WHERE o_orderkey % 51 < 2""",
     "tag_rows": """
 SELECT c_custkey AS resource_id, CASE WHEN c_nationkey % 2 = 0 THEN 'secret' ELSE 'role' END AS scope,
   CASE WHEN c_custkey % 9 = 0 THEN CAST(NULL AS VARCHAR(20)) WHEN c_custkey % 5 = 0 THEN 'development' ELSE 'Development' END AS environment,
@@ -147,7 +167,7 @@ FROM customer""",
 SELECT s_nationkey AS service, s_suppkey AS pos, CASE WHEN s_suppkey % 4 = 0 THEN 'pending' ELSE 'available' END AS state
 FROM supplier""",
     "services": "SELECT n_nationkey AS service, n_name AS service_name FROM nation",
-    "drift_events": "SELECT event_id, ts, CAST(user_id % 4 AS INT) AS env_id, event_type = 'error' AS is_drift FROM events",
+    "drift_events": "SELECT event_id, CASE WHEN event_id % 97 <> 0 THEN ts END AS ts, CAST(user_id % 4 AS INT) AS env_id, event_type = 'error' AS is_drift FROM events",
     "contexts": f"""
 SELECT o_orderkey AS context_id, {_env('o_orderkey')} AS env_name, {_app('o_orderkey')} AS app_name,
   {_region('o_custkey')} AS region, concat('10000000000', CAST(o_custkey % 4 AS VARCHAR(4))) AS account_id,
@@ -157,17 +177,21 @@ SELECT o_orderkey AS context_id, {_env('o_orderkey')} AS env_name, {_app('o_orde
   o_orderpriority AS priority
 FROM orders""",
     "policy_docs": """
-SELECT o_orderkey AS policy_id, CASE CAST(o_orderkey % 5 AS INT)
+SELECT o_orderkey AS policy_id, CASE CAST(CASE WHEN o_orderkey % 1000 = 5 THEN 8 ELSE o_orderkey % 8 END AS INT)
   WHEN 0 THEN '{"Statement":[{"Sid":"A","Effect":"Allow","Action":"s3:*","Resource":"*"}]}'
   WHEN 1 THEN '{"Statement":[{"Sid":"B","Effect":"Allow","Action":["secretsmanager:GetSecretValue","kms:Decrypt"],"Resource":["/dev/*"]}]}'
   WHEN 2 THEN '{"Statement":[{"Sid":"C","Effect":"Deny","Action":["secretsmanager:GetSecretValue"],"Resource":"*"},{"Sid":"D","Effect":"Allow","Action":"kms:Decrypt","Resource":["/dev/a","/stg/b"]}]}'
   WHEN 3 THEN '{"Statement":{"Sid":"E","Effect":"Allow","Principal":{"Service":"ecs"},"Action":"sts:AssumeRole","Resource":"*","Condition":{"StringLike":{"k":["a*","b"]}}}}'
-  ELSE '{"Statement":[]}' END AS text
+  WHEN 4 THEN '{"Statement":[]}'
+  WHEN 5 THEN '{"Statement":[{"Sid":"F","Effect":"Allow","Principal":{"Service":"ecs"},"Action":"sts:AssumeRole"}]}'
+  WHEN 6 THEN '{"Statement":[{"Sid":"G","Effect":"Deny","NotAction":["s3:*"],"Resource":"*","Condition":{"StringNotEquals":{"k":"v"}}},{"Sid":"H","Effect":"Allow","Action":"s3:Get*","NotResource":["/dev/*","/stg/*"]}]}'
+  WHEN 7 THEN '{broken'
+  ELSE '{"Statement":[{"Sid":"T","Effect":"Allow","Principal":{"Federated":"oidc"},"Action":"sts:AssumeRoleWithWebIdentity","Condition":{"StringEquals":{"token:aud":"sts.amazonaws.com"},"StringLike":{"token:sub":["repo:org/app:ref:refs/heads/feature/*","repo:org/app:pull_request"]}}}]}' END AS text
 FROM orders""",
     "list_exports": """
 SELECT s_suppkey AS export_id, CASE CAST(s_suppkey % 3 AS INT)
   WHEN 0 THEN concat('sub-', CAST(s_suppkey AS VARCHAR(8)), ',sub-x,sub-y')
-  WHEN 1 THEN concat('sub-', CAST(s_suppkey AS VARCHAR(8)), ',sub-x') ELSE 'sub-only' END AS joined
+  WHEN 1 THEN concat('sub-', CAST(s_suppkey AS VARCHAR(8)), ',sub-x') ELSE CASE WHEN s_suppkey % 2 = 0 THEN 'sub-only' END END AS joined
 FROM supplier""",
     "ci_subjects": """
 SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'other.audience' ELSE 'sts.amazonaws.com' END AS audience,
@@ -180,7 +204,7 @@ SELECT o_orderkey AS registry_id, concat('{"Environments":{"', CASE CAST(o_order
     WHEN 1 THEN 'Integration' WHEN 2 THEN 'Staging' WHEN 3 THEN 'Production' ELSE 'Sandbox' END, '":{',
   CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat('"accountId":"10000000000', CAST(o_custkey % 4 AS VARCHAR(4)), '",') END,
   CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN '' WHEN 1 THEN '"AccountType":"Production",' ELSE '"AccountType":"bogus",' END,
-  CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 11 = 3 THEN '"Region":"eu-west-1",' ELSE '"Region":"us-west-2",' END, '"Tags":{"Owner":"', o_orderpriority, '",}}}}') AS text
+  CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 11 = 3 THEN '"Region":"eu-west-1",' ELSE '"Region":"us-west-2",' END, '"Tags":{"Owner":"', o_orderpriority, '","region":"r","tags":"t",}}}}') AS text
 FROM orders""",
     "existing_secrets": f"""
 SELECT concat('/', lower({_env('s_suppkey')}), '/appone/openaioptions-apikey_', CAST(s_suppkey AS VARCHAR(20))) AS path,
@@ -188,10 +212,13 @@ SELECT concat('/', lower({_env('s_suppkey')}), '/appone/openaioptions-apikey_',
 FROM supplier""",
     "secret_requests": f"""
 SELECT l_orderkey, concat({_SECRET}, '_', CAST(CAST(floor(l_suppkey / 3.0) AS BIGINT) AS VARCHAR(20))) AS variable,
-  {_env('l_suppkey')} AS env_name, 'AppOne' AS app_name
+  {_env('l_suppkey')} AS env_name, 'AppOne' AS app_name, l_orderkey * 8 + l_linenumber AS request_no
 FROM lineitem""",
     "order_keys": "SELECT o_custkey AS resource_id, CASE WHEN o_orderstatus = 'F' THEN concat('key-', o_orderpriority) END AS kms_key_id FROM orders",
-    "new_codes": "SELECT s_name AS app_name, concat('n', CAST(s_nationkey AS VARCHAR(4))) AS app_code, s_suppkey AS seq FROM supplier",
+    "new_codes": """
+SELECT s_name AS app_name, concat('n', CAST(s_nationkey AS VARCHAR(4))) AS app_code, s_suppkey AS seq FROM supplier
+UNION ALL SELECT concat(s_name, '-tie'), concat('t', CAST(s_nationkey AS VARCHAR(4))), s_nationkey FROM supplier
+UNION ALL SELECT CASE WHEN s_suppkey % 2 = 0 THEN concat(s_name, '-half') END, CASE WHEN s_suppkey % 2 = 1 THEN 'half' END, s_suppkey FROM supplier""",
 }
 
 _SOURCES = (
@@ -238,6 +265,15 @@ def with_observed_name(resolved: DataFrame) -> DataFrame:
     ).drop("expected_name")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, source: str, key: list[str]) -> DataFrame:
+    """A fleet table whose source rows are dealt out first: the sample tables are one row group each, so one task."""
+    view = f"dealt_{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/{source}.parquet").repartition(*key).createOrReplaceTempView(view)
+    rows = spark.sql(TABLES[name].replace(f"FROM {source}", f"FROM {view}"))
+    spark.catalog.dropTempView(view)
+    return rows
+
+
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet_table(spark, sf_dir, "contexts")
 

@@ -6,9 +6,48 @@ plain SQL. Operators whose result a single statement cannot express have none.
 
 from __future__ import annotations
 
-from fleetlens import rules
 from fleetlens.plans.catalog import AS_OF, SAMPLE_ROUTES, SAMPLE_STATEMENTS, SAMPLE_TRUST
-from fleetlens.plans.fleet_tables import SAMPLE_KINDS, SETTINGS, TABLES
+from fleetlens.plans.fleet_tables import SAMPLE_KINDS, TABLES
+
+# --- fixed values, written out again so that a wrong rule cannot agree with itself ---------
+
+DOMAIN, ORGANISATION, WEB_HOST, LOG_SERVICE = "example.io", "example", "app.example.io", "web-app"
+APPLICATIONS = [("AppOne", "one"), ("Cdk", "cdk")]
+ENVIRONMENTS = [
+    ("Development", "dev", "NonProduction"), ("Integration", "int", "NonProduction"),
+    ("Staging", "stg", "Production"), ("Production", "prod", "Production"),
+]
+REGIONS = [("us-east-1", "ue1"), ("us-east-2", "ue2"), ("us-west-1", "uw1"), ("us-west-2", "uw2")]
+SETTING_VALUES = [
+    ("development", "EnableDetailedLogging", "True"), ("integration", "EnableDetailedLogging", "True"),
+    ("staging", "EnableDetailedLogging", "False"), ("production", "EnableDetailedLogging", "False"),
+    ("development", "EnableMockExternalServices", "True"), ("development", "UseLocalDatabase", "False"),
+    ("development", "EnableDebugMode", "True"), ("development", "CacheEnabled", "False"),
+    ("staging", "EnableMockExternalServices", "False"), ("staging", "UseProductionConfiguration", "True"),
+    ("staging", "EnableStagingFeatures", "True"), ("staging", "CacheEnabled", "True"), ("staging", "EnableBlueGreenDeployment", "True"),
+    ("production", "EnableMockExternalServices", "False"), ("production", "UseProductionConfiguration", "True"),
+    ("production", "EnableHighAvailability", "True"), ("production", "CacheEnabled", "True"),
+    ("production", "EnableDisasterRecovery", "True"), ("production", "EnableAdvancedMonitoring", "True"),
+]
+SIZE_COLUMNS = {
+    "instance_type": "VARCHAR", "min_capacity": "INTEGER", "max_capacity": "INTEGER", "desired_capacity": "INTEGER",
+    "database_class": "VARCHAR", "lambda_memory": "INTEGER", "task_cpu": "DOUBLE", "task_memory": "INTEGER",
+    "cache_node": "VARCHAR", "search_instance": "VARCHAR", "high_availability": "BOOLEAN", "backup_days": "INTEGER",
+}
+SMALL = ("t3.small", 1, 2, 1, "db.t3.micro", 512, 0.5, 1024, "cache.t3.micro", "t3.small.search", False, 1)
+MEDIUM = ("t3.medium", 1, 5, 2, "db.t3.small", 768, 1.0, 2048, "cache.t3.small", "t3.small.search", True, 7)
+LARGE = ("t3.large", 2, 10, 4, "db.t3.medium", 1024, 2.0, 4096, "cache.t3.medium", "t3.medium.search", True, 30)
+UNSET = ("t3.micro", 1, 3, 1, "db.t3.micro", 512, 0.5, 1024, "cache.t3.micro", "t3.small.search", False, 1)
+POLICY_SIZES = [("Development", *SMALL), ("Integration", *SMALL), ("Staging", *MEDIUM), ("Production", *LARGE)]
+EFFECTIVE_SIZES = [("development", *SMALL), ("integration", *SMALL), ("staging", *LARGE), ("production", *UNSET)]
+GUIDE_DAYS = [("Development", 7), ("Integration", 14), ("Staging", 30), ("Production", 90)]
+# imports that no stack exports, and who asks for them
+NEVER_EXPORTED = [("provider", "sg-bastion-id")]
+# purposes that resources, roles and buckets may have, as far as the sample kinds use them
+KIND_PURPOSES = [
+    ("ecs_cluster", "resource"), ("ecs_service", "resource"), ("rds_instance", "resource"), ("role", "iam"), ("sg_alb", "resource"),
+    ("log_group", "resource"),
+]
 
 
 def _literal(value) -> str:
@@ -31,9 +70,9 @@ def with_tables(*parts: str) -> str:
     return "WITH " + ",\n".join(f"{p} AS ({TABLES[p]})" if p in TABLES else p for p in parts) + "\n"
 
 
-ENV = values("dim_env", "env_name, env_prefix, env_account_type", rules.ENVIRONMENTS)
-APP = values("dim_app", "app_name, app_code", list(SETTINGS.applications))
-REG = values("dim_region", "region, region_code", rules.REGIONS)
+ENV = values("dim_env", "env_name, env_prefix, env_account_type", ENVIRONMENTS)
+APP = values("dim_app", "app_name, app_code", APPLICATIONS)
+REG = values("dim_region", "region, region_code", REGIONS)
 KINDS = values("kinds", "kind_id, kind, specific, service", SAMPLE_KINDS)
 DIMS = (ENV, APP, REG)
 
@@ -51,7 +90,7 @@ SG_NAME = (
 )
 BUCKET_NAME = (
     "CASE WHEN env_prefix IS NOT NULL AND app_code IS NOT NULL AND region_code IS NOT NULL "
-    f"THEN lower(concat_ws('-', '{SETTINGS.domain}', env_prefix, app_code, {{specific}}, region_code)) END"
+    f"THEN lower(concat_ws('-', '{DOMAIN}', env_prefix, app_code, {{specific}}, region_code)) END"
 )
 LOG_NAME = (
     "CASE WHEN env_prefix IS NOT NULL AND app_code IS NOT NULL "
@@ -107,7 +146,7 @@ SELECT o_orderkey AS registry_id, env_name,
   CASE WHEN o_orderkey % 7 <> 0 THEN '10000000000' || CAST(o_custkey % 4 AS VARCHAR) END AS account_id,
   CASE WHEN o_custkey % 3 = 1 THEN 'Production' ELSE env_account_type END AS account_type,
   CASE WHEN o_orderkey % 4 = 0 THEN 'us-east-1' WHEN o_orderkey % 11 = 3 THEN 'eu-west-1' ELSE 'us-west-2' END AS region,
-  'Owner=' || o_orderpriority AS tags,
+  'Owner=' || o_orderpriority || ';region=r;tags=t' AS tags,
   CASE WHEN o_orderkey % 7 = 0 THEN 'AccountId is required' WHEN env_name = 'Sandbox' AND o_custkey % 3 <> 1 THEN 'Unknown environment: Sandbox'
     WHEN o_orderkey % 4 <> 0 AND o_orderkey % 11 = 3 THEN 'Unsupported region ''eu-west-1'' in environment ''' || env_name || '''' END AS error
 FROM base LEFT JOIN dim_env USING (env_name)"""
@@ -139,18 +178,32 @@ SELECT text_id AS doc_id, env_name, CASE WHEN doc_case = 0 THEN 'Invalid ECS con
   CAST(CASE WHEN doc_case < 2 THEN NULL WHEN doc_case = 2 THEN 0 ELSE 2 END AS INTEGER) AS n_containers
 FROM docs"""
 
+_OIDC = "StringEquals|token:aud|sts.amazonaws.com,StringLike|token:sub|repo:org/app:ref:refs/heads/feature/*/repo:org/app:pull_request"
+# case, number, sid, effect, actions, resources, not actions, not resources, principal, conditions, error
 _POLICY_STATEMENTS = [
-    (0, 0, "A", "Allow", "s3:*", "*", None, None),
-    (1, 0, "B", "Allow", "secretsmanager:GetSecretValue,kms:Decrypt", "/dev/*", None, None),
-    (2, 0, "C", "Deny", "secretsmanager:GetSecretValue", "*", None, None),
-    (2, 1, "D", "Allow", "kms:Decrypt", "/dev/a,/stg/b", None, None),
-    (3, 0, "E", "Allow", "sts:AssumeRole", "*", '{"Service":"ecs"}', "StringLike|k|a*/b"),
-    (4, None, None, None, None, None, None, None),
+    (0, 0, "A", "Allow", "s3:*", "*", None, None, None, None, None),
+    (1, 0, "B", "Allow", "secretsmanager:GetSecretValue,kms:Decrypt", "/dev/*", None, None, None, None, None),
+    (2, 0, "C", "Deny", "secretsmanager:GetSecretValue", "*", None, None, None, None, None),
+    (2, 1, "D", "Allow", "kms:Decrypt", "/dev/a,/stg/b", None, None, None, None, None),
+    (3, 0, "E", "Allow", "sts:AssumeRole", "*", None, None, '{"Service":"ecs"}', "StringLike|k|a*/b", None),
+    (4, None, None, None, None, None, None, None, None, None, None),
+    (5, 0, "F", "Allow", "sts:AssumeRole", None, None, None, '{"Service":"ecs"}', None, None),
+    (6, 0, "G", "Deny", None, "*", "s3:*", None, None, "StringNotEquals|k|v", None),
+    (6, 1, "H", "Allow", "s3:Get*", None, None, "/dev/*,/stg/*", None, None, None),
+    (7, None, None, None, None, None, None, None, None, None, "document does not parse"),
+    (8, 0, "T", "Allow", "sts:AssumeRoleWithWebIdentity", None, None, None, '{"Federated":"oidc"}', _OIDC, None),
 ]
-POLICY_ROWS = values("p", "case_no, statement_no, sid, effect, actions, resources, principal, conditions", _POLICY_STATEMENTS)
+_POLICY_CASE = "CASE WHEN o_orderkey % 1000 = 5 THEN 8 ELSE o_orderkey % 8 END"
+POLICY_ROWS = values(
+    "p", "case_no, statement_no, sid, effect, actions, resources, not_actions, not_resources, principal, conditions, error", _POLICY_STATEMENTS
+)
 ORACLES["s4_policy_documents"] = f"""WITH {POLICY_ROWS}
-SELECT o_orderkey AS policy_id, CAST(statement_no AS INTEGER) AS statement_no, sid, effect, actions, resources, principal, conditions
-FROM orders JOIN p ON o_orderkey % 5 = case_no"""
+SELECT o_orderkey AS policy_id, CAST(statement_no AS INTEGER) AS statement_no, sid, effect, actions, resources, not_actions, not_resources,
+  principal, conditions, error
+FROM orders JOIN p ON {_POLICY_CASE} = case_no"""
+
+ORACLES["s3_missing_documents"] = f"""{DOC_BASE}, contexts AS ({TABLES['contexts']})
+SELECT context_id, env_name FROM contexts WHERE context_id NOT IN (SELECT l_orderkey FROM docs WHERE doc_case <> 0)"""
 
 ORACLES["s5_stack_manifest"] = """
 SELECT p_partkey AS manifest_id, 'node' AS part, 'S' || p_partkey AS stack, 'alb:' || p_size AS value FROM part
@@ -175,7 +228,7 @@ ORACLES["n4_security_group_name"] = _named(SG_NAME.format(type="type_code", spec
 ORACLES["n5_bucket_name"] = _named(BUCKET_NAME.format(specific="specific"))
 ORACLES["n6_log_group_name"] = _named(LOG_NAME.format(type="type_code", specific="specific"))
 ORACLES["n6_shared_log_group_name"] = _named(SHARED_LOG.format(type="type_code", specific="specific"))
-ORACLES["n7_image_repository_name"] = _named(f"'{SETTINGS.organisation}/' || lower(app_name) || '/Repo-' || specific")
+ORACLES["n7_image_repository_name"] = _named(f"'{ORGANISATION}/' || lower(app_name) || '/Repo-' || specific")
 
 _ARN_KIND = "CASE kind_id % 3 WHEN 0 THEN 'role' WHEN 1 THEN 'policy' ELSE 'user' END"
 ORACLES["n8_arn"] = f"""{NAMES}, a AS (SELECT *, '10000000000' || (l_orderkey % 4) AS account_id, {_ARN_KIND} AS arn_kind,
@@ -199,6 +252,10 @@ FROM resolved"""
 ORACLES["n11_name_audit"] = f"""{NAMES}
 SELECT {RES}, kind, observed_name, expected_name, lower(observed_name) = lower(expected_name) AS is_valid FROM inventory"""
 
+_FAMILIES = values("kind_families", "kind, expected_family", KIND_PURPOSES)
+ORACLES["n11_purposes"] = f"""{NAMES}, {_FAMILIES}
+SELECT {RES}, kind, 'uploads' AS specific, expected_family FROM inventory JOIN kind_families USING (kind) WHERE noise = 5"""
+
 ORACLES["n12_name_limits"] = f"""{NAMES}, padded AS (SELECT {RES}, kind, observed_name || repeat('-long', l_linenumber) AS name FROM inventory),
 checked AS (SELECT *, CASE WHEN kind IN ('bucket', 'rds_instance') AND length(name) > 63 THEN 'too long: ' || length(name) || ' chars, max 63'
     WHEN kind = 'ecs_cluster' AND length(name) > 255 THEN 'too long: ' || length(name) || ' chars, max 255' END AS long,
@@ -210,10 +267,9 @@ ORACLES["n13_name_collisions"] = f"""{NAMES}
 SELECT account_type, lower(observed_name) AS lower_name, string_agg(DISTINCT env_name, ',' ORDER BY env_name) AS environments
 FROM inventory WHERE observed_name IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT env_name) > 1"""
 
-ORACLES["n14_siblings"] = f"""{with_tables("contexts")},
-t AS (SELECT account_type, string_agg(DISTINCT env_name, ',' ORDER BY env_name) AS siblings_by_type FROM contexts GROUP BY 1),
-a AS (SELECT account_id, string_agg(DISTINCT env_name, ',' ORDER BY env_name) AS siblings_by_id FROM contexts GROUP BY 1)
-SELECT context_id, env_name, siblings_by_type, siblings_by_id FROM contexts JOIN t USING (account_type) JOIN a USING (account_id)"""
+ORACLES["n14_siblings"] = f"""{with_tables("contexts")}
+SELECT 'account_type' AS grouped_by, account_type AS account, string_agg(DISTINCT env_name, ',' ORDER BY env_name) AS siblings FROM contexts GROUP BY 2
+UNION ALL SELECT 'account_id', account_id, string_agg(DISTINCT env_name, ',' ORDER BY env_name) FROM contexts GROUP BY 2"""
 
 ORACLES["n15_environments_by_account"] = f"""{with_tables("contexts")}
 SELECT CASE WHEN context_id % 11 = 0 THEN 'Unknown' ELSE account_id END AS account_id,
@@ -221,10 +277,13 @@ SELECT CASE WHEN context_id % 11 = 0 THEN 'Unknown' ELSE account_id END AS accou
   string_agg(DISTINCT env_name, ',' ORDER BY env_name) AS environments, count(*) AS n_rows
 FROM contexts WHERE version <> 'vP' GROUP BY 1, 2"""
 
-ORACLES["n16_register_codes"] = f"""WITH dim(app_name, app_code) AS (VALUES ('AppOne', 'tfv2'), ('Cdk', 'cdk'), ('Taken', 'n7'), ('Other', 'n11')),
-new_rows AS (SELECT s_name AS app_name, 'n' || s_nationkey AS app_code, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier)
+ORACLES["n16_register_codes"] = """WITH dim(app_name, app_code) AS (VALUES ('AppOne', 'one'), ('Cdk', 'cdk'), ('Taken', 'n7'), ('Other', 'n11')),
+new_rows AS (SELECT s_name AS app_name, 'n' || s_nationkey AS app_code, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier
+  UNION ALL SELECT s_name || '-tie', 't' || s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name || '-tie') FROM supplier)
 SELECT app_name, app_code, 'registered' AS outcome FROM dim
-UNION ALL SELECT app_name, app_code, CASE WHEN rn = 1 AND app_code NOT IN (SELECT app_code FROM dim) THEN 'registered' ELSE 'code already in use' END FROM new_rows"""
+UNION ALL SELECT app_name, app_code, CASE WHEN rn = 1 AND app_code NOT IN (SELECT app_code FROM dim) THEN 'registered' ELSE 'code already in use' END FROM new_rows
+UNION ALL SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_name || '-half' END, CASE WHEN s_suppkey % 2 = 1 THEN 'half' END, 
+  CASE WHEN s_suppkey % 2 = 0 THEN 'code is missing' ELSE 'key is missing' END FROM supplier"""
 
 # --- configuration -----------------------------------------------------------------------
 
@@ -274,7 +333,7 @@ CONTEXTS = with_tables(
 ORACLES["k4_substitution"] = f"""{CONTEXTS}
 SELECT context_id, CASE WHEN context_id % 3 = 0 THEN 'plain $ENVIRONMENT {{x}}' ELSE env_name || '/' || account_type || '/' || version || '/' || region || '/'
   || coalesce({APP_NAME.format(type="'svc'", specific="'web'")}, '') || '/' || coalesce({APP_NAME.format(type="'task'", specific="'web'")}, '') || '/'
-  || coalesce({LOG_NAME.format(type=f"'{SETTINGS.log_service}'", specific="'web'")}, '') || '/' || env_name
+  || coalesce({LOG_NAME.format(type=f"'{LOG_SERVICE}'", specific="'web'")}, '') || '/' || env_name
   || '/${{TASK_ROLE_ARN}}/${{CERTIFICATE_ARN}}/${{TASK_ROLE_ARN}}' END AS text,
   CASE WHEN context_id % 3 = 0 THEN '' ELSE 'TASK_ROLE_ARN,CERTIFICATE_ARN' END AS unresolved
 FROM c"""
@@ -294,7 +353,7 @@ ORACLES["k5_tag_merge"] = f"""{with_tables("contexts")}, layers AS (
   UNION ALL SELECT context_id, 2, 'AccountType', account_type FROM contexts WHERE context_id % 2 <> 0)
 SELECT context_id, tag, arg_max(value, layer) AS value FROM layers GROUP BY context_id, tag"""
 
-SETTING_ROWS = values("setting_rows", "env, key, value", rules.BASE_SETTINGS + rules.ENVIRONMENT_SETTINGS)
+SETTING_ROWS = values("setting_rows", "env, key, value", SETTING_VALUES)
 ORACLES["k6_settings_merge"] = f"""{with_tables("contexts", SETTING_ROWS)}
 SELECT context_id, key, value FROM contexts JOIN setting_rows ON env = lower(env_name)"""
 ORACLES["k8_settings_to_env"] = f"""{with_tables("contexts", SETTING_ROWS)}
@@ -302,15 +361,15 @@ SELECT context_id, 'APP_' || upper(key) AS variable, value FROM contexts JOIN se
 
 _PLACEHOLDER = "(image IS NULL OR image = '' OR image = 'placeholder')"
 ORACLES["k7_container_environment"] = f"""WITH rows AS (SELECT l_orderkey, l_linenumber, name, image, env_case FROM ({TABLES['container_rows']})),
-contexts AS ({TABLES['contexts']})
-SELECT {RES}, name, image, 'ACCOUNT_TYPE=' || account_type || CASE WHEN {_PLACEHOLDER} THEN ';APP_NAME=' || app_name ELSE '' END
+contexts AS (SELECT * FROM ({TABLES['contexts']}) WHERE version <> 'vP')
+SELECT {RES}, name, image, CASE WHEN context_id IS NULL THEN 'no context for the document' END AS error, 'ACCOUNT_TYPE=' || account_type || CASE WHEN {_PLACEHOLDER} THEN ';APP_NAME=' || app_name ELSE '' END
   || ';APP_VERSION=1.0.0;AWS_ACCOUNT_ID=' || account_id || ';AWS_REGION=' || region
   || CASE WHEN {_PLACEHOLDER} THEN ';DEPLOYMENT_TYPE=placeholder;ENVIRONMENT=' || env_name || ';HEALTH_CHECK_PATH=/health;MANAGED_BY=CDK;PORT=8080'
      WHEN env_case = 1 THEN ';ENVIRONMENT=' || env_name || ';HEALTH_CHECK_PATH=/health;NIGHTLY_CRON=0 * * * *;PORT=8080'
      WHEN env_case = 2 THEN ';ENVIRONMENT=' || env_name || ';HEALTH_CHECK_PATH=/health;PORT=9090;health_check_path=status'
      WHEN env_case = 3 THEN ';ENVIRONMENT=Last;HEALTH_CHECK_PATH=/health;PORT=8080'
      ELSE ';ENVIRONMENT=' || env_name || ';HEALTH_CHECK_PATH=/health;PORT=8080' END AS env_vars
-FROM rows JOIN contexts ON l_orderkey = context_id"""
+FROM rows LEFT JOIN contexts ON l_orderkey = context_id"""
 
 ORACLES["k9_override"] = f"""{with_tables("contexts")}
 SELECT context_id, env_name, env_name IN ('Staging', 'Production') AS enhanced_monitoring,
@@ -318,18 +377,16 @@ SELECT context_id, env_name, env_name IN ('Staging', 'Production') AS enhanced_m
 
 
 def _sizing(rows: list[tuple], join: str) -> str:
-    names = [n for n, _ in rules.SIZING_COLUMNS]
-    table = values("sizes", "size_env, " + ", ".join(names), rows)
-    cast = {"int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
-    columns = ", ".join(f"CAST({n} AS {cast[t]}) AS {n}" for n, t in rules.SIZING_COLUMNS)
+    table = values("sizes", "size_env, " + ", ".join(SIZE_COLUMNS), rows)
+    columns = ", ".join(f"CAST({n} AS {kind}) AS {n}" for n, kind in SIZE_COLUMNS.items())
     return f"""{with_tables("contexts", table)}
 SELECT context_id, env_name, {columns}, CAST(task_cpu * 1024 AS INTEGER) AS cpu_units,
   CAST(CASE WHEN high_availability THEN 3 WHEN NOT high_availability THEN 2 END AS INTEGER) AS zones, high_availability AS deletion_protection
 FROM contexts LEFT JOIN sizes ON size_env = {join}"""
 
 
-ORACLES["k10_sizing_policy"] = _sizing(rules.SIZING_POLICY, "CASE WHEN env_name = 'Sandbox' THEN 'Development' ELSE env_name END")
-ORACLES["k10_sizing_effective"] = _sizing(rules.SIZING_EFFECTIVE, "lower(env_name)")
+ORACLES["k10_sizing_policy"] = _sizing(POLICY_SIZES, "CASE WHEN env_name = 'Sandbox' THEN 'Development' ELSE env_name END")
+ORACLES["k10_sizing_effective"] = _sizing(EFFECTIVE_SIZES, "lower(env_name)")
 
 ORACLES["k11_security_defaults"] = f"""{with_tables("contexts")}
 SELECT context_id, account_type, account_type = 'Production' AS enable_waf,
@@ -343,7 +400,7 @@ _RETENTION = """retained AS (
   UNION ALL SELECT context_id, env_name, 'shared_database', 'code', 7 FROM contexts)"""
 ORACLES["k12_retention"] = f"""{with_tables("contexts", _RETENTION)}
 SELECT context_id, env_name, subject, rule, CAST(days AS INTEGER) AS days FROM retained"""
-ORACLES["k12_retention_conflicts"] = f"""{with_tables("contexts", _RETENTION, values("guide", "env_name, days", rules.DOCUMENTED_LOG_DAYS))}
+ORACLES["k12_retention_conflicts"] = f"""{with_tables("contexts", _RETENTION, values("guide", "env_name, days", GUIDE_DAYS))}
 , everything AS (SELECT env_name, subject, days FROM retained
   UNION ALL SELECT env_name, 'app_logs', guide.days FROM contexts JOIN guide USING (env_name))
 SELECT env_name, subject, string_agg(CAST(days AS VARCHAR), ',' ORDER BY days) AS days
@@ -359,6 +416,13 @@ r AS (SELECT doc_id, name, {_PORT} AS port, row_number() OVER (PARTITION BY doc_
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN port IS NULL THEN 1 ELSE 0 END, pos) AS rn FROM r)
 SELECT doc_id, name AS primary_name, CAST(coalesce(port, 0) AS INTEGER) AS primary_port FROM best WHERE rn = 1"""
 
+ORACLES["k14_first_task"] = f"""{DOC_BASE},
+ported AS (SELECT rid, text_id, name, pos, CASE ports_case WHEN 2 THEN 8080 WHEN 3 THEN 8080 WHEN 4 THEN 70000 WHEN 9 THEN 8443 END AS port
+  FROM doc_containers WHERE task_no = 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY CASE WHEN port IS NULL THEN 1 ELSE 0 END, pos, port) AS rn FROM ported)
+SELECT text_id AS doc_id, CASE WHEN pos IS NULL THEN 'app' ELSE name END AS primary_name,
+  CAST(CASE WHEN pos IS NULL THEN 8080 ELSE coalesce(port, 0) END AS INTEGER) AS primary_port FROM best WHERE rn = 1"""
+
 ORACLES["k15_port_mappings"] = f"""{CONTAINERS}
 SELECT {RES}, name, name || '-' || container_port || '-' || lower(protocol) AS mapping_name, CAST(container_port AS INTEGER) AS container_port,
   CAST(CASE WHEN ports_case = 4 THEN 0 WHEN container_port = 80 THEN NULL ELSE 8080 END AS INTEGER) AS host_port, lower(protocol) AS protocol,
@@ -382,22 +446,24 @@ FROM container_rows"""
 
 _SECRETS = with_tables(
     "secret_requests",
-    "named AS (SELECT l_orderkey, variable, replace(lower(variable), '__', '-') AS secret_name, '/' || lower(env_name) || '/appone/' || replace(lower(variable), '__', '-') AS path FROM secret_requests)",
+    "named AS (SELECT l_orderkey, request_no, env_name, app_name, variable, replace(lower(variable), '__', '-') AS secret_name, '/' || lower(env_name) || '/appone/' || replace(lower(variable), '__', '-') AS path FROM secret_requests)",
 )
 ORACLES["k18_secret_names"] = f"{_SECRETS} SELECT l_orderkey, variable, secret_name, path FROM named"
 ORACLES["k19_distinct_secrets"] = f"""{with_tables("container_rows")}
 SELECT DISTINCT doc_id, secret_var AS secret FROM container_rows UNION SELECT DISTINCT doc_id, 'test-secret' FROM container_rows"""
 ORACLES["k20_secret_plan"] = f"""{_SECRETS}, existing AS ({TABLES['existing_secrets']})
-SELECT path, CASE WHEN path IN (SELECT path FROM existing WHERE lookup_ok) THEN 'import' ELSE 'create' END AS action, min(variable) AS served_variable,
+SELECT path, CASE WHEN path IN (SELECT path FROM existing WHERE lookup_ok) THEN 'import' ELSE 'create' END AS action, first(variable ORDER BY request_no, variable) AS served_variable,
   string_agg(DISTINCT variable, ',' ORDER BY variable) AS variables, count(*) AS n_requests, count(DISTINCT variable) > 1 AS is_collision
 FROM named GROUP BY path"""
+ORACLES["t1_secret_exports"] = f"""{_SECRETS}
+SELECT DISTINCT env_name, app_name, secret_name, env_name || '-' || app_name || '-' || secret_name || '-secret-arn' AS name FROM named"""
 ORACLES["k21_identity_secrets"] = f"""{with_tables("container_rows")}
 SELECT {RES}, CASE secret_var WHEN 'Cognito__Domain' THEN 'cognito-domain' ELSE 'openaioptions-apikey' END AS secret_name,
   secret_var = 'Cognito__Domain' AS is_identity FROM container_rows"""
 
 _URLS = []
 for _env, _prefix in [("production", ""), ("staging", "stg-"), ("development", "dev-"), ("integration", "int-"), (None, None)]:
-    _hosts = [] if _prefix is None else [f"https://{_prefix}{SETTINGS.web_host}"]
+    _hosts = [] if _prefix is None else [f"https://{_prefix}{WEB_HOST}"]
     if _env not in ("production", "staging"):
         _hosts += ["https://localhost:7015", "https://localhost:7243"]
     _URLS += [(_env, "callback", i, h + "/signin-oidc") for i, h in enumerate(_hosts)]
@@ -416,7 +482,7 @@ _ROLE_RULES = [
 REQUIRED = [
     "contexts", *DIMS, values("role_rules", "purpose, text, rules, only_type", _ROLE_RULES),
     f"""needed AS (SELECT c.*, r.*, {APP_NAME.format(type="'role'", specific="r.text")} AS expected_name
-  FROM contexts c LEFT JOIN dim_env USING (env_name) LEFT JOIN dim_app USING (app_name) LEFT JOIN dim_region USING (region)
+  FROM (SELECT * REPLACE (CASE WHEN context_id % 23 <> 0 THEN account_type END AS account_type) FROM contexts) c LEFT JOIN dim_env USING (env_name) LEFT JOIN dim_app USING (app_name) LEFT JOIN dim_region USING (region)
   JOIN role_rules r ON r.only_type IS NULL OR r.only_type = c.account_type)""",
 ]
 _ARN = "'arn:aws:iam::' || account_id || ':role/' || expected_name"
@@ -454,7 +520,7 @@ ORACLES["q4_all_valid"] = f"{CHECK} SELECT coalesce(bool_and(present AND errors
 ORACLES["q4_errors"] = f"""{CHECK}, {_MESSAGES} SELECT context_id, purpose, text AS error FROM messages WHERE severity = 'error'"""
 ORACLES["q5_requirement_report"] = f"""{with_tables(*REQUIRED)},
 lines AS (SELECT 'IamRole' AS resource_type, expected_name, {_ARN} AS expected_arn, rules, {_TAGS} AS tags, count(*) AS n_contexts
-  FROM needed WHERE expected_name IS NOT NULL GROUP BY ALL)
+  FROM needed GROUP BY ALL)
 SELECT *, count(*) OVER (PARTITION BY resource_type) AS section_lines, CAST(sum(n_contexts) OVER (PARTITION BY resource_type) AS BIGINT) AS section_total FROM lines"""
 ORACLES["q6_last_results"] = f"""{with_tables("layers")}
 SELECT scope, 'IamRole:' || key AS resource, arg_max(value > 20, priority) AS is_valid, max(priority) AS sequence FROM layers GROUP BY 1, 2"""
@@ -469,14 +535,18 @@ FROM services LEFT JOIN endpoints USING (service) GROUP BY service, service_name
 ORACLES["q9_existence"] = f"""{with_tables("tag_rows", "order_keys")}
 SELECT t.resource_id, count(o.resource_id) > 0 AS present, CASE WHEN count(o.resource_id) > 0 THEN coalesce(max(kms_key_id), 'default') END AS kms_key_id
 FROM tag_rows t LEFT JOIN order_keys o ON o.resource_id = t.resource_id GROUP BY t.resource_id"""
-ORACLES["q10_drift"] = f"""{with_tables("expected_state", "actual_state")}, both_sides AS (
-  SELECT coalesce(e.id, a.id) AS id, e.id AS eid, a.id AS aid, e.status AS es, a.status AS ast, e.tier AS et, a.tier AS att,
-    CAST(e.price AS VARCHAR) AS ep, CAST(a.price AS VARCHAR) AS ap FROM expected_state e FULL JOIN actual_state a ON e.id = a.id)
-SELECT id, 'removed' AS change, NULL AS field, NULL AS old_value, NULL AS new_value FROM both_sides WHERE aid IS NULL
-UNION ALL SELECT id, 'added', NULL, NULL, NULL FROM both_sides WHERE eid IS NULL
-UNION ALL SELECT id, 'changed', 'status', es, ast FROM both_sides WHERE eid = aid AND es IS DISTINCT FROM ast
-UNION ALL SELECT id, 'changed', 'tier', et, att FROM both_sides WHERE eid = aid AND et IS DISTINCT FROM att
-UNION ALL SELECT id, 'changed', 'price', ep, ap FROM both_sides WHERE eid = aid AND ep IS DISTINCT FROM ap"""
+ORACLES["q10_drift"] = f"""{with_tables("expected_state", "actual_state")}, signed AS (
+  SELECT id, status, tier, CAST(price AS VARCHAR) AS price, 1 AS s FROM expected_state UNION ALL SELECT id, status, tier, CAST(price AS VARCHAR), -1 FROM actual_state),
+rest AS (SELECT id, status, tier, price, sum(s) AS d FROM signed GROUP BY ALL HAVING sum(s) <> 0),
+k AS (SELECT id, CAST(sum(greatest(d, 0)) AS BIGINT) AS e, CAST(sum(greatest(-d, 0)) AS BIGINT) AS a,
+  max(status) FILTER (d > 0) AS es, max(status) FILTER (d < 0) AS ast, max(tier) FILTER (d > 0) AS et, max(tier) FILTER (d < 0) AS att,
+  max(price) FILTER (d > 0) AS ep, max(price) FILTER (d < 0) AS ap FROM rest GROUP BY id)
+SELECT id, 'removed' AS change, NULL AS field, NULL AS old_value, NULL AS new_value FROM (SELECT id, unnest(range(e)) FROM k WHERE a = 0)
+UNION ALL SELECT id, 'added', NULL, NULL, NULL FROM (SELECT id, unnest(range(a)) FROM k WHERE e = 0)
+UNION ALL SELECT id, 'changed', 'status', es, ast FROM k WHERE e = 1 AND a = 1 AND es IS DISTINCT FROM ast
+UNION ALL SELECT id, 'changed', 'tier', et, att FROM k WHERE e = 1 AND a = 1 AND et IS DISTINCT FROM att
+UNION ALL SELECT id, 'changed', 'price', ep, ap FROM k WHERE e = 1 AND a = 1 AND ep IS DISTINCT FROM ap
+UNION ALL SELECT id, 'ambiguous', NULL, CAST(e AS VARCHAR), CAST(a AS VARCHAR) FROM k WHERE e > 0 AND a > 0 AND e + a > 2"""
 ORACLES["q11_rule_differences"] = f"""{with_tables("expected_state", "actual_state")},
 gone AS (SELECT status, tier FROM expected_state EXCEPT ALL SELECT status, tier FROM actual_state),
 extra AS (SELECT status, tier FROM actual_state EXCEPT ALL SELECT status, tier FROM expected_state)
@@ -486,43 +556,49 @@ UNION ALL SELECT status, tier, 'unexpected', count(*) FROM extra GROUP BY 1, 2""
 # --- topology ----------------------------------------------------------------------------
 
 ORACLES["t1_unresolved_imports"] = f"""{with_tables("imports", "exports")}
-SELECT name, stack_id FROM imports WHERE name NOT IN (SELECT name FROM exports)"""
-_FULL = "CASE scope WHEN 'app' THEN env_name || '-' || app_name || '-' || suffix ELSE env_name || '-' || suffix END"
-ORACLES["t1_expected_imports"] = f"""{with_tables("contexts", values("ex", "stack, scope, suffix", rules.STACK_EXPORTS), values("im", "stack, scope, suffix", rules.STACK_IMPORTS))},
-pairs AS (SELECT DISTINCT env_name, app_name FROM contexts)
-SELECT env_name, app_name, stack, {_FULL} AS import_name FROM pairs, im
-WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.scope = im.scope AND ex.suffix = im.suffix)"""
-ORACLES["t2_duplicate_exports"] = f"""{with_tables("exports")} SELECT account_no, name, count(*) AS n FROM exports GROUP BY 1, 2 HAVING count(*) > 1"""
+SELECT * FROM imports i WHERE NOT EXISTS (SELECT 1 FROM exports e WHERE published AND e.name = i.name AND e.account_no = i.account_no AND e.region = i.region)"""
+ORACLES["t1_expected_imports"] = f"""{with_tables("contexts", values("im", "stack, suffix", NEVER_EXPORTED))}
+SELECT DISTINCT env_name, app_name, stack, env_name || '-' || suffix AS import_name FROM contexts, im"""
+ORACLES["t2_duplicate_exports"] = f"""{with_tables("exports")}
+SELECT account_no, region, name, count(*) AS n FROM exports WHERE published GROUP BY 1, 2, 3 HAVING count(*) > 1"""
 ORACLES["t3_deploy_levels"] = f"""WITH RECURSIVE stack_deps AS ({TABLES['stack_deps']}), nodes AS ({TABLES['stack_nodes']}),
-walk AS (SELECT node, 0 AS level FROM nodes WHERE node NOT IN (SELECT node FROM stack_deps)
-  UNION ALL SELECT d.node, w.level + 1 FROM walk w JOIN stack_deps d ON d.depends_on = w.node),
-deepest AS (SELECT node, max(level) AS level FROM walk GROUP BY node)
+deps AS (SELECT DISTINCT node, depends_on FROM stack_deps WHERE depends_on IN (SELECT node FROM nodes)),
+circle AS (SELECT unnest([3, 7])::BIGINT AS node UNION SELECT d.node FROM circle JOIN deps d ON d.depends_on = circle.node),
+walk AS (SELECT node, 0 AS level FROM nodes WHERE node NOT IN (SELECT node FROM deps)
+  UNION SELECT d.node, w.level + 1 FROM walk w JOIN deps d ON d.depends_on = w.node WHERE d.node NOT IN (SELECT node FROM circle)),
+deepest AS (SELECT node, max(level) AS level FROM walk GROUP BY node),
+highest AS (SELECT d.node, max(n.declared_order) AS highest FROM deps d JOIN nodes n ON n.node = d.depends_on GROUP BY d.node)
 SELECT n.node, CAST(level AS INTEGER) AS level, CAST(n.declared_order AS INTEGER) AS declared_order, level IS NULL AS in_cycle,
-  coalesce(n.declared_order <= p.declared_order, FALSE) AS order_violation
-FROM nodes n LEFT JOIN deepest USING (node) LEFT JOIN stack_deps d ON d.node = n.node LEFT JOIN nodes p ON p.node = d.depends_on"""
+  coalesce(n.declared_order <= highest, FALSE) AS order_violation
+FROM nodes n LEFT JOIN deepest USING (node) LEFT JOIN highest USING (node)"""
 ORACLES["t4_undeclared_dependencies"] = f"""{with_tables("imports", "exports", "declared_deps")},
-owners AS (SELECT name, min(stack_id) AS depends_on FROM exports GROUP BY name)
-SELECT i.stack_id, depends_on FROM imports i JOIN owners USING (name) WHERE i.stack_id <> depends_on
-EXCEPT SELECT stack_id, depends_on FROM declared_deps"""
+owners AS (SELECT account_no, region, name, min(stack_id) AS depends_on FROM exports WHERE published GROUP BY ALL)
+SELECT i.stack_id, depends_on FROM imports i JOIN owners USING (account_no, region, name) WHERE i.stack_id <> depends_on
+EXCEPT SELECT stack_id, depends_on FROM declared_deps WHERE declared"""
 _ITEMS = values("items", "case_no, pos, item, n", [(0, 0, None, 3), (0, 1, "sub-x", 3), (0, 2, "sub-y", 3), (1, 0, None, 2), (1, 1, "sub-x", 2), (2, 0, "sub-only", 1)])
 ORACLES["t5_list_imports"] = f"""WITH {_ITEMS}
 SELECT s_suppkey AS export_id, CAST(n AS INTEGER) AS n_items, n = 3 AS size_ok, CAST(pos AS INTEGER) AS pos, coalesce(item, 'sub-' || s_suppkey) AS item
-FROM supplier JOIN items ON s_suppkey % 3 = case_no"""
+FROM supplier JOIN items ON s_suppkey % 3 = case_no WHERE s_suppkey % 6 <> 5
+UNION ALL SELECT s_suppkey, NULL, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 6 = 5"""
 ORACLES["t5_list_exports"] = f"{with_tables('list_exports')} SELECT export_id, joined FROM list_exports"
 
 # --- policy ------------------------------------------------------------------------------
 
 _FLAT = [
-    (c, no, sid, effect, a, r)
-    for c, no, sid, effect, actions, resources, _, _ in _POLICY_STATEMENTS if sid
-    for a in actions.split(",") for r in resources.split(",")
+    (c, no, sid, effect, a, r, na, nr, error)
+    for c, no, sid, effect, actions, resources, na, nr, _, _, error in _POLICY_STATEMENTS
+    for a in (actions.split(",") if actions else ["*" if na else None])
+    for r in (resources.split(",") if resources else ["*" if nr else None])
 ]
-ORACLES["p1_statements"] = f"""WITH {values("p", "case_no, statement_no, sid, effect, action, resource", _FLAT)}
-SELECT o_orderkey AS policy_id, CAST(statement_no AS INTEGER) AS statement_no, sid, effect, action, resource FROM orders JOIN p ON o_orderkey % 5 = case_no"""
-ORACLES["p2_policy_checks"] = """SELECT o_orderkey AS policy_id, o_orderkey % 5 IN (1, 2) AS has_action_0, o_orderkey % 5 IN (1, 2) AS has_action_1,
-  o_orderkey % 5 IN (1, 2) AS has_path, o_orderkey % 5 = 2 AS has_deny FROM orders"""
-ORACLES["p2_policy_checks_strict"] = """SELECT o_orderkey AS policy_id, o_orderkey % 5 IN (1, 2) AS has_action_0, o_orderkey % 5 = 1 AS has_action_1,
-  o_orderkey % 5 IN (1, 2) AS has_path, o_orderkey % 5 = 2 AS has_deny FROM orders"""
+ORACLES["p1_statements"] = f"""WITH {values("p", "case_no, statement_no, sid, effect, action, resource, not_actions, not_resources, error", _FLAT)}
+SELECT o_orderkey AS policy_id, CAST(statement_no AS INTEGER) AS statement_no, sid, effect, action, resource, not_actions, not_resources, error
+FROM orders JOIN p ON {_POLICY_CASE} = case_no"""
+ORACLES["p2_policy_checks"] = f"""SELECT o_orderkey AS policy_id, {_POLICY_CASE} IN (1, 2) AS has_action_0, {_POLICY_CASE} IN (1, 2) AS has_action_1,
+  {_POLICY_CASE} IN (1, 2) AS has_path, {_POLICY_CASE} IN (2, 6) AS has_deny FROM orders"""
+ORACLES["p2_policy_checks_strict"] = f"""SELECT o_orderkey AS policy_id, {_POLICY_CASE} IN (1, 2) AS has_action_0, {_POLICY_CASE} = 1 AS has_action_1,
+  {_POLICY_CASE} IN (1, 2) AS has_path, {_POLICY_CASE} IN (2, 6) AS has_deny FROM orders"""
+ORACLES["p4_unsupported_conditions"] = f"""SELECT o_orderkey AS policy_id, CAST(0 AS INTEGER) AS statement_no, 'G' AS sid, 'StringNotEquals' AS op, 'k' AS key
+FROM orders WHERE {_POLICY_CASE} = 6"""
 
 
 def _glob_like(pattern: str) -> str:
@@ -538,20 +614,23 @@ _CONDS = values(
     "conds", "no, cond_op, value_like",
     [(i, c[0], _glob_like(v)) for i, (_, _, _, _, _, c) in enumerate(SAMPLE_STATEMENTS) if c for v in c[2]],
 )
-_DECIDE = """decided AS (SELECT request_id, count(*) FILTER (WHERE effect = 'Deny') AS denies, count(*) FILTER (WHERE effect = 'Allow') AS allows,
-  min(sid) FILTER (WHERE effect = 'Deny') AS deny_sid, min(sid) FILTER (WHERE effect = 'Allow') AS allow_sid FROM hits GROUP BY request_id)"""
-_DECISION = """CASE WHEN denies > 0 THEN 'explicit_deny' WHEN allows > 0 THEN 'allow' ELSE 'implicit_deny' END AS decision,
-  CASE WHEN denies > 0 THEN deny_sid ELSE allow_sid END AS matched_sid"""
+_ASKED = "r AS (SELECT *, row_number() OVER () AS rid FROM access_requests)"
+_DECIDE = """decided AS (SELECT rid, count(*) FILTER (effect = 'Deny' AND judged) AS denies, count(*) FILTER (effect = 'Deny' AND NOT judged) AS open,
+  count(*) FILTER (effect = 'Allow' AND judged) AS allows, min(sid) FILTER (effect = 'Deny' AND judged) AS deny_sid,
+  min(sid) FILTER (effect = 'Deny' AND NOT judged) AS open_sid, min(sid) FILTER (effect = 'Allow' AND judged) AS allow_sid FROM hits GROUP BY rid)"""
+_DECISION = """CASE WHEN denies > 0 THEN 'explicit_deny' WHEN open > 0 THEN 'undetermined' WHEN allows > 0 THEN 'allow' ELSE 'implicit_deny' END AS decision,
+  CASE WHEN denies > 0 THEN deny_sid WHEN open > 0 THEN open_sid ELSE allow_sid END AS matched_sid"""
 _HIT = "r.principal = st.principal AND lower(r.action) LIKE action_like ESCAPE '\\' AND r.resource LIKE resource_like ESCAPE '\\'"
-ORACLES["p3_evaluate"] = f"""{with_tables("access_requests", _ST)}, hits AS (SELECT request_id, effect, sid FROM access_requests r JOIN st ON {_HIT}), {_DECIDE}
-SELECT r.request_id, principal, action, resource, {_DECISION} FROM access_requests r LEFT JOIN decided USING (request_id)"""
-ORACLES["p4_conditions"] = f"""{with_tables("access_requests", _ST, _CONDS)}, hits AS (SELECT request_id, effect, sid FROM access_requests r JOIN st ON {_HIT}
+ORACLES["p3_evaluate"] = f"""{with_tables("access_requests", _ST, _ASKED)}, hits AS (SELECT rid, effect, sid, TRUE AS judged FROM r JOIN st ON {_HIT}), {_DECIDE}
+SELECT r.request_id, principal, action, resource, {_DECISION} FROM r LEFT JOIN decided USING (rid)"""
+ORACLES["p4_conditions"] = f"""{with_tables("access_requests", _ST, _CONDS, _ASKED)}, hits AS (
+  SELECT rid, effect, sid, st.no NOT IN (SELECT no FROM conds WHERE cond_op = 'StringNotEquals') AS judged FROM r JOIN st ON {_HIT}
   WHERE cond_key IS NULL OR EXISTS (SELECT 1 FROM conds WHERE conds.no = st.no
-    AND CASE cond_key WHEN 'kms:ViaService' THEN via_service ELSE resource END LIKE value_like ESCAPE '\\')), {_DECIDE}
-SELECT r.request_id, {_DECISION} FROM access_requests r LEFT JOIN decided USING (request_id)"""
+    AND (cond_op = 'StringNotEquals' OR CASE cond_key WHEN 'kms:ViaService' THEN via_service ELSE resource END LIKE value_like ESCAPE '\\'))), {_DECIDE}
+SELECT r.request_id, {_DECISION} FROM r LEFT JOIN decided USING (rid)"""
 
 _READ = "secretsmanager:GetSecretValue,secretsmanager:DescribeSecret"
-_OTHERS = "concat_ws(';', " + ", ".join(f"CASE WHEN lower(env_name) <> '{e[0].lower()}' THEN '/{e[0].lower()}/*' END" for e in rules.ENVIRONMENTS) + ")"
+_OTHERS = "concat_ws(';', " + ", ".join(f"CASE WHEN lower(env_name) <> '{e[0].lower()}' THEN '/{e[0].lower()}/*' END" for e in ENVIRONMENTS) + ")"
 ORACLES["p5_isolation_rules"] = f"""{with_tables("contexts")}, b AS (SELECT *, 'arn:aws:secretsmanager:' || region || ':' || account_id || ':secret:/' || lower(env_name) AS base FROM contexts)
 SELECT context_id, 'AllowSecretsManagerAccess' AS sid, 'Allow' AS effect, '{_READ}' AS actions, base || '/' || lower(app_name) || '/*,' || base || '/shared/*' AS resources, '' AS conditions FROM b
 UNION ALL SELECT context_id, 'AllowKMSDecrypt', 'Allow', 'kms:Decrypt,kms:DescribeKey,kms:GenerateDataKey', '*', 'StringEquals|kms:ViaService|secretsmanager.' || region || '.amazonaws.com' FROM b
@@ -560,27 +639,44 @@ UNION ALL SELECT context_id, 'DenyCrossEnvironmentSecrets', 'Deny', '{_READ}', '
 ORACLES["p6_trust_subjects"] = f"""{with_tables("ci_subjects", values("trust", "role, aud, pattern, subject_like", [(r, a, p, _glob_like(p)) for r, a, p in SAMPLE_TRUST]))}
 SELECT event_id, audience, subject, role, pattern FROM ci_subjects JOIN trust ON audience = aud AND subject LIKE subject_like ESCAPE '\\'"""
 
+ORACLES["p6_trust_documents"] = f"""{with_tables("ci_subjects")}
+SELECT DISTINCT audience, subject, o_orderkey AS role, pattern FROM ci_subjects
+  JOIN (VALUES ('repo:org/app:ref:refs/heads/feature/*', 'repo:org/app:ref:refs/heads/feature/%'), ('repo:org/app:pull_request', 'repo:org/app:pull_request')) t(pattern, subject_like)
+    ON subject LIKE subject_like
+  JOIN orders ON o_orderkey % 1000 = 5 WHERE audience = 'sts.amazonaws.com'"""
+
 # --- traffic -----------------------------------------------------------------------------
 
-ORACLES["r1_routes"] = f"""{with_tables("http_requests", values("rt", "rule_port, priority, path_like, target", [(p, n, _glob_like(g), t) for p, n, g, t in SAMPLE_ROUTES]))},
-hits AS (SELECT page_id, arg_min(target, priority) AS target FROM http_requests JOIN rt ON port = rule_port AND path LIKE path_like ESCAPE '\\' GROUP BY page_id)
-SELECT page_id, path, CAST(port AS INTEGER) AS port, coalesce(target, 'app') AS target FROM http_requests LEFT JOIN hits USING (page_id)"""
+def _routes(table: str) -> str:
+    return f"""asked AS (SELECT *, row_number() OVER () AS rid FROM http_requests),
+hits AS (SELECT rid, target, row_number() OVER (PARTITION BY rid ORDER BY priority NULLS LAST, target) AS place
+  FROM asked JOIN {table} ON asked.port = rule_port AND path LIKE path_like ESCAPE '\\')
+SELECT page_id, path, CAST(asked.port AS INTEGER) AS port, coalesce(target, 'app') AS target FROM asked LEFT JOIN (FROM hits WHERE place = 1) USING (rid)"""
+
+
+_SAMPLE_ROUTES = values("rt", "rule_port, priority, path_like, target", [(p, n, _glob_like(g), t) for p, n, g, t in SAMPLE_ROUTES])
+_MANY = "rt AS (SELECT port AS rule_port, priority, replace(replace(pattern, '*', '%'), '?', '_') AS path_like, target FROM many_routes)"
+ORACLES["r1_routes"] = with_tables("http_requests", _SAMPLE_ROUTES).rstrip() + ",\n" + _routes("rt")
+ORACLES["r1_many_routes"] = with_tables("http_requests", "many_routes", _MANY).rstrip() + ",\n" + _routes("rt")
 ORACLES["r2_health_states"] = f"""{with_tables("probes")},
+placed AS (SELECT * FROM probes WHERE target IS NOT NULL AND ts IS NOT NULL),
 flips AS (SELECT *, CASE WHEN min(CAST(ok AS INTEGER)) OVER two = 1 AND count(*) OVER two = 2 THEN 'healthy'
     WHEN max(CAST(ok AS INTEGER)) OVER three = 0 AND count(*) OVER three = 3 THEN 'unhealthy' END AS flip
-  FROM probes WINDOW two AS (PARTITION BY target ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW),
+  FROM placed WINDOW two AS (PARTITION BY target ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW),
     three AS (PARTITION BY target ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
 SELECT target, event_id, ok, coalesce(last_value(flip IGNORE NULLS) OVER (PARTITION BY target ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'unknown') AS state
-FROM flips"""
+FROM flips
+UNION ALL SELECT target, event_id, ok, NULL FROM probes WHERE target IS NULL OR ts IS NULL"""
 ORACLES["r3_lifecycle"] = f"""{with_tables("objects")}
-SELECT {RES}, created, class, CASE WHEN class = 'logs' AND DATE '{AS_OF}' - created >= 30 THEN 'expired'
+SELECT {RES}, created, class, CASE WHEN created > DATE '{AS_OF}' THEN 'not_yet' WHEN created IS NULL THEN NULL
+  WHEN class = 'logs' AND DATE '{AS_OF}' - created >= 30 THEN 'expired'
   WHEN class = 'documents' AND DATE '{AS_OF}' - created >= 90 THEN 'archive' WHEN class = 'documents' AND DATE '{AS_OF}' - created >= 30 THEN 'infrequent_access'
-  ELSE 'standard' END AS stage FROM objects WHERE created <= DATE '{AS_OF}'"""
+  ELSE 'standard' END AS stage FROM objects"""
 ORACLES["r4_dead_letters"] = f"""{with_tables("messages", values("limits", "queue, most", [("view", 1), ("click", 2), ("error", 1)]))}
 SELECT queue, message_id, count(*) AS receives, CAST(max(ts) AS DATE) + 14 AS expires_on, CAST(max(ts) AS DATE) + 14 <= DATE '2024-02-01' AS expired
 FROM messages JOIN limits USING (queue) GROUP BY queue, message_id, most HAVING count(*) > most"""
-ORACLES["r5_rotation_due"] = f"""{with_tables("objects")}
-SELECT l_orderkey, CAST(DATE '{AS_OF}' - max(created) AS INTEGER) AS age_days FROM objects WHERE created <= DATE '{AS_OF}'
-GROUP BY l_orderkey HAVING DATE '{AS_OF}' - max(created) > 30"""
+ORACLES["r5_rotation_due"] = f"""{with_tables("objects")}, ages AS (
+  SELECT l_orderkey, CAST(DATE '{AS_OF}' - max(created) FILTER (created <= DATE '{AS_OF}') AS INTEGER) AS age_days, count(created) AS dated FROM objects GROUP BY l_orderkey)
+SELECT l_orderkey, age_days, CASE WHEN age_days > 30 THEN 'due' WHEN age_days IS NOT NULL THEN 'current' WHEN dated > 0 THEN 'not_yet' ELSE 'unknown' END AS state FROM ages"""
 ORACLES["st1_drift_windows"] = f"""{with_tables("drift_events")}, w AS (SELECT env_id, time_bucket(INTERVAL 4 HOURS, ts, TIMESTAMP '1970-01-01') AS s FROM drift_events WHERE is_drift)
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 4 HOURS, '%Y-%m-%d %H:%M:%S') AS window_end, env_id, count(*) AS n FROM w GROUP BY s, env_id"""

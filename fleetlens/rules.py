@@ -1,8 +1,8 @@
 """Rule tables.
 
 All values below are fixed values of the naming convention, the sizing policy and the
-stacks; results depend on them letter for letter. Every table is a local relation whose row
-count is known here, so it is broadcast whatever the session's threshold; tables a caller
+stacks; results depend on them letter for letter. Every table is a local relation of rows
+written out in code, so it is broadcast whatever the session's threshold; tables a caller
 brings are left to Catalyst and adaptive execution.
 """
 
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from fleetlens.settings import Settings
 
-LITERAL_LIMIT = 1_000
-
 _ARROW = {
     "string": pa.string(),
     "int": pa.int32(),
@@ -34,7 +32,7 @@ def rule_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFram
         pa.array([row[i] for row in rows], type=_ARROW[kind]) for i, kind in enumerate(types)
     ]
     table = spark.createDataFrame(pa.table(dict(zip(names, arrays))))
-    return F.broadcast(table) if len(rows) <= LITERAL_LIMIT else table
+    return F.broadcast(table)
 
 
 # --- fixed values: naming convention -----------------------------------------------------
@@ -330,10 +328,10 @@ LOGOUT_PATHS = ["", "/logout"]
 
 # --- fixed values: requirements, tags, security groups -----------------------------------
 
-# account types, resource type, purpose, purpose text, validation rules, carries the tags
+# account types (null: every context), resource type, purpose, purpose text, validation rules, carries the tags
 ROLE_REQUIREMENTS = [
-    (ACCOUNT_TYPES, "IamRole", "EcsTask", "ecs-task", ["CanAssumeEcsTasks", "HasS3Access"], True),
-    (ACCOUNT_TYPES, "IamRole", "EcsExecution", "ecs-exec", ["CanAssumeEcsTasks", "HasEcsExecutionPolicy"], True),
+    (None, "IamRole", "EcsTask", "ecs-task", ["CanAssumeEcsTasks", "HasS3Access"], True),
+    (None, "IamRole", "EcsExecution", "ecs-exec", ["CanAssumeEcsTasks", "HasEcsExecutionPolicy"], True),
     (["Production"], "IamRole", "S3Access", "s3-access", ["HasS3Access"], False),
 ]
 
@@ -444,6 +442,7 @@ STACK_IMPORTS = [
 ]
 
 LIST_EXPORT_ITEMS = 3
+SECRET_EXPORT_SUFFIX = "-secret-arn"
 
 # --- fixed values: traffic and lifecycle -------------------------------------------------
 

@@ -50,13 +50,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder, so a lost executor does not restart the rounds."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for costly rows of a scan that has fewer partitions than cores.
-
-    Small files with one row group are the case; a scan of many partitions is left as it is.
-    Only meant for plain scans and projections, whose partitions are known without a job.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 2 <= cores else scan

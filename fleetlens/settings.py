@@ -17,5 +17,5 @@ class Settings:
     web_host: str = "app.example.io"
     log_service: str = "web-app"
     applications: tuple[tuple[str, str], ...] = field(
-        default=(("AppOne", "tfv2"), ("Cdk", "cdk"))
+        default=(("AppOne", "one"), ("Cdk", "cdk"))
     )

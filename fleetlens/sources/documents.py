@@ -23,18 +23,6 @@ SERVICE_SCHEMA = """struct<
       healthCheck:struct<command:array<string>,interval:int,timeout:int,retries:int,startPeriod:int,disabled:boolean>,
       disableHealthCheck:boolean>>>>>>"""
 
-SERVICE_KEYS = [
-    "vpcNamePattern", "ecsConfiguration", "serviceName", "taskDefinition", "taskDefinitionName",
-    "containerDefinitions", "name", "image", "cpu", "essential", "portMappings", "containerPort",
-    "hostPort", "protocol", "appProtocol", "environment", "value", "secrets", "healthCheck",
-    "command", "interval", "timeout", "retries", "startPeriod", "disabled", "disableHealthCheck",
-]
-
-REGISTRY_SCHEMA = (
-    "struct<Environments:map<string,struct<"
-    "AccountId:string,AccountType:string,Region:string,Tags:map<string,string>>>>"
-)
-
 MANIFEST_SCHEMA = (
     "struct<stackConfiguration:struct<applicationName:string,stacks:array<struct<"
     "name:string,id:string,dependsOn:array<string>,deploymentOrder:int,"
@@ -44,16 +32,15 @@ MANIFEST_SCHEMA = (
 _STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")'
 
 
-def relaxed_json(df: DataFrame, text: str, keys: list[str] | None = None) -> DataFrame:
-    """Make hand-written JSON in ``text`` readable.
+def relaxed_json(df: DataFrame, text: str) -> DataFrame:
+    """Make hand-written JSON in ``text`` readable: drop comments and trailing commas.
 
-    Comments and trailing commas are dropped; strings are matched first, so they stay as
-    they are. Keys in ``keys`` get their exact spelling, as binding is case-sensitive.
-    Texts that need none of it are told apart by one search per step. Each step is a
-    projection of its own, so that no rewritten text is computed twice.
+    Strings are matched first, so they stay as they are. Texts that need neither are told
+    apart by a search. Each step is a projection of its own, so that no rewritten text is
+    computed twice.
     """
     c = F.col(text)
-    df = df.withColumn(
+    return df.withColumn(
         text,
         F.when(
             F.contains(c, F.lit("//")) | F.contains(c, F.lit("/*")),
@@ -63,14 +50,34 @@ def relaxed_json(df: DataFrame, text: str, keys: list[str] | None = None) -> Dat
         text,
         F.when(c.rlike(r",\s*[\]}]"), F.regexp_replace(c, _STRING + r"|,(?=\s*[\]}])", "$1")).otherwise(c),
     )
-    if not keys:
-        return df
-    either = "|".join(keys)
-    odd = c.rlike(rf'"(?<!\\")(?=[A-Za-z]++"\s*:)(?!(?:{either})")(?i:{either})"')
-    spelled = c
-    for key in keys:
-        spelled = F.regexp_replace(spelled, rf'"(?<!\\")(?i:{key})"(?=\s*:)', f'"{key}"')
-    return df.withColumn(text, F.when(odd, spelled).otherwise(c))
+
+
+def _entries(value: Column) -> Column:
+    """The members of a JSON object as (k, v), keys in lower case; null if it is no object."""
+    return F.transform(
+        F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")),
+        lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")),
+    )
+
+
+def _member(entries: Column, name: str) -> Column:
+    """The member called ``name`` in any case, the last of several."""
+    return F.try_element_at(F.filter(entries, lambda e: e["k"] == name.lower()), F.lit(-1))["v"]
+
+
+def _value(entries: Column, name: str, kind: str = "string") -> Column:
+    return F.try_variant_get(_member(entries, name), "$", kind)
+
+
+def _objects(entries: Column, name: str) -> Column:
+    """The members of every object of a list."""
+    return F.transform(_value(entries, name, "array<variant>"), _entries)
+
+
+def _bound(fields: dict[str, str], entries: Column, **nested: Column) -> Column:
+    """A struct of members, bound without regard to case; null for what is no object."""
+    columns = [nested[n].alias(n) if n in nested else _value(entries, n, kind).alias(n) for n, kind in fields.items()]
+    return F.when(entries.isNotNull(), F.struct(*columns))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -86,15 +93,27 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 def parse_environments(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per environment of each registry document.
 
+    Members are bound without regard to case, level by level, after one parse; the names of
+    environments and tags are data and stay as they are written.
     The region defaults; an account type that does not parse falls back to the one the
     environment's name implies. A missing account id, a type that nothing implies and a
     region without a code are errors, of which the first is given.
     """
     kept = [c for c in df.columns if c != text]
-    keys = ["Environments", "AccountId", "AccountType", "Region", "Tags"]
-    parsed = relaxed_json(df, text, keys).select(
-        *kept, F.from_json(text, REGISTRY_SCHEMA).alias("_d")
-    ).select(*kept, F.explode_outer("_d.Environments").alias("env_name", "_e"))
+    parsed = (
+        relaxed_json(df, text)
+        .select(*kept, F.try_parse_json(text).alias("_v"))
+        .select(*kept, _entries(F.col("_v")).alias("_top"))
+        .select(*kept, F.explode_outer(_value(F.col("_top"), "Environments", "map<string,variant>")).alias("env_name", "_value"))
+        .withColumn("_e", _entries(F.col("_value")))
+        .select(
+            *kept, "env_name",
+            F.struct(
+                *[_value(F.col("_e"), n).alias(n) for n in ("AccountId", "AccountType", "Region")],
+                _value(F.col("_e"), "Tags", "map<string,string>").alias("Tags"),
+            ).alias("_e"),
+        )
+    )
     implied = rules.environments(df.sparkSession).select("env_name", F.col("account_type").alias("_implied"))
     given = F.col("_e.AccountType")
     account_type = F.when(given.isin(rules.ACCOUNT_TYPES), given).otherwise(F.col("_implied"))
@@ -124,12 +143,53 @@ def read_environments(spark: SparkSession, path: str) -> DataFrame:
 # --- service configuration ---------------------------------------------------------------
 
 
+_PORT = {"containerPort": "int", "hostPort": "int", "protocol": "string", "appProtocol": "string"}
+_VARIABLE = {"name": "string", "value": "string"}
+_HEALTH = {
+    "command": "array<string>", "interval": "int", "timeout": "int", "retries": "int", "startPeriod": "int", "disabled": "boolean",
+}
+_CONTAINER = {
+    "name": "string", "image": "string", "cpu": "int", "essential": "boolean", "portMappings": "", "environment": "",
+    "secrets": "array<string>", "healthCheck": "", "disableHealthCheck": "boolean",
+}
+
+
+def _container(entries: Column) -> Column:
+    return _bound(
+        _CONTAINER, entries,
+        portMappings=F.transform(_objects(entries, "portMappings"), lambda e: _bound(_PORT, e)),
+        environment=F.transform(_objects(entries, "environment"), lambda e: _bound(_VARIABLE, e)),
+        healthCheck=F.transform(F.array(_entries(_member(entries, "healthCheck"))), lambda e: _bound(_HEALTH, e))[0],
+    )
+
+
+def _task(entries: Column) -> Column:
+    return _bound(
+        {"taskDefinitionName": "string", "containerDefinitions": ""}, entries,
+        containerDefinitions=F.transform(_objects(entries, "containerDefinitions"), _container),
+    )
+
+
 def parse_service_configs(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``doc`` and ``error``; the text column is dropped."""
+    """Add ``doc`` and ``error``; the text column is dropped.
+
+    A text is parsed once; members are bound without regard to case, level by level.
+    """
     kept = [c for c in df.columns if c != text]
-    parsed = relaxed_json(df, text, SERVICE_KEYS).select(*kept, F.from_json(text, SERVICE_SCHEMA).alias("doc"))
-    return parsed.withColumn(
-        "error", F.when(F.col("doc.ecsConfiguration").isNull(), "Invalid ECS configuration format")
+    service = _bound(
+        {"serviceName": "string", "taskDefinition": ""}, F.col("_ecs"),
+        taskDefinition=F.transform(_objects(F.col("_ecs"), "taskDefinition"), _task),
+    )
+    doc = _bound({"vpcNamePattern": "string", "ecsConfiguration": ""}, F.col("_top"), ecsConfiguration=service)
+    return (
+        relaxed_json(df, text)
+        .select(*kept, F.try_parse_json(text).alias("_v"))
+        .select(*kept, _entries(F.col("_v")).alias("_top"))
+        .withColumn("_ecs", _entries(_member(F.col("_top"), "ecsConfiguration")))
+        .select(
+            *kept, doc.cast(SERVICE_SCHEMA).alias("doc"),
+            F.when(F.col("_ecs").isNull(), "Invalid ECS configuration format").alias("error"),
+        )
     )
 
 
@@ -141,11 +201,14 @@ def read_service_configs(spark: SparkSession, path: str) -> DataFrame:
     return parse_service_configs(texts)
 
 
-def missing_service_configs(environments: DataFrame, configs: DataFrame) -> DataFrame:
-    """Environments without a document."""
-    return environments.join(
-        configs.select(F.col("env_name").alias("_file_env")), F.lower("env_name") == F.col("_file_env"), "left_anti"
-    )
+def missing_service_configs(environments: DataFrame, configs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Environments without a document; with ``keys``, without one of the same keys."""
+    keys = keys or []
+    found = configs.select(*[F.col(k).alias(f"_{k}") for k in keys], F.lower("env_name").alias("_file_env")).distinct()
+    same = F.lower("env_name") == F.col("_file_env")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    return environments.join(found, same, "left_anti")
 
 
 # --- policies ----------------------------------------------------------------------------
@@ -163,6 +226,7 @@ def _strings(source: str, field: str) -> Column:
 def parse_policies(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per statement; scalar and array forms of every field are unified.
 
+    ``not_actions`` and ``not_resources`` hold what the statement is not about.
     ``conditions`` is an array of (op, key, patterns). ``action_is_array`` tells the form
     the document used. A document that does not parse has an ``error``.
     """
@@ -194,6 +258,8 @@ def parse_policies(df: DataFrame, text: str = "text") -> DataFrame:
         F.expr("try_variant_get(_s, '$.Action', 'array<string>') IS NOT NULL").alias("action_is_array"),
         _strings("_s", "Resource").alias("resources"),
         F.expr("try_variant_get(_s, '$.Resource', 'array<string>') IS NOT NULL").alias("resource_is_array"),
+        _strings("_s", "NotAction").alias("not_actions"),
+        _strings("_s", "NotResource").alias("not_resources"),
         F.expr("to_json(try_variant_get(_s, '$.Principal', 'variant'))").alias("principal"),
         conditions.alias("conditions"),
     )

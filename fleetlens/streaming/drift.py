@@ -12,16 +12,25 @@ def drift_windows(events: DataFrame, width: str = "4 hours", watermark: str = "1
 
     Windows are aligned to the epoch. On a stream, rows later than ``watermark`` behind the
     newest one are dropped and a window is emitted once it is closed; on a batch the
-    watermark has no effect. State is one counter per open window and environment.
+    watermark has no effect. State is one counter per open window and environment. In a
+    batch, events without a time are counted under no window; a stream drops them.
     """
     if events.isStreaming:
         # watermarks need a timestamp with time zone
         events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+        counted = events.filter("is_drift").groupBy(F.window("ts", width).alias("_w"), "env_id").agg(F.count("*").alias("n"))
+        return counted.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "env_id", "n")
+    timeless = F.col("ts").isNull()
+    epoch = F.lit("1970-01-01 00:00:00").cast(events.schema["ts"].dataType)
     return (
         events.filter("is_drift")
-        .groupBy(F.window("ts", width).alias("_w"), "env_id")
+        .select("env_id", timeless.alias("_none"), F.coalesce("ts", epoch).alias("ts"))
+        .groupBy(F.window("ts", width).alias("_w"), "_none", "env_id")
         .agg(F.count("*").alias("n"))
-        .select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "env_id", "n")
+        .select(
+            F.when(~F.col("_none"), F.col("_w.start")).alias("window_start"),
+            F.when(~F.col("_none"), F.col("_w.end")).alias("window_end"), "env_id", "n",
+        )
     )
 
 

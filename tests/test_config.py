@@ -8,7 +8,7 @@ from fleetlens import Settings, rules
 from fleetlens.functions import maps
 from fleetlens.operators import config, names
 
-SETTINGS = Settings()
+SETTINGS = Settings(applications=(("AppOne", "tfv2"), ("Cdk", "cdk")))
 COLUMNS = "env_name string, app_name string, region string, account_id string, account_type string"
 
 

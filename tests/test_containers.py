@@ -194,6 +194,9 @@ def test_secret_plan_reports_collisions_and_failed_lookups(spark):
     existing = spark.createDataFrame([("/a", True), ("/a", True), ("/c", False), ("/d", None)], "path string, lookup_ok boolean")
     got = {r["path"]: (r["action"], r["variables"], r["is_collision"], r["n_requests"]) for r in secrets.secret_plan(requested, existing).collect()}
     assert got == {"/a": ("import", ["A__B", "a-b"], True, 3), "/c": ("create", ["C"], False, 1), "/d": ("create", ["D"], False, 1)}
+    late = requested.withColumn("no", F.when(F.col("variable") == "a-b", 1).when(F.col("variable") == "A__B", 2))
+    served = {r["path"]: r["served_variable"] for r in secrets.secret_plan(late, existing, "no").collect()}
+    assert served == {"/a": "a-b", "/c": "C", "/d": "D"}
 
 
 def test_map_of_last(spark):

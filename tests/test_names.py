@@ -10,7 +10,7 @@ from fleetlens.functions import naming
 from fleetlens.operators import names
 from fleetlens.plans import audits
 
-SETTINGS = Settings()
+SETTINGS = Settings(applications=(("AppOne", "tfv2"), ("Cdk", "cdk")))
 
 
 def context(spark, env, region="us-east-1", app="AppOne"):
@@ -114,10 +114,19 @@ def test_siblings_by_type_and_by_id_differ(spark):
         [("Development", "NonProduction", "1"), ("Integration", "NonProduction", "1"), ("Staging", "Production", "2"), ("Production", "Production", "3")],
         "env_name string, account_type string, account_id string",
     )
-    by_type = {r["env_name"]: r["siblings"] for r in names.siblings(envs, "account_type").collect()}
-    by_id = {r["env_name"]: r["siblings"] for r in names.siblings(envs, "account_id").collect()}
-    assert by_type["Development"] == by_id["Development"] == ["Development", "Integration"]
-    assert by_type["Staging"] == ["Production", "Staging"] and by_id["Staging"] == ["Staging"]
+    by_type = {r["account_type"]: r["siblings"] for r in names.siblings(envs, "account_type").collect()}
+    by_id = {r["account_id"]: r["siblings"] for r in names.siblings(envs, "account_id").collect()}
+    assert by_type["NonProduction"] == by_id["1"] == ["Development", "Integration"]
+    assert by_type["Production"] == ["Production", "Staging"] and by_id["2"] == ["Staging"] and len(by_id) == 3
+
+
+def test_purposes_belong_to_a_family(spark):
+    rows = spark.createDataFrame(
+        [("rds_instance", "primary"), ("rds_instance", "uploads"), ("bucket", "uploads"), ("role", None), ("vpc", None), ("ecs_task_named", "x"), ("queue", "DLQ")],
+        "kind string, specific string",
+    )
+    found = {(r["kind"], r["specific"], r["expected_family"]) for r in names.purpose_violations(rows).collect()}
+    assert found == {("rds_instance", "uploads", "resource"), ("role", None, "iam")}
 
 
 def test_limits_name_length_and_characters(spark):
@@ -157,3 +166,20 @@ def test_register_codes_follows_the_order_of_requests(spark, seed):
     assert {r["seq"]: r["reason"] for r in rejects.collect()} == {s: w for s, w in want.items() if w != "ok"}
     accepted = {(k, c) for s, k, c in rows if want[s] == "ok"} | set(dim)
     assert {tuple(r) for r in registered.collect()} == accepted
+
+
+def test_register_codes_ends_on_missing_equal_and_repeated_rows(spark):
+    dim = spark.createDataFrame([("k0", "c0")], "key string, code string")
+    rows = [
+        (1, None, "c1"), (2, "k2", None), (3, "k3", "c3"), (3, "k3", "c3"), (3, "k3", "c4"), (3, "k4", "c4"), (None, "k5", "c4"),
+        (None, "k6", "c6"), (None, "k6", "c6"), (4, "k0", "c9"), (4, "k9", "c0"), (4, "k9", "c0"),
+    ]
+    new = spark.createDataFrame(rows, "seq int, key string, code string")
+    registered, rejects = names.register_codes(dim, new, "key", "code", "seq")
+    assert sorted(tuple(r) for r in registered.collect()) == [("k0", "c0"), ("k3", "c3"), ("k4", "c4"), ("k6", "c6")]
+    got = sorted((r["seq"] or 0, r["key"] or "", r["code"] or "", r["reason"]) for r in rejects.collect())
+    used, taken = "code already in use", "key already registered"
+    assert got == [
+        (0, "k5", "c4", used), (0, "k6", "c6", taken), (1, "", "c1", "key is missing"), (2, "k2", "", "code is missing"), (3, "k3", "c3", taken),
+        (3, "k3", "c4", taken), (4, "k0", "c9", taken), (4, "k9", "c0", used), (4, "k9", "c0", used),
+    ]

@@ -6,7 +6,7 @@ from fleetlens import Settings, rules
 from fleetlens.functions import naming
 from fleetlens.operators import inventory, names, requirements
 
-SETTINGS = Settings()
+SETTINGS = Settings(applications=(("AppOne", "tfv2"), ("Cdk", "cdk")))
 
 
 def required(spark, *envs):
@@ -28,6 +28,11 @@ def test_production_accounts_need_one_role_more(spark):
     assert by_env["Staging"]["S3Access"]["expected_tags"] == {}
 
 
+def test_general_roles_do_not_need_an_account_type(spark):
+    rows = required(spark, "Nowhere").collect()
+    assert sorted(r["purpose"] for r in rows) == ["EcsExecution", "EcsTask"] and {r["account_type"] for r in rows} == {None}
+
+
 def roles(spark, *rows):
     return spark.createDataFrame(rows, "account_id string, role_name string, trust_document string, policy_arns array<string>")
 
@@ -47,6 +52,8 @@ def test_check_roles(spark):
     assert task["is_valid"] and task["warnings"] == ["S3 access validation not fully implemented"]
     assert execution["errors"] == ["Role cannot assume ECS tasks", "Role missing ECS execution policy"]
     assert execution["exists"] and execution["follows_name"] and not execution["has_permissions"]
+    twice = requirements.check_roles(required(spark, "Development", "Staging"), found.union(found)).count()
+    assert twice == len(rows)
     other_account = rows[("Staging", "EcsTask")]
     assert other_account["errors"] == ["IAM role 'stg-tfv2-role-ue1-ecs-task' does not exist"]
     assert not other_account["exists"] and other_account["warnings"] == []
@@ -66,7 +73,9 @@ def test_unknown_rules_types_and_contexts(spark):
     ).union(required(spark, "Development").filter("purpose = 'EcsTask'").withColumn("resource_type", F.lit("Vpc")))
     base = base.withColumn("rules", F.array(F.lit("CANASSUMEECSTASKS"), F.lit("Odd")))
     rows = requirements.check_roles(base, roles(spark, ("1", "dev-tfv2-role-ue1-ecs-task", TRUST, [])))
-    got = {r["resource_type"]: r for r in rows.collect()}
+    got = {r["resource_type"]: r for r in rows.filter("env_name = 'Development'").collect()}
+    (nowhere,) = rows.filter("env_name = 'Nowhere'").collect()
+    assert nowhere["errors"] == ["Error validating resource: Unknown environment: Nowhere"] and not nowhere["is_valid"]
     assert got["IamRole"]["is_valid"] and got["IamRole"]["warnings"] == ["Unknown validation requirement: Odd"]
     assert got["IamPolicy"]["errors"] == ["IAM policy validation not implemented yet"]
     assert got["Vpc"]["errors"] == ["Validation for resource type Vpc not implemented"] and not got["Vpc"]["follows_name"]
@@ -128,6 +137,11 @@ def test_drift_and_rule_differences(spark):
         (2, "changed", "name", "b", "B"), (2, "changed", "note", "x", None), (3, "removed", None, None, None), (4, "added", None, None, None),
     ]
     assert inventory.drift(left, left, ["id"], ["name", "note"]).count() == 0
+    odd = spark.createDataFrame([(None, "a", None), (None, "a", None), (1, "a", "x"), (1, "b", "y"), (2, "c", "z")], left.schema)
+    assert inventory.drift(odd, odd, ["id"], ["name", "note"]).count() == 0
+    less = spark.createDataFrame([(None, "a", None), (1, "d", "w"), (2, "c", "z")], left.schema)
+    got = sorted((tuple(r) for r in inventory.drift(odd, less, ["id"], ["name", "note"]).collect()), key=str)
+    assert got == [(1, "ambiguous", None, "2", "1"), (None, "removed", None, None, None)]
     sg = rules.shared_sg_rules(spark)
     assert inventory.rule_differences(sg, sg, sg.columns).count() == 0
     more = sg.unionByName(sg.filter("sg = 'alb' AND to_port = 80"))

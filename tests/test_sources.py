@@ -45,6 +45,13 @@ def test_registry(spark, folder):
     }
 
 
+def test_registry_keeps_the_spelling_of_data(spark, folder):
+    text = '{"ENVIRONMENTS": {"region": {"accountid": 7, "accounttype": "Sandbox", "REGION": "us-west-1", "tags": {"region": "a", "Tags": "b"}}}}'
+    (row,) = documents.read_environments(spark, put(folder, "settings.json", text)).collect()
+    assert (row["env_name"], row["account_id"], row["account_type"], row["region"]) == ("region", "7", "Sandbox", "us-west-1")
+    assert row["tags"] == {"region": "a", "Tags": "b"} and row["error"] is None
+
+
 def test_registry_without_environments(spark, folder):
     df = documents.read_environments(spark, put(folder, "settings.json", "{ not json"))
     assert [r["error"] for r in df.collect()] == ["no environment found"]

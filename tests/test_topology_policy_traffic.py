@@ -31,6 +31,39 @@ def test_levels_diamond_cycle_and_order(spark):
     assert got["b"][2] and not got["c"][2] and got["e"][2]
 
 
+def test_levels_of_random_graphs(spark):
+    for seed in range(3):
+        rnd = random.Random(seed)
+        n = 60
+        edges = {(i, rnd.randrange(i)) for i in range(1, n) for _ in range(rnd.choice([0, 1, 1, 1, 2, 3]))}
+        edges |= {(50, 55), (55, 50)} if seed else set()
+        dep = {}
+        for a, b in edges:
+            dep.setdefault(a, set()).add(b)
+        want = {}
+
+        def level(i, above=()):
+            if i in above:
+                return None
+            if i not in want or above:
+                own = [level(d, (*above, i)) for d in dep.get(i, ())]
+                return None if None in own else 1 + max(own, default=-1)
+            return want[i]
+
+        want = {i: level(i) for i in range(n)}
+        got = levels(spark, [(str(i), i) for i in range(n)], [(str(a), str(b)) for a, b in edges] + [("1", None)])
+        assert {int(k): v[0] for k, v in got.items()} == want
+
+
+def test_a_long_chain_takes_logarithmic_rounds(spark, caplog):
+    nodes = spark.range(3000).selectExpr("CAST(id AS string) AS node", "CAST(id AS int) AS declared_order")
+    deps = spark.range(1, 3000).selectExpr("CAST(id AS string) AS node", "CAST(id - 1 AS string) AS depends_on")
+    with caplog.at_level("INFO"):
+        rows = topology.deploy_levels(nodes, deps).collect()
+    assert all(int(r["node"]) == r["level"] for r in rows) and len(rows) == 3000
+    assert "chains collapsed in 13 rounds" in caplog.text and "joins settled in 0 rounds" in caplog.text
+
+
 def stacks(spark):
     return spark.createDataFrame([("Development", "AppOne")], "env_name string, app_name string")
 
@@ -51,10 +84,16 @@ def test_undeclared_dependencies(spark):
 
 
 def test_list_items(spark):
-    df = spark.createDataFrame([(1, "a,b,c"), (2, "a")], "id int, joined string")
+    df = spark.createDataFrame([(1, "a,b,c"), (2, "a"), (3, None)], "id int, joined string")
     rows = topology.list_import_items(df)
     assert rows.filter("id = 1 AND size_ok").count() == 3 and rows.filter("id = 2 AND NOT size_ok").count() == 1
-    assert {tuple(r) for r in topology.join_list_export(rows, ["id"]).collect()} == {(1, "a,b,c"), (2, "a")}
+    assert [tuple(r) for r in rows.filter("id = 3").collect()] == [(3, None, None, None, None)]
+    assert {tuple(r) for r in topology.join_list_export(rows, ["id"]).collect()} == {(1, "a,b,c"), (2, "a"), (3, None)}
+
+
+def test_secret_exports(spark):
+    df = spark.createDataFrame([("Development", "AppOne", "key")] * 2, "env_name string, app_name string, secret_name string")
+    assert [r["name"] for r in topology.secret_exports(df).collect()] == ["Development-AppOne-key-secret-arn"]
 
 
 @pytest.mark.parametrize(
@@ -63,6 +102,8 @@ def test_list_items(spark):
         ("*", "", True), ("*", "a/b", True), ("a*", "a", True), ("a*", "b", False), ("a?c", "abc", True), ("a?c", "ac", False),
         ("a.c", "abc", False), ("a.c", "a.c", True), ("a+(b)[c]{d}^$|\\*", "a+(b)[c]{d}^$|\\xyz", True), ("*/x", "a/b/x", True),
         ("*/x", "a/b/xy", False), ("a*b*c", "a--b--c", True), ("", "", True), ("", "a", False), ("a*", "A", False), ("a*\n?", "ab\nc", True),
+        ("a*a", "a", False), ("a*a", "aa", True), ("*b*b*", "abcb", True), ("*b*b*", "abc", False), ("**", "x", True), ("ab*bc", "abc", False),
+        ("a**c", "ac", True), ("*é*", "aéb", True),
     ],
 )
 def test_wildcards(spark, pattern, value, hit):
@@ -113,8 +154,7 @@ def cases():
     return requests, statements
 
 
-@pytest.mark.parametrize("rule_limit", [1000, 5])
-def test_evaluation_matches_brute_force_on_both_paths(spark, cases, rule_limit):
+def test_evaluation_matches_brute_force(spark, cases):
     requests, statements = cases
     r = spark.createDataFrame(
         [(q["request_id"], q["principal"], q["action"], q["resource"], q["context"]) for q in requests],
@@ -124,11 +164,43 @@ def test_evaluation_matches_brute_force_on_both_paths(spark, cases, rule_limit):
         [(x["principal"], x["sid"], x["effect"], x["action"], x["resource"], x["conditions"]) for x in statements],
         "principal string, sid string, effect string, action string, resource string, conditions array<struct<op:string,key:string,patterns:array<string>>>",
     )
-    got = {x["request_id"]: (x["decision"], x["matched_sid"]) for x in policy.evaluate(r, s, ["principal"], rule_limit=rule_limit).collect()}
+    got = {x["request_id"]: (x["decision"], x["matched_sid"]) for x in policy.evaluate(r, s, ["principal"]).collect()}
     assert got == {q["request_id"]: decide(q, statements) for q in requests}
     assert len({d for d, _ in got.values()}) == 3
 
 
+def test_ids_play_no_part_in_decisions(spark):
+    r = spark.createDataFrame(
+        [(1, "p", "s3:Get", "a"), (1, "p", "s3:Put", "a"), (None, "p", "s3:Get", "a"), (None, "p", None, "a"), (2, None, "s3:Get", "a")],
+        "request_id int, principal string, action string, resource string",
+    )
+    s = spark.createDataFrame([("p", "x", "Allow", "s3:Get", "*"), (None, "y", "Allow", "*", "*")], "principal string, sid string, effect string, action string, resource string")
+    got = sorted(((x["request_id"] or 0, x["action"] or "", x["decision"]) for x in policy.evaluate(r, s, ["principal"]).collect()))
+    assert got == [(0, "", "implicit_deny"), (0, "s3:Get", "allow"), (1, "s3:Get", "allow"), (1, "s3:Put", "implicit_deny"), (2, "s3:Get", "implicit_deny")]
+
+
+def test_denies_that_cannot_be_judged_and_spared_parts(spark):
+    s = spark.sql(
+        """SELECT * FROM VALUES
+        ('All', 'Allow', array('s3:*', 'kms:*'), NULL, array('*'), NULL, NULL),
+        ('Odd', 'Deny', array('s3:Put'), NULL, array('*'), NULL, array(named_struct('op','StringNotEquals','key','k','patterns',array('v')))),
+        ('Other', 'Deny', NULL, array('s3:*', 'kms:Decrypt'), array('*'), NULL, NULL),
+        ('Place', 'Deny', array('s3:*'), NULL, NULL, array('/dev/*', '/stg/*'), NULL)
+        AS t(sid, effect, actions, not_actions, resources, not_resources, conditions)"""
+    ).withColumn("principal", F.lit("p"))
+    r = spark.createDataFrame(
+        [(1, "s3:Get", "/dev/a"), (2, "s3:Put", "/dev/a"), (3, "kms:Encrypt", "/dev/a"), (4, "kms:Decrypt", "/x"), (5, "s3:Put", "/prod/a")],
+        "id int, action string, resource string",
+    ).withColumn("principal", F.lit("p"))
+    got = {x["id"]: (x["decision"], x["matched_sid"]) for x in policy.evaluate(r, policy.flatten_statements(s), ["principal"]).collect()}
+    assert got == {1: ("allow", "All"), 2: ("undetermined", "Odd"), 3: ("explicit_deny", "Other"), 4: ("allow", "All"), 5: ("explicit_deny", "Place")}
+
+
+def test_statements_without_resource_stay(spark):
+    s = spark.sql("SELECT 't' AS sid, array('sts:AssumeRole') AS actions, CAST(NULL AS array<string>) AS resources")
+    assert [tuple(r) for r in policy.flatten_statements(s).collect()] == [("t", "sts:AssumeRole", None)]
+
+
 def test_deny_alone_never_allows(spark, cases):
     requests, statements = cases
     r = spark.createDataFrame([(q["request_id"], q["principal"], q["action"], q["resource"]) for q in requests], "request_id int, principal string, action string, resource string")
@@ -179,13 +251,48 @@ def test_trust_reports_every_pattern_that_matched(spark):
     assert got == [("r:pull_request", "dev", "r:pull_request"), ("r:ref:refs/heads/main", "dev", "r:ref:refs/heads/*"), ("r:ref:refs/heads/main", "dev", "r:ref:refs/heads/main")]
 
 
-@pytest.mark.parametrize("rule_limit", [100, 1])
-def test_routes_take_the_lowest_priority(spark, rule_limit):
+def test_trust_rules_from_documents(spark):
+    from fleetlens.sources import documents
+
+    text = (
+        '{"Statement":[{"Effect":"Allow","Principal":{"Federated":"f"},"Action":"sts:AssumeRoleWithWebIdentity","Condition":'
+        '{"StringEquals":{"t:aud":"aud","t:sub":"r:a*"},"StringLike":{"t:sub":["r:b*"]}}},'
+        '{"Effect":"Allow","Principal":{"Federated":"f"},"Action":["sts:AssumeRoleWithWebIdentity"]},'
+        '{"Effect":"Deny","Principal":"*","Action":"*"}]}'
+    )
+    rows = documents.parse_policies(spark.createDataFrame([("role", text)], "policy_id string, text string"))
+    subjects = spark.createDataFrame([("aud", "r:a*"), ("aud", "r:ab"), ("aud", "r:bc"), ("no", "r:bc")], "audience string, subject string")
+    got = sorted(tuple(r) for r in policy.trust_matches(subjects, policy.trust_rules(rows, "policy_id")).collect())
+    assert got == [
+        ("aud", "r:a*", "role", "*"), ("aud", "r:a*", "role", "r:a*"), ("aud", "r:ab", "role", "*"), ("aud", "r:bc", "role", "*"),
+        ("aud", "r:bc", "role", "r:b*"), ("no", "r:bc", "role", "*"),
+    ]
+
+
+def test_routes_by_brute_force(spark):
+    rnd = random.Random(3)
+    paths = ["/" + "/".join(rnd.choice(["a", "b", "ab", "x1"]) for _ in range(rnd.randrange(4))) for _ in range(60)] + ["", "a", None]
+    requests = [(rnd.randrange(5), rnd.choice([80, 443, None]), p) for p in paths]
+    table = [
+        (rnd.choice([80, 443]), rnd.choice([1, 2, 2, None]), "".join(rnd.choice(["/", "a", "b", "*", "/a", "/?", "x1"]) for _ in range(rnd.randrange(1, 6))), f"t{i}")
+        for i in range(80)
+    ]
+    want = []
+    for i, port, path in requests:
+        hits = [(p is None, p or 0, t) for o, p, g, t in table if o == port and path is not None and glob(g, path)]
+        want.append((i, port or 0, path or "", min(hits)[2] if hits else "app"))
+    r = spark.createDataFrame(requests, "id int, port int, path string")
+    s = spark.createDataFrame(table, "port int, priority int, pattern string, target string")
+    got = [(x["id"], x["port"] or 0, x["path"] or "", x["target"]) for x in traffic.route(r, s).collect()]
+    assert sorted(got) == sorted(want) and len({x[3] for x in got}) > 5
+
+
+def test_routes_take_the_lowest_priority(spark):
     requests = spark.createDataFrame([(1, 443, "/app/x"), (2, 80, "/app"), (3, 443, "/APP/x"), (4, 8443, "/app/x"), (5, 443, "/app/v2/y")], "id int, port int, path string")
     table = rules.routes(spark).withColumn("target", F.lit("service")).unionByName(
         rules.rule_table(spark, "port int, priority int, pattern string, target string", [(443, 5, "/app/v?/*", "second"), (443, 200, "*", "last")])
     )
-    got = {r["id"]: r["target"] for r in traffic.route(requests, table, "id", default="none", rule_limit=rule_limit).collect()}
+    got = {r["id"]: r["target"] for r in traffic.route(requests, table, default="none").collect()}
     assert got == {1: "service", 2: "none", 3: "last", 4: "none", 5: "second"}
 
 
@@ -202,31 +309,38 @@ def states(rows, up, down):
     return out
 
 
-@pytest.mark.parametrize("up, down, width, share", [(2, 3, "1 hour", 0.5), (2, 3, "1 minute", 0.8), (5, 7, "10 minutes", 0.85), (1, 1, "1 day", 0.5), (40, 30, "1 minute", 0.99)])
-def test_health_states_match_a_plain_scan(spark, up, down, width, share):
+@pytest.mark.parametrize("up, down, slices, share", [(2, 3, None, 0.5), (2, 3, 40, 0.8), (5, 7, 7, 0.85), (1, 1, 1, 0.5), (40, 30, 40, 0.99)])
+def test_health_states_match_a_plain_scan(spark, up, down, slices, share):
     rnd = random.Random(up * 100 + down)
     rows, ok = [], True
     for i in range(1500):
         ok = ok if rnd.random() < share else not ok
-        target = 0 if rnd.random() < 0.6 else rnd.randrange(1, 6)
+        target = 0 if rnd.random() < 0.9 else rnd.randrange(1, 6)
         rows.append((target, 1_700_000_000 + rnd.randrange(20_000) if i % 3 else 1_700_000_000 + (i // 50) * 60, i, ok))
     df = spark.createDataFrame(rows, "target int, sec bigint, event_id int, ok boolean").withColumn("ts", F.timestamp_seconds("sec"))
-    got = {r["event_id"]: r["state"] for r in traffic.health_states(df, up, down, width).collect()}
+    got = {r["event_id"]: r["state"] for r in traffic.health_states(df, up, down, slices).collect()}
     want = {}
     for target in range(6):
         want.update(states([(s, e, o) for t, s, e, o in rows if t == target], up, down))
     assert got == want
 
 
+def test_probes_without_target_or_time_keep_a_row(spark):
+    df = spark.createDataFrame([(None, 1, 1, True), (1, None, 2, True), (1, 3, 3, True), (1, 4, 4, True)], "target int, sec bigint, event_id int, ok boolean")
+    got = traffic.health_states(df.withColumn("ts", F.timestamp_seconds("sec")).drop("sec")).collect()
+    assert {r["event_id"]: r["state"] for r in got} == {1: None, 2: None, 3: "unknown", 4: "healthy"}
+
+
 def test_lifecycle_and_rotation(spark):
     objects = spark.createDataFrame(
-        [(1, "documents", "2024-01-01"), (2, "documents", "2024-03-01"), (3, "documents", "2024-03-31"), (4, "logs", "2024-03-02"), (5, "other", "2020-01-01"), (6, "logs", "2024-05-01")],
+        [(1, "documents", "2024-01-01"), (2, "documents", "2024-03-01"), (3, "documents", "2024-03-31"), (4, "logs", "2024-03-02"), (5, "other", "2020-01-01"), (6, "logs", "2024-05-01"), (7, "logs", None)],
         "id int, class string, day string",
     ).withColumn("created", F.to_date("day"))
     got = {r["id"]: r["stage"] for r in traffic.lifecycle(objects, rules.lifecycle(spark), "2024-04-01").collect()}
-    assert got == {1: "archive", 2: "infrequent_access", 3: "standard", 4: "expired", 5: "standard"}
-    rotated = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-03-02"), ("b", "2024-03-01")], "name string, day string").withColumn("rotated_at", F.to_date("day"))
-    assert [tuple(r) for r in traffic.rotation_due(rotated, ["name"], "2024-04-01").collect()] == [("b", 31)]
+    assert got == {1: "archive", 2: "infrequent_access", 3: "standard", 4: "expired", 5: "standard", 6: "not_yet", 7: None}
+    rotated = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-03-02"), ("b", "2024-03-01"), ("b", "2024-05-01"), ("c", "2024-05-01"), ("d", None)], "name string, day string").withColumn("rotated_at", F.to_date("day"))
+    got = sorted(tuple(r) for r in traffic.rotation_due(rotated, ["name"], "2024-04-01").collect())
+    assert got == [("a", 30, "current"), ("b", 31, "due"), ("c", None, "not_yet"), ("d", None, "unknown")]
 
 
 def test_lifecycle_with_many_thresholds(spark):
