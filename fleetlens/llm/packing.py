@@ -23,7 +23,6 @@ all columns; its own take underscores where the input has their names.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm.frames import free_name, named, own_columns
+from fleetlens.llm.words import slices, words
 from fleetlens.session import checkpointed
 
 CAPACITY = 4096
@@ -42,32 +42,98 @@ FAN = 16
 PARTNERS = 4096
 BLOCK_ROWS = 1 << 17
 BLOCK_BYTES = 32 << 20
-#: Words whose ids a worker remembers; it forgets them all when it has that many.
-REMEMBERED = 1 << 19
+#: Words a worker remembers; beyond, it forgets the half that it met longest ago.
+REMEMBERED = 1 << 20
+RUN_WORDS = 1024
 
 
 class WordEncoder:
-    """Token ids of texts as bytes of little-endian 32-bit numbers.
+    """Token ids of texts, for tokenizers that drop white space and never join across it.
 
-    For tokenizers that drop white space and never join across it, so that a text's ids are
-    those of its words in a row; each word is encoded once and remembered.
+    A text's ids are then those of its words in a row, so each word is encoded once and
+    remembered by the 64-bit hash of its bytes, in sorted arrays beside the ids: few bytes a
+    word, and texts are put together by array lookups. New words of letters only, each of
+    which ends in one token that ends a word, are encoded many at a time and cut apart behind
+    these tokens.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for words in split for w in words if w not in self.known})
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, encoded))
-        for words in split:
-            yield b"".join([self.known[w] for w in words])
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, number in vocabulary.items():
+            self.ends_word[number] = bool(suffix) and token.endswith(suffix)
+        self.key = np.empty(0, np.uint64)
+        self.start, self.count, self.used = (np.empty(0, np.int64) for _ in range(3))
+        self.ids = np.empty(0, "<u4")
+        self.round = 0
+
+    def _encoded(self, words: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(order, counts, ids): the words' numbers in the order of the ids, ids per word, and all ids."""
+        letters = [i for i, w in enumerate(words) if w.isalpha()] if self.ends_word.any() else []
+        others = sorted(set(range(len(words))).difference(letters))
+        runs = [letters[i : i + RUN_WORDS] for i in range(0, len(letters), RUN_WORDS)]
+        joined = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in run]) for run in runs], add_special_tokens=False)
+        order, counts, ids = [], [], []
+        for run, e in zip(runs, joined):
+            own = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[own]) + 1
+            if len(ends) == len(run):
+                order += run
+                counts.append(np.diff(ends, prepend=0))
+                ids.append(own)
+            else:
+                others += run
+        for i, e in zip(others, self.tokenizer.encode_batch_fast([words[i] for i in others], add_special_tokens=False)):
+            order.append(i)
+            counts.append(np.array([len(e.ids)]))
+            ids.append(np.array(e.ids, "<u4"))
+        return order, np.concatenate(counts), np.concatenate(ids)
+
+    def _forget(self) -> None:
+        """Keep the half of the words that was met last."""
+        kept = np.flatnonzero(self.used > np.median(self.used))
+        self.key, self.start, self.count, self.used = (x[kept] for x in (self.key, self.start, self.count, self.used))
+        total = np.cumsum(self.count)
+        self.ids = self.ids[np.repeat(self.start - (total - self.count), self.count) + np.arange(total[-1] if len(total) else 0)]
+        self.start = total - self.count
+
+    def _learn(self, key: np.ndarray, words: list[str]) -> None:
+        order, count, ids = self._encoded(words)
+        start = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, ids])
+        key = key[order]
+        by_key = np.argsort(key)
+        place = np.searchsorted(self.key, key[by_key])
+        self.key = np.insert(self.key, place, key[by_key])
+        self.start = np.insert(self.start, place, start[by_key])
+        self.count = np.insert(self.count, place, count[by_key])
+        self.used = np.insert(self.used, place, self.round)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        self.round += 1
+        if len(self.key) > REMEMBERED:
+            self._forget()
+        found = words(data, offsets, lower=False)
+        key, first, word = np.unique(found.hash, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.key, key)
+        new = np.flatnonzero(np.append(self.key, np.uint64(0))[at] != key) if len(self.key) else np.arange(len(key))
+        if len(new):
+            raw = data.tobytes()
+            places = zip(found.start[first[new]].tolist(), found.end[first[new]].tolist())
+            self._learn(key[new], [raw[a:b].decode() for a, b in places])
+            at = np.searchsorted(self.key, key)
+        self.used[at] = self.round
+        count, start = self.count[at][word], self.start[at][word]
+        total = np.cumsum(count)
+        ids = self.ids[np.repeat(start - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
+        cuts = np.concatenate([[0], total])[found.bounds()].tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield ids[a:b].tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -99,16 +165,15 @@ def tokenize(
             ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()),
         )], *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else [])]
     )
-    last, step = array("I", [end]).tobytes(), 4 * capacity
+    last, step = np.array([end], "<u4").tobytes(), 4 * capacity
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [t.as_py() or b"" for t in part.column(1).cast(pa.large_binary())]
+            for first, until, data, offsets in slices(batch.column(1)):
+                part = batch.slice(first, until - first)
                 rows: list[tuple] = []
-                for i, ids in enumerate(own.encode(texts)):
+                for i, ids in enumerate(own.encode(data, offsets)):
                     ids += last
                     rows += [
                         (i, k, at // 4, len(ids[at : at + step]) // 4, zlib.crc32(ids[at : at + step]), ids[at : at + step])
