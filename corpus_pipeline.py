@@ -40,8 +40,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in sequences of 4096 tokens."""
-    return packing.pack(packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json")))
+    """Token pieces with their place in sequences of 4096 tokens.
+
+    Pieces are stored in between, so that a task has one Python worker at a time.
+    """
+    return packing.pack(checkpointed(packing.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"))))
 
 
 STAGES = [

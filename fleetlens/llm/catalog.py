@@ -42,7 +42,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    pieces = packing.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(checkpointed(pieces))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

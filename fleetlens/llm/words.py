@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SHINGLE = 5
 #: Bytes of text worked on at once; a longer text is worked on by itself.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Texts worked on at once, so that their numbers fit 16 bits.
 SLICE_TEXTS = 1 << 15
 
@@ -78,7 +78,9 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     _, offsets, data = column.buffers()
     if not len(column):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
