@@ -75,7 +75,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie_join.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+    return trie_join.near_duplicates(table(spark, sf_dir, "documents")).drop("digest", "component")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

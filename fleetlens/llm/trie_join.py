@@ -350,7 +350,11 @@ def link_sets(sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, digest), one row for each row of ``docs``."""
+    """(doc_id, n_shingles, component_id, digest, component), one row for each row of ``docs``.
+
+    ``digest`` is that of the set, ``component`` names the component also where ids repeat;
+    both are null without words.
+    """
     found = checkpointed(scan(docs, doc_id, text, hot))
     rows = found.filter(F.col("key").isNull()).select("doc_id", "n", "digest", "own")
     total = rows.filter("own").agg(F.sum("n")).first()[0] or 0
@@ -368,23 +372,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .select("digest", "root", "least")
     )
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
-    placed = linked.join(least, "root").select(F.col("digest").alias("_linked"), "component")
+    placed = linked.join(least, "root").select(F.col("digest").alias("_linked"), "root", "component")
     of_class = classes.join(placed, F.col("digest") == F.col("_linked"), "left").select(
-        F.col("digest").alias("_digest"), F.coalesce("component", "least").alias("component")
+        F.col("digest").alias("_digest"), F.coalesce("component", "least").alias("_least"),
+        F.coalesce(F.col("root").cast("string"), F.hex("digest")).alias("component"),
     )
     joined = rows.join(of_class, (F.col("digest") == F.col("_digest")) & (F.col("n") > 0), "left")
     return joined.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.hex("digest")).alias("digest"),
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.hex("digest")).alias("digest"), "component",
     )
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """One row of ``docs`` per component, that with the least doc_id, and all rows without words."""
     groups = near_duplicates(docs, doc_id, text, hot).filter(F.col("digest").isNotNull())
-    group = F.coalesce(F.col("component_id").cast("string"), F.col("digest"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
-    kept = groups.groupBy(group.alias("group")).agg(first).select(
+    kept = groups.groupBy("component").agg(first).select(
         F.concat_ws(":", F.col("first.digest"), F.col("first.doc_id").cast("string")).alias("_kept")
     )
     name, at = free_name(docs, "_set"), free_name(docs, "_at")

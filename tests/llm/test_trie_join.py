@@ -76,6 +76,12 @@ def test_odd_rows_and_what_stays(odd_docs, no_docs):
     assert trie_join.near_duplicates(no_docs).count() == 0 and trie_join.keep_one(no_docs).count() == 0
 
 
+def test_repeated_ids_with_other_texts_stay_apart(spark):
+    rows = [(5, prose(1, 40)), (5, prose(2, 40)), (6, prose(1, 40) + " more"), (5, prose(2, 40))]
+    kept = trie_join.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted({rows[0], rows[1]})
+
+
 def test_split_probes_verify_the_same(spark, monkeypatch):
     rows = list(enumerate(family(7, 50, 90, 5)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
