@@ -14,8 +14,9 @@ and salt and then by host: no task sees the pages of a host, however many it has
 The slots of a host's wrapper are then sorted into the article (slots within article or main),
 other text, and what is no main text: menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, comments, by tag, role, class and id; slots that hold links only, and texts fixed
-over three pages or more, where there is no article. A page yields the blocks that lie in its
-host's article slots, or in its other slots if it has no article at all.
+over three pages or more whose blocks differ otherwise, where there is no article. A page yields
+the blocks that lie in its host's article slots, or in its other slots if it has no article at all,
+or its fixed texts if it has nothing else.
 
 Defined cases: a null or empty html has empty text; a null or odd url belongs to the host "";
 unclosed and stray tags, truncated pages and pages of any length and depth are read to the end;
@@ -29,6 +30,7 @@ import json
 import re
 import sys
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from zlib import crc32
 
 import pyarrow as pa
@@ -84,12 +86,16 @@ _PLAIN = {"html", "body", *_ARTICLE}
 
 
 class Node:
-    """An item of a wrapper: an element, a slot, or a repeated group. ``seen`` pages hold the ``fixed`` text."""
+    """An item of a wrapper: an element, a slot, or a repeated group.
+
+    ``seen`` has the least digests of the pages that hold the ``fixed`` text, ``FIXED_PAGES`` at most;
+    pages with the same blocks have the same digest and count once.
+    """
 
     __slots__ = ("name", "flags", "fixed", "seen", "children")
 
-    def __init__(self, name: str, flags: int = 0, fixed: str = "", seen: int = 1, children: list | None = None):
-        self.name, self.flags, self.fixed, self.seen = name, flags, fixed, seen
+    def __init__(self, name: str, flags: int = 0, fixed: str = "", seen: Iterable[str] = (), children: list | None = None):
+        self.name, self.flags, self.fixed, self.seen = name, flags, fixed, tuple(seen)
         self.children: list[Node] = children if children is not None else []
 
 
@@ -119,6 +125,7 @@ def read_page(text: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
     linked = plain = False
     in_link = 0
     blocks: list[tuple[tuple[str, ...], str]] = []
+    held: list[Node] = []
 
     def flush() -> None:
         nonlocal linked, plain
@@ -130,6 +137,8 @@ def read_page(text: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
                 free = other or any(t in _ARTICLE for t in tags)
                 fixed = "" if free else f"{crc32(block.encode('utf-8', 'replace')):x}"
                 stack[-1].children.append(Node(LINKS if linked and not plain else SLOT, fixed=fixed))
+                if fixed:
+                    held.append(stack[-1].children[-1])
                 if not other:
                     blocks.append((names[-1], block))
         linked = plain = False
@@ -197,6 +206,10 @@ def read_page(text: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
     while len(stack) > 1:
         leave()
     flush()
+    if held:
+        digest = blake2b("\n".join(b for _, b in blocks).encode("utf-8", "replace"), digest_size=8).hexdigest()
+        for node in held:
+            node.seen = (digest,)
     return root, blocks
 
 
@@ -208,7 +221,8 @@ def merge(a: Node, b: Node) -> Node:
     """The least wrapper of this kind that accepts what either accepts."""
     name = a.name if a.name == b.name else SLOT
     fixed = a.fixed if a.fixed == b.fixed else ""
-    return Node(name, a.flags | b.flags, fixed, a.seen + b.seen, align(a.children, b.children))
+    seen = sorted({*a.seen, *b.seen})[:FIXED_PAGES] if fixed else ()
+    return Node(name, a.flags | b.flags, fixed, seen, align(a.children, b.children))
 
 
 def align(a: list[Node], b: list[Node]) -> list[Node]:
@@ -259,7 +273,7 @@ def fold(items: list[Node]) -> list[Node]:
             out.append(n)
             last, before = out[-width:], out[-2 * width : -width]
             if len(before) == width and all(x.name == y.name != GROUP for x, y in zip(before, last)):
-                joined = [_repeat(x, y) for x, y in zip(before, last)]
+                joined = [merge(x, y) for x, y in zip(before, last)]
                 del out[-2 * width :]
                 if width == 1:
                     joined[0].flags |= REPEATED
@@ -269,19 +283,12 @@ def fold(items: list[Node]) -> list[Node]:
             elif width > 1 and len(out) > width and out[-width - 1].name == GROUP:
                 group = out[-width - 1]
                 if [x.name for x in group.children] == [x.name for x in last]:
-                    group.children = [_repeat(x, y) for x, y in zip(group.children, last)]
+                    group.children = [merge(x, y) for x, y in zip(group.children, last)]
                     del out[-width:]
         items = out
     return items
 
 
-def _repeat(a: Node, b: Node) -> Node:
-    """Two occurrences on the same pages."""
-    both = merge(a, b)
-    both.seen = max(a.seen, b.seen)
-    return both
-
-
 def fold_page(root: Node) -> Node:
     """Fold the repeats of a page's own tree, the innermost first."""
     order, todo = [], [root]
@@ -301,7 +308,7 @@ def encode(root: Node) -> str:
         if node is None:
             flat.append(0)
             continue
-        flat.append([node.name, node.flags, node.fixed, node.seen if node.fixed else 1])
+        flat.append([node.name, node.flags, node.fixed, node.seen])
         todo.append(None)
         todo += reversed(node.children)
     return json.dumps(flat, separators=(",", ":"))
@@ -337,10 +344,11 @@ def expression(root: Node) -> str:
     return "".join(out)
 
 
-def content_slots(root: Node) -> tuple[set[tuple[str, ...]], set[tuple[str, ...]]]:
-    """Names from the root to the elements whose slots are the article, and to those of other text."""
+def content_slots(root: Node) -> tuple[set[tuple[str, ...]], set[tuple[str, ...]], set[tuple[str, ...]]]:
+    """Names from the root to the elements whose slots are the article, to those of other text, and of fixed text."""
     article: set[tuple[str, ...]] = set()
     other: set[tuple[str, ...]] = set()
+    fixed: set[tuple[str, ...]] = set()
     todo = [(root, (), False)]
     while todo:
         node, path, inside = todo.pop()
@@ -348,13 +356,13 @@ def content_slots(root: Node) -> tuple[set[tuple[str, ...]], set[tuple[str, ...]
             if child.name in (SLOT, LINKS):
                 if inside:
                     article.add(path)
-                elif child.name == SLOT and not (child.fixed and child.seen >= FIXED_PAGES):
-                    other.add(path)
+                elif child.name == SLOT:
+                    (fixed if child.fixed and len(child.seen) >= FIXED_PAGES else other).add(path)
             elif child.name == GROUP:
                 todo.append((child, path, inside))
             elif child.name[:1] != "!":
                 todo.append((child, (*path, child.name), inside or child.name.split(".")[0] in _ARTICLE))
-    return article, other
+    return article, other, fixed
 
 
 def _merged(wrappers: Iterable[str]) -> str:
@@ -391,17 +399,20 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
         )
 
     parts = pages.select(host_of(named(url)).alias("host"), named(html).alias("html")).mapInArrow(partial, "host string, wrapper string")
-    distinct = parts.groupBy("host", "wrapper").agg(F.count("*").alias("batches")).drop("batches")
+    distinct = parts.distinct()
     salted = distinct.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     some = salted.groupBy("host", "salt").applyInArrow(whole, "host string, wrapper string")
     return some.groupBy("host").applyInArrow(whole, "host string, wrapper string")
 
 
-def main_text(page: str, article: set[tuple[str, ...]], other: set[tuple[str, ...]]) -> str:
-    """Blocks of a page in its host's article slots, or in its other slots if it has no article."""
+def main_text(page: str, article: set[tuple[str, ...]], other: set[tuple[str, ...]], fixed: set[tuple[str, ...]]) -> str:
+    """Blocks of a page in its host's article slots, or else in its other slots, or else in those of fixed text."""
     blocks = read_page(page)[1]
-    inside = [text for path, text in blocks if path in article]
-    return "\n".join(inside or [text for path, text in blocks if path in other])
+    for slots in (article, other, fixed):
+        inside = [text for path, text in blocks if path in slots]
+        if inside:
+            return "\n".join(inside)
+    return ""
 
 
 def extract(pages: DataFrame, wrappers: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -63,6 +63,29 @@ def test_without_an_article_fixed_texts_and_link_lists_go():
     assert text_of(pages[0], *pages[1:]) == "text 0"
 
 
+def test_copies_of_a_page_are_one_page():
+    assert text_of(*["<p>none</p>"] * 3) == "none"
+    copies = ["<h1>Head</h1><p>body</p>"] * 4
+    assert text_of(*copies) == "Head\nbody"
+    varied = [f"<h1>Head</h1><p>body {i}</p>" for i in range(3)]
+    assert text_of(*copies, *varied[:1]) == "Head\nbody"
+    assert text_of(*varied) == "body 0"
+    assert text_of("<h1>Head</h1>", *varied) == "Head"
+
+
+def test_copies_do_not_depend_on_batches(spark):
+    rows = [(i, None, "<p>none</p>") for i in range(6)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for n in (1, 10_000):
+            spark.conf.set(key, n)
+            pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+            assert [r["text"] for r in wrappers.extract(pages, wrappers.infer(pages)).collect()] == ["none"] * 6
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_on_spark(spark):
     rows = [
         (1, "https://u@A.example:80/x", page(), "c"), (1, "https://u@A.example:80/x", page(), "c"),
