@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import boosted, chat, decision_list, exact, mixing, packing, passages, toxicity, trie_join, wrappers
+from fleetlens.llm import (
+    boosted, chat, decision_list, exact, mixing, packing, passages, personal, spelling, toxicity, trie_join, whitening, wrappers,
+)
 from fleetlens.llm.frames import WORD
 from fleetlens.llm.labels import held_out
 from fleetlens.session import checkpointed
@@ -88,6 +90,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.3)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = personal.scan(table(spark, sf_dir, "documents"))
+    return personal.told(personal.find(scanned, personal.train(scanned)))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat_format": op2_chat_format,
@@ -99,6 +115,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_personal_data": op13_personal_data,
 }
 
 ORACLES = {
