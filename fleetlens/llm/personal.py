@@ -44,8 +44,8 @@ from fleetlens.session import checkpointed
 
 KINDS = ["email", "ip", "card", "phone"]
 EMAIL, IP, CARD, PHONE = range(1, 5)
-SAMPLE = 400
-STEPS, RATE, L2 = 150, 0.15, 1e-3
+SAMPLE = 200
+STEPS, RATE, L2 = 120, 0.15, 1e-3
 MOST_ATOMS = 24
 PIECE, OVERLAP = 4096, 2 * MOST_ATOMS
 #: Zones decoded together, and segments whose features are held at once.
