@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from fleetlens import rules
 from fleetlens.functions.text import matches, wildcard
 
-ANY_SERVICE = "*"
+ANY_AUDIENCE = "*"
 LIKES = "array<struct<first:string,last:string,middle:array<string>,star:boolean,regex:string>>"
 CONDITIONS = f"array<struct<op:string,key:string,patterns:array<struct<text:string,like:{LIKES[6:-1]}>>>>"
 CONDITION_OPERATORS = ["StringEquals", "StringLike", "ForAnyValue:StringLike"]
@@ -56,16 +58,8 @@ def policy_checks(
     )
 
 
-def _service(action: Column) -> Column:
-    return F.lower(F.substring_index(action, ":", 1))
-
-
 def prepare_statements(flat: DataFrame) -> DataFrame:
-    """Cut the patterns of flattened statements at their wildcards, and find their service.
-
-    A service part with a wildcard goes to the bucket every request looks at.
-    """
-    service = _service(F.col("action"))
+    """Cut the patterns of flattened statements at their wildcards."""
 
     def likes(column: str, ignore_case: bool = False) -> Column:
         if column not in flat.columns:
@@ -85,7 +79,6 @@ def prepare_statements(flat: DataFrame) -> DataFrame:
     ) if "conditions" in flat.columns else F.expr(f"cast(array() AS {CONDITIONS})")
     return flat.withColumns(
         {
-            "service": F.when(service.rlike(r"[*?]"), F.lit(ANY_SERVICE)).otherwise(service),
             "action_like": wildcard(F.col("action"), ignore_case=True),
             "resource_like": wildcard(F.col("resource")),
             "spared_actions": likes("not_actions", ignore_case=True),
@@ -99,21 +92,76 @@ def _known(c: Column) -> Column:
     return F.coalesce(c["op"].isin(CONDITION_OPERATORS), F.lit(False))
 
 
-def _conditions_hold(conditions: Column, context: Column | None) -> Column:
-    """All conditions that can be judged must hold; one value and one pattern are enough for each.
+#: Truth values in order, so that the least of several is their conjunction.
+FALSE, UNKNOWN, TRUE = 0, 1, 2
+
+
+def _holds(c: Column, values: Column) -> Column:
+    """One value and one pattern are enough; unknown if the operator or the values are."""
+
+    def one(v: Column, p: Column) -> Column:
+        return F.when(c["op"] == "StringEquals", v == p["text"]).otherwise(matches(v, p["like"]))
+
+    hit = F.exists(values, lambda v: F.exists(c["patterns"], lambda p: F.coalesce(one(v, p), F.lit(False))))
+    return F.when(~_known(c) | values.isNull(), UNKNOWN).when(hit, TRUE).otherwise(FALSE)
+
+
+def _verdict(conditions: Column, values_of: Callable[[Column], Column]) -> Column:
+    """Do all conditions hold? ``values_of`` gives the values of a key, null where they are not known."""
+    return F.coalesce(F.array_min(F.transform(conditions, lambda c: _holds(c, values_of(c["key"])))), F.lit(TRUE))
+
+
+# --- pattern index ------------------------------------------------------------------------
+
+#: Lengths of literal beginnings that patterns are filed under; EXACT files the whole of a pattern without a wildcard.
+LENGTHS = [*range(0, 64, 4), *range(64, 513, 32)]
+EXACT = -1
+#: Copies of each answer, and shares of the requests that meet them, so that a frequent question is spread.
+SALTS = 8
+
+
+def _filed(pattern: Column, exact: Column | None = None) -> Column:
+    """(level, key): the longest literal beginning of a length in ``LENGTHS``, or the whole of an exact pattern."""
+    literal = F.length(F.regexp_extract(pattern, r"^[^*?]*", 0))
+    whole = (literal == F.length(pattern)) if exact is None else exact | (literal == F.length(pattern))
+    level = F.when(whole, EXACT).otherwise(F.array_max(F.filter(F.array(*map(F.lit, LENGTHS)), lambda n: n <= literal)))
+    return F.struct(level.alias("level"), F.when(level == EXACT, pattern).otherwise(F.substring(pattern, F.lit(1), level)).alias("key"))
 
-    A key that the request does not carry never holds.
-    """
-    judged = F.filter(conditions, _known)
-    if context is None:
-        return F.size(judged) == 0
 
-    def holds(c: Column) -> Column:
-        values = F.coalesce(F.element_at(context, c["key"]), F.array().cast("array<string>"))
-        one = lambda v, p: F.when(c["op"] == "StringEquals", v == p["text"]).otherwise(matches(v, p["like"]))
-        return F.exists(values, lambda v: F.exists(c["patterns"], lambda p: F.coalesce(one(v, p), F.lit(False))))
+def _looked_up(value: Column, level: Column) -> Column:
+    """The key under which a matching pattern of that level is filed; null if the value is too short."""
+    return F.when(level == EXACT, value).when(F.length(value) >= level, F.substring(value, F.lit(1), level))
 
-    return F.forall(judged, holds)
+
+def _meet(questions: DataFrame, values: dict[str, Column], filed: DataFrame, keys: list[str]) -> DataFrame:
+    """Questions joined with the rows of ``filed`` whose patterns begin as their values do.
+
+    ``filed`` has a column (level, key) for each of ``values``. Only the combinations of levels
+    that occur are looked up; they are as many as the lengths allow at most. Each row of ``filed``
+    has one key, so a question meets the few rows that share a beginning with it.
+    """
+    names = list(values)
+    levels = filed.agg(F.collect_set(F.struct(*[F.col(f"{n}.level").alias(n) for n in names]))).scalar()
+    asked = questions.withColumn("_level", F.explode(levels))
+    for n in names:
+        asked = asked.withColumns({f"_{n}_level": F.col(f"_level.{n}"), f"_{n}_key": _looked_up(values[n], F.col(f"_level.{n}"))})
+    placed = filed.withColumns({f"_{n}_level": F.col(f"{n}.level") for n in names} | {f"_{n}_key": F.col(f"{n}.key") for n in names})
+    on = [*keys, *[f"_{n}_{part}" for n in names for part in ("level", "key")]]
+    return asked.drop("_level").join(placed.drop(*names), on)
+
+
+def _decided(groups: GroupedData, verdict: str, extra: list[Column]) -> DataFrame:
+    """Does a statement of each effect hold, or may it; null verdicts are statements that do not apply."""
+    deny, allow = F.col("effect") == "Deny", F.col("effect") == "Allow"
+    value = F.col(verdict)
+    cases = {
+        "deny": deny & (value == TRUE), "open": deny & (value == UNKNOWN), "allow": allow & (value == TRUE), "maybe": allow & (value == UNKNOWN),
+    }
+    return groups.agg(
+        *[F.coalesce(F.bool_or(test), F.lit(False)).alias(f"_{name}") for name, test in cases.items()],
+        *[F.min(F.when(test, F.col("sid"))).alias(f"_{name}_sid") for name, test in cases.items()],
+        *extra,
+    )
 
 
 def unsupported_conditions(statements: DataFrame) -> DataFrame:
@@ -124,52 +172,61 @@ def unsupported_conditions(statements: DataFrame) -> DataFrame:
     ).filter(~F.col("op").isin(CONDITION_OPERATORS))
 
 
-def evaluate(requests: DataFrame, statements: DataFrame, keys: list[str]) -> DataFrame:
+def evaluate(requests: DataFrame, statements: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
     """Add ``decision`` and ``matched_sid`` to requests (keys, action, resource[, context]).
 
     ``keys`` tie a request to its policies, e.g. the principal. ``statements`` come from
     ``flatten_statements``. An explicit deny beats a deny that cannot be judged, as its
     condition operator is not supported (``undetermined``); that beats an allow, which beats
-    the implicit deny. An allow that cannot be judged does not allow.
+    the implicit deny. An allow that cannot be judged does not allow. A condition on a key that
+    the request does not carry does not hold.
 
-    Requests are first reduced to what they ask, as few things are asked often. These meet
-    the statements of their keys and service, only matches are aggregated, and the decision
-    goes back to every request that asked, whatever ids it has or lacks. One plan for rule
-    tables of any size.
+    Requests are first reduced to what they ask, as few things are asked often. These meet the
+    statements of their keys that are filed under a beginning of their action and resource,
+    however many statements one key has, and the decision goes back to every request that
+    asked, whatever ids it has or lacks; frequent questions are spread over ``salts`` tasks.
     """
-    asked = [c for c in [*keys, "action", "resource", "context"] if c in requests.columns]
-    told = requests.withColumn("_asked", F.to_json(F.struct(*asked), {"ignoreNullFields": "false"}))
+    given = {c: F.col(c) for c in [*keys, "action", "resource"]}
+    if "context" in requests.columns:
+        given["context"] = F.array_sort(F.map_entries("context"))
+    told = requests.withColumns({f"_asked_{c}": v for c, v in given.items()} | {"_salt": F.pmod(F.monotonically_increasing_id(), F.lit(salts))})
+    asked = [f"_asked_{c}" for c in given]
     fields = ["action_like", "resource_like", "spared_actions", "spared_resources", "conditions"]
-    rules_of = prepare_statements(statements).select(*keys, "service", "effect", "sid", *fields)
-    context = F.col("context") if "context" in requests.columns else None
-    services = F.explode(F.array(_service(F.col("action")), F.lit(ANY_SERVICE)))
+    filed = prepare_statements(statements).select(
+        *[F.col(k).alias(f"_asked_{k}") for k in keys], "effect", "sid", *fields,
+        _filed(F.lower("action")).alias("at_action"), _filed(F.col("resource")).alias("at_resource"),
+    )
+    action, resource = F.col("_asked_action"), F.col("_asked_resource")
+    met = _meet(
+        told.select(*asked).distinct(), {"at_action": F.lower(action), "at_resource": resource}, filed, [f"_asked_{k}" for k in keys]
+    )
     scope = (
-        matches(F.col("action"), F.col("action_like"), ignore_case=True)
-        & matches(F.col("resource"), F.col("resource_like"))
-        & ~F.exists("spared_actions", lambda p: matches(F.col("action"), p, ignore_case=True))
-        & ~F.exists("spared_resources", lambda p: matches(F.col("resource"), p))
-        & _conditions_hold(F.col("conditions"), context)
+        matches(action, F.col("action_like"), ignore_case=True)
+        & matches(resource, F.col("resource_like"))
+        & ~F.exists("spared_actions", lambda p: matches(action, p, ignore_case=True))
+        & ~F.exists("spared_resources", lambda p: matches(resource, p))
     )
-    judged = F.forall("conditions", _known)
-    deny, allow = F.col("effect") == "Deny", F.col("effect") == "Allow"
-    cases = {"deny": deny & F.col("_judged"), "open": deny & ~F.col("_judged"), "allow": allow & F.col("_judged")}
-    matched = (
-        told.dropDuplicates(["_asked"])
-        .select("_asked", *asked, services.alias("service"))
-        .join(rules_of, [*keys, "service"])
-        .filter(scope)
-        .withColumn("_judged", judged)
-        .groupBy(F.col("_asked").alias("_key"))
-        .agg(
-            *[F.bool_or(test).alias(f"_{name}") for name, test in cases.items()],
-            *[F.min(F.when(test, F.col("sid"))).alias(f"_{name}_sid") for name, test in cases.items()],
-        )
+    none = F.array().cast("array<string>")
+
+    def values_of(key: Column) -> Column:
+        if "context" not in given:
+            return none
+        return F.coalesce(F.get(F.filter("_asked_context", lambda e: e["key"] == key), F.lit(0))["value"], none)
+
+    judged = met.withColumn("_verdict", F.when(scope, _verdict(F.col("conditions"), values_of)))
+    decided = _decided(judged.groupBy(*asked), "_verdict", [])
+    order = [("_deny", "explicit_deny"), ("_open", "undetermined"), ("_allow", "allow")]
+    answer = F.coalesce(
+        *[F.when(F.col(flag), F.struct(F.lit(said).alias("decision"), F.col(f"{flag}_sid").alias("sid"))) for flag, said in order]
     )
-    has = {name: F.coalesce(F.col(f"_{name}"), F.lit(False)) for name in cases}
-    decision = F.when(has["deny"], "explicit_deny").when(has["open"], "undetermined").when(has["allow"], "allow")
-    sid = F.when(has["deny"], F.col("_deny_sid")).when(has["open"], F.col("_open_sid")).when(has["allow"], F.col("_allow_sid"))
-    return told.join(matched, F.col("_asked") == F.col("_key"), "left").select(
-        *requests.columns, decision.otherwise("implicit_deny").alias("decision"), sid.alias("matched_sid")
+    answers = decided.select(
+        *[F.col(c).alias(f"_of{c}") for c in asked], answer.alias("_answer"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_share")
+    )
+    same = F.col("_salt") == F.col("_share")
+    for c in asked:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of{c}"))
+    return told.join(answers, same, "left").select(
+        *requests.columns, F.coalesce("_answer.decision", F.lit("implicit_deny")).alias("decision"), F.col("_answer.sid").alias("matched_sid")
     )
 
 
@@ -218,33 +275,75 @@ def isolation_rules(contexts: DataFrame) -> DataFrame:
     return contexts.select(*contexts.columns, F.inline(statements))
 
 
-def trust_rules(statements: DataFrame, role: str) -> DataFrame:
-    """(role, audience, pattern, exact) of statements that let a web identity assume a role.
+WEB_IDENTITY = "sts:AssumeRoleWithWebIdentity"
+_NO_CONDITIONS = "cast(array() AS array<struct<op:string,key:string,patterns:array<string>>>)"
+
+
+def trust_decisions(subjects: DataFrame, statements: DataFrame, role: str, action: str = WEB_IDENTITY) -> DataFrame:
+    """(audience, subject, role, decision, patterns) wherever a role's documents may let a subject in.
+
+    ``statements`` come from the policy documents, with the role's name in ``role``. Conditions
+    on keys that end in ``:aud`` and ``:sub`` are judged; one on another key, or with an operator
+    that is not supported, is unknown. All conditions of a statement must hold: it is false if
+    one is false, else unknown if one is. Over the statements of a role a deny that holds beats
+    one that is unknown (``undetermined``), which beats an allow that holds; an allow that is
+    only unknown is ``undetermined`` too and never lets anybody in. Roles that certainly allow
+    nothing to a subject give no row. ``patterns`` are the subject patterns that held in the
+    statements behind the decision, in order.
 
-    ``statements`` come from the policy documents. The audience and the subject are the
-    conditions on keys that end in ``:aud`` and ``:sub``; a missing one allows any (null, ``*``).
+    Statements are filed under beginnings of an audience and a subject pattern of theirs, so a
+    subject meets those it may satisfy; one without such a condition meets every subject.
     """
-    assumes = F.exists("actions", lambda a: F.lower(a).isin("sts:assumerolewithwebidentity", "sts:*", "*"))
-    given = F.coalesce("conditions", F.expr("cast(array() AS array<struct<op:string,key:string,patterns:array<string>>>)"))
-    on = lambda suffix: F.filter(given, lambda c: F.endswith(c["key"], F.lit(suffix)) & _known(c))
-    audiences = F.flatten(F.transform(on(":aud"), lambda c: c["patterns"]))
-    subjects = F.flatten(
-        F.transform(
-            on(":sub"),
-            lambda c: F.transform(c["patterns"], lambda p: F.struct(p.alias("pattern"), (c["op"] == "StringEquals").alias("exact"))),
-        )
+    this = F.lit(action)
+    named = F.exists("actions", lambda a: matches(this, wildcard(a, ignore_case=True), ignore_case=True))
+    spared = F.exists("not_actions", lambda a: matches(this, wildcard(a, ignore_case=True), ignore_case=True))
+    about = F.coalesce(named, F.lit(False)) | (F.col("not_actions").isNotNull() & ~F.coalesce(spared, F.lit(False)))
+    kept = F.when(about & F.col("principal").isNotNull() & F.col("effect").isin("Allow", "Deny"), F.array(F.lit(1)))
+    given = F.coalesce("conditions", F.expr(_NO_CONDITIONS))
+
+    def filed_under(suffix: str) -> Column:
+        """The patterns of the first condition on the key that can be judged; all must hold, so one is enough to find it."""
+        judged = F.filter(F.col("_given"), lambda c: F.endswith(c["key"], F.lit(suffix)) & _known(c))
+        patterns = F.get(F.transform(judged, lambda c: F.transform(c["patterns"], lambda p: _filed(p, c["op"] == "StringEquals"))), F.lit(0))
+        return F.coalesce(patterns, F.array(_filed(F.lit("*"))))
+
+    filed = (
+        statements.select(F.col(role).alias("role"), "effect", "sid", given.alias("_given"), F.explode(kept).alias("_one"))
+        .select("role", "effect", "sid", "_given", F.explode(filed_under(":aud")).alias("at_audience"))
+        .select("*", F.explode(filed_under(":sub")).alias("at_subject"))
     )
-    kind = "array<struct<pattern:string,exact:boolean>>"
-    any_subject = F.array(F.struct(F.lit("*").alias("pattern"), F.lit(False).alias("exact")))
-    who = F.when(F.size(audiences) > 0, audiences).otherwise(F.array(F.lit(None).cast("string")))
-    whom = F.when(F.size(subjects) > 0, subjects.cast(kind)).otherwise(any_subject.cast(kind))
-    pairs = F.flatten(
-        F.transform(who, lambda a: F.transform(whom, lambda s: F.struct(a.alias("audience"), s["pattern"].alias("pattern"), s["exact"].alias("exact"))))
+    conditions = F.transform(
+        "_given",
+        lambda c: F.struct(
+            c["op"].alias("op"), c["key"].alias("key"),
+            F.transform(c["patterns"], lambda p: F.struct(p.alias("text"), wildcard(p).alias("like"))).alias("patterns"),
+        ),
     )
-    allowed = (F.col("effect") == "Allow") & F.col("principal").isNotNull() & assumes
-    return statements.select(F.col(role).alias("role"), F.explode_outer(F.when(allowed, pairs)).alias("_p")).filter(
-        F.col("_p").isNotNull()
-    ).select("role", "_p.*")
+    filed = filed.withColumn("conditions", conditions).drop("_given")
+    asked = subjects.select("audience", "subject").distinct()
+    met = _meet(asked, {"at_audience": F.col("audience"), "at_subject": F.col("subject")}, filed, [])
+
+    def values_of(key: Column) -> Column:
+        return F.when(F.endswith(key, F.lit(":aud")), F.array("audience")).when(F.endswith(key, F.lit(":sub")), F.array("subject"))
+
+    def held(c: Column) -> Column:
+        subject = F.col("subject")
+        hit = lambda p: F.when(c["op"] == "StringEquals", subject == p["text"]).otherwise(matches(subject, p["like"]))
+        return F.transform(F.filter(c["patterns"], hit), lambda p: p["text"])
+
+    told = F.flatten(F.transform(F.filter("conditions", lambda c: F.endswith(c["key"], F.lit(":sub")) & _known(c)), held))
+    judged = met.withColumns({"_verdict": _verdict(F.col("conditions"), values_of), "_told": told})
+    # a pattern list is as long as the documents of one role make it
+    gathered = [
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when((F.col("effect") == effect) & (F.col("_verdict") == value), F.col("_told")))))).alias(name)
+        for name, effect, value in (("_p_deny", "Deny", TRUE), ("_p_open", "Deny", UNKNOWN), ("_p_allow", "Allow", TRUE), ("_p_maybe", "Allow", UNKNOWN))
+    ]
+    decided = _decided(judged.groupBy("audience", "subject", "role"), "_verdict", gathered)
+    some = F.when(F.col("_allow") | F.col("_maybe"), F.array(F.lit(1)))
+    order = [("_deny", "explicit_deny"), ("_open", "undetermined"), ("_allow", "allow"), ("_maybe", "undetermined")]
+    decision = F.coalesce(*[F.when(F.col(flag), F.lit(said)) for flag, said in order])
+    patterns = F.coalesce(*[F.when(F.col(flag), F.col(f"_p{flag}")) for flag, _ in order])
+    return decided.select("audience", "subject", "role", decision.alias("decision"), patterns.alias("patterns"), F.explode(some).alias("_one")).drop("_one")
 
 
 def trust_matches(subjects: DataFrame, trust: DataFrame) -> DataFrame:
@@ -254,10 +353,10 @@ def trust_matches(subjects: DataFrame, trust: DataFrame) -> DataFrame:
     the joined row, so only matches leave the join. A null audience in ``trust`` allows any;
     ``exact`` in ``trust`` takes the pattern by the letter.
     """
-    prepared = trust.withColumns({"_like": wildcard(F.col("pattern")), "_audience": F.coalesce("audience", F.lit(ANY_SERVICE))})
+    prepared = trust.withColumns({"_like": wildcard(F.col("pattern")), "_audience": F.coalesce("audience", F.lit(ANY_AUDIENCE))})
     letter = F.col("exact") if "exact" in trust.columns else F.lit(False)
     hit = F.when(letter, F.col("subject") == F.col("pattern")).otherwise(matches(F.col("subject"), F.col("_like")))
-    asked = subjects.withColumn("_audience", F.explode(F.array("audience", F.lit(ANY_SERVICE))))
+    asked = subjects.withColumn("_audience", F.explode(F.array("audience", F.lit(ANY_AUDIENCE))))
     return (
         asked.join(prepared.drop("audience"), "_audience")
         .filter(hit)

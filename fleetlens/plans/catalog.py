@@ -663,9 +663,10 @@ def p6(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Which of the policy documents' roles each distinct subject may assume."""
-    subjects = fleet.fleet_table(spark, sf, "ci_subjects").select("audience", "subject").distinct()
-    return policy.trust_matches(subjects, policy.trust_rules(policies(spark, sf), "policy_id"))
+    """What the documents of each role decide about each distinct subject that they may let in."""
+    statements = documents.parse_policies(fleet.fleet_table(spark, sf, "trust_docs"))
+    found = policy.trust_decisions(fleet.fleet_table(spark, sf, "ci_subjects"), statements, "policy_id")
+    return found.withColumn("patterns", _text("patterns"))
 
 
 # --- traffic -----------------------------------------------------------------------------

@@ -199,6 +199,21 @@ SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'other.audience' ELSE 'sts.ama
          WHEN 'click' THEN 'ref:refs/heads/develop' WHEN 'signup' THEN concat('ref:refs/heads/feature/', CAST(user_id AS VARCHAR(20)))
          ELSE 'ref:refs/tags/v1' END) AS subject
 FROM events""",
+    "trust_docs": """
+SELECT o_orderkey AS policy_id, CASE CAST(o_orderkey % 1000 AS INT)
+  WHEN 0 THEN '{"Statement":[{"Sid":"A","Effect":"Allow","Principal":{"Federated":"oidc"},"Action":"sts:AssumeRoleWithWebIdentity","Condition":{"StringEquals":{"token:aud":"sts.amazonaws.com"},"StringLike":{"token:sub":["repo:org/app:ref:refs/heads/feature/*","repo:org/app:pull_request"]}}}]}'
+  WHEN 1 THEN '{"Statement":[{"Sid":"A","Effect":"Allow","Principal":{"Federated":"oidc"},"Action":"sts:AssumeRoleWithWebIdentity","Condition":{"StringEquals":{"token:aud":"sts.amazonaws.com"},"StringNotLike":{"token:sub":"repo:evil/*"}}}]}'
+  WHEN 2 THEN '{"Statement":[{"Sid":"A","Effect":"Allow","Principal":{"Federated":"oidc"},"Action":"sts:AssumeRoleWithWebIdentity","Condition":{"StringEquals":{"token:aud":"sts.amazonaws.com"},"ForAllValues:StringLike":{"token:sub":"repo:org/app:*"}}}]}'
+  WHEN 3 THEN '{"Statement":[{"Sid":"A","Effect":"Allow","Principal":{"Federated":"oidc"},"Action":"sts:AssumeRoleWithWebIdentity","Condition":{"StringEqualsIgnoreCase":{"token:sub":"repo:org/app:pull_request"}}}]}'
+  WHEN 4 THEN '{"Statement":[{"Sid":"A","Effect":"Allow","Principal":{"Federated":"oidc"},"Action":"sts:AssumeRoleWithWebIdentity","Condition":{"StringEquals":{"token:aud":"sts.amazonaws.com","token:repository_owner":"org"}}}]}'
+  WHEN 5 THEN '{"Statement":[{"Sid":"A","Effect":"Allow","Principal":{"Federated":"oidc"},"Action":["sts:AssumeRoleWithWebIdentity"],"Condition":{"StringLike":{"token:sub":"repo:org/*"}}},{"Sid":"B","Effect":"Deny","Principal":"*","Action":"sts:*","Condition":{"StringLike":{"token:sub":["repo:evil/*","repo:org/app:pull_request"]}}}]}'
+  WHEN 6 THEN '{"Statement":[{"Sid":"A","Effect":"Allow","Principal":{"Federated":"oidc"},"Action":"sts:AssumeRoleWithWebIdentity","Condition":{"StringEquals":{"token:sub":"repo:org/app:ref:refs/heads/main"},"StringLike":{"token:sub":"repo:other/*"}}},{"Sid":"B","Effect":"Allow","Principal":{"Federated":"oidc"},"Action":"sts:AssumeRoleWithWebIdentity","Condition":{"StringEquals":{"token:sub":"repo:org/app:*"}}}]}'
+  WHEN 7 THEN '{"Statement":[{"Sid":"A","Effect":"Allow","Principal":{"Federated":"oidc"},"NotAction":"s3:*","Condition":{"StringEquals":{"token:aud":["other.audience","third"]}}}]}'
+  WHEN 8 THEN '{"Statement":[{"Sid":"A","Effect":"Allow","Principal":{"Federated":"oidc"},"Action":"sts:AssumeRoleWithWebIdentity","Condition":{"StringLike":{"token:sub":"repo:org/app:ref:refs/*"}}},{"Sid":"B","Effect":"Deny","Principal":"*","Action":"*","Condition":{"StringNotLike":{"token:sub":"repo:org/*"},"StringEquals":{"token:aud":"sts.amazonaws.com"}}}]}'
+  WHEN 9 THEN '{"Statement":[{"Sid":"A","Effect":"Allow","Action":"sts:AssumeRoleWithWebIdentity"}]}'
+  WHEN 10 THEN '{"Statement":[{"Sid":"A","Effect":"Allow","Principal":{"Service":"ecs"},"Action":"sts:AssumeRole"},{"Sid":"B","Effect":"Deny","Principal":"*","Action":"sts:*"}]}'
+  WHEN 11 THEN '{"Statement":[{"Sid":"A","Effect":"Allow","Principal":{"Federated":"oidc"},"Action":"STS:assume*WebIdentity","Condition":{"StringLike":{"token:aud":"sts.*"}}},{"Sid":"B","Effect":"Allow","Principal":{"Federated":"oidc"},"Action":"sts:AssumeRoleWithWebIdentity","Condition":{"StringLike":{"token:sub":["repo:org/app:ref:refs/tags/v?","*:pull_request"]}}}]}' END AS text
+FROM orders WHERE o_orderkey % 1000 < 12""",
     "registry_texts": """
 SELECT o_orderkey AS registry_id, concat('{"Environments":{"', CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'Development'
     WHEN 1 THEN 'Integration' WHEN 2 THEN 'Staging' WHEN 3 THEN 'Production' ELSE 'Sandbox' END, '":{',

@@ -639,11 +639,30 @@ UNION ALL SELECT context_id, 'DenyCrossEnvironmentSecrets', 'Deny', '{_READ}', '
 ORACLES["p6_trust_subjects"] = f"""{with_tables("ci_subjects", values("trust", "role, aud, pattern, subject_like", [(r, a, p, _glob_like(p)) for r, a, p in SAMPLE_TRUST]))}
 SELECT event_id, audience, subject, role, pattern FROM ci_subjects JOIN trust ON audience = aud AND subject LIKE subject_like ESCAPE '\\'"""
 
-ORACLES["p6_trust_documents"] = f"""{with_tables("ci_subjects")}
-SELECT DISTINCT audience, subject, o_orderkey AS role, pattern FROM ci_subjects
-  JOIN (VALUES ('repo:org/app:ref:refs/heads/feature/*', 'repo:org/app:ref:refs/heads/feature/%'), ('repo:org/app:pull_request', 'repo:org/app:pull_request')) t(pattern, subject_like)
-    ON subject LIKE subject_like
-  JOIN orders ON o_orderkey % 1000 = 5 WHERE audience = 'sts.amazonaws.com'"""
+# kind of document, audience and subject it is about, decision, patterns; the first row that fits a kind and subject counts
+_TRUST_CASES = values(
+    "cases", "no, kind, aud_like, sub_like, decision, patterns",
+    [
+        (1, 0, "sts.amazonaws.com", "repo:org/app:ref:refs/heads/feature/%", "allow", "repo:org/app:ref:refs/heads/feature/*"),
+        (2, 0, "sts.amazonaws.com", "repo:org/app:pull\\_request", "allow", "repo:org/app:pull_request"),
+        (3, 1, "sts.amazonaws.com", "%", "undetermined", ""),
+        (4, 2, "sts.amazonaws.com", "%", "undetermined", ""),
+        (5, 3, "%", "%", "undetermined", ""),
+        (6, 4, "sts.amazonaws.com", "%", "undetermined", ""),
+        (7, 5, "%", "repo:org/app:pull\\_request", "explicit_deny", "repo:org/app:pull_request"),
+        (8, 5, "%", "repo:org/%", "allow", "repo:org/*"),
+        (9, 7, "other.audience", "%", "allow", ""),
+        (10, 8, "sts.amazonaws.com", "repo:org/app:ref:refs/%", "undetermined", ""),
+        (11, 8, "%", "repo:org/app:ref:refs/%", "allow", "repo:org/app:ref:refs/*"),
+        (12, 11, "%", "repo:org/app:ref:refs/tags/v_", "allow", "repo:org/app:ref:refs/tags/v?"),
+        (13, 11, "%", "%:pull\\_request", "allow", "*:pull_request"),
+        (14, 11, "sts.%", "%", "allow", ""),
+    ],
+)
+ORACLES["p6_trust_documents"] = f"""{with_tables("ci_subjects", _TRUST_CASES)}, asked AS (SELECT DISTINCT audience, subject FROM ci_subjects)
+SELECT audience, subject, o_orderkey AS role, arg_min(decision, no) AS decision, arg_min(patterns, no) AS patterns
+FROM asked JOIN cases ON audience LIKE aud_like AND subject LIKE sub_like ESCAPE '\\'
+  JOIN orders ON o_orderkey % 1000 = kind GROUP BY ALL"""
 
 # --- traffic -----------------------------------------------------------------------------
 

@@ -1,5 +1,6 @@
 """Stack order, policy evaluation and the rules over logs, against brute force."""
 
+import json
 import random
 import re
 
@@ -251,22 +252,119 @@ def test_trust_reports_every_pattern_that_matched(spark):
     assert got == [("r:pull_request", "dev", "r:pull_request"), ("r:ref:refs/heads/main", "dev", "r:ref:refs/heads/*"), ("r:ref:refs/heads/main", "dev", "r:ref:refs/heads/main")]
 
 
-def test_trust_rules_from_documents(spark):
+KNOWN = {"StringEquals", "StringLike", "ForAnyValue:StringLike"}
+
+
+def trust_by_brute_force(document, audience, subject):
+    """False, None (unknown) or True for each statement; the decision, or nothing if none may allow."""
+    seen = set()
+    for s in document["Statement"]:
+        actions = s["Action"] if isinstance(s["Action"], list) else [s["Action"]]
+        if "Principal" not in s or not any(glob(a.lower(), "sts:assumerolewithwebidentity") for a in actions):
+            continue
+        verdict = True
+        for op, tests in s.get("Condition", {}).items():
+            for key, patterns in tests.items():
+                patterns = patterns if isinstance(patterns, list) else [patterns]
+                value = {"aud": audience, "sub": subject}.get(key.split(":")[-1])
+                if op not in KNOWN or value is None:
+                    one = None
+                else:
+                    one = any(p == value if op == "StringEquals" else glob(p, value) for p in patterns)
+                verdict = False if False in (verdict, one) else None if None in (verdict, one) else True
+        seen.add((s["Effect"], verdict))
+    if not {("Allow", True), ("Allow", None)} & seen:
+        return None
+    for case, said in ((("Deny", True), "explicit_deny"), (("Deny", None), "undetermined"), (("Allow", True), "allow")):
+        if case in seen:
+            return said
+    return "undetermined"
+
+
+def test_trust_decisions_by_brute_force(spark):
     from fleetlens.sources import documents
 
-    text = (
-        '{"Statement":[{"Effect":"Allow","Principal":{"Federated":"f"},"Action":"sts:AssumeRoleWithWebIdentity","Condition":'
-        '{"StringEquals":{"t:aud":"aud","t:sub":"r:a*"},"StringLike":{"t:sub":["r:b*"]}}},'
-        '{"Effect":"Allow","Principal":{"Federated":"f"},"Action":["sts:AssumeRoleWithWebIdentity"]},'
-        '{"Effect":"Deny","Principal":"*","Action":"*"}]}'
+    rnd = random.Random(5)
+    pieces = ["repo:org/", "repo:evil/", "app:", "*", "ref:refs/heads/", "main", "?", "pull_request", "feature/a-long-name-of-a-branch-"]
+    texts = {}
+    for i in range(120):
+        statements = []
+        for _ in range(rnd.randrange(1, 4)):
+            s = {"Effect": rnd.choice(["Allow", "Allow", "Deny"]), "Action": rnd.choice(["sts:AssumeRoleWithWebIdentity", ["sts:*"], "*", "s3:*", ["a:b", "STS:assume*identity"]])}
+            if rnd.random() < 0.9:
+                s["Principal"] = {"Federated": "f"}
+            condition = {}
+            for _ in range(rnd.randrange(4)):
+                op = rnd.choice([*KNOWN, *KNOWN, "StringNotLike", "ForAllValues:StringLike", "StringEqualsIgnoreCase"])
+                key = rnd.choice(["t:aud", "t:sub", "t:sub", "t:sub", "t:owner"]) if rnd.random() < 0.9 else "t:aud"
+                patterns = rnd.choice([["aud"], ["a*", "x"]]) if key == "t:aud" else ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 5))) for _ in range(rnd.randrange(1, 4))]
+                condition.setdefault(op, {})[key] = patterns if len(patterns) > 1 or rnd.random() < 0.5 else patterns[0]
+            if condition:
+                s["Condition"] = condition
+            statements.append(s)
+        texts[f"role{i}"] = {"Statement": statements}
+    subjects = {(rnd.choice(["aud", "abc", "no"]), "".join(rnd.choice(pieces[:3] + pieces[4:]) for _ in range(rnd.randrange(1, 6))).replace("?", "x")) for _ in range(150)}
+    rows = documents.parse_policies(spark.createDataFrame([(k, json.dumps(v)) for k, v in texts.items()], "policy_id string, text string"))
+    asked = spark.createDataFrame([*subjects, *subjects, (None, None), ("aud", None)], "audience string, subject string")
+    got = {(r["audience"], r["subject"], r["role"]): r["decision"] for r in policy.trust_decisions(asked, rows, "policy_id").filter("subject IS NOT NULL").collect()}
+    want = {(a, s, k): trust_by_brute_force(v, a, s) for k, v in texts.items() for a, s in subjects}
+    assert got == {k: v for k, v in want.items() if v}
+    assert {"explicit_deny", "undetermined", "allow"} == set(got.values())
+
+
+def test_an_excluded_subject_is_never_let_in(spark):
+    """Documents that name a subject only in conditions that are not understood, or deny it."""
+    from fleetlens.sources import documents
+
+    allow = {"Effect": "Allow", "Principal": {"Federated": "f"}, "Action": "sts:AssumeRoleWithWebIdentity"}
+    aud = {"StringEquals": {"t:aud": "aud"}}
+    sample = {
+        "not_like": [allow | {"Condition": aud | {"StringNotLike": {"t:sub": "repo:evil/*"}}}],
+        "all_values": [allow | {"Condition": aud | {"ForAllValues:StringLike": {"t:sub": "repo:org/app:*"}}}],
+        "ignore_case": [allow | {"Condition": aud | {"StringEqualsIgnoreCase": {"t:sub": "repo:org/app:main"}}}],
+        "owner": [allow | {"Condition": {"StringEquals": {"t:aud": "aud", "t:repository_owner": "org"}}}],
+        "denied": [allow | {"Condition": aud}, {"Effect": "Deny", "Principal": "*", "Action": "sts:*", "Condition": {"StringLike": {"t:sub": "repo:evil/*"}}}],
+        "both": [allow | {"Condition": {"StringEquals": {"t:sub": "repo:org/app:main"}, "StringLike": {"t:sub": "repo:other/*"}}}],
+        "named": [allow | {"Condition": aud | {"StringLike": {"t:sub": "repo:org/*"}}}],
+        "open": [allow | {"Condition": aud}],
+    }
+    texts = [(k, json.dumps({"Statement": v})) for k, v in sample.items()]
+    rows = documents.parse_policies(spark.createDataFrame(texts, "policy_id string, text string"))
+    subjects = spark.createDataFrame([("aud", "repo:evil/x:main"), ("aud", "repo:org/app:main")], "audience string, subject string")
+    got = {(r["subject"][5:8], r["role"]): (r["decision"], r["patterns"]) for r in policy.trust_decisions(subjects, rows, "policy_id").collect()}
+    unknown = {(who, role): ("undetermined", []) for who in ("evi", "org") for role in ("not_like", "all_values", "ignore_case", "owner")}
+    assert got == unknown | {
+        ("evi", "denied"): ("explicit_deny", ["repo:evil/*"]), ("org", "denied"): ("allow", []), ("org", "named"): ("allow", ["repo:org/*"]),
+        ("evi", "open"): ("allow", []), ("org", "open"): ("allow", []),
+    }
+
+
+def test_a_principal_with_many_statements_meets_few(spark):
+    """Statements are filed under a beginning: the join is an equi-join on it and gives few rows."""
+    n = 100_000
+    s = spark.range(n).selectExpr(
+        "'p' AS principal", "concat('s', id) AS sid", "if(id % 7 = 0, 'Deny', 'Allow') AS effect", "if(id % 3 = 0, 's3:Get*', 's3:GetObject') AS action",
+        "concat('arn:aws:s3:::bucket-', lpad(id, 6, '0'), if(id % 2 = 0, '/*', '/key')) AS resource",
     )
-    rows = documents.parse_policies(spark.createDataFrame([("role", text)], "policy_id string, text string"))
-    subjects = spark.createDataFrame([("aud", "r:a*"), ("aud", "r:ab"), ("aud", "r:bc"), ("no", "r:bc")], "audience string, subject string")
-    got = sorted(tuple(r) for r in policy.trust_matches(subjects, policy.trust_rules(rows, "policy_id")).collect())
-    assert got == [
-        ("aud", "r:a*", "role", "*"), ("aud", "r:a*", "role", "r:a*"), ("aud", "r:ab", "role", "*"), ("aud", "r:bc", "role", "*"),
-        ("aud", "r:bc", "role", "r:b*"), ("no", "r:bc", "role", "*"),
-    ]
+    asked = [(i, "p", "s3:getobject", f"arn:aws:s3:::bucket-{i * 37 % n:06d}/{'key' if i % 4 else 'other'}") for i in range(400)]
+    requests = spark.createDataFrame([*asked, (None, "p", "s3:PutObject", "arn:aws:s3:::bucket-000001/key"), (None, "q", "s3:GetObject", "x")], "id int, principal string, action string, resource string")
+    found = policy.evaluate(requests, s, ["principal"])
+    want = {}
+    for i, _, _, resource in asked:
+        no, key = int(resource[20:26]), resource.endswith("key")
+        hit = no % 2 == 0 or key
+        want[i] = (("explicit_deny" if no % 7 == 0 else "allow"), f"s{no}") if hit else ("implicit_deny", None)
+    assert {r["id"]: (r["decision"], r["matched_sid"]) for r in found.filter("id IS NOT NULL").collect()} == want
+    assert {r["decision"] for r in found.filter("id IS NULL").collect()} == {"implicit_deny"}
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*_at_action_key.*_at_resource_key", text)
+
+
+def test_a_frequent_question_is_spread(spark):
+    s = spark.createDataFrame([("p", "ok", "Allow", "a:*", "*")], "principal string, sid string, effect string, action string, resource string")
+    requests = spark.range(20_000).selectExpr("id", "'p' AS principal", "'a:b' AS action", "if(id % 2 = 0, '/x', cast(null AS string)) AS resource")
+    got = policy.evaluate(requests, s, ["principal"]).groupBy("decision", "matched_sid").count().collect()
+    assert sorted(map(tuple, got)) == [("allow", "ok", 10_000), ("implicit_deny", None, 10_000)]
 
 
 def test_routes_by_brute_force(spark):
