@@ -564,13 +564,15 @@ SELECT account_no, region, name, count(*) AS n FROM exports WHERE published GROU
 ORACLES["t3_deploy_levels"] = f"""WITH RECURSIVE stack_deps AS ({TABLES['stack_deps']}), nodes AS ({TABLES['stack_nodes']}),
 deps AS (SELECT DISTINCT node, depends_on FROM stack_deps WHERE depends_on IN (SELECT node FROM nodes)),
 circle AS (SELECT unnest([3, 7])::BIGINT AS node UNION SELECT d.node FROM circle JOIN deps d ON d.depends_on = circle.node),
+round AS (SELECT 3::BIGINT AS node UNION SELECT d.depends_on FROM round JOIN deps d ON d.node = round.node),
 walk AS (SELECT node, 0 AS level FROM nodes WHERE node NOT IN (SELECT node FROM deps)
   UNION SELECT d.node, w.level + 1 FROM walk w JOIN deps d ON d.depends_on = w.node WHERE d.node NOT IN (SELECT node FROM circle)),
 deepest AS (SELECT node, max(level) AS level FROM walk GROUP BY node),
 highest AS (SELECT d.node, max(n.declared_order) AS highest FROM deps d JOIN nodes n ON n.node = d.depends_on GROUP BY d.node)
-SELECT n.node, CAST(level AS INTEGER) AS level, CAST(n.declared_order AS INTEGER) AS declared_order, level IS NULL AS in_cycle,
+SELECT n.node, CAST(level AS INTEGER) AS level, CAST(n.declared_order AS INTEGER) AS declared_order, r.node IS NOT NULL AS in_cycle,
+  CASE WHEN r.node IS NOT NULL THEN 3::BIGINT END AS cycle_id, level IS NULL AND r.node IS NULL AS behind_cycle,
   coalesce(n.declared_order <= highest, FALSE) AS order_violation
-FROM nodes n LEFT JOIN deepest USING (node) LEFT JOIN highest USING (node)"""
+FROM nodes n LEFT JOIN deepest USING (node) LEFT JOIN highest USING (node) LEFT JOIN round r ON r.node = n.node AND r.node IN (FROM circle)"""
 ORACLES["t4_undeclared_dependencies"] = f"""{with_tables("imports", "exports", "declared_deps")},
 owners AS (SELECT account_no, region, name, min(stack_id) AS depends_on FROM exports WHERE published GROUP BY ALL)
 SELECT i.stack_id, depends_on FROM imports i JOIN owners USING (account_no, region, name) WHERE i.stack_id <> depends_on

@@ -28,7 +28,7 @@ def test_levels_diamond_cycle_and_order(spark):
     deps = [("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("d", "a"), ("e", "f"), ("f", "e"), ("g", "f"), ("b", "h"), ("a", "outside")]
     got = levels(spark, nodes, deps)
     assert {n: got[n][0] for n in "abcdh"} == {"a": 0, "b": 1, "c": 1, "d": 2, "h": 0}
-    assert all(got[n][:2] == (None, True) for n in "efg")
+    assert {n: got[n][:2] for n in "efg"} == {"e": (None, True), "f": (None, True), "g": (None, False)}
     assert got["b"][2] and not got["c"][2] and got["e"][2]
 
 
@@ -65,6 +65,47 @@ def test_a_long_chain_takes_logarithmic_rounds(spark, caplog):
     assert "chains collapsed in 13 rounds" in caplog.text and "joins settled in 0 rounds" in caplog.text
 
 
+def components_by_brute_force(n, edges):
+    """Nodes that reach each other, by closure; the least of those that share a cycle with each node."""
+    reach = [{b for a, b in edges if a == i} for i in range(n)]
+    for k in range(n):
+        for i in range(n):
+            if k in reach[i]:
+                reach[i] |= reach[k]
+    return {i: min(j for j in range(n) if j in reach[i] and i in reach[j]) for i in range(n) if i in reach[i]}
+
+
+@pytest.mark.parametrize("most, seeds", [(8, 1), (1000, 3)])
+def test_cycles_of_random_graphs(spark, most, seeds):
+    for seed in range(seeds):
+        rnd = random.Random(seed)
+        n = 30
+        edges = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(n + 10 * seed)} | {(0, 0)}
+        want = components_by_brute_force(n, edges)
+        deps = spark.createDataFrame([*edges, (1, None), (2, 99)], "node int, depends_on int")
+        nodes = spark.range(n).selectExpr("CAST(id AS int) AS node", "1 AS declared_order")
+        rows = {r["node"]: r for r in topology.deploy_levels(nodes, deps, most).collect()}
+        assert {i: r["cycle_id"] for i, r in rows.items() if r["in_cycle"]} == want
+        assert all((r["level"] is None) == (r["in_cycle"] or r["behind_cycle"]) and not (r["in_cycle"] and r["behind_cycle"]) for r in rows.values())
+
+
+def test_a_ladder_takes_few_rounds(spark, caplog):
+    """Each of 4,000 nodes depends on the two before; a cycle of 600 nodes with chords stands behind it, and a tail behind that."""
+    n = 4_000
+    ladder = spark.range(n).selectExpr("id AS node", "explode(array(id - 1, id - 2)) AS depends_on").filter("depends_on >= 0")
+    ring = spark.range(600).selectExpr(f"{n} + id AS node", f"explode(array({n} + (id + 1) % 600, {n} + (id + 2) % 600, 5)) AS depends_on")
+    tail = spark.range(100).selectExpr("20000 + id AS node", f"explode(array(19999 + id, if(id = 0, {n}, 20000 + id - 2))) AS depends_on")
+    deps = ladder.union(ring).union(tail)
+    nodes = deps.select("node").union(deps.select("depends_on")).distinct().withColumn("declared_order", F.lit(1))
+    with caplog.at_level("INFO"):
+        rows = {r["node"]: r for r in topology.deploy_levels(nodes, deps, most=1500).collect()}
+    assert all(rows[i]["level"] == i for i in range(n))
+    assert all(rows[n + i]["cycle_id"] == n for i in range(600))
+    assert all(rows[20_000 + i]["behind_cycle"] for i in range(100))
+    assert max(int(k) for k in re.findall(r"(?:collapsed|settled|spread) in (\d+) rounds", caplog.text)) < 20
+    assert int(re.search(r"joins settled in (\d+) rounds", caplog.text)[1]) <= 8
+
+
 def stacks(spark):
     return spark.createDataFrame([("Development", "AppOne")], "env_name string, app_name string")
 
