@@ -78,14 +78,16 @@ WARN_ONLY = {"hass3access": "S3 access validation not fully implemented"}
 def check_roles(required: DataFrame, roles: DataFrame, checks: dict[str, tuple[Column, str]] | None = None) -> DataFrame:
     """Requirements left-joined to roles (account_id, role_name, trust_document, policy_arns).
 
-    A role that is listed more than once counts once, with its greatest documents.
+    Of a role that is listed more than once, every listing is checked, and one that passes is enough.
     Adds exists, follows_name, has_permissions, errors, warnings and is_valid. An unknown
     rule gives a warning; a type other than a role is an error, and so is a requirement
     whose context has no name (its own ``errors`` say why).
     """
     checks = default_checks() if checks is None else checks
+    passed = {rule_id: f"_passed_{i}" for i, rule_id in enumerate(checks)}
     inventory = roles.groupBy("account_id", F.col("role_name").alias("expected_name")).agg(
-        F.max("trust_document").alias("trust_document"), F.max("policy_arns").alias("policy_arns"), F.lit(True).alias("_found")
+        *[F.coalesce(F.bool_or(holds), F.lit(False)).alias(passed[rule_id]) for rule_id, (holds, _) in checks.items()],
+        F.lit(True).alias("_found"),
     )
     joined = required.join(inventory, ["account_id", "expected_name"], "left").withColumn(
         "_found", F.coalesce("_found", F.lit(False)) & (F.col("resource_type") == "IamRole")
@@ -93,8 +95,8 @@ def check_roles(required: DataFrame, roles: DataFrame, checks: dict[str, tuple[C
 
     def error_of(rule: Column) -> Column:
         text = F.lit(None).cast("string")
-        for rule_id, (holds, message) in checks.items():
-            text = F.when((F.lower(rule) == rule_id) & ~holds, message).otherwise(text)
+        for rule_id, (_, message) in checks.items():
+            text = F.when((F.lower(rule) == rule_id) & ~F.col(passed[rule_id]), message).otherwise(text)
         return text
 
     def warning_of(rule: Column) -> Column:
@@ -132,7 +134,7 @@ def check_roles(required: DataFrame, roles: DataFrame, checks: dict[str, tuple[C
             }
         )
         .withColumn("is_valid", F.col("exists") & F.col("follows_name") & F.col("has_permissions"))
-        .drop("_found", "trust_document", "policy_arns")
+        .drop("_found", *passed.values())
     )
 
 
@@ -142,17 +144,20 @@ def last_results(results: DataFrame, keys: list[str], order: str) -> DataFrame:
     return results.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
-def summarise(results: DataFrame, keys: list[str]) -> DataFrame:
+def summarise(results: DataFrame, keys: list[str], levels: list[list[str]] | None = None) -> DataFrame:
     """Counts per key. A null ``is_valid`` counts as a resource without context, not as invalid.
 
-    Messages are not collected into the row; ``summary_messages`` lists them as rows, so one
-    key may hold any share of the results.
+    With ``levels``, lists of some of the keys, there is a row for each group of every level, and
+    ``level`` names its keys, joined by commas: keys outside the level are null there, which a
+    null key inside it is not mixed up with. The empty list is the total. Messages are not
+    collected into the row; ``summary_messages`` lists them as rows, so one key may hold any
+    share of the results.
     """
     present = set(results.columns)
     flag = lambda name, test: (
         F.count_if(test) if name in present else F.lit(None).cast("bigint")
     )
-    return results.groupBy(*keys).agg(
+    counts = [
         F.count("*").alias("total"),
         F.count_if(F.col("is_valid")).alias("valid"),
         F.count_if(~F.col("is_valid")).alias("invalid"),
@@ -160,7 +165,14 @@ def summarise(results: DataFrame, keys: list[str]) -> DataFrame:
         flag("exists", ~F.col("exists") if "exists" in present else None).alias("missing"),
         flag("follows_name", ~F.col("follows_name") if "follows_name" in present else None).alias("bad_names"),
         (F.count_if(~F.coalesce("is_valid", F.lit(False))) == 0).alias("all_valid"),
-    )
+    ]
+    if levels is None:
+        return results.groupBy(*keys).agg(*counts)
+    # one bit for each key that a row's level lacks, the first key having the highest
+    lacks = {",".join(level): sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in level) for level in levels}
+    grouped = results.groupingSets([[F.col(k) for k in level] for level in levels], *[F.col(k) for k in keys])
+    name = F.coalesce(*[F.when(F.col("_lacks") == bits, F.lit(said)) for said, bits in lacks.items()])
+    return grouped.agg(F.grouping_id(*keys).alias("_lacks"), *counts).withColumn("level", name).drop("_lacks")
 
 
 def summary_messages(results: DataFrame, keys: list[str], resource: str) -> DataFrame:

@@ -140,17 +140,21 @@ def lifecycle(objects: DataFrame, stage_rules: DataFrame, as_of: str) -> DataFra
 
 
 def dead_letters(receives: DataFrame, limits: DataFrame, as_of: str) -> DataFrame:
-    """Messages received more often than their queue allows; they expire two weeks after the last receive."""
+    """Messages received more often than their queue allows; they expire two weeks after the last receive.
+
+    Messages of a queue without a limit, or without a queue, are rows with an ``error`` and no expiry.
+    """
     counted = receives.groupBy("queue", "message_id").agg(
         F.count("*").alias("receives"), F.max("ts").cast("date").alias("last_received")
     )
-    expires = F.date_add("last_received", rules.DEAD_LETTER_DAYS)
+    expires, known = F.date_add("last_received", rules.DEAD_LETTER_DAYS), F.col("max_receives").isNotNull()
     return (
-        counted.join(limits, "queue")
-        .filter(F.col("receives") > F.col("max_receives"))
+        counted.join(limits, "queue", "left")
+        .filter(F.coalesce(F.col("receives") > F.col("max_receives"), F.lit(True)))
         .select(
-            "queue", "message_id", "receives", expires.alias("expires_on"),
-            (expires <= F.lit(as_of).cast("date")).alias("expired"),
+            "queue", "message_id", "receives", F.when(known, expires).alias("expires_on"),
+            F.when(known, expires <= F.lit(as_of).cast("date")).alias("expired"),
+            F.when(~known, F.concat(F.lit("queue without a limit: "), F.coalesce("queue", F.lit("none")))).alias("error"),
         )
     )
 

@@ -101,6 +101,18 @@ def s6(spark: SparkSession, sf: str) -> DataFrame:
     return written
 
 
+def s6_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """One run written twice and another once; each is there once."""
+    path = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
+    found = audits.name_findings(fleet.inventory(spark, sf), SETTINGS, [*RESOURCE, "env_name", "kind"])
+    findings.write_run(found.limit(10), path, "first", ["kind"])
+    findings.write_run(found, path, "first", ["kind"])
+    findings.write_run(found.filter("env_name = 'Development'"), path, "second", ["kind"])
+    written = checkpointed(findings.read_findings(spark, path).filter("run = 'second' OR kind = 'Storage' OR env_name = 'Production'"))
+    remove_folder(spark, path)
+    return written
+
+
 # --- names -------------------------------------------------------------------------------
 
 
@@ -433,7 +445,11 @@ def role_inventory(spark: SparkSession, sf: str) -> DataFrame:
             F.when(F.col("region") != "us-west-1", F.array(F.lit(f"arn:aws:iam::aws:policy/service-role/{rules.EXECUTION_POLICY}")))
         ).alias("policy_arns"),
     )
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.length("role_name") % 2))).drop("_copy")
+    # the second listing of a role has other documents, greater in order, that pass no check
+    again = F.explode(F.sequence(F.lit(0), F.length("role_name") % 2))
+    copies = once.withColumn("_copy", again)
+    other = {"trust_document": F.lit("Principal zz"), "policy_arns": F.array(F.lit("arn:zz"))}
+    return copies.withColumns({c: F.when(F.col("_copy") == 0, F.col(c)).otherwise(v) for c, v in other.items()}).drop("_copy")
 
 
 def checked_roles(spark: SparkSession, sf: str) -> DataFrame:
@@ -451,6 +467,11 @@ def q3(spark: SparkSession, sf: str) -> DataFrame:
     return requirements.summarise(checked_roles(spark, sf), ["env_name", "account_id"]).drop("no_context")
 
 
+def q3_levels(spark: SparkSession, sf: str) -> DataFrame:
+    levels = [["env_name", "account_id"], ["account_id"], []]
+    return requirements.summarise(checked_roles(spark, sf), ["env_name", "account_id"], levels).drop("no_context")
+
+
 def q3_messages(spark: SparkSession, sf: str) -> DataFrame:
     results = checked_roles(spark, sf).withColumn("resource", F.concat_ws(":", "resource_type", "purpose"))
     return requirements.summary_messages(results, ["env_name", "account_id"], "resource")
@@ -510,6 +531,25 @@ def q10(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id", "change", F.col("column").alias("field"), F.col("from").alias("old_value"), F.col("to").alias("new_value"))
 
 
+def q10_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    levels = [F.floor(F.col("id") / 4096), F.floor(F.col("id") / 64)]
+    found = inventory.drift_by_ranges(
+        fleet.fleet_table(spark, sf, "expected_state"), fleet.fleet_table(spark, sf, "actual_state"), ["id"], ["status", "tier", "price"], levels
+    )
+    return found.select("id", "change", F.col("column").alias("field"), F.col("from").alias("old_value"), F.col("to").alias("new_value"))
+
+
+def q10_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Registries against those in force, which are spelled and ordered in another way."""
+
+    def parsed(name: str) -> DataFrame:
+        texts = documents.relaxed_json(fleet.fleet_table(spark, sf, name), "text")
+        return texts.select("registry_id", F.try_parse_json("text").alias("document"))
+
+    found = inventory.document_drift(parsed("registry_texts"), parsed("registry_actual"), ["registry_id"], "document")
+    return found.select("registry_id", "path", "change", F.col("from").alias("old_value"), F.col("to").alias("new_value"))
+
+
 def q11(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.rule_differences(
         fleet.fleet_table(spark, sf, "expected_state"), fleet.fleet_table(spark, sf, "actual_state"), ["status", "tier"]
@@ -719,6 +759,23 @@ def st1(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def st1_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream of four files, counted in two starts of the same stream."""
+    path = f"{shared_folder(spark)}/drift-{uuid.uuid4().hex}"
+    events = fleet.fleet_table(spark, sf, "drift_events")
+    for low, high in ((0, 2), (2, 4)):
+        part = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)).between(low, high - 1))
+        part.repartition(2, F.xxhash64("event_id")).write.mode("append").parquet(f"{path}/events")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events")
+        drift.start_drift_counts(stream, f"{path}/counts", f"{path}/state").awaitTermination()
+    counted = checkpointed(drift.read_drift_counts(spark, f"{path}/counts"))
+    remove_folder(spark, path)
+    return counted.select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+        F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "env_id", "n",
+    )
+
+
 # --- composed audits ---------------------------------------------------------------------
 
 
@@ -735,6 +792,7 @@ QUERIES = {
     "s4_policy_documents": s4,
     "s5_stack_manifest": s5,
     "s6_findings_sink": s6,
+    "s6_rerun_sink": s6_runs,
     "n1_resolve_context": n1,
     "n2_application_name": named(lambda: naming.application_name(type_code(), F.col("specific"))),
     "n3_shared_name": named(lambda: naming.shared_name(type_code(), F.col("specific"))),
@@ -784,6 +842,7 @@ QUERIES = {
     "q1_requirements": q1,
     "q2_role_checks": q2,
     "q3_summary": q3,
+    "q3_levels": q3_levels,
     "q3_messages": q3_messages,
     "q4_all_valid": q4,
     "q4_errors": q4_errors,
@@ -793,6 +852,8 @@ QUERIES = {
     "q8_endpoints": q8,
     "q9_existence": q9,
     "q10_drift": q10,
+    "q10_range_drift": q10_ranges,
+    "q10_document_drift": q10_documents,
     "q11_rule_differences": q11,
     "t1_unresolved_imports": t1,
     "t1_expected_imports": t1_expected,
@@ -818,4 +879,5 @@ QUERIES = {
     "r4_dead_letters": r4,
     "r5_rotation_due": r5,
     "st1_drift_windows": st1,
+    "st1_drift_stream": st1_stream,
 }

@@ -221,6 +221,14 @@ SELECT o_orderkey AS registry_id, concat('{"Environments":{"', CASE CAST(o_order
   CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN '' WHEN 1 THEN '"AccountType":"Production",' ELSE '"AccountType":"bogus",' END,
   CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 11 = 3 THEN '"Region":"eu-west-1",' ELSE '"Region":"us-west-2",' END, '"Tags":{"Owner":"', o_orderpriority, '","region":"r","tags":"t",}}}}') AS text
 FROM orders""",
+    "registry_actual": """
+SELECT o_orderkey AS registry_id, concat('{ "environments" : {"', CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'DEVELOPMENT'
+    WHEN 1 THEN 'integration' WHEN 2 THEN 'Staging' WHEN 3 THEN 'Production' ELSE 'Sandbox' END, '":{"Tags":{"tags":"t","region":"r",',
+  CASE WHEN o_orderkey % 15 = 2 THEN '"Extra":[1.50,{"a.b":null}],' ELSE '' END, '"Owner":"', o_orderpriority, '"},',
+  CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 10 = 1 THEN '"Region":"us-west-1",' WHEN o_orderkey % 11 = 3 THEN '"Region":"eu-west-1",' ELSE '"Region":"us-west-2",' END,
+  CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN '' WHEN 1 THEN '"accounttype":"Production",' ELSE '"accounttype":"bogus",' END,
+  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 9 = 4 THEN '' ELSE concat('"ACCOUNTID":"10000000000', CAST(o_custkey % 4 AS VARCHAR(4)), '",') END, '}}, /* end */ }') AS text
+FROM orders WHERE o_orderkey % 50 <> 49""",
     "existing_secrets": f"""
 SELECT concat('/', lower({_env('s_suppkey')}), '/appone/openaioptions-apikey_', CAST(s_suppkey AS VARCHAR(20))) AS path,
   s_nationkey % 6 <> 0 AS lookup_ok

@@ -216,6 +216,9 @@ UNION ALL SELECT p_partkey, 'imports', 'T', 'alb-arn' FROM part"""
 ORACLES["s6_findings_sink"] = f"""{NAMES}
 SELECT {RES}, env_name, kind, observed_name, expected_name FROM inventory WHERE lower(observed_name) <> lower(expected_name)"""
 
+ORACLES["s6_rerun_sink"] = f"""{NAMES}, found AS (SELECT {RES}, env_name, kind, observed_name, expected_name FROM inventory WHERE lower(observed_name) <> lower(expected_name))
+SELECT *, 'first' AS run FROM found WHERE kind = 'Storage' OR env_name = 'Production' UNION ALL SELECT *, 'second' FROM found WHERE env_name = 'Development'"""
+
 # --- names -------------------------------------------------------------------------------
 
 ORACLES["n1_resolve_context"] = f"""{NAMES}
@@ -511,6 +514,12 @@ SELECT env_name, account_id, count(*) AS total, count(*) FILTER (WHERE present A
   count(*) FILTER (WHERE NOT (present AND errors = '')) AS invalid, count(*) FILTER (WHERE NOT present) AS missing,
   count(*) FILTER (WHERE expected_name IS NULL) AS bad_names, bool_and(present AND errors = '') AS all_valid
 FROM checked GROUP BY env_name, account_id"""
+ORACLES["q3_levels"] = f"""{CHECK}
+SELECT env_name, account_id, CASE grouping(env_name, account_id) WHEN 0 THEN 'env_name,account_id' WHEN 2 THEN 'account_id' ELSE '' END AS level,
+  count(*) AS total, count(*) FILTER (WHERE present AND errors = '') AS valid,
+  count(*) FILTER (WHERE NOT (present AND errors = '')) AS invalid, count(*) FILTER (WHERE NOT present) AS missing,
+  count(*) FILTER (WHERE expected_name IS NULL) AS bad_names, bool_and(present AND errors = '') AS all_valid
+FROM checked GROUP BY GROUPING SETS ((env_name, account_id), (account_id), ())"""
 _MESSAGES = """messages AS (
   SELECT env_name, account_id, context_id, purpose, 'error' AS severity, unnest(string_split(errors, ',')) AS text FROM checked WHERE errors <> ''
   UNION ALL SELECT env_name, account_id, context_id, purpose, 'warning', warnings FROM checked WHERE warnings <> '')"""
@@ -547,6 +556,20 @@ UNION ALL SELECT id, 'changed', 'status', es, ast FROM k WHERE e = 1 AND a = 1 A
 UNION ALL SELECT id, 'changed', 'tier', et, att FROM k WHERE e = 1 AND a = 1 AND et IS DISTINCT FROM att
 UNION ALL SELECT id, 'changed', 'price', ep, ap FROM k WHERE e = 1 AND a = 1 AND ep IS DISTINCT FROM ap
 UNION ALL SELECT id, 'ambiguous', NULL, CAST(e AS VARCHAR), CAST(a AS VARCHAR) FROM k WHERE e > 0 AND a > 0 AND e + a > 2"""
+ORACLES["q10_range_drift"] = ORACLES["q10_drift"]
+_ENV = "'$.environments.' || CASE o_orderkey % 5 WHEN 0 THEN 'development' WHEN 1 THEN 'integration' WHEN 2 THEN 'staging' WHEN 3 THEN 'production' ELSE 'sandbox' END"
+ORACLES["q10_document_drift"] = f"""WITH o AS (SELECT *, {_ENV} AS env, o_orderkey % 50 = 49 AS gone FROM orders),
+wanted AS (
+  SELECT o_orderkey, gone, env || '.accountid' AS path, '10000000000' || o_custkey % 4 AS old, CASE WHEN o_orderkey % 9 <> 4 THEN '10000000000' || o_custkey % 4 END AS new FROM o WHERE o_orderkey % 7 <> 0
+  UNION ALL SELECT o_orderkey, gone, env || '.accounttype', t, t FROM (SELECT *, CASE WHEN o_custkey % 3 = 1 THEN 'Production' ELSE 'bogus' END AS t FROM o WHERE o_custkey % 3 <> 0)
+  UNION ALL SELECT o_orderkey, gone, env || '.region', r, CASE WHEN o_orderkey % 10 = 1 THEN 'us-west-1' ELSE r END FROM (SELECT *, CASE WHEN o_orderkey % 11 = 3 THEN 'eu-west-1' ELSE 'us-west-2' END AS r FROM o WHERE o_orderkey % 4 <> 0)
+  UNION ALL SELECT o_orderkey, gone, env || '.tags.owner', o_orderpriority, o_orderpriority FROM o
+  UNION ALL SELECT o_orderkey, gone, env || '.tags.region', 'r', 'r' FROM o UNION ALL SELECT o_orderkey, gone, env || '.tags.tags', 't', 't' FROM o
+  UNION ALL SELECT o_orderkey, gone, env || '.tags.extra[0]', NULL, '1.5' FROM o WHERE o_orderkey % 15 = 2 AND NOT gone
+  UNION ALL SELECT o_orderkey, gone, env || '.tags.extra[1].a\\.b', NULL, 'null' FROM o WHERE o_orderkey % 15 = 2 AND NOT gone)
+SELECT o_orderkey AS registry_id, path, CASE WHEN gone OR new IS NULL THEN 'removed' WHEN old IS NULL THEN 'added' ELSE 'changed' END AS change,
+  CASE WHEN NOT gone AND new IS NOT NULL THEN old END AS old_value, CASE WHEN NOT gone AND old IS NOT NULL THEN new END AS new_value
+FROM wanted WHERE gone OR old IS DISTINCT FROM new"""
 ORACLES["q11_rule_differences"] = f"""{with_tables("expected_state", "actual_state")},
 gone AS (SELECT status, tier FROM expected_state EXCEPT ALL SELECT status, tier FROM actual_state),
 extra AS (SELECT status, tier FROM actual_state EXCEPT ALL SELECT status, tier FROM expected_state)
@@ -694,10 +717,12 @@ SELECT {RES}, created, class, CASE WHEN created > DATE '{AS_OF}' THEN 'not_yet'
   WHEN class = 'documents' AND DATE '{AS_OF}' - created >= 90 THEN 'archive' WHEN class = 'documents' AND DATE '{AS_OF}' - created >= 30 THEN 'infrequent_access'
   ELSE 'standard' END AS stage FROM objects"""
 ORACLES["r4_dead_letters"] = f"""{with_tables("messages", values("limits", "queue, most", [("view", 1), ("click", 2), ("error", 1)]))}
-SELECT queue, message_id, count(*) AS receives, CAST(max(ts) AS DATE) + 14 AS expires_on, CAST(max(ts) AS DATE) + 14 <= DATE '2024-02-01' AS expired
-FROM messages JOIN limits USING (queue) GROUP BY queue, message_id, most HAVING count(*) > most"""
+SELECT queue, message_id, count(*) AS receives, CASE WHEN most IS NOT NULL THEN CAST(max(ts) AS DATE) + 14 END AS expires_on,
+  CASE WHEN most IS NOT NULL THEN CAST(max(ts) AS DATE) + 14 <= DATE '2024-02-01' END AS expired, CASE WHEN most IS NULL THEN 'queue without a limit: ' || queue END AS error
+FROM messages LEFT JOIN limits USING (queue) GROUP BY queue, message_id, most HAVING most IS NULL OR count(*) > most"""
 ORACLES["r5_rotation_due"] = f"""{with_tables("objects")}, ages AS (
   SELECT l_orderkey, CAST(DATE '{AS_OF}' - max(created) FILTER (created <= DATE '{AS_OF}') AS INTEGER) AS age_days, count(created) AS dated FROM objects GROUP BY l_orderkey)
 SELECT l_orderkey, age_days, CASE WHEN age_days > 30 THEN 'due' WHEN age_days IS NOT NULL THEN 'current' WHEN dated > 0 THEN 'not_yet' ELSE 'unknown' END AS state FROM ages"""
 ORACLES["st1_drift_windows"] = f"""{with_tables("drift_events")}, w AS (SELECT env_id, time_bucket(INTERVAL 4 HOURS, ts, TIMESTAMP '1970-01-01') AS s FROM drift_events WHERE is_drift)
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 4 HOURS, '%Y-%m-%d %H:%M:%S') AS window_end, env_id, count(*) AS n FROM w GROUP BY s, env_id"""
+ORACLES["st1_drift_stream"] = ORACLES["st1_drift_windows"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,5 +30,19 @@ def write_findings(
     writer.parquet(path)
 
 
+def write_run(
+    df: DataFrame, path: str, run: str, partition_by: list[str] | None = None, files_per_value: int = 1
+) -> None:
+    """Write the findings of one run to a folder of its own, ``run=<run>``, in place of what it held.
+
+    Writing a run again leaves one copy, also where the second time finds nothing for a value of
+    ``partition_by``; other runs are not touched. Each value is compacted to ``files_per_value``
+    files. A run that was cut off is made whole by writing it again.
+    """
+    if not re.fullmatch(r"[A-Za-z][A-Za-z0-9_-]*", run):
+        raise ValueError("a run is named by letters, digits, dashes and underscores, a letter first")
+    write_findings(df, f"{path}/run={run}", partition_by, "overwrite", files_per_value)
+
+
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

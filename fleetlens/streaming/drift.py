@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fleetlens.sources.findings import read_findings, write_run
+
 
 def drift_windows(events: DataFrame, width: str = "4 hours", watermark: str = "1 hour") -> DataFrame:
     """Drift events (ts, env_id, is_drift) per environment and window.
@@ -45,3 +47,22 @@ def start_drift_windows(events: DataFrame, path: str, checkpoint: str, **options
         .trigger(availableNow=True)
         .start()
     )
+
+
+def start_drift_counts(events: DataFrame, path: str, checkpoint: str, width: str = "4 hours") -> StreamingQuery:
+    """Count what is available now into ``path``, a run of its own for every micro-batch.
+
+    Nothing is dropped: each batch counts its rows, late ones and those without a time too, and
+    writes a few rows per window. A batch that is done again after a failure replaces its run,
+    as its number is kept in ``checkpoint``. ``read_drift_counts`` adds the runs up.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        write_run(drift_windows(batch, width), path, f"batch-{number}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_drift_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows as ``drift_windows`` of all events that the stream has seen."""
+    return read_findings(spark, path).groupBy("window_start", "window_end", "env_id").agg(F.sum("n").alias("n"))

@@ -7,7 +7,7 @@ import pytest
 from fleetlens.plans import catalog
 
 # these run jobs of their own while they are built
-EAGER = {"n16_register_codes", "t3_deploy_levels", "s6_findings_sink", "r2_health_states"}
+EAGER = {"n16_register_codes", "t3_deploy_levels", "s6_findings_sink", "r2_health_states", "s6_rerun_sink", "st1_drift_stream", "q10_range_drift"}
 
 
 # the derived rule table pairs every part with six languages that are written out
