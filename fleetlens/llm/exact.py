@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.frames import free_name, named, own_columns
+from fleetlens.llm.frames import free_name, lean, named, own_columns
 from fleetlens.llm.sketches import frequent
 from fleetlens.session import checkpointed
 
@@ -44,7 +44,7 @@ def digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     id_type = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        digest, f"doc_id {id_type}, digest string"
+        lean(digest), f"doc_id {id_type}, digest string"
     )
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +28,26 @@ def own_columns(df: DataFrame) -> list[Column]:
 
 def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
+
+
+def give_back() -> None:
+    """Return memory that this worker has freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+Batches = Iterable[pa.RecordBatch]
+
+
+def lean(made: Callable[[Batches], Iterator[pa.RecordBatch]]) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """``made`` for ``mapInArrow``, leaving no peak behind: Python workers outlive their tasks and stages."""
+
+    def rows(batches: Batches) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from made(batches)
+        finally:
+            give_back()
+
+    return rows

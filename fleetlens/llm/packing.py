@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.frames import free_name, named, own_columns
+from fleetlens.llm.frames import free_name, lean, named, own_columns
 from fleetlens.llm.words import slices, words
 from fleetlens.session import checkpointed
 
@@ -41,9 +41,9 @@ END = 1
 FAN = 16
 PARTNERS = 4096
 BLOCK_ROWS = 1 << 17
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: Words a worker remembers; beyond, it forgets the half that it met longest ago.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 RUN_WORDS = 1024
 
 
@@ -188,7 +188,7 @@ def tokenize(
                     columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.select(named(doc_id).alias("doc_id"), named(text).alias("text")).mapInArrow(pieces, schema)
+    return docs.select(named(doc_id).alias("doc_id"), named(text).alias("text")).mapInArrow(lean(pieces), schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm import words as W
-from fleetlens.llm.frames import free_name, named, own_columns
+from fleetlens.llm.frames import free_name, lean, named, own_columns
 from fleetlens.llm.graph import components
 from fleetlens.llm.sketches import Summary, merged
 from fleetlens.session import checkpointed
@@ -127,7 +127,7 @@ def scan(docs: DataFrame, doc_id: str, text: str, hot: int = HOT) -> DataFrame:
             )
 
     texts = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text"))
-    return texts.mapInArrow(rows, f"doc_id {id_type}, n bigint, digest binary, own boolean, key bigint, count bigint")
+    return texts.mapInArrow(lean(rows), f"doc_id {id_type}, n bigint, digest binary, own boolean, key bigint, count bigint")
 
 
 def _exchange(docs: DataFrame, doc_id: str, text: str, hot: dict[int, int], ranges: int) -> DataFrame:
@@ -239,7 +239,7 @@ def _exchange(docs: DataFrame, doc_id: str, text: str, hot: dict[int, int], rang
         )
 
     texts = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text"))
-    sent = texts.mapInArrow(send, wire)
+    sent = texts.mapInArrow(lean(send), wire)
     back = sent.groupBy("place").applyInArrow(count, wire)
     return back.groupBy("place").applyInArrow(gather, "digest binary, n bigint, unique bigint, keys array<bigint>")
 
@@ -262,7 +262,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
     order = ["a", "chunk", F.col("b") >= 0, "n", "unique", "keys"]
     stream = candidates.unionByName(probes).repartition("a", "chunk").sortWithinPartitions(*order)
-    return stream.drop("chunk").mapInArrow(_walk, "a bigint, b bigint")
+    return stream.drop("chunk").mapInArrow(lean(_walk), "a bigint, b bigint")
 
 
 def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,6 +406,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: i
     key = F.when(named(name).isNull(), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))).otherwise(
         F.concat_ws(":", named(name), named(doc_id).cast("string"))
     )
-    marked = docs.mapInArrow(with_digest, schema).withColumn(at, key)
+    marked = docs.mapInArrow(lean(with_digest), schema).withColumn(at, key)
     met = marked.join(kept, named(at) == F.col("_kept"), "left").filter(F.col("_kept").isNotNull() | named(name).isNull())
     return met.dropDuplicates([at]).select(*own_columns(docs))

@@ -17,6 +17,7 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SHINGLE = 5
 #: Bytes of text worked on at once; a longer text is worked on by itself.
 SLICE = 1 << 20
+KEPT_POWERS = SLICE + 1
 #: Texts worked on at once, so that their numbers fit 16 bits.
 SLICE_TEXTS = 1 << 15
 
@@ -41,20 +42,23 @@ _PLACE = mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64) * _U(_BASE)) | _U(1)
 
 
 class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, as many as asked for so far."""
+    """Powers of the base and of its inverse modulo 2**64; those of a slice are kept, those of a long text are not."""
 
     up = np.ones(1, dtype=np.uint64)
     down = np.ones(1, dtype=np.uint64)
 
     @classmethod
     def first(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, SLICE)
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                steps = np.full(size, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(cls, name, np.cumprod(steps))
-        return cls.up[:n], cls.down[:n]
+        if len(cls.up) < n <= KEPT_POWERS:
+            cls.up, cls.down = cls._powers(KEPT_POWERS)
+        up, down = cls._powers(n) if n > len(cls.up) else (cls.up, cls.down)
+        return up[:n], down[:n]
+
+    @staticmethod
+    def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+        steps = np.full((2, n), [[_BASE], [_INVERSE]], dtype=np.uint64)
+        steps[:, 0] = 1
+        return tuple(np.cumprod(steps, axis=1))
 
 
 @dataclass
