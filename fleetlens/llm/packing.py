@@ -42,8 +42,8 @@ FAN = 16
 PARTNERS = 4096
 BLOCK_ROWS = 1 << 17
 BLOCK_BYTES = 8 << 20
-#: Words a worker remembers; beyond, it forgets the half that it met longest ago.
-REMEMBERED = 1 << 18
+#: Words a worker remembers, and their ids; beyond, it forgets the half that it met longest ago.
+REMEMBERED, REMEMBERED_IDS = 1 << 20, 1 << 22
 RUN_WORDS = 1024
 
 
@@ -67,7 +67,7 @@ class WordEncoder:
         for token, number in vocabulary.items():
             self.ends_word[number] = bool(suffix) and token.endswith(suffix)
         self.key = np.empty(0, np.uint64)
-        self.start, self.count, self.used = (np.empty(0, np.int64) for _ in range(3))
+        self.start, self.count, self.used = (np.empty(0, np.int32) for _ in range(3))
         self.ids = np.empty(0, "<u4")
         self.round = 0
 
@@ -99,7 +99,10 @@ class WordEncoder:
         self.key, self.start, self.count, self.used = (x[kept] for x in (self.key, self.start, self.count, self.used))
         total = np.cumsum(self.count)
         self.ids = self.ids[np.repeat(self.start - (total - self.count), self.count) + np.arange(total[-1] if len(total) else 0)]
-        self.start = total - self.count
+        self.start = (total - self.count).astype(np.int32)
+        if len(self.ids) > REMEMBERED_IDS:
+            self.key, self.ids = self.key[:0], self.ids[:0]
+            self.start, self.count, self.used = (x[:0] for x in (self.start, self.count, self.used))
 
     def _learn(self, key: np.ndarray, words: list[str]) -> None:
         order, count, ids = self._encoded(words)
@@ -116,7 +119,7 @@ class WordEncoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         self.round += 1
-        if len(self.key) > REMEMBERED:
+        if len(self.key) > REMEMBERED or len(self.ids) > REMEMBERED_IDS:
             self._forget()
         found = words(data, offsets, lower=False)
         key, first, word = np.unique(found.hash, return_index=True, return_inverse=True)
