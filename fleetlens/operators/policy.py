@@ -193,9 +193,12 @@ def evaluate(requests: DataFrame, statements: DataFrame, keys: list[str], salts:
     asked = [f"_asked_{c}" for c in given]
     fields = ["action_like", "resource_like", "spared_actions", "spared_resources", "conditions"]
     filed = prepare_statements(statements).select(
-        *[F.col(k).alias(f"_asked_{k}") for k in keys], "effect", "sid", *fields,
-        _filed(F.lower("action")).alias("at_action"), _filed(F.col("resource")).alias("at_resource"),
+        *[F.col(k).alias(f"_asked_{k}") for k in keys], "effect", "sid", *fields, "action", "resource"
     )
+    # generated, as a join key that is computed would be computed once more by the filter on it
+    for name, pattern in (("at_action", F.lower("action")), ("at_resource", F.col("resource"))):
+        filed = filed.select("*", F.explode(F.array(_filed(pattern))).alias(name))
+    filed = filed.drop("action", "resource")
     action, resource = F.col("_asked_action"), F.col("_asked_resource")
     met = _meet(
         told.select(*asked).distinct(), {"at_action": F.lower(action), "at_resource": resource}, filed, [f"_asked_{k}" for k in keys]
