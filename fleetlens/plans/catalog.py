@@ -17,7 +17,7 @@ from fleetlens.operators import config, containers, inventory, names, policy, re
 from fleetlens.plans import audits
 from fleetlens.plans import fleet_tables as fleet
 from fleetlens.session import checkpointed, remove_folder, shared_folder
-from fleetlens.sources import documents, findings
+from fleetlens.sources import documents, files, findings
 from fleetlens.streaming import drift
 
 SETTINGS = fleet.SETTINGS
@@ -39,6 +39,32 @@ def s1(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def s1_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of registries read by two runs: after all are written, and after some came, changed or went."""
+    path = f"{shared_folder(spark)}/registries-{uuid.uuid4().hex}"
+    folder, ledger = f"{path}/files", f"{path}/ledger"
+    texts = fleet.fleet_table(spark, sf, "registry_files")
+    for run in (1, 2):
+        step = texts.filter(F.col("step") == run).drop("step").repartition("doc")
+        step.write.mode("append").partitionBy("shelf", "doc").text(folder)
+        if run == 2:
+            remove_folder(spark, f"{folder}/shelf=b")
+        changes = files.stage_changes(spark, folder, ledger, run, "*.txt", r"/doc=(\d+)/")
+        read = files.read_changed(changes, folder).withColumn("run", F.lit(run))
+        parsed = documents.parse_environments(read.select("run", "name", "change", "file_error", "text"))
+        findings.write_run(parsed.drop("tags"), f"{path}/parsed", f"run-{run}")
+        files.commit_changes(spark, ledger, run)
+    parsed = findings.read_findings(spark, f"{path}/parsed/*")
+    found = checkpointed(
+        parsed.select(
+            "run", F.col("name").cast("bigint").alias("doc"), "change", "env_name", "account_id",
+            F.when(F.col("change") != "removed", F.coalesce("file_error", "error")).alias("error"),
+        )
+    )
+    remove_folder(spark, path)
+    return found
+
+
 def s2(spark: SparkSession, sf: str) -> DataFrame:
     return config.merge_layers(fleet.fleet_table(spark, sf, "layers"))
 
@@ -786,6 +812,7 @@ def fleet_name_summary(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "fleet_name_summary": fleet_name_summary,
     "s1_environment_registry": s1,
+    "s1_changed_files": s1_files,
     "s2_layered_merge": s2,
     "s3_service_configs": s3,
     "s3_missing_documents": s3_missing,

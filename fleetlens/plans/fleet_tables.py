@@ -229,6 +229,15 @@ SELECT o_orderkey AS registry_id, concat('{ "environments" : {"', CASE CAST(o_or
   CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN '' WHEN 1 THEN '"accounttype":"Production",' ELSE '"accounttype":"bogus",' END,
   CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 9 = 4 THEN '' ELSE concat('"ACCOUNTID":"10000000000', CAST(o_custkey % 4 AS VARCHAR(4)), '",') END, '}}, /* end */ }') AS text
 FROM orders WHERE o_orderkey % 50 <> 49""",
+    # a document per supplier: step 1 has it before a change, step 2 after it
+    "registry_files": f"""
+SELECT step, s_suppkey AS doc, CASE WHEN s_suppkey % 7 = 3 THEN 'b' ELSE 'a' END AS shelf,
+  CASE WHEN s_suppkey % 11 = 6 THEN concat('{{ "environments": ', CAST(step AS VARCHAR(4)))
+    WHEN s_suppkey % 13 = 5 THEN ''
+    ELSE concat('// registry of ', s_name, '\n{{"Environments":{{"', {_env('s_suppkey')}, '":{{"accountId":"',
+      CAST(CASE WHEN s_suppkey % 5 = 0 THEN s_nationkey * 10 + step ELSE s_nationkey END AS VARCHAR(8)), '",}}}}}}') END AS text
+FROM (SELECT *, 1 AS step FROM supplier UNION ALL SELECT *, 2 FROM supplier) AS steps
+WHERE (step = 1 AND s_suppkey % 4 <> 1) OR (step = 2 AND s_suppkey % 7 <> 3 AND (s_suppkey % 4 = 1 OR s_suppkey % 5 = 0))""",
     "existing_secrets": f"""
 SELECT concat('/', lower({_env('s_suppkey')}), '/appone/openaioptions-apikey_', CAST(s_suppkey AS VARCHAR(20))) AS path,
   s_nationkey % 6 <> 0 AS lookup_ok

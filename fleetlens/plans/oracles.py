@@ -151,6 +151,16 @@ SELECT o_orderkey AS registry_id, env_name,
     WHEN o_orderkey % 4 <> 0 AND o_orderkey % 11 = 3 THEN 'Unsupported region ''eu-west-1'' in environment ''' || env_name || '''' END AS error
 FROM base LEFT JOIN dim_env USING (env_name)"""
 
+ORACLES["s1_changed_files"] = """WITH runs AS (
+  SELECT 1 AS run, s_suppkey, s_nationkey, 'new' AS change FROM supplier WHERE s_suppkey % 4 <> 1
+  UNION ALL SELECT 2, s_suppkey, s_nationkey, CASE WHEN s_suppkey % 7 = 3 THEN 'removed' WHEN s_suppkey % 4 = 1 THEN 'new' ELSE 'changed' END FROM supplier
+  WHERE CASE WHEN s_suppkey % 7 = 3 THEN s_suppkey % 4 <> 1 ELSE s_suppkey % 4 = 1 OR s_suppkey % 5 = 0 END),
+read AS (SELECT *, change <> 'removed' AND s_suppkey % 11 <> 6 AND s_suppkey % 13 <> 5 AS good FROM runs)
+SELECT run, s_suppkey AS doc, change,
+  CASE WHEN good THEN CASE s_suppkey % 5 WHEN 0 THEN 'Development' WHEN 1 THEN 'Integration' WHEN 2 THEN 'Staging' WHEN 3 THEN 'Production' ELSE 'Sandbox' END END AS env_name,
+  CASE WHEN good THEN CAST(CASE WHEN s_suppkey % 5 = 0 THEN s_nationkey * 10 + run ELSE s_nationkey END AS VARCHAR) END AS account_id,
+  CASE WHEN change <> 'removed' AND NOT good THEN 'no environment found' WHEN good AND s_suppkey % 5 = 4 THEN 'Unknown environment: Sandbox' END AS error
+FROM read"""
 ORACLES["s2_layered_merge"] = f"""{with_tables("layers")}
 SELECT scope, key, value FROM (SELECT *, row_number() OVER (PARTITION BY scope, key ORDER BY priority DESC) AS rn FROM layers)
 WHERE rn = 1"""

@@ -1,6 +1,7 @@
 """Files as tables, including documents that are hard to read."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from fleetlens import rules
 from fleetlens.operators import containers, inventory, names
 from fleetlens.settings import Settings
-from fleetlens.sources import documents, findings
+from fleetlens.sources import documents, files, findings
 
 
 @pytest.fixture
@@ -164,3 +165,60 @@ def test_registry_feeds_contexts(spark, folder):
     df = documents.read_environments(spark, put(folder, "settings.json", REGISTRY)).withColumn("app_name", F.lit("AppOne"))
     resolved = names.resolve_context(df.filter("error IS NULL OR error LIKE 'AccountId%'"), Settings())
     assert {r["env_prefix"] for r in resolved.collect()} == {"dev", "stg", "prod"}
+
+
+def _intake(spark, folder, ledger, number, commit=True, **options):
+    changes = files.stage_changes(spark, folder, ledger, number)
+    got = {r["name"].rsplit("/", 1)[1]: (r["change"], r["text"], r["file_error"]) for r in files.read_changed(changes, folder, **options).collect()}
+    if commit:
+        files.commit_changes(spark, ledger, number)
+    return got
+
+
+def test_files_are_read_once(spark, tmp_path):
+    folder, ledger = tmp_path / "in", str(tmp_path / "ledger")
+    (folder / "deep").mkdir(parents=True)
+    assert _intake(spark, str(folder), ledger, 0) == {}
+    put(folder, "a.json", "﻿{}")
+    put(folder, "deep/b.json", "[1,\n2]")
+    put(folder, "c.json", " ")
+    put(folder, "d.txt", "not asked for")
+    put(folder, "empty.json", "")
+    first = {"a.json": ("new", "{}", None), "b.json": ("new", "[1,\n2]", None), "c.json": ("new", " ", None)}
+    assert _intake(spark, str(folder), ledger, 1, commit=False) == first  # not committed: seen again
+    assert _intake(spark, str(folder), ledger, 1) == first
+    assert _intake(spark, str(folder), ledger, 2) == {}
+    put(folder, "a.json", "{ }")
+    put(folder, "c.json", "")  # an empty file counts as gone
+    (folder / "e.json").write_bytes(b"\xff\xfe{")
+    put(folder, "f.json", "x" * 100)
+    os.utime(put(folder, "old.json", "late") + "/old.json", (1_000_000_000, 1_000_000_000))
+    second = {
+        "a.json": ("changed", "{ }", None), "c.json": ("removed", None, None), "e.json": ("new", None, "file is not UTF-8"),
+        "f.json": ("new", None, "file is longer than 50 bytes"), "old.json": ("new", "late", None),
+    }
+    assert _intake(spark, str(folder), ledger, 3, max_bytes=50) == second
+    assert _intake(spark, str(folder), ledger, 3, max_bytes=50) == second  # a run done again sees what it saw
+    assert _intake(spark, str(folder), ledger, 4) == {}
+    put(folder, "c.json", "back")
+    assert _intake(spark, str(folder), ledger, 5) == {"c.json": ("new", "back", None)}
+
+
+def test_a_file_that_goes_after_the_listing_is_an_error(spark, tmp_path):
+    folder, ledger = tmp_path / "in", str(tmp_path / "ledger")
+    folder.mkdir()
+    put(folder, "a.json", "1"), put(folder, "b.json", "2")
+    changes = files.stage_changes(spark, str(folder), ledger, 1)
+    (folder / "a.json").unlink()
+    got = {r["name"][-6:]: (r["text"], r["file_error"]) for r in files.read_changed(changes, str(folder)).collect()}
+    assert got == {"a.json": (None, "file could not be read"), "b.json": ("2", None)}
+
+
+def test_of_files_with_one_name_the_newest_counts(spark, tmp_path):
+    for i, (name, text) in enumerate([("doc=1/x.json", "old"), ("doc=1/y.json", "new"), ("other.json", "o")]):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        put(tmp_path, name, text)
+        os.utime(tmp_path / name, (1_000_000_000 + i, 1_000_000_000 + i))
+    listed = files.list_files(spark, str(tmp_path), "*.json", r"doc=(\d+)/")
+    rows = {r["name"]: r["path"].rsplit("/", 1)[1] for r in listed.collect()}
+    assert rows.pop("1") == "y.json" and list(rows.values()) == ["other.json"] and next(iter(rows)).endswith("/other.json")
