@@ -7,16 +7,20 @@ host are aligned one after another into a union-free regular expression:
 * where two streams differ, what only one of them has becomes an optional group,
 * texts that differ become a slot; a text that all pages share stays fixed.
 
-Partial wrappers merge in any order, so each batch first merges its own pages, equal partial
-wrappers are counted by an ordinary aggregation, and the rest is merged in two steps, by host
-and salt and then by host: no task sees the pages of a host, however many it has.
-
-The slots of a host's wrapper are then sorted into the article (slots within article or main),
-other text, and what is no main text: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, comments, by tag, role, class and id; slots that hold links only, and texts fixed
-over three pages or more whose blocks differ otherwise, where there is no article. A page yields
-the blocks that lie in its host's article slots, or in its other slots if it has no article at all,
-or its fixed texts if it has nothing else.
+A row of more than ``WIDE`` items becomes one repeated group of optional items, one of each name;
+names carry no digits, and what surely holds no main text is cut off. So a wrapper has the size of
+its host's template, however many pages the host has. Partial wrappers merge in any order: each
+batch merges its own pages, equal partial wrappers become one, and the rest is merged in two
+steps, by host and salt and then by host, which reads ``SALTS`` wrappers.
+
+What surely is no main text: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+comments, by tag, role, or a class or id made of such words alone. Of an element whose class only
+holds such a word (``share-price``), the wrapper decides: it goes if it is repeated, or if its texts are
+all links or the same on all pages. The wrapper's slots then are the article (within article or main)
+or other text. Where there is no article, slots of links go, as do labels of links and texts that are
+the same on ``FIXED_PAGES`` pages or more whose blocks differ otherwise, unless such a text lies
+between texts that vary, as a heading of the story. A page yields its blocks in its host's article slots,
+or in its other slots if it has no article, or its fixed texts if it has nothing else.
 
 Defined cases: a null or empty html has empty text; a null or odd url belongs to the host "";
 unclosed and stray tags, truncated pages and pages of any length and depth are read to the end;
@@ -40,11 +44,12 @@ from pyspark.sql import functions as F
 from fleetlens.llm.frames import named
 
 SALTS = 16
-#: Hosts up to which the table of wrappers is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_HOSTS = 20_000
+#: Characters of all wrappers up to which they are broadcast; beyond, pages join them by host and salt.
+BROADCAST_CHARS = 16 << 20
 FIXED_PAGES = 3
+WIDE = 48
 SLOT, LINKS, GROUP = "#", "#a", "()"
-OPTIONAL, REPEATED = 1, 2
+OPTIONAL, REPEATED, LOOSE = 1, 2, 4
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z) | <!\[CDATA\[.*?(?:\]\]>|\Z) | <[!?][^>]*+(?:>|\Z)
@@ -79,10 +84,30 @@ OTHER_WORDS = set(
     "nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising sponsor "
     "sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup "
     "login search share sharing social comment comments disqus respond reply replies related recommended breadcrumb breadcrumbs "
-    "pagination pager widget toolbar copyright".split()
+    "pagination pager widget toolbar copyright teaser teasers".split()
+)
+# Words of these that decide in any company, words that say nothing beside them, and words that make an article none.
+DECIDING_WORDS = set(
+    "navbar masthead sidebar advert adverts advertisement advertising sponsored cookie cookies consent gdpr newsletter comments "
+    "disqus breadcrumb breadcrumbs pagination copyright".split()
 )
+NEUTRAL_WORDS = set(
+    "area bar block bottom box button buttons col column container content desktop form global group holder icon icons inner item "
+    "items left link links list main mobile outer page panel reader readers right row section site slot sticky thread top unit user "
+    "users wrap wrapper".split()
+)
+NO_ARTICLE_WORDS = set("ad advert comment comments promo related reply sponsored teaser".split())
+_BOXES = set("div section article aside details".split())
+_CONTAINERS = _BOXES | set("ul ol dl table figure".split())
 _ARTICLE = {"article", "main"}
 _PLAIN = {"html", "body", *_ARTICLE}
+_MARKS = ("", "?", "!")
+ROOT = 0
+
+
+def _below(path: int, name: str) -> int:
+    """The path of an element of this name below a path; paths are compared within one process only."""
+    return hash((path, name))
 
 
 class Node:
@@ -99,32 +124,53 @@ class Node:
         self.children: list[Node] = children if children is not None else []
 
 
+def _mark(tag: str, value: str) -> str:
+    """What a class or id says: ``!`` no main text, ``?`` perhaps none, or nothing."""
+    mark = ""
+    for token in value.split():
+        words = {w for w in re.split(r"[^a-z]+", token) if len(w) > 1}
+        if tag in _PLAIN:
+            hit = bool(words) and tag == "article" and words <= NO_ARTICLE_WORDS | NEUTRAL_WORDS and bool(words & NO_ARTICLE_WORDS)
+        else:
+            hit = bool(words & DECIDING_WORDS) or bool(words & OTHER_WORDS) and words <= OTHER_WORDS | NEUTRAL_WORDS
+        if hit:
+            return "!"
+        if tag in _CONTAINERS and tag not in _PLAIN and words & OTHER_WORDS:
+            mark = "?"
+    return mark
+
+
 def element_name(tag: str, rest: str) -> str:
-    """Tag with its first class or id; with a ``!`` in front if it holds no main text."""
-    label, other = "", tag in OTHER_TAGS
+    """Tag with its first class or id without digits; ``!`` in front if it holds no main text, ``?`` if perhaps."""
+    label, mark = "", "!" if tag in OTHER_TAGS else ""
     if rest and not rest.isspace():
         for key, value in _ATTRIBUTE.findall(rest):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
-                label = label or re.sub(r"[^\w-]", "", (value.split() or [""])[0])
-                other |= tag not in _PLAIN and not OTHER_WORDS.isdisjoint(re.split(r"[^a-z]+", value))
-            elif key == "role":
-                other |= value in OTHER_ROLES
-            elif key == "style":
-                other |= "display:none" in value.replace(" ", "")
-            else:
-                other |= value != "false"
-    return ("!" if other else "") + tag + ("." + label if label else "")
-
-
-def read_page(text: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
-    """The page's tree of blocks and slots, and its blocks in order as (names from the root, text)."""
+                if not label and (key == "class" or tag in _CONTAINERS):
+                    label = next((t for t in value.split() if not re.search(r"\d", t)), "")
+                mark = max(_mark(tag, value), mark, key=_MARKS.index) if value else mark
+            elif (
+                value in OTHER_ROLES if key == "role" else "display:none" in value.replace(" ", "") if key == "style" else value != "false"
+            ):
+                mark = "!"
+    label = re.sub(r"[^\w-]", "", label)
+    return mark + tag + ("." + label if label else "")
+
+
+def read_page(text: str) -> tuple[Node, list[tuple[int, str, str]]]:
+    """The page's tree of blocks and slots, and its blocks in order as (path, text, fixed), without what is marked ``!``.
+
+    ``fixed`` is a digest of the text, or of what is beside its links after an ``a``; it is empty within an article.
+    """
     root = Node("")
-    stack, tags, names = [root], [""], [()]
+    stack, tags, paths = [root], [""], [ROOT]
+    marks = [""]  # the strongest mark from the root on
     pieces: list[str] = []
+    beside: list[str] = []
     linked = plain = False
     in_link = 0
-    blocks: list[tuple[tuple[str, ...], str]] = []
+    blocks: list[tuple[int, str, str]] = []
     held: list[Node] = []
 
     def flush() -> None:
@@ -132,20 +178,21 @@ def read_page(text: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
         if pieces:
             block = " ".join(entities.unescape("".join(pieces)).split())
             pieces.clear()
-            if block:
-                other = any(n[:1] == "!" for n in names[-1])
-                free = other or any(t in _ARTICLE for t in tags)
-                fixed = "" if free else f"{crc32(block.encode('utf-8', 'replace')):x}"
+            if block and marks[-1] != "!":
+                mixed = linked and plain
+                free = not marks[-1] and not _ARTICLE.isdisjoint(tags)
+                label = " ".join("".join(beside).split()) if mixed else block
+                fixed = "" if free else f"{'a' if mixed else ''}{crc32(label.encode('utf-8', 'replace')):x}"
                 stack[-1].children.append(Node(LINKS if linked and not plain else SLOT, fixed=fixed))
                 if fixed:
                     held.append(stack[-1].children[-1])
-                if not other:
-                    blocks.append((names[-1], block))
+                blocks.append((paths[-1], block, fixed))
+        beside.clear()
         linked = plain = False
 
     def leave() -> None:
         flush()
-        stack.pop(), tags.pop(), names.pop()
+        stack.pop(), tags.pop(), paths.pop(), marks.pop()
 
     at = 0
     while at < len(text):
@@ -154,6 +201,8 @@ def read_page(text: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
         if upto > at:
             piece = text[at:upto]
             pieces.append(piece)
+            if not in_link:
+                beside.append(piece)
             if not piece.isspace():
                 linked, plain = linked or in_link > 0, plain or in_link == 0
         if not token:
@@ -197,17 +246,21 @@ def read_page(text: str) -> tuple[Node, list[tuple[tuple[str, ...], str]]]:
         name = element_name(tag, token["rest"] or "")
         if name == stack[-1].name:  # an element in its like, as unclosed tags leave, is the same level
             stack.append(stack[-1])
-            names.append(names[-1])
+            paths.append(paths[-1])
+            marks.append(marks[-1])
         else:
-            stack[-1].children.append(Node(name))
-            stack.append(stack[-1].children[-1])
-            names.append((*names[-1], name))
+            node = Node(name)
+            if marks[-1] != "!":
+                stack[-1].children.append(node)
+            stack.append(node)
+            paths.append(_below(paths[-1], name))
+            marks.append(max(marks[-1], name[0] if name[0] in "?!" else "", key=_MARKS.index))
         tags.append(tag)
     while len(stack) > 1:
         leave()
     flush()
     if held:
-        digest = blake2b("\n".join(b for _, b in blocks).encode("utf-8", "replace"), digest_size=8).hexdigest()
+        digest = blake2b("\n".join(b[1] for b in blocks).encode("utf-8", "replace"), digest_size=8).hexdigest()
         for node in held:
             node.seen = (digest,)
     return root, blocks
@@ -227,6 +280,8 @@ def merge(a: Node, b: Node) -> Node:
 
 def align(a: list[Node], b: list[Node]) -> list[Node]:
     """Align two rows of items; what has no match becomes optional. Repeats are folded."""
+    if any(n.flags & LOOSE for n in (*a[:1], *b[:1])):
+        return loosen([*a, *b])
     out: list[Node] = []
     later_a, later_b = ({} for _ in range(2))
     for later, row in ((later_a, a), (later_b, b)):
@@ -286,7 +341,22 @@ def fold(items: list[Node]) -> list[Node]:
                     group.children = [merge(x, y) for x, y in zip(group.children, last)]
                     del out[-width:]
         items = out
-    return items
+    return loosen(items) if len(items) > WIDE else items
+
+
+def loosen(items: list[Node]) -> list[Node]:
+    """One repeated group in which each name of the items is optional, in any order."""
+    kinds: dict[str, Node] = {}
+    todo = items[::-1]
+    while todo:
+        node = todo.pop()
+        if node.name == GROUP:
+            todo += reversed(node.children)
+            continue
+        key = SLOT if node.name == LINKS else node.name
+        kinds[key] = merge(kinds[key], node) if key in kinds else node
+        kinds[key].flags |= OPTIONAL | REPEATED * (len(items) > 1 and kinds[key] is not node)
+    return [Node(GROUP, REPEATED | LOOSE, children=list(kinds.values()))]
 
 
 def fold_page(root: Node) -> Node:
@@ -330,7 +400,7 @@ def decode(text: str) -> Node:
 
 def expression(root: Node) -> str:
     """The wrapper written as a regular expression over tags and slots."""
-    marks = {0: "", OPTIONAL: "?", REPEATED: "+", OPTIONAL | REPEATED: "*"}
+    marks = ("", "?", "+", "*")
     out, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -339,30 +409,60 @@ def expression(root: Node) -> str:
             continue
         slot = node.name in (SLOT, LINKS)
         out.append(node.name if slot else "(" if node.name == GROUP else f"<{node.name}>(")
-        todo.append(("" if slot else ")") + marks[node.flags])
+        todo.append(("" if slot else ")") + marks[node.flags & (OPTIONAL | REPEATED)])
         todo += reversed(node.children)
     return "".join(out)
 
 
-def content_slots(root: Node) -> tuple[set[tuple[str, ...]], set[tuple[str, ...]], set[tuple[str, ...]]]:
-    """Names from the root to the elements whose slots are the article, to those of other text, and of fixed text."""
-    article: set[tuple[str, ...]] = set()
-    other: set[tuple[str, ...]] = set()
-    fixed: set[tuple[str, ...]] = set()
-    todo = [(root, (), False)]
+Slots = tuple[set[int], set[int], set[int], set[tuple[int, str]]]
+
+
+def _is_fixed(slot: Node) -> bool:
+    return bool(slot.fixed) and len(slot.seen) >= FIXED_PAGES
+
+
+def content_slots(root: Node) -> Slots:
+    """Paths of the elements whose slots are the article, of those of other text, of those of fixed text, and
+    (path, digest) of the fixed texts that are no main text."""
+    order, todo = [], [root]
     while todo:
-        node, path, inside = todo.pop()
-        for child in node.children:
+        node = todo.pop()
+        order.append(node)
+        todo += node.children
+    varied: set[int] = set()
+    for node in reversed(order):
+        if node.name == SLOT and not _is_fixed(node) or any(id(c) in varied for c in node.children):
+            varied.add(id(node))
+
+    article: set[int] = set()
+    other: set[int] = set()
+    fixed: set[int] = set()
+    template: set[tuple[int, str]] = set()
+    walk = [(root, ROOT, False, False, False)]
+    while walk:
+        node, path, inside, within, again = walk.pop()
+        places = [i for i, c in enumerate(node.children) if id(c) in varied]
+        around = bool(places) and node.name == GROUP
+        for i, child in enumerate(node.children):
+            held = within or around or bool(places) and places[0] < i < places[-1]
             if child.name in (SLOT, LINKS):
                 if inside:
                     article.add(path)
-                elif child.name == SLOT:
-                    (fixed if child.fixed and len(child.seen) >= FIXED_PAGES else other).add(path)
+                elif child.name == LINKS:
+                    continue
+                elif _is_fixed(child) and (not held or child.fixed[0] == "a"):
+                    fixed.add(path)
+                    template.add((path, child.fixed))
+                else:
+                    other.add(path)
             elif child.name == GROUP:
-                todo.append((child, path, inside))
+                walk.append((child, path, inside, held, True))
+            elif child.name[:1] == "?" and (again or child.flags & REPEATED or id(child) not in varied):
+                continue
             elif child.name[:1] != "!":
-                todo.append((child, (*path, child.name), inside or child.name.split(".")[0] in _ARTICLE))
-    return article, other, fixed
+                tag = child.name.lstrip("?").split(".")[0]
+                walk.append((child, _below(path, child.name), inside or tag in _ARTICLE, held and tag not in _BOXES, False))
+    return article, other, fixed, template
 
 
 def _merged(wrappers: Iterable[str]) -> str:
@@ -405,21 +505,19 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return some.groupBy("host").applyInArrow(whole, "host string, wrapper string")
 
 
-def main_text(page: str, article: set[tuple[str, ...]], other: set[tuple[str, ...]], fixed: set[tuple[str, ...]]) -> str:
+def main_text(page: str, article: set, other: set, fixed: set, template: set) -> str:
     """Blocks of a page in its host's article slots, or else in its other slots, or else in those of fixed text."""
     blocks = read_page(page)[1]
-    for slots in (article, other, fixed):
-        inside = [text for path, text in blocks if path in slots]
-        if inside:
-            return "\n".join(inside)
-    return ""
+    story = [text for path, text, _ in blocks if path in article]
+    story = story or [text for path, text, key in blocks if path in other and (path, key) not in template]
+    return "\n".join(story or [text for path, text, _ in blocks if path in fixed])
 
 
 def extract(pages: DataFrame, wrappers: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text) of every row of ``pages`` by the wrappers of their hosts."""
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (page_id, url)}
-    small = wrappers.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     known = wrappers.select(F.col("host").alias("_host"), "wrapper")
+    chars = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
 
     def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots: dict[str, tuple] = {}
@@ -436,7 +534,12 @@ def extract(pages: DataFrame, wrappers: DataFrame, page_id: str = "page_id", url
     rows = pages.select(
         named(page_id).alias("page_id"), named(url).alias("url"), named(html).alias("html"), host_of(named(url)).alias("host")
     )
-    met = rows.join(F.broadcast(known) if small else known, F.col("host") == F.col("_host"))
+    if chars <= BROADCAST_CHARS:
+        met = rows.join(F.broadcast(known), F.col("host") == F.col("_host"))
+    else:
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(SALTS)))
+        spread = known.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = salted.join(spread, (F.col("host") == F.col("_host")) & (F.col("_salt") == F.col("_of")))
     return met.select("page_id", "url", "html", "wrapper").mapInArrow(
         texts, f"page_id {kinds[page_id]}, url {kinds[url]}, text string"
     )

@@ -112,3 +112,53 @@ def test_against_plain_reading_of_the_sample(spark, small):
         inside = r["html"][r["html"].index("<article>") + 9 : r["html"].index("</article>")]
         blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>|<br>", inside))
         assert found[r["page_id"]] == "\n".join(b for b in blocks if b)
+
+
+def test_headings_of_the_story_stay():
+    pages = [f"<div class=top>Our site</div><p>lead {i}</p><h2>Ingredients</h2><p>text {i}</p><div class=note>Join us</div>" for i in range(5)]
+    assert text_of(*pages) == "lead 0\nIngredients\ntext 0"
+
+
+def test_class_words_in_company_are_decided_by_the_wrapper():
+    body = "<p>s{i}</p><div class=share-price>price {i}</div><div class=author-comment>I think {i}</div><div class=share-hint>Tell a friend</div>"
+    pages = [f"<article><h1>t{i}</h1>{body.replace('{i}', str(i))}</article>" for i in range(4)]
+    assert text_of(*pages) == "t0\ns0\nprice 0\nI think 0"
+    assert text_of(pages[0]) == "t0\ns0\nprice 0\nI think 0\nTell a friend"  # one page tells nothing
+    voices = "".join(f"<div class='visitor-comment'><p>v{k}</p></div>" for k in range(3))
+    assert text_of(*[p.replace("</article>", voices + "</article>") for p in pages]) == "t0\ns0\nprice 0\nI think 0"
+
+
+def test_teasers_and_link_boxes():
+    pages = [
+        f"<article class=teaser><p>teaser {i}</p></article><div class=body><p>text {i}</p>"
+        f"<div class=box>Read also <a>story {i}</a></div><p>more <a>x</a> {i}</p></div>"
+        for i in range(4)
+    ]
+    assert text_of(*pages) == "text 0\nmore x 0"
+
+
+def test_wrapper_size_does_not_grow_with_pages():
+    import random
+    import re
+
+    r = random.Random(3)
+
+    def odd(i):
+        parts = [r.choice(["<p>a</p>", "<h2>b</h2>", "<ul><li>c</li></ul>", "<table><tr><td>d</table>", "<pre>e</pre>"]) for _ in range(40)]
+        parts = [re.sub(r">(\w)<", rf">\g<1>{i}-{k}<", part) for k, part in enumerate(parts)]
+        return f"<nav><p id=n{i}>x</p></nav><div id=post-{i} class='c{i}x'><h2 id='title-{i}'>t</h2>{''.join(parts)}</div><div class=comments><p id=c{i}>c</p></div>"
+
+    sizes = [len(wrappers.encode(wrapper_of(*[odd(i) for i in range(n)]))) for n in (20, 100, 500)]
+    assert sizes[2] <= sizes[1] * 1.1 < 3_000
+    pages = [odd(i) for i in range(50)]
+    slots = wrappers.content_slots(wrapper_of(*pages))
+    for p in pages:
+        assert wrappers.main_text(p, *slots).count("\n") == 40
+
+
+def test_wrappers_that_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "BROADCAST_CHARS", 0)
+    rows = [(i, "http://a.example/", page(title=f"t{i}")) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r["page_id"]: r["text"] for r in wrappers.extract(pages, wrappers.infer(pages)).collect()}
+    assert found == {i: f"t{i}\nOne" for i in range(30)}
