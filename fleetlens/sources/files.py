@@ -106,6 +106,6 @@ def read_changed(changes: DataFrame, folder: str, max_bytes: int = MAX_BYTES) ->
         .when(F.col("_text").isNull(), "file could not be read")
         .when(~valid, "file is not UTF-8")
     )
-    kept = F.when((F.col("change") != "removed") & valid, F.regexp_replace("_text", "^﻿", ""))
+    kept = F.when((F.col("change") != "removed") & valid, F.regexp_replace("_text", "^\ufeff", ""))
     met = changes.join(contents, (F.col("path") == F.col("_path")) & (F.col("change") != "removed"), "left")
     return met.select("name", *_STATE, "change", kept.alias("text"), error.alias("file_error"))
