@@ -19,8 +19,9 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, text, label) of at most ``sample`` labelled ids outside the held-out fold, lowest hash first.
 
-    Null ids and labels are left out; of several labels of one id the lowest counts. The ids
-    are at most ``sample`` rows, which is the proven size of what is broadcast.
+    Null ids and labels are left out; of several labels of one id the lowest counts, of several
+    rows of one id the least text, so there are at most ``sample`` rows however often an id is
+    repeated. The ids are the proven size of what is broadcast.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     chosen = (
@@ -30,4 +31,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int,
         .limit(sample)
     )
     texts = docs.select(named(doc_id).alias("doc_id"), named(text).alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
+    met = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

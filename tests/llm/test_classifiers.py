@@ -20,6 +20,16 @@ def test_folds_and_bounded_sample(spark, documents, labels):
     assert len(chosen) == 30 and not any(is_held_out(r["doc_id"]) for r in chosen)
 
 
+def test_a_labelled_id_of_many_rows_counts_once(spark):
+    rows = [(1, f"text {i:03}") for i in range(400)] + [(1, None), (3, None), (None, "n")] + [(i, f"t{i}") for i in range(4, 20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 1), (4, None), (None, 1)] + [(i, 1) for i in range(5, 20)], "doc_id bigint, quality int")
+    found = {r["doc_id"]: (r["text"], r["label"]) for r in labelled_sample(docs, labels, "quality", 100, "doc_id", "text").collect()}
+    want = {1: ("text 000", 0), 3: (None, 1), **{i: (f"t{i}", 1) for i in range(5, 20)}}
+    assert found == {i: v for i, v in want.items() if not is_held_out(i)}
+    assert labelled_sample(docs, labels, "quality", 2, "doc_id", "text").count() == 2
+
+
 def test_statistics_of_one_text_do_not_depend_on_its_neighbours():
     texts = ["", None, "To To To of of.\nTo To\nTo To", "AB 12 *** é!?\n\nx", "a" * 50, "one\x1ctwo three"]
     whole = boosted.statistics(pa.array(texts))
