@@ -5,9 +5,10 @@ import re
 import pytest
 
 from fleetlens.plans import catalog
+from fleetlens.sources import files
 
 # these run jobs of their own while they are built
-EAGER = {"n16_register_codes", "t3_deploy_levels", "s6_findings_sink", "r2_health_states", "s6_rerun_sink", "st1_drift_stream", "q10_range_drift"}
+EAGER = {"n16_register_codes", "t3_deploy_levels", "s6_findings_sink", "r2_health_states", "s6_rerun_sink", "st1_drift_stream", "q10_range_drift", "s1_changed_files"}
 
 
 # the derived rule table pairs every part with six languages that are written out
@@ -24,6 +25,20 @@ def test_no_pairwise_join_and_no_python_worker(spark, small, key):
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|Python|Pandas|Scan ExistingRDD", text.replace(SIX_ROWS, ""))
 
 
+def test_plans_of_the_incremental_files(spark, tmp_path):
+    """The query checkpoints its result, so its parts are looked at."""
+    (tmp_path / "a.json").write_text("{}")
+    listed = files.list_files(spark, str(tmp_path))
+    changes = files.stage_changes(spark, str(tmp_path), str(tmp_path / "ledger"), 1)
+    files.commit_changes(spark, str(tmp_path / "ledger"), 1)
+    known = files.known_files(spark, str(tmp_path / "ledger"), 2)
+    read = files.read_changed(changes, str(tmp_path))
+    for df in (files.file_changes(listed, known), read):
+        assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|Python|Pandas|Scan ExistingRDD", plan(df))
+    assert "content" not in plan(listed)
+    assert "GreaterThanOrEqual(modificationTime" in plan(read)  # the text is cut off after this one
+
+
 @pytest.mark.parametrize("key", sorted(set(catalog.QUERIES) - EAGER))
 def test_no_filter_repeats_the_work_of_a_projection(spark, small, key):
     """A computed column that is filtered on is pushed below its projection and computed twice."""
