@@ -10,29 +10,69 @@ from fleetlens.functions.text import matches, wildcard
 from fleetlens.session import checkpointed
 
 
+#: Characters up to which the literal parts of a pattern are looked up: those at its ends, beyond that in steps, and those between.
+AT_ENDS, END_STEP, BETWEEN = 64, 32, 16
+
+
+def _literal_keys(pattern: Column) -> Column:
+    """What a value that matches must have: the whole, or how it begins and ends and what is between the wildcards."""
+    pieces = F.split(pattern, r"[*?]")
+
+    def cut(piece: Column) -> Column:
+        n = F.length(piece)
+        return F.when(n > AT_ENDS, n - n % END_STEP).otherwise(n)
+
+    first, last = F.get(pieces, F.lit(0)), F.element_at(pieces, -1)
+    between = F.filter(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0))), lambda piece: piece != "")
+    key = lambda kind, text: F.struct(F.lit(kind).alias("kind"), F.length(text).alias("length"), text.alias("text"))
+    begin = key("begin", F.substring(first, F.lit(1), cut(first)))
+    end = key("end", F.substring(last, -cut(last), cut(last)))
+    inner = F.transform(between, lambda piece: key("between", F.substring(piece, F.lit(1), F.lit(BETWEEN))))
+    return F.when(F.size(pieces) == 1, F.array(key("whole", F.when(F.size(pieces) == 1, pattern)))).otherwise(F.concat(F.array(begin, end), inner))
+
+
+def _keys_of(value: Column, kind: Column, length: Column) -> Column:
+    """The texts under which a matching pattern may be filed, of one kind and length."""
+    n = F.length(value)
+    within = F.transform(F.sequence(F.lit(1), F.greatest(n - length + 1, F.lit(1))), lambda i: F.substring(value, i, length))
+    return (
+        F.when(kind == "whole", F.array(value))
+        .when(n < length, F.expr("cast(array() AS array<string>)"))
+        .when(kind == "begin", F.array(F.substring(value, F.lit(1), length)))
+        .when(kind == "end", F.array(F.substring(value, -length, length)))
+        .otherwise(F.array_distinct(within))
+    )
+
+
+def _filed_rules(route_rules: DataFrame) -> DataFrame:
+    """One rule per port and pattern, the first that counts, under the literal part of its pattern that the fewest rules have."""
+    first = F.min(F.struct(F.col("priority").isNull().alias("none"), "priority", "target")).alias("_rule")
+    best = route_rules.filter("port IS NOT NULL AND pattern IS NOT NULL").groupBy("port", "pattern").agg(first)
+    parts = best.select("*", F.explode(_literal_keys(F.col("pattern"))).alias("_key"))
+    often = parts.groupBy("port", "_key").agg(F.count("*").alias("_n"))
+    rarest = F.min_by("_key", F.struct("_n", -F.col("_key.length"), "_key")).alias("_key")
+    filed = parts.join(often, ["port", "_key"]).groupBy("port", "pattern").agg(rarest, F.first("_rule").alias("_rule"))
+    return checkpointed(filed.select("port", "_key.*", "_rule", wildcard(F.col("pattern")).alias("_like")))
+
+
 def route(requests: DataFrame, route_rules: DataFrame, default: str = rules.DEFAULT_TARGET) -> DataFrame:
     """Add ``target``: of the listener's rules whose path pattern matches, the lowest priority.
 
     A rule without a priority comes last, and of equal priorities the first target by name.
-    Requests are reduced to distinct (port, path). A rule lies in the folder that its pattern
-    names before its first wildcard, a path looks into its folder and those above, so ports
-    and folders are an equi-join that meets few rules however many there are.
+    Requests are reduced to distinct (port, path). A rule is filed under one literal part of
+    its pattern, of those it has the one that the fewest rules share: how it begins or ends,
+    what is between two wildcards, or the whole if it has none. A path looks up its beginnings,
+    ends and parts of the lengths that occur, so it meets few rules however many there are,
+    also where they share a folder.
     """
-    literal = F.regexp_extract("pattern", r"^[^*?]*", 0)
-    prepared = route_rules.select(
-        "port", "priority", "target", wildcard(F.col("pattern")).alias("_like"),
-        F.regexp_extract(literal, r"^(?s:.*)/", 0).alias("_folder"),
-    )
-    parts = F.split("path", "/")
-    above = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))
-    )
-    folders = F.concat(F.array(F.lit("")), F.when(F.size(parts) > 1, above).otherwise(F.expr("cast(array() AS array<string>)")))
-    first = F.min(F.struct(F.col("priority").isNull().alias("none"), "priority", "target"))
+    filed = _filed_rules(route_rules)
+    levels = filed.groupBy().agg(F.array_sort(F.collect_set(F.struct("kind", "length")))).scalar()
+    first = F.min("_rule")
     hits = (
         requests.filter("port IS NOT NULL AND path IS NOT NULL").select("port", "path").distinct()
-        .select("port", "path", F.explode(folders).alias("_folder"))
-        .join(prepared, ["port", "_folder"])
+        .select("port", "path", F.explode(levels).alias("_level"))
+        .select("port", "path", F.col("_level.kind").alias("kind"), F.explode(_keys_of(F.col("path"), F.col("_level.kind"), F.col("_level.length"))).alias("text"))
+        .join(filed, ["port", "kind", "text"])
         .filter(matches(F.col("path"), F.col("_like")))
         .groupBy(F.col("port").alias("_port"), F.col("path").alias("_path"))
         .agg(first.alias("_hit"))

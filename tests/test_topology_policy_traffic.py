@@ -426,6 +426,17 @@ def test_routes_by_brute_force(spark):
     assert sorted(got) == sorted(want) and len({x[3] for x in got}) > 5
 
 
+def test_a_folder_of_many_routes_shares_no_key(spark):
+    """Rules of one folder, with and without a wildcard before what tells them apart."""
+    numbers = spark.range(100, 4100).withColumn("tail", F.element_at(F.array(*map(F.lit, ["", "*", ".h*l", "/*", "?html"])), F.expr("cast(id % 5 AS int) + 1")))
+    pattern = F.concat(F.lit("/en/"), F.when(F.col("id") % 3 == 0, "*").otherwise(""), "id", "tail")
+    table = numbers.select(F.lit(80).alias("port"), F.lit(None).cast("int").alias("priority"), pattern.alias("pattern"), F.format_string("t%05d", "id").alias("target"))
+    assert traffic._filed_rules(table).groupBy("kind", "text").count().agg(F.max("count")).first()[0] <= 2
+    requests = spark.createDataFrame([("/en/1000",), ("/en/1001/x",), ("/en/1002.html",), ("/en/2222.html",), ("/en/99",)], "path string").withColumn("port", F.lit(80))
+    want = {"/en/1000": "t01000", "/en/1001/x": "t01001", "/en/1002.html": "t01002", "/en/2222.html": "t00222", "/en/99": "app"}
+    assert {r["path"]: r["target"] for r in traffic.route(requests, table).collect()} == want
+
+
 def test_routes_take_the_lowest_priority(spark):
     requests = spark.createDataFrame([(1, 443, "/app/x"), (2, 80, "/app"), (3, 443, "/APP/x"), (4, 8443, "/app/x"), (5, 443, "/app/v2/y")], "id int, port int, path string")
     table = rules.routes(spark).withColumn("target", F.lit("service")).unionByName(
