@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import rules
 from fleetlens.functions.text import matches, wildcard
+from fleetlens.session import checkpointed
 
 ANY_AUDIENCE = "*"
 LIKES = "array<struct<first:string,last:string,middle:array<string>,star:boolean,regex:string>>"
@@ -279,6 +280,8 @@ def isolation_rules(contexts: DataFrame) -> DataFrame:
 
 
 WEB_IDENTITY = "sts:AssumeRoleWithWebIdentity"
+#: Shares of the subjects that are told for the roles of a class apart.
+SHARES = 64
 _NO_CONDITIONS = "cast(array() AS array<struct<op:string,key:string,patterns:array<string>>>)"
 
 
@@ -294,6 +297,8 @@ def trust_decisions(subjects: DataFrame, statements: DataFrame, role: str, actio
     nothing to a subject give no row. ``patterns`` are the subject patterns that held in the
     statements behind the decision, in order.
 
+    Roles whose statements are the same decide alike: subjects meet one class of them, and only
+    what a class decides is told for each of its roles, spread over ``SHARES`` of the subjects.
     Statements are filed under beginnings of an audience and a subject pattern of theirs, so a
     subject meets those it may satisfy; one without such a condition meets every subject.
     """
@@ -310,9 +315,15 @@ def trust_decisions(subjects: DataFrame, statements: DataFrame, role: str, actio
         patterns = F.get(F.transform(judged, lambda c: F.transform(c["patterns"], lambda p: _filed(p, c["op"] == "StringEquals"))), F.lit(0))
         return F.coalesce(patterns, F.array(_filed(F.lit("*"))))
 
+    per_role = (
+        statements.select(F.col(role).alias("role"), "effect", given.alias("_given"), F.explode(kept).alias("_one"))
+        .groupBy("role").agg(F.array_sort(F.collect_set(F.struct("effect", "_given"))).alias("_statements"))
+    )
+    per_role = checkpointed(per_role.withColumn("class", F.sha2(F.to_json("_statements"), 256)))
     filed = (
-        statements.select(F.col(role).alias("role"), "effect", "sid", given.alias("_given"), F.explode(kept).alias("_one"))
-        .select("role", "effect", "sid", "_given", F.explode(filed_under(":aud")).alias("at_audience"))
+        per_role.groupBy("class").agg(F.first("_statements").alias("_statements"))
+        .select("class", F.inline("_statements"))
+        .select("class", "effect", F.lit(None).cast("string").alias("sid"), "_given", F.explode(filed_under(":aud")).alias("at_audience"))
         .select("*", F.explode(filed_under(":sub")).alias("at_subject"))
     )
     conditions = F.transform(
@@ -341,12 +352,17 @@ def trust_decisions(subjects: DataFrame, statements: DataFrame, role: str, actio
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when((F.col("effect") == effect) & (F.col("_verdict") == value), F.col("_told")))))).alias(name)
         for name, effect, value in (("_p_deny", "Deny", TRUE), ("_p_open", "Deny", UNKNOWN), ("_p_allow", "Allow", TRUE), ("_p_maybe", "Allow", UNKNOWN))
     ]
-    decided = _decided(judged.groupBy("audience", "subject", "role"), "_verdict", gathered)
+    decided = _decided(judged.groupBy("audience", "subject", "class"), "_verdict", gathered)
     some = F.when(F.col("_allow") | F.col("_maybe"), F.array(F.lit(1)))
     order = [("_deny", "explicit_deny"), ("_open", "undetermined"), ("_allow", "allow"), ("_maybe", "undetermined")]
     decision = F.coalesce(*[F.when(F.col(flag), F.lit(said)) for flag, said in order])
     patterns = F.coalesce(*[F.when(F.col(flag), F.col(f"_p{flag}")) for flag, _ in order])
-    return decided.select("audience", "subject", "role", decision.alias("decision"), patterns.alias("patterns"), F.explode(some).alias("_one")).drop("_one")
+    told = decided.select("audience", "subject", "class", decision.alias("decision"), patterns.alias("patterns"), F.explode(some).alias("_one")).drop("_one")
+    # in a fixed number of parts, as few small rows on either side make many
+    parts = max(SHARES, int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    of_class = told.withColumn("_share", F.pmod(F.xxhash64("audience", "subject"), F.lit(SHARES))).repartition(parts, "class", "_share")
+    members = per_role.select("class", "role", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)).cast("array<bigint>")).alias("_share")).repartition(parts, "class", "_share")
+    return of_class.join(members, ["class", "_share"]).select("audience", "subject", "role", "decision", "patterns")
 
 
 def trust_matches(subjects: DataFrame, trust: DataFrame) -> DataFrame:

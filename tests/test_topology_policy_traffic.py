@@ -380,6 +380,27 @@ def test_an_excluded_subject_is_never_let_in(spark):
     }
 
 
+def test_roles_with_the_same_documents_are_judged_once(spark, monkeypatch):
+    from fleetlens.sources import documents
+
+    met, meet = [], policy._meet
+    monkeypatch.setattr(policy, "_meet", lambda *a: met.append(meet(*a)) or met[-1])
+    allow = {"Effect": "Allow", "Principal": {"Federated": "f"}, "Action": "sts:AssumeRoleWithWebIdentity"}
+    deny = {"Effect": "Deny", "Principal": "*", "Action": "sts:*", "Condition": {"StringLike": {"t:sub": "repo:b*"}}}
+    texts = [json.dumps({"Statement": v}) for v in ([allow | {"Sid": "x"}], [allow, deny], [deny, allow], [deny], [allow | {"Condition": {"Odd": {"t:sub": "a"}}}])]
+    rows = documents.parse_policies(spark.createDataFrame([(i, texts[i % 5]) for i in range(100)], "policy_id int, text string"))
+    subjects = spark.createDataFrame([("aud", f"repo:{x}{i}") for x in "ab" for i in range(20)] * 2, "audience string, subject string")
+    got = policy.trust_decisions(subjects, rows, "policy_id").collect()
+    want = []
+    for role in range(100):
+        for x in "ab":
+            denied = ("explicit_deny", ["repo:b*"]) if x == "b" else ("allow", [])
+            said = [("allow", []), denied, denied, None, ("undetermined", [])][role % 5]
+            want += [(f"repo:{x}{i}", role, *said) for i in range(20) if said]
+    assert sorted((r["subject"], r["role"], r["decision"], r["patterns"]) for r in got) == sorted(want)
+    assert met[0].count() <= 40 * 5
+
+
 def test_a_principal_with_many_statements_meets_few(spark):
     """Statements are filed under a beginning: the join is an equi-join on it and gives few rows."""
     n = 100_000
