@@ -30,6 +30,8 @@ MANIFEST_SCHEMA = (
 )
 
 _STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")'
+#: All up to a trailing comma or the end: strings, a quote that opens none, and commas that something follows.
+_TO_COMMA = r'((?:[^",]++|"[^"\\]*+(?:\\.[^"\\]*+)*+"|"|,(?!\s*[\]}]))*+)(?:,|\z)'
 
 
 def relaxed_json(df: DataFrame, text: str) -> DataFrame:
@@ -48,21 +50,25 @@ def relaxed_json(df: DataFrame, text: str) -> DataFrame:
         ).otherwise(c),
     ).withColumn(
         text,
-        F.when(c.rlike(r",\s*[\]}]"), F.regexp_replace(c, _STRING + r"|,(?=\s*[\]}])", "$1")).otherwise(c),
+        F.when(c.rlike(r",\s*[\]}]"), F.regexp_replace(c, _TO_COMMA, "$1")).otherwise(c),
     )
 
 
 def _entries(value: Column) -> Column:
-    """The members of a JSON object as (k, v), keys in lower case; null if it is no object."""
-    return F.transform(
-        F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")),
-        lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")),
+    """The members of a JSON object as lists (k, v), keys in lower case and the last first; null if it is no object."""
+    members = F.array(F.try_variant_get(value, "$", "map<string,variant>"))
+    lists = F.transform(
+        members,
+        lambda m: F.when(
+            m.isNotNull(), F.struct(F.reverse(F.transform(F.map_keys(m), F.lower)).alias("k"), F.reverse(F.map_values(m)).alias("v"))
+        ),
     )
+    return F.get(lists, F.lit(0))
 
 
 def _member(entries: Column, name: str) -> Column:
     """The member called ``name`` in any case, the last of several."""
-    return F.try_element_at(F.filter(entries, lambda e: e["k"] == name.lower()), F.lit(-1))["v"]
+    return F.get(entries["v"], F.array_position(entries["k"], name.lower()).cast("int") - 1)
 
 
 def _value(entries: Column, name: str, kind: str = "string") -> Column:

@@ -206,3 +206,18 @@ def test_map_of_last(spark):
     )
     got = {r["id"]: r["m"] for r in maps.map_of_last(df, "m", F.col("e"), "k").collect()}
     assert got == {1: {"a": "3", "b": "2"}, 2: {"a": "1"}, 3: {}, 4: None}
+
+
+def test_members_are_found_by_place(spark):
+    """A member is looked up in a list of names, not by a function called for every member; the last spelling counts."""
+    texts = [
+        '{"ecsconfiguration":{"SERVICENAME":"first","serviceName":"last","serviceNAME":"mid",},}',
+        '{"ecsConfiguration":{"serviceName":"a,]","taskDefinition":[{"taskDefinitionName":",}" ,"containerDefinitions":[{"cpu":"7",} , ],},]}}',
+        '{"ecsConfiguration":{"serviceName":"a" , "vpc}',
+    ]
+    docs = documents.parse_service_configs(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert "filter(" not in docs._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r["service"], r["task"], r["cpu"]) for r in docs.orderBy("doc_id").selectExpr(
+        "doc.ecsConfiguration.serviceName AS service", "doc.ecsConfiguration.taskDefinition[0].taskDefinitionName AS task",
+        "doc.ecsConfiguration.taskDefinition[0].containerDefinitions[0].cpu AS cpu").collect()]
+    assert got == [("last", None, None), ("a,]", ",}", 7), (None, None, None)]
