@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import rules
 from fleetlens.functions import naming
-from fleetlens.session import checkpointed
+from fleetlens.session import measured
 
 LOG = logging.getLogger(__name__)
 
@@ -98,6 +98,31 @@ def join_list_export(items: DataFrame, keys: list[str]) -> DataFrame:
     return items.groupBy(*keys).agg(F.when(F.count("pos") > 0, text).alias("joined"))
 
 
+#: Rows of one key from which on its row of a table is sent to them all, instead of them to it.
+HOT = 20_000
+
+
+def _together(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Both in no more parts than a shuffle has, however often the result is split and put together again."""
+    return one.unionByName(other).coalesce(int(one.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _looked_up(rows: DataFrame, key: str, table: DataFrame, known: str) -> DataFrame:
+    """``rows`` left joined by ``key`` with ``table``, which has a row at most for each value of ``known``.
+
+    Keys with more than ``HOT`` rows, of which there are few, meet a broadcast part of the table, so
+    that a node on which half the graph hangs does not put it into one task.
+    """
+    many = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT)
+    hot = [r[0] for r in many.select(key).collect()]
+    if not hot:
+        return rows.join(table, F.col(key) == F.col(known), "left")
+    often = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = F.broadcast(table.filter(F.col(known).isin(hot)))
+    same = F.col(key) == F.col(known)
+    return _together(rows.filter(~often).join(table, same, "left"), rows.filter(often).join(few, same, "left"))
+
+
 def _collapsed_chains(single: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes with one dependency as (node, to, dist): the end of their chain and how far it is.
 
@@ -105,16 +130,16 @@ def _collapsed_chains(single: DataFrame) -> tuple[DataFrame, DataFrame]:
     still moves after reaching further than there are nodes runs in a circle; these nodes
     are the second result.
     """
-    jumps = checkpointed(single.withColumn("moved", F.lit(True)))
+    jumps = measured(single.withColumn("moved", F.lit(True)))
     moving = jumps.count()
     for i in range(moving.bit_length() + 1):
         hop = jumps.select(F.col("node").alias("_via"), F.col("to").alias("_to"), F.col("dist").alias("_dist"))
-        jumps = checkpointed(
-            jumps.join(hop, F.col("to") == F.col("_via"), "left").select(
-                "node", F.coalesce("_to", "to").alias("to"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
-                F.col("_via").isNotNull().alias("moved"),
-            )
+        # what has come to its end is at one of few nodes and is not asked for again
+        further = _looked_up(jumps.filter("moved"), "to", hop, "_via").select(
+            "node", F.coalesce("_to", "to").alias("to"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
+            F.col("_via").isNotNull().alias("moved"),
         )
+        jumps = measured(_together(further, jumps.filter("NOT moved")))
         before, moving = moving, jumps.filter("moved").count()
         # if none came to an end between one reach and its double, none is at the end of a longer chain
         if not moving or (i and moving == before):
@@ -135,7 +160,7 @@ def _clusters(edges: DataFrame, most: int) -> DataFrame:
     clusters. A slice that is still too wide is split by node. Only the number of rounds
     depends on the choice, not the result.
     """
-    nodes = checkpointed(edges.select("node").union(edges.select("target")).distinct())
+    nodes = measured(edges.select("node").union(edges.select("target")).distinct())
     total = nodes.count()
     if total <= most:
         return nodes.withColumn("cluster", F.lit("all"))
@@ -150,7 +175,7 @@ def _clusters(edges: DataFrame, most: int) -> DataFrame:
     sliced = placed.join(sizes, "bucket").select("node", "bucket", part.alias("slice"))
     widths = sliced.groupBy("bucket", "slice").agg(F.ceil(F.count("*") / most).alias("parts"))
     share = F.pmod(F.xxhash64("node"), F.col("parts"))
-    return checkpointed(sliced.join(widths, ["bucket", "slice"]).select("node", F.concat_ws(".", "bucket", "slice", share).alias("cluster")))
+    return measured(sliced.join(widths, ["bucket", "slice"]).select("node", F.concat_ws(".", "bucket", "slice", share).alias("cluster")))
 
 
 def _settle_cluster(table: pa.Table) -> pa.Table:
@@ -190,22 +215,23 @@ def _levels(known: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     """
     degree = edges.groupBy("node").agg(F.count("*").alias("_n"), F.min("depends_on").alias("to"))
     chains, _ = _collapsed_chains(degree.filter("_n = 1").select("node", "to", F.lit(1).alias("dist")))
-    roots = checkpointed(known.join(edges, "node", "left_anti"))
+    roots = measured(known.join(edges, "node", "left_anti"))
     ends = chains.select(F.col("node").alias("_node"), F.col("to").alias("_to"), F.col("dist").alias("_dist"))
     at_once = roots.select(F.col("node").alias("_root"), F.lit(0).alias("_level"))
-    open_edges = checkpointed(
-        edges.join(degree.filter("_n > 1"), "node", "left_semi")
-        .join(ends, F.col("depends_on") == F.col("_node"), "left")
+    shortened = measured(
+        _looked_up(edges.join(degree.filter("_n > 1"), "node", "left_semi"), "depends_on", ends, "_node")
         .select("node", F.coalesce("_to", "depends_on").alias("target"), (F.coalesce("_dist", F.lit(0)) + 1).alias("weight"))
-        .join(at_once, F.col("target") == F.col("_root"), "left")
-        .select("node", "target", "weight", F.col("_level").alias("level"))
+    )
+    open_edges = measured(
+        _looked_up(shortened, "target", at_once, "_root").select("node", "target", "weight", F.col("_level").alias("level"))
     )
     settled, rounds = [roots.withColumn("level", F.lit(0))], 0
     if not open_edges.isEmpty():
         where = _clusters(open_edges.select("node", "target"), most)
-        other = where.select(F.col("node").alias("target"), F.col("cluster").alias("_other"))
-        open_edges = open_edges.join(where, "node").join(other, "target").select(
-            "cluster", "node", "target", "weight", "level", (F.col("cluster") == F.col("_other")).alias("inside")
+        other = where.select(F.col("node").alias("_target"), F.col("cluster").alias("_other"))
+        open_edges = measured(
+            _looked_up(open_edges.join(where, "node"), "target", other, "_target")
+            .select("cluster", "node", "target", "weight", "level", (F.col("cluster") == F.col("_other")).alias("inside"))
         )
     node_type = known.schema["node"].dataType.simpleString()
     while rounds or not open_edges.isEmpty():
@@ -217,23 +243,23 @@ def _levels(known: DataFrame, edges: DataFrame, most: int) -> DataFrame:
         inner = open_edges.filter(unknown & F.col("inside")).select(
             "cluster", "node", "target", "weight", F.lit(None).cast("int").alias("known"), F.lit(False).alias("blocked")
         )
-        now = checkpointed(told.unionByName(inner).groupBy("cluster").applyInArrow(_settle_cluster, f"node {node_type}, level int"))
+        now = measured(told.unionByName(inner).groupBy("cluster").applyInArrow(_settle_cluster, f"node {node_type}, level int"))
         if now.isEmpty():
             break
         rounds += 1
         settled.append(now)
         fresh = now.select(F.col("node").alias("_node"), F.col("level").alias("_level"))
-        open_edges = checkpointed(
-            open_edges.join(now.select("node"), "node", "left_anti")
-            .join(fresh, F.col("target") == F.col("_node"), "left")
+        open_edges = measured(
+            _looked_up(open_edges.join(now.select("node"), "node", "left_anti"), "target", fresh, "_node")
             .select("cluster", "node", "target", "weight", F.coalesce("level", "_level").alias("level"), "inside")
         )
         if open_edges.isEmpty():
             break
     LOG.info("joins settled in %d rounds", rounds)
     found = reduce(DataFrame.unionByName, settled)
-    behind = chains.join(found.withColumnRenamed("node", "to"), "to").select("node", (F.col("level") + F.col("dist")).alias("level"))
-    return checkpointed(found.unionByName(behind))
+    below = found.select(F.col("node").alias("_end"), "level")
+    behind = _looked_up(chains, "to", below, "_end").filter("level IS NOT NULL").select("node", (F.col("level") + F.col("dist")).alias("level"))
+    return measured(found.unionByName(behind))
 
 
 def _spread_cluster(table: pa.Table) -> pa.Table:
@@ -261,17 +287,17 @@ def _spread(edges: DataFrame, labels: DataFrame, where: DataFrame) -> DataFrame:
     """(node, label): the greatest label of all nodes that lead to it by ``edges`` (node, target), its own included."""
     node_type = labels.schema["node"].dataType.simpleString()
     other = where.select(F.col("node").alias("target"), F.col("cluster").alias("_other"))
-    placed = checkpointed(edges.join(where, "node").join(other, "target"))
+    placed = measured(edges.join(where, "node").join(other, "target"))
     inner = placed.filter("cluster = _other").select("cluster", "node", "target", F.lit(None).cast("bigint").alias("label"))
     across = placed.filter("cluster <> _other").select("node", "target")
-    state, rounds = checkpointed(labels), 0
+    state, rounds = measured(labels), 0
     while True:
         rows = state.join(where, "node").select("cluster", "node", F.lit(None).cast(node_type).alias("target"), "label")
-        inside = checkpointed(rows.unionByName(inner).groupBy("cluster").applyInArrow(_spread_cluster, f"node {node_type}, label bigint"))
+        inside = measured(rows.unionByName(inner).groupBy("cluster").applyInArrow(_spread_cluster, f"node {node_type}, label bigint"))
         rounds += 1
         told = across.join(inside, "node").groupBy(F.col("target").alias("node")).agg(F.max("label").alias("_told"))
         joined = inside.join(told, "node", "left")
-        state = checkpointed(joined.select("node", F.greatest("label", "_told").alias("label"), (F.col("_told") > F.col("label")).alias("_moved")))
+        state = measured(joined.select("node", F.greatest("label", "_told").alias("label"), (F.col("_told") > F.col("label")).alias("_moved")))
         if state.filter("_moved").isEmpty():
             LOG.info("labels spread in %d rounds", rounds)
             return state.select("node", "label")
@@ -321,42 +347,51 @@ def cycles(edges: DataFrame, most: int = MOST) -> DataFrame:
     """(node, cycle_id) of the nodes of ``edges`` (node, depends_on) that depend on themselves.
 
     Nodes of one strongly connected component share the least of them as ``cycle_id``. Nodes
-    with no cycle below or above them are trimmed by levels in both directions. The rest is
-    coloured: the greatest label that leads to a node is its colour, and the nodes of a colour
+    with no cycle below or above them are trimmed from the ends, and what that leaves by levels in
+    both directions. The rest is coloured: the greatest label that leads to a node is its colour, and the nodes of a colour
     that lead back to the node with that label form a component. Labels are dealt by hash, so
     that few passes find all components; both walks run to the end within clusters and
     exchange across, so a long cycle takes as many rounds as it crosses clusters. A graph of at
     most ``most`` edges is searched by one task.
     """
-    edges = checkpointed(edges.select("node", "depends_on").filter("node IS NOT NULL AND depends_on IS NOT NULL").distinct())
+    edges = measured(edges.select("node", "depends_on").filter("node IS NOT NULL AND depends_on IS NOT NULL").distinct())
     node_type = edges.schema["node"].dataType.simpleString()
-    if edges.count() <= most:
+    n = edges.count()
+    while n > most:
+        # nodes without an edge on either side go, as long as that takes a good part of them
+        asked, asking = edges.select(F.col("depends_on").alias("node")).distinct(), edges.select(F.col("node").alias("_asking")).distinct()
+        inner = _looked_up(edges.join(asked, "node", "left_semi"), "depends_on", asking, "_asking").filter("_asking IS NOT NULL")
+        edges = measured(inner.select("node", "depends_on"))
+        before, n = n, edges.count()
+        if n > 0.75 * before:
+            break
+    if n <= most:
         return edges.withColumn("_all", F.lit(1)).groupBy("_all").applyInArrow(_cycles_of_one, f"node {node_type}, cycle_id {node_type}")
     for _ in range(2):
         nodes = edges.select("node").union(edges.select("depends_on")).distinct()
         level = _levels(nodes, edges, most).select("node")
         left = edges.join(level, "node", "left_anti").join(level.withColumnRenamed("node", "depends_on"), "depends_on", "left_anti")
         # the second time round the edges are turned, to trim from the other end, and then turned back
-        edges = checkpointed(left.select(F.col("depends_on").alias("node"), F.col("node").alias("depends_on")))
+        edges = measured(left.select(F.col("depends_on").alias("node"), F.col("node").alias("depends_on")))
     self_made = edges.filter("node = depends_on").select("node")
     found = None
     while not edges.isEmpty():
         ways = edges.select("node", F.col("depends_on").alias("target"))
         where = _clusters(ways, most)
         order = where.select("node").repartition("node").sortWithinPartitions(F.xxhash64("node"))
-        labels = checkpointed(order.select("node", F.monotonically_increasing_id().alias("label")))
+        labels = measured(order.select("node", F.monotonically_increasing_id().alias("label")))
         colour = _spread(ways, labels, where)
         of = colour.select(F.col("node").alias("target"), F.col("label").alias("_colour"))
-        same = checkpointed(ways.join(colour, "node").join(of, "target").filter("label = _colour").select("node", "target"))
+        same = measured(ways.join(colour, "node").join(of, "target").filter("label = _colour").select("node", "target"))
         marks = labels.withColumnRenamed("label", "_own").join(colour, "node").select("node", (F.col("_own") == F.col("label")).cast("bigint").alias("label"))
         back = _spread(same.select(F.col("target").alias("node"), F.col("node").alias("target")), marks, where).filter("label = 1")
-        members = checkpointed(back.select("node").join(colour, "node"))
+        members = measured(back.select("node").join(colour, "node"))
         parts = members.groupBy("label").agg(F.min("node").alias("cycle_id"), F.count("*").alias("_n"))
-        round_found = checkpointed(members.join(parts, "label").select("node", "cycle_id", "_n"))
+        round_found = measured(members.join(parts, "label").select("node", "cycle_id", "_n"))
         found = round_found if found is None else found.unionByName(round_found)
         rest = same.join(round_found.select("node"), "node", "left_anti")
         rest = rest.join(round_found.select(F.col("node").alias("target")), "target", "left_anti")
-        edges = checkpointed(rest.select("node", F.col("target").alias("depends_on")))
+        edges = measured(rest.select("node", F.col("target").alias("depends_on")))
     if found is None:
         return self_made.select("node", F.col("node").alias("cycle_id"))
     alone = self_made.withColumn("_self", F.lit(True))
@@ -373,7 +408,7 @@ def deploy_levels(nodes: DataFrame, deps: DataFrame, most: int = MOST) -> DataFr
     all its dependencies. A null dependency is none, and one outside ``nodes`` counts as settled.
     """
     known = nodes.select("node").filter("node IS NOT NULL").distinct()
-    edges = checkpointed(
+    edges = measured(
         deps.select("node", "depends_on").distinct()
         .join(known, "node", "left_semi")
         .join(known.withColumnRenamed("node", "depends_on"), "depends_on", "left_semi")

@@ -531,3 +531,30 @@ def test_dead_letters(spark):
     df = spark.createDataFrame(rows, "queue string, message_id string, sec int").withColumn("ts", F.timestamp_seconds("sec"))
     got = traffic.dead_letters(df, rules.queue_limits(spark), "1970-01-15").collect()
     assert [(r["queue"], r["message_id"], r["receives"], str(r["expires_on"]), r["expired"]) for r in got] == [("processing", "m", 4, "1970-01-15", True)]
+
+
+def test_rounds_on_their_own_results_keep_a_size_that_planning_can_handle(spark):
+    rows = spark.range(100).selectExpr("id AS node", "id + 1 AS to", "CAST(1 AS INT) AS dist")
+    ends, circling = topology._collapsed_chains(rows)
+    assert {(r.node, r.to, r.dist) for r in ends.collect()} == {(n, 100, 100 - n) for n in range(100)}
+    assert circling.isEmpty()
+    assert int(str(ends._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 100_000
+
+
+def test_nodes_on_which_many_hang_are_told_to_all(spark, monkeypatch):
+    monkeypatch.setattr(topology, "HOT", 5)
+    deps = [(n, n // 2) for n in range(2, 120)] + [(n, 1) for n in range(120, 200)] + [(3, 7), (200, 50), (200, 49), (201, 200), (201, 1)]
+    nodes = spark.createDataFrame([(n, n) for n in range(1, 202)], "node long, declared_order int")
+    found = topology.deploy_levels(nodes, spark.createDataFrame(deps, "node long, depends_on long"), 10)
+    below = {n: [d for m, d in deps if m == n] for n in range(1, 202)}
+    circle = {3, 7}
+    behind = set()
+    for n in sorted(below):
+        if n not in circle and any(d in circle | behind for d in below[n]):
+            behind.add(n)
+    level = {}
+    for n in sorted(set(below) - circle - behind):
+        level[n] = max((level[d] + 1 for d in below[n]), default=0)
+    rows = found.collect()
+    assert {r.node: r.level for r in rows} == {n: level.get(n) for n in below}
+    assert {r.node for r in rows if r.in_cycle} == circle and {r.node for r in rows if r.behind_cycle} == behind
