@@ -179,9 +179,26 @@ def _task(entries: Column) -> Column:
 def parse_service_configs(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``doc`` and ``error``; the text column is dropped.
 
-    A text is parsed once; members are bound without regard to case, level by level.
+    A text is parsed once, however many rows hold it, and its document joined to all of them by
+    the text; a hash of it leads the key, so that rows are sorted by numbers. Rows of a stream are
+    parsed one by one. Members are bound without regard to case, level by level.
     """
     kept = [c for c in df.columns if c != text]
+    if df.isStreaming:
+        parsed = _parsed_services(df, text)
+    else:
+        different = df.select(F.col(text).alias("_text")).distinct()
+        docs = _parsed_services(different.withColumns({"_hash": F.xxhash64("_text"), "_json": F.col("_text")}), "_json")
+        same = (F.xxhash64(text) == F.col("_hash")) & (F.col(text) == F.col("_text"))
+        parsed = df.join(docs, same, "left")
+    return parsed.select(
+        *kept, "doc", F.when(F.col("doc.ecsConfiguration").isNull(), "Invalid ECS configuration format").alias("error")
+    )
+
+
+def _parsed_services(df: DataFrame, text: str) -> DataFrame:
+    """``doc`` in place of the text of each row."""
+    kept = [c for c in df.columns if c != text]
     service = _bound(
         {"serviceName": "string", "taskDefinition": ""}, F.col("_ecs"),
         taskDefinition=F.transform(_objects(F.col("_ecs"), "taskDefinition"), _task),
@@ -192,10 +209,7 @@ def parse_service_configs(df: DataFrame, text: str = "text") -> DataFrame:
         .select(*kept, F.try_parse_json(text).alias("_v"))
         .select(*kept, _entries(F.col("_v")).alias("_top"))
         .withColumn("_ecs", _entries(_member(F.col("_top"), "ecsConfiguration")))
-        .select(
-            *kept, doc.cast(SERVICE_SCHEMA).alias("doc"),
-            F.when(F.col("_ecs").isNull(), "Invalid ECS configuration format").alias("error"),
-        )
+        .select(*kept, doc.cast(SERVICE_SCHEMA).alias("doc"))
     )
 
 

@@ -221,3 +221,16 @@ def test_members_are_found_by_place(spark):
         "doc.ecsConfiguration.serviceName AS service", "doc.ecsConfiguration.taskDefinition[0].taskDefinitionName AS task",
         "doc.ecsConfiguration.taskDefinition[0].containerDefinitions[0].cpu AS cpu").collect()]
     assert got == [("last", None, None), ("a,]", ",}", 7), (None, None, None)]
+
+
+def test_a_text_that_many_rows_hold_is_parsed_once(spark):
+    texts = ['{"vpcNamePattern":"dev"}', json.dumps(task(container())), "{", '{"vpcNamePattern":"a"}', '{"vpcNamePattern":"a" }', None, ""]
+    rows = spark.createDataFrame([(i, texts[i % 7]) for i in range(7 * 30)] + [(None, texts[1])] * 2, "doc_id int, text string").repartition(3)
+    parsed = documents.parse_service_configs(rows)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("parseJson") and "Aggregate" in plan[plan.index("parseJson"):]
+    alone = {t: documents.parse_service_configs(spark.createDataFrame([(0, t)], "doc_id int, text string")).collect()[0][1:] for t in texts}
+    got = parsed.collect()
+    assert sorted((r["doc_id"], *r[1:]) for r in got if r["doc_id"] is not None) == [(i, *alone[texts[i % 7]]) for i in range(7 * 30)]
+    assert [tuple(r) for r in got if r["doc_id"] is None] == [(None, *alone[texts[1]])] * 2
+    assert [alone[t][1] for t in texts] == [None if t == texts[1] else "Invalid ECS configuration format" for t in texts]
