@@ -12,11 +12,15 @@ from fleetlens.session import checkpointed
 
 #: Characters up to which the literal parts of a pattern are looked up: those at its ends, beyond that in steps, and those between.
 AT_ENDS, END_STEP, BETWEEN = 64, 32, 16
+#: Bits that tell the literal parts of a pattern apart, the first of them, and those that hold a part's length.
+PART_BITS, LENGTH_BITS = 20, 10
 
 
-def _literal_keys(pattern: Column) -> Column:
-    """What a value that matches must have: the whole, or how it begins and ends and what is between the wildcards."""
-    pieces = F.split(pattern, r"[*?]")
+def _literal_keys(pieces: Column) -> Column:
+    """What a value that matches must have: the whole, or how it begins and ends and what is between the wildcards.
+
+    ``pieces`` are those of the pattern between its wildcards.
+    """
 
     def cut(piece: Column) -> Column:
         n = F.length(piece)
@@ -28,7 +32,8 @@ def _literal_keys(pattern: Column) -> Column:
     begin = key("begin", F.substring(first, F.lit(1), cut(first)))
     end = key("end", F.substring(last, -cut(last), cut(last)))
     inner = F.transform(between, lambda piece: key("between", F.substring(piece, F.lit(1), F.lit(BETWEEN))))
-    return F.when(F.size(pieces) == 1, F.array(key("whole", F.when(F.size(pieces) == 1, pattern)))).otherwise(F.concat(F.array(begin, end), inner))
+    parts = F.slice(F.concat(F.array(begin, end), inner), 1, 1 << PART_BITS)
+    return F.when(F.size(pieces) == 1, F.array(key("whole", first))).otherwise(parts)
 
 
 def _keys_of(value: Column, kind: Column, length: Column) -> Column:
@@ -36,8 +41,8 @@ def _keys_of(value: Column, kind: Column, length: Column) -> Column:
     n = F.length(value)
     within = F.transform(F.sequence(F.lit(1), F.greatest(n - length + 1, F.lit(1))), lambda i: F.substring(value, i, length))
     return (
-        F.when(kind == "whole", F.array(value))
-        .when(n < length, F.expr("cast(array() AS array<string>)"))
+        F.when((kind == "whole") & (n == length), F.array(value))
+        .when((kind == "whole") | (n < length), F.expr("cast(array() AS array<string>)"))
         .when(kind == "begin", F.array(F.substring(value, F.lit(1), length)))
         .when(kind == "end", F.array(F.substring(value, -length, length)))
         .otherwise(F.array_distinct(within))
@@ -45,14 +50,36 @@ def _keys_of(value: Column, kind: Column, length: Column) -> Column:
 
 
 def _filed_rules(route_rules: DataFrame) -> DataFrame:
-    """One rule per port and pattern, the first that counts, under the literal part of its pattern that the fewest rules have."""
+    """One rule per port and pattern, the first that counts, under the literal part of its pattern that the fewest rules have.
+
+    Parts are counted by a hash; the rarest of a pattern is a number that holds how many have it,
+    how short it is and its place, so that it is found without sorting. Where texts share a hash
+    another part is taken, under which the rule is found as well. Spark's estimates know neither
+    how many parts a pattern has nor how many rules a derived table has, so the counts are merged:
+    a broadcast of them takes the driver's memory.
+    """
+    known = route_rules.filter("port IS NOT NULL AND pattern IS NOT NULL")
+    pieces = F.split("pattern", r"[*?]").alias("_pieces")
+    hashed = F.xxhash64("_key.kind", "_key.text").alias("_hash")
+    often = (
+        known.select("port", pieces).select("port", F.explode(_literal_keys(F.col("_pieces"))).alias("_key"))
+        .select("port", hashed).groupBy("port", "_hash").agg(F.count("*").alias("_n"))
+    )
     first = F.min(F.struct(F.col("priority").isNull().alias("none"), "priority", "target")).alias("_rule")
-    best = route_rules.filter("port IS NOT NULL AND pattern IS NOT NULL").groupBy("port", "pattern").agg(first)
-    parts = best.select("*", F.explode(_literal_keys(F.col("pattern"))).alias("_key"))
-    often = parts.groupBy("port", "_key").agg(F.count("*").alias("_n"))
-    rarest = F.min_by("_key", F.struct("_n", -F.col("_key.length"), "_key")).alias("_key")
-    filed = parts.join(often, ["port", "_key"]).groupBy("port", "pattern").agg(rarest, F.first("_rule").alias("_rule"))
-    return checkpointed(filed.select("port", "_key.*", "_rule", wildcard(F.col("pattern")).alias("_like")))
+    best = known.groupBy("port", "pattern").agg(first).select("*", pieces)
+    parts = best.select("port", "pattern", "_rule", F.posexplode(_literal_keys(F.col("_pieces"))).alias("_place", "_key"))
+    rarity = (
+        F.shiftleft(F.least("_n", F.lit(1 << 32)), PART_BITS + LENGTH_BITS)
+        + F.shiftleft(F.greatest(F.lit((1 << LENGTH_BITS) - 1) - F.col("_length"), F.lit(0)).cast("bigint"), PART_BITS)
+        + F.col("_place")
+    )
+    rarest = F.min(rarity).bitwiseAND((1 << PART_BITS) - 1).cast("int").alias("_place")
+    filed = (
+        parts.select("port", "pattern", "_rule", "_place", F.col("_key.length").alias("_length"), hashed)
+        .join(often.hint("merge"), ["port", "_hash"]).groupBy("port", "pattern", "_rule").agg(rarest)
+        .select("*", pieces).select("*", F.explode(F.array(F.get(_literal_keys(F.col("_pieces")), F.col("_place")))).alias("_key"))
+    )
+    return filed.select("port", "_key.*", "_rule", wildcard(F.col("pattern")).alias("_like"))
 
 
 def route(requests: DataFrame, route_rules: DataFrame, default: str = rules.DEFAULT_TARGET) -> DataFrame:
@@ -63,7 +90,8 @@ def route(requests: DataFrame, route_rules: DataFrame, default: str = rules.DEFA
     its pattern, of those it has the one that the fewest rules share: how it begins or ends,
     what is between two wildcards, or the whole if it has none. A path looks up its beginnings,
     ends and parts of the lengths that occur, so it meets few rules however many there are,
-    also where they share a folder.
+    also where they share a folder. What paths look up is many times the paths, which Spark's
+    estimate does not know, so it is merged with the rules: neither side is broadcast.
     """
     filed = _filed_rules(route_rules)
     levels = filed.groupBy().agg(F.array_sort(F.collect_set(F.struct("kind", "length")))).scalar()
@@ -72,7 +100,7 @@ def route(requests: DataFrame, route_rules: DataFrame, default: str = rules.DEFA
         requests.filter("port IS NOT NULL AND path IS NOT NULL").select("port", "path").distinct()
         .select("port", "path", F.explode(levels).alias("_level"))
         .select("port", "path", F.col("_level.kind").alias("kind"), F.explode(_keys_of(F.col("path"), F.col("_level.kind"), F.col("_level.length"))).alias("text"))
-        .join(filed, ["port", "kind", "text"])
+        .join(filed.hint("merge"), ["port", "kind", "text"])
         .filter(matches(F.col("path"), F.col("_like")))
         .groupBy(F.col("port").alias("_port"), F.col("path").alias("_path"))
         .agg(first.alias("_hit"))

@@ -759,7 +759,7 @@ def r1(spark: SparkSession, sf: str) -> DataFrame:
 
 def r1_many(spark: SparkSession, sf: str) -> DataFrame:
     """The same over six rules for every part, with equal and missing priorities."""
-    return traffic.route(fleet.fleet_table(spark, sf, "http_requests"), fleet.fleet_table(spark, sf, "many_routes"))
+    return traffic.route(fleet.fleet_table(spark, sf, "http_requests"), fleet.dealt(spark, sf, "many_routes", "part", ["p_partkey"]))
 
 
 def r2(spark: SparkSession, sf: str) -> DataFrame:

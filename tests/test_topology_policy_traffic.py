@@ -458,6 +458,26 @@ def test_a_folder_of_many_routes_shares_no_key(spark):
     assert {r["path"]: r["target"] for r in traffic.route(requests, table).collect()} == want
 
 
+def test_what_paths_look_up_is_not_broadcast(spark, tmp_path):
+    """A path looks up many parts, so a small table of requests is not small then, nor are the parts of the rules."""
+    spark.createDataFrame([(f"/en/{i}",) for i in range(50)], "path string").selectExpr("path", "80 AS port").write.parquet(f"{tmp_path}/requests")
+    requests = spark.read.parquet(f"{tmp_path}/requests")
+    table = spark.range(200_000).selectExpr("80 AS port", "1 AS priority", "concat('/en/', id, '/*') AS pattern", "'t' AS target").crossJoin(spark.range(5).select())
+    text = traffic.route(requests, table)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in text.split("Cross")[0] and text.count("SortMergeJoin") >= 2 and "Scan ExistingRDD" not in text
+
+
+def test_the_rarest_part_is_found_beyond_equal_and_long_ones(spark):
+    """A pattern with many wildcards, parts longer than are counted, and rules that come twice."""
+    long = "x" * 1500
+    table = [(80, 1, "/a/*b?c*" + "*".join(f"p{i}" for i in range(40)) + "*", "many")] * 2 + [(80, 2, f"/a/{long}*", "long"), (80, 3, f"/a/{long}", "whole"), (80, 4, "*", "any"), (80, 4, "*", "also")]
+    requests = [("/a/1bxc" + "-".join(f"p{i}" for i in range(40)), "many"), (f"/a/{long}", "long"), (f"/a/{long}y", "long"), ("/a/x", "also"), ("", "also")]
+    s = spark.createDataFrame(table, "port int, priority int, pattern string, target string")
+    got = traffic.route(spark.createDataFrame([(80, p) for p, _ in requests], "port int, path string"), s).collect()
+    assert {r["path"]: r["target"] for r in got} == dict(requests)
+    assert traffic._filed_rules(s).count() == 4
+
+
 def test_routes_take_the_lowest_priority(spark):
     requests = spark.createDataFrame([(1, 443, "/app/x"), (2, 80, "/app"), (3, 443, "/APP/x"), (4, 8443, "/app/x"), (5, 443, "/app/v2/y")], "id int, port int, path string")
     table = rules.routes(spark).withColumn("target", F.lit("service")).unionByName(
