@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from fleetlens import rules
 from fleetlens.functions.text import matches, wildcard
-from fleetlens.session import checkpointed
 
 ANY_AUDIENCE = "*"
 LIKES = "array<struct<first:string,last:string,middle:array<string>,star:boolean,regex:string>>"
@@ -285,7 +284,9 @@ SHARES = 64
 _NO_CONDITIONS = "cast(array() AS array<struct<op:string,key:string,patterns:array<string>>>)"
 
 
-def trust_decisions(subjects: DataFrame, statements: DataFrame, role: str, action: str = WEB_IDENTITY) -> DataFrame:
+def trust_decisions(
+    subjects: DataFrame, statements: DataFrame, role: str, action: str = WEB_IDENTITY, shown: Callable[[Column], Column] = lambda c: c
+) -> DataFrame:
     """(audience, subject, role, decision, patterns) wherever a role's documents may let a subject in.
 
     ``statements`` come from the policy documents, with the role's name in ``role``. Conditions
@@ -295,7 +296,8 @@ def trust_decisions(subjects: DataFrame, statements: DataFrame, role: str, actio
     one that is unknown (``undetermined``), which beats an allow that holds; an allow that is
     only unknown is ``undetermined`` too and never lets anybody in. Roles that certainly allow
     nothing to a subject give no row. ``patterns`` are the subject patterns that held in the
-    statements behind the decision, in order.
+    statements behind the decision, in order; ``shown`` makes of them what the rows hold, once
+    for a class and not for each of its roles.
 
     Roles whose statements are the same decide alike: subjects meet one class of them, and only
     what a class decides is told for each of its roles, spread over ``SHARES`` of the subjects.
@@ -319,7 +321,8 @@ def trust_decisions(subjects: DataFrame, statements: DataFrame, role: str, actio
         statements.select(F.col(role).alias("role"), "effect", given.alias("_given"), F.explode(kept).alias("_one"))
         .groupBy("role").agg(F.array_sort(F.collect_set(F.struct("effect", "_given"))).alias("_statements"))
     )
-    per_role = checkpointed(per_role.withColumn("class", F.sha2(F.to_json("_statements"), 256)))
+    # generated, so that the join on it does not compute it twice; both uses share the shuffle by role
+    per_role = per_role.select("*", F.explode(F.array(F.sha2(F.to_json("_statements"), 256))).alias("class"))
     filed = (
         per_role.groupBy("class").agg(F.first("_statements").alias("_statements"))
         .select("class", F.inline("_statements"))
@@ -357,7 +360,7 @@ def trust_decisions(subjects: DataFrame, statements: DataFrame, role: str, actio
     order = [("_deny", "explicit_deny"), ("_open", "undetermined"), ("_allow", "allow"), ("_maybe", "undetermined")]
     decision = F.coalesce(*[F.when(F.col(flag), F.lit(said)) for flag, said in order])
     patterns = F.coalesce(*[F.when(F.col(flag), F.col(f"_p{flag}")) for flag, _ in order])
-    told = decided.select("audience", "subject", "class", decision.alias("decision"), patterns.alias("patterns"), F.explode(some).alias("_one")).drop("_one")
+    told = decided.select("audience", "subject", "class", decision.alias("decision"), shown(patterns).alias("patterns"), F.explode(some).alias("_one")).drop("_one")
     # in a fixed number of parts, as few small rows on either side make many
     parts = max(SHARES, int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     of_class = told.withColumn("_share", F.pmod(F.xxhash64("audience", "subject"), F.lit(SHARES))).repartition(parts, "class", "_share")

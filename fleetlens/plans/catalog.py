@@ -733,8 +733,7 @@ def p6(spark: SparkSession, sf: str) -> DataFrame:
 def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
     """What the documents of each role decide about each distinct subject that they may let in."""
     statements = documents.parse_policies(fleet.fleet_table(spark, sf, "trust_docs"))
-    found = policy.trust_decisions(fleet.fleet_table(spark, sf, "ci_subjects"), statements, "policy_id")
-    return found.withColumn("patterns", _text("patterns"))
+    return policy.trust_decisions(fleet.fleet_table(spark, sf, "ci_subjects"), statements, "policy_id", shown=_text)
 
 
 # --- traffic -----------------------------------------------------------------------------

@@ -380,6 +380,23 @@ def test_an_excluded_subject_is_never_let_in(spark):
     }
 
 
+def test_patterns_are_shown_once_for_a_class_of_roles(spark):
+    """What is made of the patterns lies below the last join, and its rows are as made after it."""
+    from fleetlens.sources import documents
+
+    likes = {"StringLike": {"t:sub": ["repo:org/*", "*:main"]}}
+    allow = {"Effect": "Allow", "Principal": {"Federated": "f"}, "Action": "sts:AssumeRoleWithWebIdentity"}
+    texts = [(i, json.dumps({"Statement": [allow | {"Condition": likes}]})) for i in range(9)]
+    rows = documents.parse_policies(spark.createDataFrame(texts, "policy_id int, text string"))
+    subjects = spark.createDataFrame([("aud", "repo:org/app:main"), ("aud", "repo:org/b"), ("aud", "no")], "audience string, subject string")
+    found = policy.trust_decisions(subjects, rows, "policy_id", shown=lambda c: F.array_join(c, ","))
+    want = policy.trust_decisions(subjects, rows, "policy_id").withColumn("patterns", F.array_join("patterns", ","))
+    assert sorted(found.collect()) == sorted(want.collect()) and found.count() == 18
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in text and "array_join" not in text[: text.index("Join")]
+    assert "Scan ExistingRDD" not in found.select("role")._jdf.queryExecution().executedPlan().toString().replace("Scan ExistingRDD[audience", "").replace("Scan ExistingRDD[policy_id", "")
+
+
 def test_roles_with_the_same_documents_are_judged_once(spark, monkeypatch):
     from fleetlens.sources import documents
 
