@@ -44,11 +44,8 @@ def s1_files(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_folder(spark)}/registries-{uuid.uuid4().hex}"
     folder, ledger = f"{path}/files", f"{path}/ledger"
     texts = fleet.fleet_table(spark, sf, "registry_files")
-    # in a fixed number of parts: a file costs the same however small it is. Tasks put their files in place, not the driver
-    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for run in (1, 2):
-        step = texts.filter(F.col("step") == run).drop("step").repartition(parts, "doc")
-        step.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("shelf", "doc").text(folder)
+        fleet.write_documents(texts.filter(F.col("step") == run).drop("step"), folder, run)
         if run == 2:
             remove_folder(spark, f"{folder}/shelf=b")
         changes = files.stage_changes(spark, folder, ledger, run, "*.txt", r"/doc=(\d+)/")

@@ -6,8 +6,10 @@ nested columns is added with DataFrame functions below.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -306,6 +308,35 @@ def dealt(spark: SparkSession, sf_dir: str, name: str, source: str, key: list[st
     return rows
 
 
+def write_documents(texts: DataFrame, folder: str, run: int) -> None:
+    """(shelf, doc, text) as files: the texts of a document are the lines of one of its own for each run.
+
+    Below ``folder`` it is shelf=<shelf>/doc=<doc>/part-<run>.txt. On a folder that is mounted tasks
+    write the files themselves, as without its native library Spark's writer starts two processes
+    for each file there to set its rights; elsewhere Spark writes them. Written again, a file is replaced.
+    """
+    spark = texts.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    # in a fixed number of parts: a file costs the same however small it is
+    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = texts.repartition(parts, "doc")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        placed.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("shelf", "doc").text(folder)
+        return
+    root, unnamed = path.toUri().getPath(), "__HIVE_DEFAULT_PARTITION__"
+
+    def put(rows):
+        for (shelf, doc), lines in groupby(rows, key=lambda row: (row["shelf"], row["doc"])):
+            place = os.path.join(root, f"shelf={shelf}", f"doc={unnamed if doc is None else doc}")
+            os.makedirs(place, exist_ok=True)
+            unfinished = os.path.join(place, f"_{uuid.uuid4().hex}")
+            with open(unfinished, "w", encoding="utf-8", newline="") as file:
+                file.writelines(f"{row['text'] or ''}\n" for row in lines)
+            os.replace(unfinished, os.path.join(place, f"part-{run:05d}.txt"))
+
+    placed.sortWithinPartitions("shelf", "doc").foreachPartition(put)
+
+
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet_table(spark, sf_dir, "contexts")
 

@@ -8,6 +8,9 @@ earlier try was committed: only lower numbers count as known. Nothing of the fol
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,27 @@ _STATE = ["path", "modified", "length"]
 _LEDGER = "name string, path string, modified timestamp, length bigint, change string, number bigint"
 
 
+#: How many tasks list folders, and whether Spark keeps listings in the driver for later, which none here is asked for again.
+_LISTING_TASKS, _KEPT = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.hive.manageFilesourcePartitions"
+
+
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextmanager
+def _listing(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by as many tasks as a shuffle has; else each folder is a task, up to 10,000."""
+    before = {key: spark.conf.get(key) for key in (_LISTING_TASKS, _KEPT)}
+    spark.conf.set(_LISTING_TASKS, min(int(before[_LISTING_TASKS]), max(_parts(spark), 8)))
+    spark.conf.set(_KEPT, "false")
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def list_files(spark: SparkSession, folder: str, glob: str = "*.json", name: str | None = None) -> DataFrame:
     """(name, path, modified, length) of the files below ``folder``; no content is read.
 
@@ -27,10 +51,10 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*.json", name: str
     one name the last modified counts, and of those the last path. A file without a byte is no
     file, as Spark's scans leave it out; one that is emptied counts as removed.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
-        .select("path", F.col("modificationTime").alias("modified"), "length")
-    )
+    with _listing(spark):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    # a few files make a partition of the scan, many of these a task
+    files = found.select("path", F.col("modificationTime").alias("modified"), "length").coalesce(_parts(spark))
     if name is None:
         return files.select(F.col("path").alias("name"), *_STATE)
     called = F.when(F.col("path").rlike(name), F.regexp_extract("path", name, 1)).otherwise(F.col("path"))
@@ -93,11 +117,12 @@ def read_changed(changes: DataFrame, folder: str, max_bytes: int = MAX_BYTES) ->
     spark = changes.sparkSession
     wanted = changes.filter((F.col("change") != "removed") & (F.col("length") <= max_bytes))
     since = wanted.agg(F.min("modified")).first()[0]
+    with _listing(spark):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(folder)
     contents = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(folder)
-        .filter((F.col("modificationTime") >= F.lit(since)) & (F.col("length") <= max_bytes))
+        found.filter((F.col("modificationTime") >= F.lit(since)) & (F.col("length") <= max_bytes))
         .select(F.col("path").alias("_path"), F.col("content").cast("string").alias("_text"))
+        .coalesce(_parts(spark))
     )
     valid = F.is_valid_utf8("_text")
     error = (
@@ -107,5 +132,6 @@ def read_changed(changes: DataFrame, folder: str, max_bytes: int = MAX_BYTES) ->
         .when(~valid, "file is not UTF-8")
     )
     kept = F.when((F.col("change") != "removed") & valid, F.regexp_replace("_text", "^\ufeff", ""))
-    met = changes.join(contents, (F.col("path") == F.col("_path")) & (F.col("change") != "removed"), "left")
+    # staged changes are one file, what is done with the texts is not for one task
+    met = changes.repartition(_parts(spark), "path").join(contents, (F.col("path") == F.col("_path")) & (F.col("change") != "removed"), "left")
     return met.select("name", *_STATE, "change", kept.alias("text"), error.alias("file_error"))

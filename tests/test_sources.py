@@ -222,3 +222,32 @@ def test_of_files_with_one_name_the_newest_counts(spark, tmp_path):
     listed = files.list_files(spark, str(tmp_path), "*.json", r"doc=(\d+)/")
     rows = {r["name"]: r["path"].rsplit("/", 1)[1] for r in listed.collect()}
     assert rows.pop("1") == "y.json" and list(rows.values()) == ["other.json"] and next(iter(rows)).endswith("/other.json")
+
+
+def test_many_small_files_make_no_more_tasks_than_a_shuffle(spark, folder):
+    for i in range(300):
+        put(folder, f"f{i}.json", "{}")
+    keys = (files._LISTING_TASKS, files._KEPT)
+    before = [spark.conf.get(key) for key in keys]
+    listed = files.list_files(spark, str(folder))
+    assert listed.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions")) and listed.count() == 300
+    changes = files.file_changes(listed, files.known_files(spark, str(folder / "none"), 1)).coalesce(1)
+    read = files.read_changed(changes, str(folder))
+    assert read.rdd.getNumPartitions() > 1 and {r["text"] for r in read.collect()} == {"{}"}
+    assert [spark.conf.get(key) for key in keys] == before
+
+
+def test_documents_are_files_of_one_run_each(spark, folder):
+    from fleetlens.plans import fleet_tables
+
+    rows = [("a", 1, "{\n}"), ("a", 1, "{\n}"), ("a", 2, None), ("b", 3, ""), ("b", None, "\u00e9"), ("a", -4, "x")]
+    texts = spark.createDataFrame(rows, "shelf string, doc bigint, text string")
+    fleet_tables.write_documents(texts, f"{folder}/mine", 1)
+    fleet_tables.write_documents(texts, f"{folder}/mine", 1)
+    texts.repartition(2, "doc").write.partitionBy("shelf", "doc").text(f"{folder}/sparks")
+    contents = lambda top: {(p.parent.relative_to(top), p.read_bytes()) for p in top.rglob("*.txt")}
+    assert contents(folder / "mine") == contents(folder / "sparks") and len(contents(folder / "mine")) == 5
+    fleet_tables.write_documents(texts.limit(1), f"{folder}/mine", 2)
+    assert sum(p.is_file() for p in (folder / "mine").rglob("*")) == 6
+    found = files.list_files(spark, f"file://{folder}/mine", "*.txt", r"/doc=(\d+)/").collect()
+    assert sorted(r["name"] for r in found if r["name"].isdigit()) == ["1", "2", "3"]
